@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, tokenfile
+from . import neighbours, packing, quality, sharding, tokenfile, toxicity
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_packing": packing.op7_packing,
     "op8_token_ids": tokenfile.op8_token_ids,
 }
