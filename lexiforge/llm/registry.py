@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import neighbours, packing, quality, sharding, tokenfile, toxicity
+from . import decontamination, linededup, neighbours, packing, quality, sharding, tokenfile, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
+    "op5_line_dedup": linededup.op5_line_dedup,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_packing": packing.op7_packing,
     "op8_token_ids": tokenfile.op8_token_ids,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.OP2_SQL, "op5_line_dedup": linededup.OP5_SQL}
