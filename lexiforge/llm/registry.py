@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, linededup, neighbours, packing, quality, sharding, tokenfile, toxicity
+from . import decontamination, linededup, neighbours, packing, quality, sharding, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_packing": packing.op7_packing,
     "op8_token_ids": tokenfile.op8_token_ids,
+    "op9_substring_dedup": substrings.op9_substring_dedup,
 }
 ORACLES: dict[str, str] = {"op2_decontamination": decontamination.OP2_SQL, "op5_line_dedup": linededup.OP5_SQL}
