@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, linededup, neighbours, packing, quality, sharding, substrings, tokenfile, toxicity
+from . import decontamination, jaccard, linededup, neighbours, packing, quality, sharding, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sharding": sharding.op4_sharding,
