@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import corpus, sequences, vocabulary  # noqa: F401
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "dictionary"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
