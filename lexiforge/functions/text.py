@@ -143,26 +143,23 @@ def draw(seq: Column, k: int, modulus: int) -> Column:
     return F.pmod(F.pmod(seq * 1103515245 + F.lit(k * 12345 + 1337), F.lit(1000003)), F.lit(modulus)).cast("int")
 
 
-def typo(w: Column, seq: Column) -> Column:
-    """One typo by the weighted rules; null where the word is not eligible or both tries change nothing."""
-
-    def once(t: int) -> Column:
-        r, n = draw(seq, 10 * t, 100), F.greatest(F.length(w), F.lit(1))
-        i, k = F.pmod(draw(seq, 10 * t + 1, 9973), n), draw(seq, 10 * t + 2, 9973)
-        made = (
-            strip_marks(w),
-            adjacent(w, i, k),
-            transpose(w, F.pmod(draw(seq, 10 * t + 1, 9973), F.greatest(F.length(w) - 1, F.lit(1)))),
-            delete(w, i),
-            insert(w, F.pmod(draw(seq, 10 * t + 1, 9973), n + 1), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(k, F.lit(26)) + 1, F.lit(1))),
-            double(w, i),
-        )
-        out = made[-1]
-        for bound, m in reversed(list(zip(lang.RULE_BOUNDS[:-1], made[:-1], strict=True))):
-            out = F.when(r < bound, m).otherwise(out)
-        return F.nullif(out, w)
-
-    return F.when((F.length(w) >= 2) & w.rlike(lang.ELIGIBLE), F.coalesce(once(1), once(2)))
+def typo_once(w: Column, seq: Column, t: int) -> Column:
+    """Try number t at a typo by the weighted rules; null where it changes nothing."""
+    r, n = draw(seq, 10 * t, 100), F.greatest(F.length(w), F.lit(1))
+    at, k = draw(seq, 10 * t + 1, 9973), draw(seq, 10 * t + 2, 9973)
+    i = F.pmod(at, n)
+    made = (
+        strip_marks(w),
+        adjacent(w, i, k),
+        transpose(w, F.pmod(at, F.greatest(F.length(w) - 1, F.lit(1)))),
+        delete(w, i),
+        insert(w, F.pmod(at, n + 1), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(k, F.lit(26)) + 1, F.lit(1))),
+        double(w, i),
+    )
+    out = made[-1]
+    for bound, m in reversed(list(zip(lang.RULE_BOUNDS[:-1], made[:-1], strict=True))):
+        out = F.when(r < bound, m).otherwise(out)
+    return F.nullif(out, w)
 
 
 def affixes(word: Column) -> tuple[Column, Column, Column]:
