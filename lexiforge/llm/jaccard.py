@@ -30,6 +30,8 @@ WORDS, PERCENT = 5, 80
 BLOCK_SETS, FREQUENT_SETS, FREQUENT_MOST = 4, 200, 400_000
 #: Ids or pairs up to which a side is broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 300_000
+#: Rounds that verify one candidate for each two components, before all others that are still apart are verified.
+ROUNDS = 3
 
 
 # --- sets -------------------------------------------------------------------------------------------------------------
@@ -281,11 +283,21 @@ class Join:
         best = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
         found = self.verified(best, "links1")
         labels = components(found, self.tables, "components1_")
-        rest = self.apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), labels)
-        rest = self.tables.put(rest, "rest")
-        if rest.count():
-            found = found.unionByName(self.verified(rest, "links2"))
-            labels = components(found, self.tables, "components2_")
+        tested = best
+        for turn in range(ROUNDS + 1):
+            # One pair for each two components that share entries, and in the last round all that is still apart.
+            rest = self.tables.put(self.apart(pairs.join(tested, ["a", "b"], "left_anti"), labels), f"rest{turn}")
+            if turn < ROUNDS:
+                two = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")]
+                rest = self.tables.put(rest.groupBy(*two).agg(F.max(F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b"), f"picked{turn}")
+            rest = rest.select("a", "b")
+            if not rest.limit(1).count():
+                break
+            new = self.verified(rest, f"links2_{turn}")
+            tested = tested.unionByName(rest)
+            if new.limit(1).count():
+                found = found.unionByName(new)
+                labels = components(found, self.tables, f"components2_{turn}_")
         more = self.tables.put(self.open_pairs(stars, labels).join(pairs, ["a", "b"], "left_anti"), "more")
         if more.count():
             found = found.unionByName(self.verified(more, "links3"))
@@ -296,10 +308,10 @@ class Join:
         return self.sized.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
 
     def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs of classes in different components."""
+        """The pairs (a, b, k) of classes in different components ca and cb."""
         x, y = (labels.select(F.col("v").alias(f"_{s}"), F.col("c").alias(f"_c{s}")) for s in "ab")
         both = pairs.join(x, F.col("a") == F.col("_a"), "left").join(y, F.col("b") == F.col("_b"), "left")
-        return both.filter(F.coalesce("_ca", "a") != F.coalesce("_cb", "b")).select("a", "b")
+        return both.select("a", "b", "k", F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb")).filter("ca <> cb")
 
     def open_pairs(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of classes that share an entry of three or more classes and are in different components."""
