@@ -20,49 +20,58 @@ WILD = "<*>"
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens joined by one space, those with a digit as wildcards."""
-    tight = F.regexp_replace(F.regexp_replace(line, r"[ \t-\r]+", " "), r"^ | $", "")
-    return F.regexp_replace(tight, r"[^ ]*[0-9][^ ]*", WILD)
+    """The line's tokens joined by one space, those with a digit as wildcards. Most lines need neither, and a search is cheaper than a replacement."""
+    tight = F.when(line.rlike(r"[\t-\r]|  |^ | $"), F.regexp_replace(F.regexp_replace(line, r"[ \t-\r]+", " "), r"^ | $", "")).otherwise(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(tight, r"[^ ]*[0-9][^ ]*", WILD)).otherwise(tight)
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """_doc, _row (a hash of the text, for rows that share an id), _no, _t (template), _k (its tokens), _lead."""
+    """_doc, _row (a hash of the text, for rows that share an id), _no, _t (template), _k (its tokens), _leaf (a hash of count and leading tokens)."""
     rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_row"), F.posexplode(F.split("text", "\n")).alias("_no", "_line"))
     # explode() of one value: a filter on the template is then not pushed below the patterns, which would run again.
     rows = rows.select("_doc", "_row", "_no", F.explode(F.array(masked(F.col("_line")))).alias("_t"))
-    rows = rows.withColumn("_k", F.length("_t") - F.length(F.translate("_t", " ", "")) + 1)
-    return rows.filter(F.col("_k") >= MIN_TOKENS).withColumn("_lead", F.substring_index("_t", " ", DEPTH))
+    rows = rows.withColumn("_k", F.length("_t") - F.length(F.replace("_t", F.lit(" "), F.lit(""))) + 1)
+    return rows.filter(F.col("_k") >= MIN_TOKENS).withColumn("_leaf", F.xxhash64("_k", F.substring_index("_t", " ", DEPTH)))
 
 
-def recurring(lines: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
-    """Templates that recur as they are, and rows of lines that a generalised template takes: both with the first document."""
-    by_doc = lines.groupBy("_k", "_lead", "_t", "_doc").agg(F.count("*").alias("_c"))
-    templates = by_doc.groupBy("_k", "_lead", "_t").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first"))
+def _keys() -> list[Column]:
+    """A template as two hashes, 128 bits."""
+    return [F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")]
+
+
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def recurring(docs: DataFrame, lines: DataFrame, tables: Tables) -> DataFrame:
+    """_a, _b and _first of each template whose lines are dropped: those that recur as they are, and those that a generalised template takes."""
+    by_doc = lines.groupBy("_k", "_leaf", "_a", "_b", "_doc").agg(F.count("*").alias("_c"))
+    templates = by_doc.groupBy("_k", "_leaf", "_a", "_b").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first"))
     templates = tables.put(templates, "templates")
-    own = templates.filter(F.col("_docs") >= MIN_DOCS).select("_t", "_first")
+    own = templates.filter(F.col("_docs") >= MIN_DOCS).select("_a", "_b", "_first")
+    # A leaf with fewer documents than MIN_DOCS cannot hold a recurring template, so only few lines go on as text.
     rare = templates.filter(F.col("_docs") < MIN_DOCS)
-    # A leaf with fewer documents than MIN_DOCS cannot hold a recurring template, so few lines go on.
-    leaves = rare.groupBy("_k", "_lead").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS)
-    rare = tables.put(rare.join(leaves, ["_k", "_lead"]), "rare")
-    tokens = rare.select("_k", "_lead", "_n", "_docs", F.posexplode(F.split("_t", " ")).alias("_p", "_w"))
-    seen = tokens.groupBy("_k", "_lead", "_n", "_p", "_w").agg(F.sum("_docs").alias("_s"))
+    leaves = tables.put(rare.groupBy("_k", "_leaf").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS), "leaves")
+    texts = _lines(docs).join(_side(leaves), ["_k", "_leaf"]).groupBy("_k", "_leaf", "_n", "_t", "_doc").agg(F.count("*").alias("_c"))
+    texts = texts.groupBy("_k", "_leaf", "_n", "_t").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first"))
+    rare = tables.put(texts.filter(F.col("_docs") < MIN_DOCS), "rare")
+    tokens = rare.select("_k", "_leaf", "_n", "_docs", F.posexplode(F.split("_t", " ")).alias("_p", "_w"))
+    seen = tokens.groupBy("_k", "_leaf", "_n", "_p", "_w").agg(F.sum("_docs").alias("_s"))
     constants = seen.filter((F.col("_s") * 2 > F.col("_n")) & (F.col("_w") != WILD))
-    shapes = constants.groupBy("_k", "_lead").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_w"))).alias("_map"))
+    shapes = constants.groupBy("_k", "_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_w"))).alias("_map"))
     shapes = shapes.filter(F.size("_map") * 100 >= F.col("_k") * CONSTANT)
     fits = F.forall(F.map_entries("_map"), lambda e: F.get(F.split("_t", " "), e["key"]) == e["value"])
-    taken = rare.join(shapes, ["_k", "_lead"]).filter(fits)
-    enough = taken.groupBy("_k", "_lead").agg(F.sum("_docs").alias("_all"), F.min("_first").alias("_leaf_first")).filter(F.col("_all") >= MIN_DOCS)
-    wide = taken.join(enough, ["_k", "_lead"]).select("_t", F.col("_leaf_first").alias("_first"))
-    return own, wide
+    taken = rare.join(shapes, ["_k", "_leaf"]).filter(fits)
+    enough = taken.groupBy("_k", "_leaf").agg(F.sum("_docs").alias("_all"), F.min("_first").alias("_leaf_first")).filter(F.col("_all") >= MIN_DOCS)
+    wide = taken.join(enough, ["_k", "_leaf"]).select(*_keys(), F.col("_leaf_first").alias("_first"))
+    return tables.put(own.unionByName(wide), "recurring")
 
 
 def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     """_doc, _row and _drop, the sorted numbers (from 0) of lines to drop, for each document with any."""
-    lines = _lines(docs)
-    own, wide = recurring(lines, tables)
-    found = tables.put(own.unionByName(wide), "recurring")
-    small = found.count() <= BROADCAST_ROWS
-    hits = lines.select("_doc", "_row", "_no", "_t").join(F.broadcast(found) if small else found, "_t").filter(~F.col("_doc").eqNullSafe(F.col("_first")))
+    lines = tables.put(_lines(docs).select("_doc", "_row", "_no", "_k", "_leaf", *_keys()), "lines")
+    found = _side(recurring(docs, lines, tables))
+    hits = lines.select("_doc", "_row", "_no", "_a", "_b").join(found, ["_a", "_b"]).filter(~F.col("_doc").eqNullSafe(F.col("_first")))
     return hits.groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("_no")).alias("_drop"))
 
 
@@ -72,7 +81,7 @@ def dedup_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     A null text stays null with 0 lines; an empty text is one empty line. Lines of fewer than MIN_TOKENS tokens stay. Rows of one id and text are one document; a null id is an id of its own, which is never first. A document that loses every line has an empty text. An empty table gives no rows.
     """
     drops = tables.put(dropped_lines(docs, tables), "dropped")
-    side = F.broadcast(drops) if drops.count() <= BROADCAST_ROWS else drops
+    side = _side(drops)
     rows = docs.withColumn("_th", F.xxhash64("text"))
     rows = rows.join(side, rows["doc_id"].eqNullSafe(side["_doc"]) & (rows["_th"] == side["_row"]), "left")
     kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("_drop"), i))
