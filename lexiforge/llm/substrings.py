@@ -15,12 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .shared import Tables, blocks, gram_hashes, hash_words, one, signed, split_words, within
 
 WINDOW, ANCHOR = 20, 8
-#: Documents with removed words up to which the spans are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Documents with removed words, and their spans, up to which these are broadcast; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_SPANS = 100_000, 400_000
 #: Rows that carry spans settled in their block have no hashes; src_doc and src_pos are set in these only.
 RUN = "anchor long, doc long, pos int, n int, hashes binary, src_doc long, src_pos int"
 SPAN = "doc long, pos int, n int, src_doc long, src_pos int"
@@ -137,6 +138,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "pos").mapInArrow(_settle, SPAN)
 
 
+def glued(spans: DataFrame) -> DataFrame:
+    """doc, pos and n of runs of windows, those that touch or overlap as one."""
+    before = Window.partitionBy("doc").orderBy("pos", "end")
+    rows = spans.select("doc", "pos", (F.col("pos") + F.col("n")).alias("end"))
+    rows = rows.withColumn("top", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("run", F.sum(F.when(F.col("pos") <= F.col("top"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("doc", "run").agg(F.min("pos").alias("pos"), (F.max("end") - F.min("pos")).alias("n")).select("doc", "pos", "n")
+
+
 def _cut(text_too: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
@@ -168,9 +178,9 @@ def dedup_substrings(docs: DataFrame, tables: Tables, text_too: bool = False) ->
     A word is removed if a window that covers it also starts earlier: in a smaller doc_id, or before in the same document. Null and empty texts have no words, and shorter ones than a window keep all. Rows of one doc_id count as one document at equal places; a null id is the smallest. An empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    spans = repeated_spans(docs).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    spans = tables.put(spans, "spans")
-    side = F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
+    spans = tables.put(glued(repeated_spans(docs)).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), "spans")
+    total = spans.agg(F.count("*").alias("docs"), F.sum(F.size("spans")).alias("spans")).first()
+    side = F.broadcast(spans) if total["docs"] <= BROADCAST_ROWS and (total["spans"] or 0) <= BROADCAST_SPANS else spans
     rows = docs.join(side, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("doc"), "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_cut(text_too), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text_too)
 
