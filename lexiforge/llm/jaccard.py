@@ -23,11 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Tables, blocks, gram_hashes, hash_words, mix, one, signed, split_words, within
+from .shared import Tables, blocks, gram_hashes, hash_words, mix, one, setting, signed, split_words, within
 
 WORDS, PERCENT = 5, 80
 #: A shingle in so many sets of a block is counted; one of so many counted sets in all has no weight. Any choice gives the same links.
-BLOCK_SETS, FREQUENT_SETS, FREQUENT_MOST = 4, 200, 400_000
+BLOCK_SETS, FREQUENT_SETS, FREQUENT_MOST = 3, 200, 400_000
+#: Text bytes that a worker counts or indexes at once: a text's shingles and entries take some 30 times its bytes.
+COUNT_BYTES, INDEX_BYTES = 8_000_000, 4_000_000
+#: Bytes of pairs of sets that go to a worker at once.
+VERIFY_BYTES = 4_000_000
 #: Ids or pairs up to which a side is broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 300_000
 #: Rounds that verify one candidate for each two components, before all others that are still apart are verified.
@@ -66,7 +70,7 @@ def _sums(x: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> np.ndarray:
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows for the shingles that many sets of the block have."""
     names = ["doc_id", "n", "class", "token", "sets"]
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", COUNT_BYTES):
         token, starts, cls = shingle_sets(one(block["text"]))
         size = np.diff(starts)
         ids = one(block["doc_id"])
@@ -177,7 +181,7 @@ def entries(token: np.ndarray, starts: np.ndarray, frequent: np.ndarray, order:
 
 def _indexed(frequent: np.ndarray, order: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", INDEX_BYTES):
             token, starts, cls = shingle_sets(one(block["text"]))
             keep = np.zeros(len(cls), bool)
             keep[np.unique(cls, return_index=True)[1]] = True
@@ -213,7 +217,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
+    for block in blocks(batches, "text", INDEX_BYTES):
         token, starts, cls = shingle_sets(one(block["text"]))
         data = pa.Array.from_buffers(pa.binary(), len(cls), [None, pa.py_buffer((starts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(token))])
         yield pa.RecordBatch.from_arrays([pa.array(signed(cls)), data], ["class", "tokens"])
@@ -269,7 +273,9 @@ class Join:
         sets = self.sets.join(self.small(self.tables.put(ids, f"{name}_ids")), "class", "left_semi")
         first = pairs.join(sets.select(F.col("class").alias("_b"), F.col("tokens").alias("_tb")), F.col("b") == F.col("_b")).select("a", "b", "_tb")
         both = first.join(sets.select(F.col("class").alias("_a"), F.col("tokens").alias("_ta")), F.col("a") == F.col("_a")).select("a", "b", "_ta", "_tb")
-        return self.tables.put(both.mapInArrow(_verify, "a long, b long"), name)
+        # A hub's long set comes with each of its pairs, so batches are bounded by bytes, not by rows alone.
+        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
+            return self.tables.put(both.mapInArrow(_verify, "a long, b long"), name)
 
     def links(self) -> tuple[DataFrame, DataFrame | None]:
         """Verified links between classes, enough for all components, and the components (None if there is no link)."""

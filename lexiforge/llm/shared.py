@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,17 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """A session setting for the queries that are started inside; the session's own value returns after."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def column_without_clash(df: DataFrame, name: str) -> str:
     """A name that df has no column of."""
     taken = {c.lower() for c in df.columns}
@@ -88,6 +100,7 @@ def blocks(batches, column: str, most: int = BLOCK_BYTES):
             start = stop
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    pa.default_memory_pool().release_unused()  # the worker serves other tasks after this one
 
 
 def one(column) -> pa.Array:
