@@ -43,6 +43,12 @@ def _hashed(df: DataFrame, *keep: str) -> DataFrame:
     return words.select(*keep, shingle_hashes(F.col("_h")).alias("_s"))
 
 
+def _shingled(df: DataFrame, *keep: str) -> DataFrame:
+    # The words are a column of their own: inside the function of an array they would be split again for each shingle.
+    words = df.select(*keep, words_of(F.col("text")).alias("_w"))
+    return words.select(*keep, shingle_texts(F.col("_w")).alias("_t"))
+
+
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row for each hash in an item's sketch: item_id, hash, and the least size of a document that can hold the item."""
     sets = _hashed(items, "item_id").select("item_id", F.array_sort(F.array_distinct("_s")).alias("s"))
@@ -66,10 +72,10 @@ def contaminated(docs: DataFrame, items: DataFrame, tables: Tables, percent: int
     hits = probes.join(F.broadcast(index) if bounded else index, (F.col("_hash") == F.col("hash")) & (F.col("_n") >= F.col("least")))
     pairs = tables.put(hits.select("doc_id", "item_id").distinct(), "candidates")
     few = pairs.count() <= BROADCAST_ROWS
-    held = items.select("item_id", F.explode(F.array(shingle_texts(words_of(F.col("text"))))).alias("_item"))
+    held = _shingled(items, "item_id").select("item_id", F.explode(F.array("_t")).alias("_item"))
     each = pairs.join(F.broadcast(held) if bounded else held, "item_id")
     here = docs.join((F.broadcast if few else lambda x: x)(pairs.select("doc_id").distinct()), "doc_id", "left_semi")
-    sets = here.select("doc_id", shingle_texts(words_of(F.col("text"))).alias("_doc"))
+    sets = _shingled(here, "doc_id").withColumnRenamed("_t", "_doc")
     both = each.join(sets, "doc_id").select("doc_id", "item_id", F.size(F.array_intersect("_item", "_doc")).alias("n_shared"), F.size("_item").alias("n_item"))
     kept = both.filter(F.col("n_shared") * 100 >= F.col("n_item") * percent)
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("n_shared") / F.col("n_item")).alias("c"), "n_shared", "n_item")).alias("m"))
