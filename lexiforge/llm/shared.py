@@ -41,7 +41,9 @@ class Tables:
         self.spark, self.top = spark, f"{shared_dir(spark)}/lexiforge-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        df.write.options(**options).parquet(f"{self.top}/{name}")
+        # The step's shuffle files go when it ends, not when the driver happens to collect its garbage.
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+            df.select("*").write.options(**options).parquet(f"{self.top}/{name}")
         return self.get(name, df)
 
     def get(self, name: str, like: DataFrame) -> DataFrame:
