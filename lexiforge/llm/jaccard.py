@@ -7,7 +7,7 @@ Sets are put in bands of size. In a band of largest size u, linked sets differ i
 - a set with more empty segments also indexes the one-deletion neighbourhood of each subset of two or more shingles. Such a subset counts 2 and a single shingle 1; among two such sets U + 1 of this weight is enough;
 - sets that lack even that weight index their rarest shingles (n - ceil(0.8 n) + 1 of them), which two linked sets share.
 
-t is the number that makes the expected index smallest. Sets equal as a whole are one class from the start. Classes that share an entry are candidates of the entry's least class first; candidates are verified by exact intersection, components are formed, and only entries whose classes are still in different components give further pairs. No bucket is capped, and no link between different texts is lost.
+t is the number that makes the expected index smallest. Sets equal as a whole are one class from the start. Entries travel packed, a few bytes each. Classes that share an entry are candidates of the entry's least class first; in a block, an entry of many classes sends its least class on and leaves the others as candidates of that one. A candidate pair must differ in few enough bits of the sets' parity sketches (bits that differ never outnumber shingles that differ, so this loses nothing) and is then verified by exact intersection. Components are formed, and only entries whose classes are still in different components give further pairs. No bucket is capped, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, roots
 from .shared import Tables, blocks, gram_hashes, hash_words, mix, one, setting, signed, split_words, within
 
 WORDS, PERCENT = 5, 80
@@ -32,10 +32,10 @@ BLOCK_SETS, FREQUENT_SETS, FREQUENT_MOST = 3, 200, 400_000
 COUNT_BYTES, INDEX_BYTES = 8_000_000, 4_000_000
 #: Bytes of pairs of sets that go to a worker at once.
 VERIFY_BYTES = 4_000_000
+#: An entry that so many classes of a block share is dealt out for one of them.
+HOT_CLASSES = 8
 #: Ids or pairs up to which a side is broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 300_000
-#: Rounds that verify one candidate for each two components, before all others that are still apart are verified.
-ROUNDS = 3
 
 
 # --- sets -------------------------------------------------------------------------------------------------------------
@@ -50,9 +50,16 @@ def shingle_sets(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = np.diff(ends)
     few = np.flatnonzero((n > 0) & (n < WORDS))
     whole = np.fromiter((int(gram_hashes(h[ends[i] : ends[i + 1]], int(n[i]), seed=int(n[i]))[0]) for i in few), np.uint64, len(few))
-    token, owner = np.concatenate((token, whole)), np.concatenate((owner, few))
-    order = np.lexsort((token, owner))
-    token, owner = token[order], owner[order]
+    size = np.maximum(n - WORDS + 1, 0)
+    size[few] = 1
+    starts = np.append(0, np.cumsum(size))
+    gram = np.ones(starts[-1], bool)
+    gram[starts[few]] = False
+    every = np.empty(starts[-1], np.uint64)
+    every[gram], every[~gram] = token, whole
+    for i, j in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        every[i:j].sort()
+    token, owner = every, np.repeat(np.arange(len(n)), size)
     new = np.append(True, (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])) if len(token) else np.zeros(0, bool)
     token, owner = token[new], owner[new]
     size = np.bincount(owner, minlength=len(n)) if len(owner) else np.zeros(len(n), np.int64)
@@ -67,22 +74,41 @@ def _sums(x: np.ndarray, starts: np.ndarray, salt: np.ndarray) -> np.ndarray:
     return np.where(np.diff(starts) > 0, out, np.uint64(0))
 
 
+def sketches(token: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A parity sketch of each set: bit i tells whether an odd number of its shingles falls on i. A set has 1 to 2 bits a shingle, 64 at least; a longer sketch folds to a shorter one's length."""
+    size = np.diff(starts)
+    bits = np.int64(1) << np.maximum(6, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    base = np.append(0, np.cumsum(bits))
+    at = np.repeat(base[:-1], size) + (mix(token ^ _space(9)) & np.repeat(bits - 1, size).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(np.packbits(odd, bitorder="little"))])
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ: never more than the shingles that only one of the sets has."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and rows for the shingles that many sets of the block have."""
-    names = ["doc_id", "n", "class", "token", "sets"]
+    names = ["doc_id", "n", "class", "sketch", "token", "sets"]
     for block in blocks(batches, "text", COUNT_BYTES):
         token, starts, cls = shingle_sets(one(block["text"]))
         size = np.diff(starts)
         ids = one(block["doc_id"])
-        none = lambda k, t: pa.nulls(k, t)
-        yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(signed(cls), mask=size == 0), none(len(ids), pa.int64()), none(len(ids), pa.int64())], names)
+        none = lambda k, t=pa.int64(): pa.nulls(k, t)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(signed(cls), mask=size == 0), sketches(token, starts), none(len(ids)), none(len(ids))], names)
         distinct = np.zeros(len(cls), bool)
         distinct[np.unique(cls, return_index=True)[1]] = True
         value, count = np.unique(token[np.repeat(distinct, size)], return_counts=True)
         value, count = value[count >= BLOCK_SETS], count[count >= BLOCK_SETS]
         k = len(value)
         if k:
-            yield pa.RecordBatch.from_arrays([none(k, pa.int64()), none(k, pa.int64()), none(k, pa.int64()), pa.array(signed(value)), pa.array(count)], names)
+            yield pa.RecordBatch.from_arrays([none(k), none(k), none(k), none(k, pa.binary()), pa.array(signed(value)), pa.array(count)], names)
 
 
 # --- bands and allocation ---------------------------------------------------------------------------------------------
@@ -179,7 +205,59 @@ def entries(token: np.ndarray, starts: np.ndarray, frequent: np.ndarray, order:
     return np.concatenate(out_e), np.concatenate(out_o)
 
 
-def _indexed(frequent: np.ndarray, order: np.ndarray):
+PACKED = ["part", "data", "entry", "a", "b"]
+
+
+def _star_rows(e: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """entry, a (the entry's least class) and each other class b, from entries and classes in any order."""
+    by = np.lexsort((c, e))
+    e, c = e[by], c[by]
+    begin = np.append(True, e[1:] != e[:-1]) if len(e) else np.zeros(0, bool)
+    new = begin | np.append(True, c[1:] != c[:-1]) if len(e) else begin
+    first = c[begin][np.cumsum(begin) - 1] if len(e) else c
+    other = new & ~begin
+    return e[other], first[other], c[other]
+
+
+def _shared(e: np.ndarray, least: int) -> np.ndarray:
+    """Which entries occur `least` times at least."""
+    ordered = np.sort(e)
+    if len(e) < least:
+        return np.zeros(len(e), bool)
+    values = np.unique(ordered[least - 1 :][ordered[least - 1 :] == ordered[: len(e) - least + 1]])
+    if not len(values):
+        return np.zeros(len(e), bool)
+    return values[np.minimum(np.searchsorted(values, e), len(values) - 1)] == e
+
+
+def _star_batch(rows: tuple, part: np.ndarray | None) -> pa.RecordBatch:
+    e, a, b = (pa.array(signed(np.ascontiguousarray(x)) if x.dtype == np.uint64 else x) for x in rows)
+    if part is None:
+        return pa.RecordBatch.from_arrays([e, a, b], PACKED[2:])
+    return pa.RecordBatch.from_arrays([pa.array(part), pa.nulls(len(e), pa.binary()), e, a, b], PACKED)
+
+
+def pack_entries(entry: np.ndarray, cls: np.ndarray) -> bytes:
+    """Entries' upper 48 bits, and classes as numbers in a list of those that occur."""
+    names, number = np.unique(cls, return_inverse=True)
+    wide = np.uint16 if len(names) < 1 << 16 else np.uint32
+    top = np.ascontiguousarray(entry).view(np.uint8).reshape(-1, 8)[:, 2:]
+    return np.array([len(entry), len(names)], np.uint32).tobytes() + names.tobytes() + number.astype(wide).tobytes() + top.tobytes()
+
+
+def unpack_entries(data) -> tuple[np.ndarray, np.ndarray]:
+    k, kinds = np.frombuffer(data, np.uint32, 2).tolist()
+    wide = np.dtype(np.uint16 if kinds < 1 << 16 else np.uint32)
+    at = 8 + 8 * kinds
+    names, number = np.frombuffer(data, np.int64, kinds, 8), np.frombuffer(data, wide, k, at)
+    entry = np.zeros((k, 8), np.uint8)
+    entry[:, 2:] = np.frombuffer(data, np.uint8, 6 * k, at + wide.itemsize * k).reshape(k, 6)
+    return entry.view(np.uint64).ravel(), names[number]
+
+
+def _indexed(frequent: np.ndarray, order: np.ndarray, parts: int):
+    """Packed entries for each part (dealt by the entry's lower 16 bits), and the links of entries that many classes of a block share."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", INDEX_BYTES):
             token, starts, cls = shingle_sets(one(block["text"]))
@@ -188,32 +266,48 @@ def _indexed(frequent: np.ndarray, order: np.ndarray):
             size = np.diff(starts)
             keep &= size > 0
             entry, owner = entries(token[np.repeat(keep, size)], np.append(0, np.cumsum(size[keep])), frequent, order)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(entry)), pa.array(signed(cls[keep][owner]))], ["entry", "class"])
+            part = ((entry & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16)).astype(np.int32)
+            # What part an entry is in goes into the bits that are not sent, so that all of its copies are equal.
+            entry = (entry & ~np.uint64(0xFFFF)) | part.astype(np.uint64) & np.uint64(0xFFFF)
+            c = signed(cls[keep])[owner]
+            hot = _shared(entry, HOT_CLASSES)
+            if hot.any():
+                rows = _star_rows(entry[hot], c[hot])
+                yield _star_batch(rows, (np.arange(len(rows[0])) % parts).astype(np.int32))
+                e, by = np.unique(entry[hot], return_inverse=True)
+                least = np.full(len(e), np.iinfo(np.int64).max)
+                np.minimum.at(least, by, c[hot])
+                p = (e & np.uint64(0xFFFF)).astype(np.int32)
+                entry, c, part = np.append(entry[~hot], e), np.append(c[~hot], least), np.append(part[~hot], p)
+            by = np.argsort(part, kind="stable")
+            entry, c, part = entry[by], c[by], part[by]
+            edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+            data = [pack_entries(entry[i:j], c[i:j]) for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            none = pa.nulls(len(data), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(part[edge[:-1]]), pa.array(data, pa.binary()), none, none, none], PACKED)
 
     return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by entry and class: entry, a (the entry's least class) and each other class b. The entry is null if it has these two classes alone."""
-    last, least, latest = None, 0, 0
+    """Links between the classes of each entry, from a partition's packed entries; those that blocks have made pass through."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        e, c = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-        if not len(e):
-            continue
-        begin = np.append(True, e[1:] != e[:-1])
-        if last is not None and e[0] == last:
-            begin[0] = False
-        run = np.cumsum(begin)
-        first = np.append(least, c[begin])[run]
-        before = np.append(latest, c[:-1])
-        other = (c != first) & (begin | (c != before)) & ~begin
-        # Classes of an entry, the first not counted; an entry that touches the batch's edge may have more.
-        many = np.bincount(run[other], minlength=int(run[-1]) + 1)
-        edge = (run == run[-1]) | (run == 0)
-        alone = (many[run] == 1) & ~edge
-        at = np.flatnonzero(other)
-        last, least, latest = e[-1], first[-1], c[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(e[at], mask=alone[at]), pa.array(first[at]), pa.array(c[at])], ["entry", "a", "b"])
+        made = batch.filter(pc.is_valid(batch.column(2)))
+        if len(made):
+            yield made.select(PACKED[2:])
+        for part, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if data.is_valid:
+                e, c = unpack_entries(data.as_buffer())
+                held.append((e | np.uint64(part & 0xFFFF), c))
+    if not held:
+        return
+    e, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    many = _shared(e, 2)
+    e, a, b = _star_rows(e[many], c[many])
+    for i in range(0, len(e), 100_000):
+        yield _star_batch((e[i : i + 100_000], a[i : i + 100_000], b[i : i + 100_000]), None)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,17 +317,41 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(cls)), data], ["class", "tokens"])
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sizes and sketches allow a link."""
+    for batch in batches:
+        n = np.asarray(batch.column(3)) + np.asarray(batch.column(5))
+        least = np.minimum(np.asarray(batch.column(3)), np.asarray(batch.column(5)))
+        good = least * (100 + PERCENT) >= n * PERCENT
+        x, y = batch.column(4), batch.column(6)
+        for i in np.flatnonzero(good):
+            bits = differing(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64))
+            good[i] = bits * (100 + PERCENT) <= int(n[i]) * (100 - PERCENT)
+        yield batch.select(["a", "b", "k"]).filter(pa.array(good))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = []
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate((x, y)), kind="stable")
+            both = np.sort(np.concatenate((x, y)))
             shared = int((both[1:] == both[:-1]).sum())
             good.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _classes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
+
+
+def _with_components(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """pairs with the components ca and cb of a and b."""
+    x, y = (labels.select(F.col("v").alias(f"_{s}"), F.col("c").alias(f"_c{s}")) for s in "ab")
+    both = pairs.join(x, F.col("a") == F.col("_a"), "left").join(y, F.col("b") == F.col("_b"), "left")
+    return both.select(*pairs.columns, F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb"))
+
+
 # --- the join ---------------------------------------------------------------------------------------------------------
 
 
@@ -242,8 +360,8 @@ class Join:
 
     def __init__(self, docs: DataFrame, tables: Tables):
         self.docs, self.tables, self.spark = docs.select("doc_id", "text"), tables, docs.sparkSession
-        seen = tables.put(self.docs.mapInArrow(_sized, "doc_id long, n long, class long, token long, sets long"), "sized")
-        self.sized = seen.filter("token is null").select("doc_id", "n", "class")
+        seen = tables.put(self.docs.mapInArrow(_sized, "doc_id long, n long, class long, sketch binary, token long, sets long"), "sized")
+        self.sized = seen.filter("token is null").select("doc_id", "n", "class", "sketch")
         counts = seen.filter("token is not null").groupBy("token").agg(F.sum("sets").alias("sets"))
         self.frequent, self.order = self._frequent(tables.put(counts.filter(F.col("sets") >= FREQUENT_SETS), "frequent"))
 
@@ -263,78 +381,86 @@ class Join:
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     def stars(self) -> DataFrame:
-        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = self.docs.mapInArrow(_indexed(self.frequent, self.order), "entry long, class long")
-        sorted_ = rows.repartition(parts, "entry").sortWithinPartitions("entry", "class")
-        return self.tables.put(sorted_.mapInArrow(_stars, "entry long, a long, b long"), "stars")
-
-    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        sets = self.sets.join(self.small(self.tables.put(ids, f"{name}_ids")), "class", "left_semi")
+        parts = min(1 << 16, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = self.docs.mapInArrow(_indexed(self.frequent, self.order, parts), "part int, data binary, entry long, a long, b long")
+        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
+            return self.tables.put(rows.repartition(parts, "part").mapInArrow(_stars, "entry long, a long, b long"), "stars")
+
+    def near(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (a, b, k) that sizes and sketches let through."""
+        sets = self.sized.join(self.small(_classes(pairs)), "class", "left_semi").groupBy("class").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        sets = self.tables.put(sets, f"{name}_sketches")
+        x, y = (sets.select(F.col("class").alias(f"_{s}"), F.col("n").alias(f"_n{s}"), F.col("sketch").alias(f"_s{s}")) for s in "ab")
+        both = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "k", "_na", "_sa", "_nb", "_sb")
+        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
+            found = self.tables.put(both.mapInArrow(_near, "a long, b long, k long"), name)
+        self.tables.drop(f"{name}_sketches")
+        return found
+
+    def sets(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The sets of the classes in pairs."""
+        reps = self.sized.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
+        ids = self.tables.put(reps.join(self.small(_classes(pairs)), "class", "left_semi").select("doc_id"), f"{name}_needed")
+        here = self.docs.join(self.small(ids), "doc_id", "left_semi").mapInArrow(_sets, "class long, tokens binary")
+        here = self.tables.put(here, name)
+        return here.dropDuplicates(["class"]) if self._ids_repeat() else here
+
+    def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         first = pairs.join(sets.select(F.col("class").alias("_b"), F.col("tokens").alias("_tb")), F.col("b") == F.col("_b")).select("a", "b", "_tb")
         both = first.join(sets.select(F.col("class").alias("_a"), F.col("tokens").alias("_ta")), F.col("a") == F.col("_a")).select("a", "b", "_ta", "_tb")
         # A hub's long set comes with each of its pairs, so batches are bounded by bytes, not by rows alone.
         with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
             return self.tables.put(both.mapInArrow(_verify, "a long, b long"), name)
 
-    def links(self) -> tuple[DataFrame, DataFrame | None]:
-        """Verified links between classes, enough for all components, and the components (None if there is no link)."""
+    def labels(self) -> DataFrame:
+        """v and c for each class v whose component's label c is another."""
         stars = self.stars()
         pairs = self.tables.put(stars.groupBy("a", "b").agg(F.count("*").alias("k")), "pairs")
-        reps = self.sized.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-        used = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-        ids = self.tables.put(reps.join(used, "class", "left_semi").select("doc_id"), "needed")
-        here = self.docs.join(self.small(ids), "doc_id", "left_semi").mapInArrow(_sets, "class long, tokens binary")
-        self.sets = self.tables.put(here, "sets").dropDuplicates(["class"]) if self._ids_repeat() else self.tables.put(here, "sets")
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
-        found = self.verified(best, "links1")
-        labels = components(found, self.tables, "components1_")
-        tested = best
-        for turn in range(ROUNDS + 1):
-            # One pair for each two components that share entries, and in the last round all that is still apart.
-            rest = self.tables.put(self.apart(pairs.join(tested, ["a", "b"], "left_anti"), labels), f"rest{turn}")
-            if turn < ROUNDS:
-                two = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")]
-                rest = self.tables.put(rest.groupBy(*two).agg(F.max(F.struct("k", "a", "b")).alias("p")).select("p.a", "p.b"), f"picked{turn}")
-            rest = rest.select("a", "b")
-            if not rest.limit(1).count():
-                break
-            new = self.verified(rest, f"links2_{turn}")
-            tested = tested.unionByName(rest)
-            if new.limit(1).count():
-                found = found.unionByName(new)
-                labels = components(found, self.tables, f"components2_{turn}_")
-        more = self.tables.put(self.open_pairs(stars, labels).join(pairs, ["a", "b"], "left_anti"), "more")
-        if more.count():
-            found = found.unionByName(self.verified(more, "links3"))
-            labels = components(found, self.tables, "components3_")
-        return found, labels
+        near = self.near(pairs, "near")
+        sets = self.sets(near, "sets")
+        best = near.groupBy("b").agg(F.max_by("a", F.struct("k", -F.col("a"))).alias("a")).select("a", "b")
+        labels = roots(self.verified(best, sets, "links1"), self.tables, "roots")
+        rest = self.apart(near.join(best, ["a", "b"], "left_anti"), labels)
+        labels = self.merged(labels, self.verified(rest, sets, "links2"), "merged2")
+        self.tables.drop("sets")
+        more = self.near(self.tables.put(self.open_pairs(stars, labels).join(pairs, ["a", "b"], "left_anti").withColumn("k", F.lit(1).cast("long")), "more"), "more_near")
+        if more.limit(1).count():
+            labels = self.merged(labels, self.verified(more.select("a", "b"), self.sets(more, "more_sets"), "links3"), "merged3")
+            self.tables.drop("more_sets")
+        return labels
+
+    def merged(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+        """The labels after more links: only components that a link joins with another are walked."""
+        edges = self.tables.put(self.apart(links.withColumn("k", F.lit(1)), labels, "ca", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), f"{name}_edges")
+        if not edges.limit(1).count():
+            return labels
+        new = components(edges, self.tables, name).filter("v <> c")
+        up = new.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
+        return self.tables.put(labels.join(up, F.col("c") == F.col("_v"), "left").select("v", F.coalesce("_c", "c").alias("c")).unionByName(new), f"{name}_labels")
 
     def _ids_repeat(self) -> bool:
         return self.sized.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
 
-    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """The pairs (a, b, k) of classes in different components ca and cb."""
-        x, y = (labels.select(F.col("v").alias(f"_{s}"), F.col("c").alias(f"_c{s}")) for s in "ab")
-        both = pairs.join(x, F.col("a") == F.col("_a"), "left").join(y, F.col("b") == F.col("_b"), "left")
-        return both.select("a", "b", "k", F.coalesce("_ca", "a").alias("ca"), F.coalesce("_cb", "b").alias("cb")).filter("ca <> cb")
+    def apart(self, pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
+        """The pairs of classes in different components ca and cb."""
+        return _with_components(pairs, labels).filter("ca <> cb").select(*(columns or ("a", "b")))
 
     def open_pairs(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of classes that share an entry of three or more classes and are in different components."""
-        rows = stars.filter("entry is not null")
-        c = labels.select("v", "c")
         sizes = self.sized.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"))
         # Entries whose classes are all in one component end here.
-        ends = rows.join(c, F.col("a") == F.col("v"), "left").select("entry", "a", "b", F.coalesce("c", "a").alias("ca")).join(c, F.col("b") == F.col("v"), "left").select("entry", "a", "b", "ca", F.coalesce("c", "b").alias("cb"))
-        open_ = ends.groupBy("entry").agg(F.max(F.col("ca") != F.col("cb")).alias("open"), F.count("*").alias("k")).filter("open and k > 1").select("entry")
-        left = ends.join(open_, "entry", "left_semi").select("entry", F.col("b").alias("class"), F.col("cb").alias("comp")).join(sizes, "class")
-        left = self.tables.put(left, "open")
+        several = stars.groupBy("entry").count().filter("count > 1").select("entry")
+        ends = _with_components(stars.join(several, "entry", "left_semi"), labels)
+        open_ = ends.groupBy("entry").agg(F.max(F.col("ca") != F.col("cb")).alias("open")).filter("open").select("entry")
+        left = ends.join(open_, "entry", "left_semi")
+        left = left.select("entry", F.col("a").alias("class"), F.col("ca").alias("comp")).unionByName(left.select("entry", F.col("b").alias("class"), F.col("cb").alias("comp"))).distinct()
+        left = self.tables.put(left.join(sizes, "class"), "open")
         other = left.select("entry", F.col("class").alias("b"), F.col("comp").alias("_comp"), F.col("n").alias("_n"))
         pairs = left.withColumnRenamed("class", "a").join(other, "entry").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("_comp")) & (F.least("n", "_n") * 100 >= F.greatest("n", "_n") * PERCENT))
         return pairs.select("a", "b").distinct()
 
     def result(self) -> DataFrame:
-        _, labels = self.links()
+        labels = self.labels()
         docs = self.sized.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
         docs = docs.join(labels, F.col("class") == F.col("v"), "left").select("class", "least", F.coalesce("c", "class").alias("comp"))
         smallest = docs.groupBy("comp").agg(F.min("least").alias("component_id"))
