@@ -47,7 +47,7 @@ q("cdf_sample", lambda s, d: S.cdf_sample(words(s, d), 997), f"WITH {WORDS}, x A
 q("typo_pairs", lambda s, d: S.synthetic_pairs(words(s, d), 2000))
 q("shortcut_pairs", lambda s, d: S.shortcut_pairs(s), "SELECT typed, committed FROM (VALUES " + ", ".join(f"('{a}', '{w}')" for w, forms in lang.SHORTCUTS.items() for a in forms) + ") t(typed, committed) WHERE typed <> committed")
 q("pack", lambda s, d: O.packed(ids(s, d), "doc_id", "ids", 256).select("chunk", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")), f"WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM ids), g AS (SELECT id, row_number() OVER (ORDER BY doc_id, p) - 1 AS n FROM e) SELECT CAST(floor(n / 256) AS BIGINT) AS chunk, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY n) AS ids FROM g GROUP BY 1 HAVING count(*) = 256")
-q("span_mask", lambda s, d: ids(s, d).select("doc_id", F.slice("ids", 1, 400).alias("x")).select("doc_id", F.round(F.aggregate(S.span_mask(F.col("x"), 401, 601, 0.1), F.lit(0.0), lambda a, v: a + v), 6).alias("total")))
+q("span_mask", lambda s, d: ids(s, d).select("doc_id", F.round(F.aggregate(S.span_mask(F.col("ids"), 401, 601, 0.1), F.lit(0.0), lambda a, v: a + v), 6).alias("total")))
 q("correction_mask", lambda s, d: ids(s, d).select("doc_id", c(F.size(F.filter(S.correction_mask(F.col("ids"), 401, 601, 0.1), lambda v: v == 1.0)), "ones")))
 q("padded", lambda s, d: ids(s, d).filter(F.size("ids") <= 512).select("doc_id", *[F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v).alias(n) for x, n in zip(S.padded(F.col("ids"), 512), ("inputs", "labels", "mask"), strict=True)]), f"WITH {IDS} SELECT doc_id, CAST(list_sum(ids) AS BIGINT) AS inputs, CAST(list_sum(ids) - 100 * (512 - len(ids)) AS BIGINT) AS labels, CAST(len(ids) AS BIGINT) AS mask FROM ids WHERE len(ids) <= 512")
 q("weighted_loss", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.round(S.weighted_loss(F.abs("value"), F.lit(1.0) / (1 + F.pmod("event_id", F.lit(3))), F.when(F.col("event_id") % 5 == 0, 0).otherwise(1)), 6).alias("loss")), "SELECT event_type, round(sum(abs(value) * (1.0 / (1 + event_id % 3)) * v) / greatest(sum((1.0 / (1 + event_id % 3)) * v), 1e-8), 6) AS loss FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS v FROM events) t GROUP BY event_type")
