@@ -27,3 +27,13 @@ def test_span_mask_reaches_the_end(spark, tmp_path):
             on = on and x != 601
         want[n] = round(total, 6)
     assert {r.doc_id: r.total for r in registry.QUERIES["span_mask"](spark, written(spark, tmp_path, texts)).collect()} == want
+
+
+def test_noise_strip_keeps_forwarded_documents(spark, tmp_path):
+    texts = ["RT @user: kaixo", "bai via @a_b: agur http://a.b/c", "via", "artea bidvia", "rt : a RT b Via:c", "ez #eguna &amp; @x", ""]
+    want = {}
+    for n, text in enumerate(texts):
+        for pattern, to in ((r"https?://\S+|www\.\S+", " "), (r"(?i)(?:\bRT\b|\bvia\b)\s*(?:@\w+\s*)?:?\s*", " "), (r"@\w+", " "), (r"#(\w+)", r"\1"), (lang.ENTITY, " "), (r"\s+", " ")):
+            text = re.sub(pattern, to, text)
+        want[n] = text.strip()
+    assert {r.doc_id: r.text for r in registry.QUERIES["noise_strip"](spark, written(spark, tmp_path, texts)).collect()} == want
