@@ -8,10 +8,14 @@ from pyspark.sql.window import Window
 
 from .. import lang
 from ..functions import text as T
+from . import order as O
 
+#: Draws for each pair wanted, their step, and per cent of words for which an alias is tried first.
+TRIES, GOLDEN, SHORTCUT_SHARE = 5, 0.6180339887498949, 25
 
-def cdf_sample(words: DataFrame, n: int, parts: int = 64) -> DataFrame:
-    """i and word: n draws at the quantiles (i + 0.5) / n of words weighted by ln(cnt + 1), in word order.
+
+def cdf_sample(words: DataFrame, n: int, parts: int = 64, at: Column | None = None) -> DataFrame:
+    """i and word: n draws at the quantiles (i + 0.5) / n, or `at` of i (called id), of words weighted by ln(cnt + 1), in word order.
 
     Draws and words meet on cells of the unit interval, so the range join is an equi-join: a word is in every cell that its interval touches.
     """
@@ -20,7 +24,7 @@ def cdf_sample(words: DataFrame, n: int, parts: int = 64) -> DataFrame:
     total = w.agg(F.sum("_w").alias("_total"))
     b = hi.join(F.broadcast(total)).select("word", ((F.col("_hi") - F.col("_w")) / F.col("_total")).alias("_lo"), (F.col("_hi") / F.col("_total")).alias("_hi"))
     b = b.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * parts), F.floor(F.col("_hi") * parts))))
-    u = words.sparkSession.range(n).select(F.col("id").alias("i"), ((F.col("id") + 0.5) / n).alias("_u"))
+    u = words.sparkSession.range(n).select(F.col("id").alias("i"), ((F.col("id") + 0.5) / n if at is None else at).alias("_u"))
     u = u.withColumn("_cell", F.floor(F.col("_u") * parts))
     return u.join(b, "_cell").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("i", "word")
 
@@ -32,15 +36,28 @@ def shortcut_pairs(spark, p: lang.Profile = lang.DEFAULT) -> DataFrame:
 
 
 def synthetic_pairs(words: DataFrame, n: int) -> DataFrame:
-    return typos(cdf_sample(words, n), "word", "i").select("i", "typed", F.col("word").alias("committed"))
+    """i, typed and committed: the first n typos of up to 5n draws. The draws step round the unit interval by the golden ratio, so that any first part of them covers all words."""
+    tries = cdf_sample(words, TRIES * n, at=F.pmod((F.col("id") + 0.5) * GOLDEN, F.lit(1.0)))
+    return O.within_budget(typos(tries, "word", "i").select("i", "typed", F.col("word").alias("committed")), "i", F.lit(1), n)
+
+
+def shortcut(word: Column, seq: Column, p: lang.Profile = lang.DEFAULT) -> Column:
+    """An alias of the word, in its case; null for three quarters of rows, where there is no alias, and where the alias is the word. Its draws are hashes, as those of the rules differ by a constant only."""
+    forms = F.create_map(*[x for w, a in p.shortcuts for x in (F.lit(w), F.array(*map(F.lit, a)))])
+    of = F.try_element_at(forms, F.lower(word))
+    form = F.get(of, F.pmod(F.xxhash64(seq, F.lit("form")), F.size(of)).cast("int"))
+    first = F.substring(word, 1, 1)
+    form = F.when(first != F.lower(first), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, F.lit(2), F.length(form)))).otherwise(form)
+    return F.when(F.pmod(F.xxhash64(seq, F.lit("shortcut")), F.lit(100)) < SHORTCUT_SHARE, F.nullif(form, word))
 
 
 def typos(df: DataFrame, word: str, seq: str) -> DataFrame:
     """Adds `typed`; rows without a typo go. explode() of one value keeps the filter from repeating the long expression in one generated method."""
+    df = df.withColumn("_alias", F.explode(F.array(shortcut(F.col(word), F.col(seq)))))
     for t in (1, 2):
         df = df.withColumn(f"_try{t}", F.explode(F.array(T.typo_once(F.col(word), F.col(seq), t))))
     ok = (F.length(word) >= 2) & F.col(word).rlike(lang.ELIGIBLE)
-    return df.withColumn("typed", F.when(ok, F.coalesce("_try1", "_try2"))).filter("typed is not null").drop("_try1", "_try2")
+    return df.withColumn("typed", F.when(ok, F.coalesce("_alias", "_try1", "_try2"))).filter("typed is not null").drop("_alias", "_try1", "_try2")
 
 
 def span_mask(ids: Column, start: int, stop: int, low: float) -> Column:

@@ -18,10 +18,10 @@ STRIP = "strip_accents({})"
 PRESS = "list_transform(list_filter(string_split(upper(strip_accents(replace({}, 'ß', 'ss'))), ''), lambda x: regexp_matches(x, '^[A-Z]$')), lambda x: '<CHAR_' || x || '>')"
 
 
-def words(s, d):
+def words(s, d, least=5, shortest=3):
     from pyspark.sql.window import Window
 
-    return V.word_counts(docs(s, d), least=5).filter(F.length("word") >= 3).withColumn("i", F.row_number().over(Window.orderBy("word")).cast("bigint"))
+    return V.word_counts(docs(s, d), least=least).filter(F.length("word") >= shortest).withColumn("i", F.row_number().over(Window.orderBy("word")).cast("bigint"))
 
 
 def ids(s, d):
@@ -42,9 +42,9 @@ q("typo_adjacent", lambda s, d: words(s, d).select("word", T.adjacent(F.col("wor
 q("accent_drop", lambda s, d: words(s, d).filter(F.col("word") != T.strip_marks(F.col("word"))).select("word", T.strip_marks(F.col("word")).alias("plain")), f"WITH {WORDS} SELECT word, {STRIP.format('word')} AS plain FROM w WHERE word <> {STRIP.format('word')}")
 q("char_ids", lambda s, d: words(s, d).select("word", F.array_join(F.transform(T.char_ids(F.col("word")), lambda x: x.cast("string")), " ").alias("ids")), f"WITH {WORDS} SELECT word, array_to_string(list_transform({PRESS.format('word')}, lambda x: CAST(182 + ascii(x[7]) - 65 AS VARCHAR)), ' ') AS ids FROM w")
 q("rule_draws", lambda s, d: words(s, d).select("word", c(T.draw(F.col("i"), 10, 100), "r")), f"WITH {WORDS} SELECT word, CAST(((i * 1103515245 + 123450 + 1337) % 1000003) % 100 AS BIGINT) AS r FROM w")
-q("synthetic_typos", lambda s, d: S.typos(words(s, d), "word", "i").select("word", "typed"))
+q("synthetic_typos", lambda s, d: S.typos(words(s, d, 3, 1), "word", "i").select("word", "typed"))
 q("cdf_sample", lambda s, d: S.cdf_sample(words(s, d), 997), f"WITH {WORDS}, x AS (SELECT word, ln(cnt + 1) AS wt, sum(ln(cnt + 1)) OVER (ORDER BY word) AS hi, sum(ln(cnt + 1)) OVER () AS total FROM w) SELECT i, word FROM (SELECT range AS i, (range + 0.5) / 997 AS u FROM range(997)) r JOIN x ON u >= (hi - wt) / total AND u < hi / total")
-q("typo_pairs", lambda s, d: S.synthetic_pairs(words(s, d), 2000))
+q("typo_pairs", lambda s, d: S.synthetic_pairs(words(s, d, 3, 1), 2000))
 q("shortcut_pairs", lambda s, d: S.shortcut_pairs(s), "SELECT typed, committed FROM (VALUES " + ", ".join(f"('{a}', '{w}')" for w, forms in lang.SHORTCUTS.items() for a in forms) + ") t(typed, committed) WHERE typed <> committed")
 q("pack", lambda s, d: O.packed(ids(s, d), "doc_id", "ids", 256).select("chunk", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")), f"WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM ids), g AS (SELECT id, row_number() OVER (ORDER BY doc_id, p) - 1 AS n FROM e) SELECT CAST(floor(n / 256) AS BIGINT) AS chunk, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY n) AS ids FROM g GROUP BY 1 HAVING count(*) = 256")
 q("span_mask", lambda s, d: ids(s, d).select("doc_id", F.round(F.aggregate(S.span_mask(F.col("ids"), 401, 601, 0.1), F.lit(0.0), lambda a, v: a + v), 6).alias("total")))

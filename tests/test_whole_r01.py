@@ -37,3 +37,15 @@ def test_noise_strip_keeps_forwarded_documents(spark, tmp_path):
             text = re.sub(pattern, to, text)
         want[n] = text.strip()
     assert {r.doc_id: r.text for r in registry.QUERIES["noise_strip"](spark, written(spark, tmp_path, texts)).collect()} == want
+
+
+def test_typos_of_rare_and_short_words_and_of_shortcuts(spark, tmp_path):
+    texts = ["mendia mendia mendia et et et xa xa", *["kaixo"] * 40, *["zu"] * 9, *["a"] * 9]
+    d = written(spark, tmp_path, texts)
+    got = {r.word for r in registry.QUERIES["synthetic_typos"](spark, d).collect()}
+    assert got <= {"mendia", "et", "kaixo", "zu"} and {"mendia", "et"} & got
+    pairs = registry.QUERIES["typo_pairs"](spark, d).collect()
+    assert len(pairs) == 2000 == len({r.i for r in pairs}) and all(r.typed != r.committed for r in pairs)
+    assert {r.committed for r in pairs} == {"mendia", "et", "kaixo", "zu"}
+    of = [r.typed for r in pairs if r.committed == "kaixo"]
+    assert 0.12 < sum(x in lang.SHORTCUTS["kaixo"] for x in of) / len(of) < 0.35
