@@ -26,6 +26,14 @@ def keep_first(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))).filter("_rn = 1").drop("_rn")
 
 
+def shuffled_blocks(df: DataFrame, seq: str, size: int = 1024) -> DataFrame:
+    """Adds block and place: consecutive rows in order of seq (unique) in blocks of `size`, and a hash order inside each. What is left over at the end is dropped."""
+    rows = running_sum(df, seq, F.lit(1), "_nth").withColumn("block", F.floor((F.col("_nth") - 1) / size)).drop("_nth")
+    inside = Window.partitionBy("block")
+    rows = rows.withColumn("_n", F.count("*").over(inside)).filter(F.col("_n") == size).drop("_n")
+    return rows.withColumn("place", F.row_number().over(inside.orderBy(F.xxhash64(seq), seq)))
+
+
 def packed(df: DataFrame, seq: str, ids: str, length: int) -> DataFrame:
     """chunk and ids: all rows' ids on end, cut into chunks of `length`; the rest at the end is dropped."""
     rows = running_sum(df.select(seq, ids), seq, F.size(ids).cast("bigint"), "_upto")

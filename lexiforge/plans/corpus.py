@@ -54,7 +54,7 @@ q("html_strip", lambda s, d: table(s, d, "pages").select("page_id", T.strip_tags
 NOISE = r"regexp_replace({}, 'https?://\S+|www\.\S+', ' ', 'g')"
 FORWARD = r"regexp_replace({}, '(?i)(^|[^\p{{L}}\p{{N}}_])(rt|via)($|[^\p{{L}}\p{{N}}_])', '\1 \3', 'g')"
 q("noise_strip", lambda s, d: docs(s, d).select("doc_id", T.strip_noise(F.col("text")).alias("text")), rf"SELECT doc_id, {TIDY.format("regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + NOISE.format('text') + r", '@[\p{L}\p{N}_]+', ' ', 'g'), '#([\p{L}\p{N}_]+)', '\1', 'g'), '[" + lang.EMOJI_RANGES + r"]+', ' ', 'g'), '" + lang.ENTITY + r"', ' ', 'g')")} AS text FROM documents WHERE NOT list_has_any(list_transform({RUNS}, lambda x: lower(x)), ['rt', 'via'])")
-q("block_shuffle_drop", lambda s, d: docs(s, d).select("doc_id", F.floor(F.col("doc_id") / 128).alias("block")).withColumn("n", F.count("*").over(Window.partitionBy("block"))).filter("n = 128").select("doc_id", "block"), "SELECT doc_id, CAST(floor(doc_id / 128) AS BIGINT) AS block FROM documents QUALIFY count(*) OVER (PARTITION BY floor(doc_id / 128)) = 128")
+q("block_shuffle_drop", lambda s, d: O.shuffled_blocks(docs(s, d).select("doc_id"), "doc_id", 128).orderBy("block", "place").select("doc_id", "block"), "SELECT doc_id, CAST(floor(doc_id / 128) AS BIGINT) AS block FROM documents QUALIFY count(*) OVER (PARTITION BY floor(doc_id / 128)) = 128")
 q("stripe", lambda s, d: docs(s, d).join(F.broadcast(docs(s, d).select("source").distinct().withColumn("rk", F.row_number().over(Window.orderBy("source")))), "source").select("doc_id", F.pmod(F.col("rk") - 1, F.lit(4)).cast("bigint").alias("worker")), "SELECT doc_id, CAST((dense_rank() OVER (ORDER BY source) - 1) % 4 AS BIGINT) AS worker FROM documents")
 q("range_split", lambda s, d: docs(s, d).join(F.broadcast(docs(s, d).agg(F.max("doc_id").alias("top")))).select("doc_id", F.least(F.floor(F.col("doc_id") / F.greatest(F.lit(1), F.floor((F.col("top") + 1) / 6))), F.lit(5)).cast("bigint").alias("worker")), "SELECT doc_id, CAST(least(floor(doc_id / greatest(1, floor(((SELECT max(doc_id) FROM documents) + 1) / 6))), 5) AS BIGINT) AS worker FROM documents")
 q("seeded_sample", lambda s, d: docs(s, d).select("doc_id", T.draw(F.col("doc_id"), 0, 1000003).cast("bigint").alias("u")).orderBy("u", "doc_id").limit(100), "SELECT doc_id, ((doc_id * 1103515245 + 1337) % 1000003) % 1000003 AS u FROM documents ORDER BY u, doc_id LIMIT 100")

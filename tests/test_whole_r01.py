@@ -49,3 +49,12 @@ def test_typos_of_rare_and_short_words_and_of_shortcuts(spark, tmp_path):
     assert {r.committed for r in pairs} == {"mendia", "et", "kaixo", "zu"}
     of = [r.typed for r in pairs if r.committed == "kaixo"]
     assert 0.12 < sum(x in lang.SHORTCUTS["kaixo"] for x in of) / len(of) < 0.35
+
+
+def test_blocks_are_of_consecutive_rows_and_shuffled(spark, tmp_path):
+    ids = [i * 700 + i % 3 for i in range(300)]
+    got = [(r.doc_id, r.block) for r in registry.QUERIES["block_shuffle_drop"](spark, written(spark, tmp_path, ["x"] * 300, ids)).collect()]
+    assert [b for _, b in got] == [0] * 128 + [1] * 128
+    for b in (0, 1):
+        block = [i for i, x in got if x == b]
+        assert sorted(block) == ids[b * 128 : b * 128 + 128] and block != sorted(block)
