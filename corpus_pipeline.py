@@ -33,8 +33,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; so do documents that had words and have none left."""
-    out = linededup.dedup_lines(docs, Tables(spark))
+    """Recurring lines of any length go; so do documents that had words and have none left."""
+    out = linededup.dedup_lines(docs, Tables(spark), least=1)
     return out.filter(~((F.col("n_dropped") > 0) & (F.col("text") == ""))).select(*docs.columns)
 
 

@@ -25,13 +25,13 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(tight, r"[^ ]*[0-9][^ ]*", WILD)).otherwise(tight)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """_doc, _row (a hash of the text, for rows that share an id), _no, _t (template), _k (its tokens), _leaf (a hash of count and leading tokens)."""
     rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_row"), F.posexplode(F.split("text", "\n")).alias("_no", "_line"))
     # explode() of one value: a filter on the template is then not pushed below the patterns, which would run again.
     rows = rows.select("_doc", "_row", "_no", F.explode(F.array(masked(F.col("_line")))).alias("_t"))
     rows = rows.withColumn("_k", F.length("_t") - F.length(F.replace("_t", F.lit(" "), F.lit(""))) + 1)
-    return rows.filter(F.col("_k") >= MIN_TOKENS).withColumn("_leaf", F.xxhash64("_k", F.substring_index("_t", " ", DEPTH)))
+    return rows.filter((F.col("_k") >= least) & ((F.col("_k") >= MIN_TOKENS) | F.col("_t").rlike(r"\p{L}"))).withColumn("_leaf", F.xxhash64("_k", F.substring_index("_t", " ", DEPTH)))
 
 
 def _keys() -> list[Column]:
@@ -50,7 +50,7 @@ def recurring(docs: DataFrame, lines: DataFrame, tables: Tables) -> DataFrame:
     templates = tables.put(templates, "templates")
     own = templates.filter(F.col("_docs") >= MIN_DOCS).select("_a", "_b", "_first")
     # A leaf with fewer documents than MIN_DOCS cannot hold a recurring template, so only few lines go on as text.
-    rare = templates.filter(F.col("_docs") < MIN_DOCS)
+    rare = templates.filter((F.col("_docs") < MIN_DOCS) & (F.col("_k") >= MIN_TOKENS))
     leaves = tables.put(rare.groupBy("_k", "_leaf").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS), "leaves")
     texts = _lines(docs).join(_side(leaves), ["_k", "_leaf"]).groupBy("_k", "_leaf", "_n", "_t", "_doc").agg(F.count("*").alias("_c"))
     texts = texts.groupBy("_k", "_leaf", "_n", "_t").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first"))
@@ -67,20 +67,20 @@ def recurring(docs: DataFrame, lines: DataFrame, tables: Tables) -> DataFrame:
     return tables.put(own.unionByName(wide), "recurring")
 
 
-def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
+def dropped_lines(docs: DataFrame, tables: Tables, least: int = MIN_TOKENS) -> DataFrame:
     """_doc, _row and _drop, the sorted numbers (from 0) of lines to drop, for each document with any."""
-    lines = tables.put(_lines(docs).select("_doc", "_row", "_no", "_k", "_leaf", *_keys()), "lines")
+    lines = tables.put(_lines(docs, least).select("_doc", "_row", "_no", "_k", "_leaf", *_keys()), "lines")
     found = _side(recurring(docs, lines, tables))
     hits = lines.select("_doc", "_row", "_no", "_a", "_b").join(found, ["_a", "_b"]).filter(~F.col("_doc").eqNullSafe(F.col("_first")))
     return hits.groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("_no")).alias("_drop"))
 
 
-def dedup_lines(docs: DataFrame, tables: Tables) -> DataFrame:
+def dedup_lines(docs: DataFrame, tables: Tables, least: int = MIN_TOKENS) -> DataFrame:
     """The documents with recurring lines dropped, with n_lines, n_dropped and all columns; n_chars follows the text if there is such a column.
 
-    A null text stays null with 0 lines; an empty text is one empty line. Lines of fewer than MIN_TOKENS tokens stay. Rows of one id and text are one document; a null id is an id of its own, which is never first. A document that loses every line has an empty text. An empty table gives no rows.
+    A null text stays null with 0 lines; an empty text is one empty line. Lines of fewer than `least` tokens stay; those below MIN_TOKENS take part with their own template only, and only if it has a letter. Rows of one id and text are one document; a null id is an id of its own, which is never first. A document that loses every line has an empty text. An empty table gives no rows.
     """
-    drops = tables.put(dropped_lines(docs, tables), "dropped")
+    drops = tables.put(dropped_lines(docs, tables, least), "dropped")
     side = _side(drops)
     rows = docs.withColumn("_th", F.xxhash64("text"))
     rows = rows.join(side, rows["doc_id"].eqNullSafe(side["_doc"]) & (rows["_th"] == side["_row"]), "left")

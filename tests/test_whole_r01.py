@@ -58,3 +58,13 @@ def test_blocks_are_of_consecutive_rows_and_shuffled(spark, tmp_path):
     for b in (0, 1):
         block = [i for i, x in got if x == b]
         assert sorted(block) == ids[b * 128 : b * 128 + 128] and block != sorted(block)
+
+
+def test_short_lines_that_recur_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    texts = [f"All rights reserved.\n\nown {c} \n{n}" for n, c in enumerate("pqrs")]
+    rows = [(n, t, "en", "s", len(t)) for n, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert got == {n: t if n == 0 else t.removeprefix("All rights reserved.\n") for n, t in enumerate(texts)}
