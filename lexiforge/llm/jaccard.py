@@ -7,7 +7,7 @@ Sets are put in bands of size. In a band of largest size u, linked sets differ i
 - a set with more empty segments also indexes the one-deletion neighbourhood of each subset of two or more shingles. Such a subset counts 2 and a single shingle 1; among two such sets U + 1 of this weight is enough;
 - sets that lack even that weight index their rarest shingles (n - ceil(0.8 n) + 1 of them), which two linked sets share.
 
-t is the number that makes the expected index smallest. Sets equal as a whole are one class from the start. Entries travel packed, a few bytes each. Classes that share an entry are candidates of the entry's least class first; in a block, an entry of many classes sends its least class on and leaves the others as candidates of that one. A candidate pair must differ in few enough bits of the sets' parity sketches (bits that differ never outnumber shingles that differ, so this loses nothing) and is then verified by exact intersection. Components are formed, and only entries whose classes are still in different components give further pairs. No bucket is capped, and no link between different texts is lost.
+t is the number that makes the expected index smallest. Sets equal as a whole are one class from the start. Entries travel packed, a few bytes each. Classes that share an entry are candidates of the entry's least class first; in a block, an entry of many classes sends its least class on and leaves the others as candidates of that one. A candidate pair must differ in few enough bits of the sets' parity sketches (bits that differ never outnumber shingles that differ, so this loses nothing) and is then verified by exact intersection. Components are formed, and only entries whose classes are still in different components are looked at again. Small ones give their pairs. Large ones are groups around a pivot, the class that shares most: the classes outside of a group's largest component are a query set that meets the whole group in tiles of bounded size, where exact intersections are counted as a matrix product and only links that join components leave the task. No bucket is capped, and no link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ COUNT_BYTES, INDEX_BYTES = 8_000_000, 4_000_000
 VERIFY_BYTES = 4_000_000
 #: An entry that so many classes of a block share is dealt out for one of them.
 HOT_CLASSES = 8
+#: An open entry of so many classes gives their pairs; a larger one is compared in tiles of so many classes and bytes of sets.
+SMALL_ENTRY, TILE_ROWS, TILE_BYTES = 8, 128, 256_000
+#: Bytes of packed entries that a task merges.
+STAR_BYTES = 32_000_000
 #: Ids or pairs up to which a side is broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 300_000
 
@@ -341,6 +345,55 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def intersections(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many shingles each set of x shares with each set of y, as a product of incidence matrices."""
+    sizes = np.array([len(v) for v in (*x, *y)])
+    token, owner = np.concatenate((*x, *y)), np.repeat(np.arange(len(sizes)), sizes)
+    by = np.argsort(token, kind="stable")
+    token, owner = token[by], owner[by]
+    same = token[1:] == token[:-1]
+    several = np.append(same, False) | np.append(False, same)
+    new = np.append(True, ~same)[several]
+    owner, place = owner[several], np.cumsum(new) - 1
+    out = np.zeros((len(x), len(y)))
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, columns):
+        i, j = np.searchsorted(place, (low, low + columns))
+        has = np.zeros((len(sizes), columns), np.float32)
+        has[owner[i:j], place[i:j] - low] = 1
+        out += has[: len(x)] @ has[len(x) :].T
+    return out
+
+
+def _tile_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of two tiles of classes: links that join components, no more than make them one."""
+    for batch in batches:
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            x, y = x.as_py(), y.as_py()
+            sets = [[np.frombuffer(r["tokens"], np.uint64) for r in side] for side in (x, y)]
+            n = [np.array([len(v) for v in side], np.float64) for side in sets]
+            shared = intersections(*sets)
+            comp = [np.array([r["comp"] for r in side], np.int64) for side in (x, y)]
+            good = 100 * shared >= PERCENT * (n[0][:, None] + n[1][None, :] - shared)
+            good &= comp[0][:, None] != comp[1][None, :]
+            i, j = np.nonzero(good)
+            _, firsts = np.unique(np.stack((comp[0][i], comp[1][j]), axis=1), axis=0, return_index=True)
+            parent: dict[int, int] = {}
+
+            def root(c: int, parent: dict[int, int] = parent) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            a, b = [], []
+            for k in firsts.tolist():
+                r, s = root(int(comp[0][i[k]])), root(int(comp[1][j[k]]))
+                if r != s:
+                    parent[r] = s
+                    a.append(x[i[k]]["class"])
+                    b.append(y[j[k]]["class"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def _classes(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
 
@@ -363,6 +416,7 @@ class Join:
         seen = tables.put(self.docs.mapInArrow(_sized, "doc_id long, n long, class long, sketch binary, token long, sets long"), "sized")
         self.sized = seen.filter("token is null").select("doc_id", "n", "class", "sketch")
         counts = seen.filter("token is not null").groupBy("token").agg(F.sum("sets").alias("sets"))
+        self._repeat: bool | None = None
         self.frequent, self.order = self._frequent(tables.put(counts.filter(F.col("sets") >= FREQUENT_SETS), "frequent"))
 
     def _frequent(self, counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -381,7 +435,9 @@ class Join:
         return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
     def stars(self) -> DataFrame:
-        parts = min(1 << 16, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        # An entry takes some 8 bytes, and a set has about 2 for each shingle.
+        shingles = self.sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+        parts = min(1 << 16, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * shingles // STAR_BYTES)))
         rows = self.docs.mapInArrow(_indexed(self.frequent, self.order, parts), "part int, data binary, entry long, a long, b long")
         with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
             return self.tables.put(rows.repartition(parts, "part").mapInArrow(_stars, "entry long, a long, b long"), "stars")
@@ -423,10 +479,16 @@ class Join:
         rest = self.apart(near.join(best, ["a", "b"], "left_anti"), labels)
         labels = self.merged(labels, self.verified(rest, sets, "links2"), "merged2")
         self.tables.drop("sets")
-        more = self.near(self.tables.put(self.open_pairs(stars, labels).join(pairs, ["a", "b"], "left_anti").withColumn("k", F.lit(1).cast("long")), "more"), "more_near")
+        rows = self.tables.put(self.open_rows(stars, labels), "open")
+        few = self.small_pairs(rows).join(pairs, ["a", "b"], "left_anti").withColumn("k", F.lit(1).cast("long"))
+        more = self.near(self.tables.put(few, "more"), "more_near")
         if more.limit(1).count():
             labels = self.merged(labels, self.verified(more.select("a", "b"), self.sets(more, "more_sets"), "links3"), "merged3")
             self.tables.drop("more_sets")
+        groups = self.tables.put(self.pivot_groups(rows.filter(F.col("k") > SMALL_ENTRY), labels), "groups")
+        if groups.limit(1).count():
+            labels = self.merged(labels, self.tile_links(groups), "merged4")
+            self.tables.drop("group_sets")
         return labels
 
     def merged(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -439,14 +501,16 @@ class Join:
         return self.tables.put(labels.join(up, F.col("c") == F.col("_v"), "left").select("v", F.coalesce("_c", "c").alias("c")).unionByName(new), f"{name}_labels")
 
     def _ids_repeat(self) -> bool:
-        return self.sized.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+        if self._repeat is None:
+            self._repeat = self.sized.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
+        return self._repeat
 
     def apart(self, pairs: DataFrame, labels: DataFrame, *columns: str) -> DataFrame:
         """The pairs of classes in different components ca and cb."""
         return _with_components(pairs, labels).filter("ca <> cb").select(*(columns or ("a", "b")))
 
-    def open_pairs(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of classes that share an entry of three or more classes and are in different components."""
+    def open_rows(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
+        """entry, class, comp, n and the entry's number k of classes, for entries of three or more classes that are in different components."""
         sizes = self.sized.filter("class is not null").groupBy("class").agg(F.first("n").alias("n"))
         # Entries whose classes are all in one component end here.
         several = stars.groupBy("entry").count().filter("count > 1").select("entry")
@@ -454,11 +518,44 @@ class Join:
         open_ = ends.groupBy("entry").agg(F.max(F.col("ca") != F.col("cb")).alias("open")).filter("open").select("entry")
         left = ends.join(open_, "entry", "left_semi")
         left = left.select("entry", F.col("a").alias("class"), F.col("ca").alias("comp")).unionByName(left.select("entry", F.col("b").alias("class"), F.col("cb").alias("comp"))).distinct()
-        left = self.tables.put(left.join(sizes, "class"), "open")
-        other = left.select("entry", F.col("class").alias("b"), F.col("comp").alias("_comp"), F.col("n").alias("_n"))
-        pairs = left.withColumnRenamed("class", "a").join(other, "entry").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("_comp")) & (F.least("n", "_n") * 100 >= F.greatest("n", "_n") * PERCENT))
+        count = left.groupBy("entry").agg(F.count("*").alias("k"))
+        return left.join(count, "entry").join(sizes, "class").select("entry", "class", "comp", "n", "k")
+
+    def small_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of classes in different components that share a small open entry: at most SMALL_ENTRY / 2 for each of its rows."""
+        rows = rows.filter(F.col("k") <= SMALL_ENTRY).drop("k")
+        other = rows.select("entry", F.col("class").alias("b"), F.col("comp").alias("_comp"), F.col("n").alias("_n"))
+        pairs = rows.withColumnRenamed("class", "a").join(other, "entry").filter((F.col("a") < F.col("b")) & (F.col("comp") != F.col("_comp")) & (F.least("n", "_n") * 100 >= F.greatest("n", "_n") * PERCENT))
         return pairs.select("a", "b").distinct()
 
+    def pivot_groups(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """pivot, class, comp, the numbers of its tiles (query only outside of the group's largest component) and of the group's tiles."""
+        now = labels.select(F.col("v").alias("_v"), F.col("c").alias("_c"))
+        rows = rows.join(now, F.col("class") == F.col("_v"), "left").select("entry", "class", F.coalesce("_c", "class").alias("comp"), "n", "k")
+        open_ = rows.groupBy("entry").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open").select("entry")
+        rows = self.tables.put(rows.join(open_, "entry", "left_semi"), "open_large")
+        shares = rows.groupBy("class").agg(F.sum("k").alias("shares")).withColumnRenamed("class", "_class")
+        pivots = rows.select("entry", "class").join(shares, F.col("class") == F.col("_class")).groupBy("entry").agg(F.max_by("class", F.struct("shares", "class")).alias("pivot"))
+        members = self.tables.put(rows.join(pivots, "entry").select("pivot", "class", "comp", "n").distinct(), "members")
+        comps = members.groupBy("pivot", "comp").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+        groups = comps.groupBy("pivot").agg(F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.max(F.struct("rows", "comp", "n")).alias("most"))
+        tiles = lambda rows, n: F.greatest(F.lit(1), F.ceil(rows / TILE_ROWS), F.ceil(n * 8 / TILE_BYTES)).cast("long")
+        groups = groups.filter(F.col("rows") > F.col("most.rows")).select("pivot", F.col("most.comp").alias("_most"), tiles(F.col("rows"), F.col("n")).alias("tiles"), tiles(F.col("rows") - F.col("most.rows"), F.col("n") - F.col("most.n")).alias("_query_tiles"))
+        query = F.when(F.col("comp") != F.col("_most"), F.pmod(F.xxhash64("class", F.lit(2)), "_query_tiles"))
+        return members.join(groups, "pivot").select("pivot", "class", "comp", F.pmod(F.xxhash64("class", F.lit(1)), "tiles").alias("tile"), query.alias("query"), "tiles")
+
+    def tile_links(self, groups: DataFrame) -> DataFrame:
+        """Links (a, b) between the query classes of each group and all of its classes."""
+        sets = self.sets(groups.select(F.col("class").alias("a"), F.col("class").alias("b")), "group_sets").withColumnRenamed("class", "_class")
+        rows = groups.join(sets, F.col("class") == F.col("_class"))
+        row = F.collect_list(F.struct("class", "comp", "tokens"))
+        every = rows.groupBy("pivot", "tile").agg(row.alias("y"))
+        query = rows.filter("query is not null").groupBy("pivot", "query").agg(row.alias("x"), F.first("tiles").alias("_tiles"))
+        query = query.select(F.col("pivot").alias("_pivot"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)).alias("_tile"))
+        both = every.join(query, (F.col("pivot") == F.col("_pivot")) & (F.col("tile") == F.col("_tile"))).select("x", "y")
+        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
+            return self.tables.put(both.mapInArrow(_tile_links, "a long, b long"), "links4")
+
     def result(self) -> DataFrame:
         labels = self.labels()
         docs = self.sized.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -20,6 +21,19 @@ BLOCK_BYTES = 12_000_000
 
 _own: dict[str, str] = {}
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, fixed: the memory of large arrays goes back as soon as they are freed
+except (OSError, AttributeError):  # another C library: memory goes back when that one likes
+    _libc = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker serves other tasks, of other steps, after this one."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one if that is unset."""
@@ -102,7 +116,8 @@ def blocks(batches, column: str, most: int = BLOCK_BYTES):
             start = stop
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
-    pa.default_memory_pool().release_unused()  # the worker serves other tasks after this one
+        held = []
+    release()
 
 
 def one(column) -> pa.Array:

@@ -95,6 +95,39 @@ def test_equals_brute_force(spark, monkeypatch):
         assert got == brute(rows)
 
 
+def near_copies(seed, copies, words=60):
+    """Copies of one text with random edits, most of them too many to be linked with each other, so that they share entries and stay apart."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    rows = []
+    for i in range(copies):
+        w = list(base)
+        for k in rng.sample(range(words), rng.randint(0, 5)):
+            w[k] = f"x{rng.randrange(3 * copies)}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_large_near_copy_group(spark, monkeypatch):
+    for seed, entry, tile, frequent in ((1, 8, 128, 200), (2, 2, 7, 200), (3, 3, 16, 10)):
+        monkeypatch.setattr(jaccard, "SMALL_ENTRY", entry)
+        monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
+        monkeypatch.setattr(jaccard, "FREQUENT_SETS", frequent)
+        rows = near_copies(seed, 300)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, rows).repartition(4), Tables(spark)).collect()}
+        want = brute(rows)
+        assert got == want and 20 < len({c for _, c in want.values()}) < 290
+
+
+def test_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30)).astype(np.uint64)) for _ in range(12)]
+    for columns in (1, 7, 4096):
+        got = jaccard.intersections(sets[:5], sets[5:], columns)
+        assert got.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[5:]] for x in sets[:5]]
+
+
 def test_one_of_each_group_stays(spark):
     rows = planted(3, groups=8) + [(None, "some text without id", None, None, None)]
     kept = sorted(r.doc_id for r in jaccard.keep_one(frame(spark, rows), Tables(spark)).collect() if r.doc_id is not None)
