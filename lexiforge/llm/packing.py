@@ -110,7 +110,7 @@ def _first_round(tokenizer: str, capacity: int):
             held, size, base = [], 0, base + len(out)
             return out
 
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", tokens.ENCODE_BYTES):
             owner, cols = pieces_of(one(block["text"]), tokenizer, capacity)
             held.append(pa.StructArray.from_arrays([one(block["doc_id"]).take(pa.array(owner)), *cols], names))
             size += len(owner)
@@ -169,7 +169,7 @@ def unroll(bins: DataFrame) -> DataFrame:
 
 def _with_ids(tokenizer: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", tokens.ENCODE_BYTES):
             owner, cols = pieces_of(one(block["text"]), tokenizer, capacity, True)
             yield pa.RecordBatch.from_arrays([one(block["doc_id"]).take(pa.array(owner)), *cols], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 

@@ -1,12 +1,10 @@
 """Encoding with public tokenizers, many texts at once.
 
-Both vocabularies split texts at ASCII spaces before they merge bytes, so the ids of a text are those of its pieces in order, and a piece that recurs is encoded once in a block.
-The library merges about 80,000 words a second. Plain words are therefore merged here, all words of a block together, by the merge table of the same file; every other piece goes to the library, and so do whole texts in which a cut at a space could matter (runs of white space, other Unicode spaces). Tests hold the ids against the library's own.
+Both vocabularies split texts at ASCII spaces before they merge bytes, so the ids of a text are those of its pieces in order. The library encodes each distinct piece of a block once, and a worker keeps some of them for its next blocks. Texts in which a cut at a space could matter (runs of white space, other Unicode spaces, the string of an added token) go to the library whole. Tests hold the ids against the library's own.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from itertools import chain
 
@@ -18,12 +16,11 @@ import regex
 END_ID = 2
 #: A text with one of these is encoded whole: white space next to a space, or white space outside ASCII.
 _ODD = r"(^|[\x09-\x0D ])[\x09-\x0D ]|[\x09-\x0D ]$|[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
-#: Pieces that are merged here hold only characters below U+0250, no apostrophe, and are no longer than LONGEST.
-LONGEST = 60
-BITS, NONE = 18, 1 << 30
-#: Pieces whose ids a worker keeps between blocks.
-KEEP = 1_000_000
-_loaded: dict[str, tuple] = {}
+#: Pieces whose ids a worker keeps between blocks; none of them is longer than KEEP_BYTES.
+KEEP, KEEP_BYTES = 400_000, 64
+#: Text bytes that a worker encodes at once.
+ENCODE_BYTES = 8_000_000
+_loaded: dict[tuple[str, bool], Encoder] = {}
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,203 +29,72 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def load(path: str):
-    """The library's tokenizer of a file, and the merger of its plain words. Special tokens in a text are ordinary text."""
-    if path not in _loaded:
+class Encoder:
+    """The library's tokenizer of a file, and the pieces that a worker knows."""
+
+    def __init__(self, path: str, special_as_text: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        with open(path, encoding="utf-8") as f:
-            _loaded[path] = (t, Merger(json.load(f)))
-    return _loaded[path]
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that byte-level vocabularies write for each byte."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    at = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
-    return [at[b] for b in range(256)]
-
-
-class Merger:
-    """Byte-pair merges of many words at once. In each round every word merges all places of its pair of lowest rank, which gives the order of the usual queue, as a merged symbol's own pairs rank after the pair it came from."""
-
-    def __init__(self, file: dict):
-        model, vocab = file["model"], file["model"]["vocab"]
-        suffix = model.get("end_of_word_suffix") or ""
-        self.lower = "Lowercase" in json.dumps(file.get("normalizer"))
-        self.single_digits = self.lower  # this vocabulary takes digits one by one, and words without the space before them
-        self.suffix = bool(suffix)
-        symbols = byte_symbols()
-        self.first = np.array([vocab.get(s, -1) for s in symbols], np.int32)
-        self.last = np.array([vocab.get(s + suffix, -1) for s in symbols], np.int32)
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        keys = np.array([vocab[a] << 16 | vocab[b] for a, b in pairs], np.uint32)
-        self._table(keys, np.array([vocab[a + b] for a, b in pairs], np.int32))
-        # 0 letter, 1 digit, 2 white space, 3 other
-        kinds = [0 if regex.match(r"\p{L}", c) else 1 if regex.match(r"\p{N}", c) else 2 if regex.match(r"\s", c) else 3 for c in map(chr, range(0x800))]
-        self.kind = np.array(kinds, np.int8)
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = special_as_text
+        # Any case: a vocabulary may look for its added tokens in normalised text.
+        added = [regex.sub(r"([^\w\s])", r"\\\1", t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.whole = "|".join([_ODD, *(f"(?i:{a})" for a in added)])
         self.known: tuple = (pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def _table(self, keys: np.ndarray, made: np.ndarray) -> None:
-        size = 1 << BITS
-        self.keys, self.ranks, self.made = np.full(size, 0xFFFFFFFF, np.uint32), np.full(size, NONE, np.int32), np.zeros(size, np.int32)
-        left, at = np.arange(len(keys)), self._slot(keys)
-        while len(left):
-            free = self.ranks[at] == NONE
-            _, firsts = np.unique(np.where(free, at, -1), return_index=True)
-            take = firsts[free[firsts]]
-            self.keys[at[take]], self.ranks[at[take]], self.made[at[take]] = keys[left[take]], left[take], made[left[take]]
-            rest = np.ones(len(left), bool)
-            rest[take] = False
-            left, at = left[rest], (at[rest] + 1) & (size - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)).astype(np.int32)
-
-    def _find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The slot of each pair; a slot of rank NONE where there is none."""
-        keys = left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
-        at = self._slot(keys)
-        open_ = np.flatnonzero((self.keys[at] != keys) & (self.ranks[at] != NONE))
-        while len(open_):
-            at[open_] = (at[open_] + 1) & ((1 << BITS) - 1)
-            open_ = open_[(self.keys[at[open_]] != keys[open_]) & (self.ranks[at[open_]] != NONE)]
-        return at
-
-    def plain(self, pieces: pa.Array) -> np.ndarray:
-        """Which pieces encode() can take: not empty, short, only known characters, no apostrophe, no two white-space characters in a row."""
-        ok = np.asarray(pc.match_substring_regex(pieces, r"^[\x00-\x{24f}]+$")) & ~np.asarray(pc.match_substring_regex(pieces, r"['\x{130}\x{23a}\x{23e}]|\s\s"))
-        return ok & (np.asarray(pc.binary_length(pieces)) <= LONGEST)
-
-    def encode(self, pieces: pa.Array, space: bool) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, and how many each has. space: each piece follows a space, which goes with its first word."""
-        if not len(pieces):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        space = space and not self.lower
-        if self.lower:
-            pieces = pc.utf8_lower(pieces)
-        if space:
-            pieces = pc.binary_join_element_wise(" ", pieces, "")
-        long = np.asarray(pc.binary_length(pieces), dtype=np.int32)
-        heads = np.cumsum(long) - long
-        byte = np.frombuffer(b"".join(pieces.cast(pa.binary()).to_pylist()), np.uint8)
-        kind = self.kind[byte]
-        two = np.flatnonzero(byte >= 0xC0)
-        kind[two] = kind[two + 1] = self.kind[(byte[two].astype(np.int32) & 0x1F) << 6 | byte[two + 1] & 0x3F]
-        if space:
-            kind[heads] = kind[heads + 1]
-        new = np.ones(len(byte), bool)
-        new[1:] = kind[1:] != kind[:-1]
-        if self.single_digits:
-            new |= (kind == 1) & ((byte & 0xC0) != 0x80)
-        new[heads] = True
-        seg = np.cumsum(new, dtype=np.int32)
-        sym = self.first[byte]
-        if self.suffix:
-            closing = np.flatnonzero(np.append(new[1:], True))
-            sym[closing] = self.last[byte[closing]]
-        pos = np.arange(len(byte), dtype=np.int32)
-        if self.lower:  # white space is dropped
-            sym, seg, pos = (x[kind != 2] for x in (sym, seg, pos))
-        out = np.full(len(byte), -1, np.int32)
-        self._merge(sym, seg, pos, out)
-        kept = out >= 0
-        return out[kept].astype(np.uint32), np.diff(np.append(0, np.cumsum(kept, dtype=np.int64))[np.append(heads, len(byte))])
-
-    def _merge(self, sym: np.ndarray, seg: np.ndarray, pos: np.ndarray, out: np.ndarray) -> None:
-        """Puts the ids of every word into out, each where its first byte is."""
-        if not len(sym):
-            return
-        same = np.append(seg[1:] == seg[:-1], False)
-        slot = np.zeros(len(sym), np.int32)
-        rank = np.full(len(sym), NONE, np.int32)
-        at = np.flatnonzero(same)
-        slot[at] = self._find(sym[at], sym[at + 1])
-        rank[at] = self.ranks[slot[at]]
-        while len(sym):
-            begins = np.flatnonzero(np.append(True, ~same[:-1]))
-            sizes = np.diff(np.append(begins, len(sym)))
-            least = np.repeat(np.minimum.reduceat(rank, begins), sizes)
-            over = least == NONE
-            out[pos[over]] = sym[over]
-            at = np.flatnonzero((rank == least) & ~over)
-            if len(at):  # of overlapping places of one pair, every other from the left
-                run = np.append(True, np.diff(at) != 1)
-                if not run.all():
-                    first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
-                    at = at[(np.arange(len(at)) - first) % 2 == 0]
-            sym[at] = self.made[slot[at]]
-            same[at] = same[at + 1]
-            keep = ~over
-            keep[at + 1] = False
-            now = np.cumsum(keep, dtype=np.int32)[at] - 1
-            sym, pos, slot, rank, same = sym[keep], pos[keep], slot[keep], rank[keep], same[keep]
-            # Only pairs with a merged symbol have changed.
-            before = now[now > 0] - 1
-            touched = np.concatenate((now, before[same[before]]))
-            rank[now] = NONE
-            touched = touched[same[touched]]
-            slot[touched] = self._find(sym[touched], sym[touched + 1])
-            rank[touched] = self.ranks[slot[touched]]
-
-
-def _by_library(t, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    lists = []
-    for i in range(0, len(texts), 2048):  # an Encoding is many times its ids
-        lists += [e.ids for e in t.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum())), sizes
-
-
-def _pieces(t, merger: Merger, pieces: pa.Array, space: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all pieces, and how many each has."""
-    plain = merger.plain(pieces)
-    a, na = merger.encode(pieces.filter(pa.array(plain)), space)
-    if plain.all():
-        return a, na
-    b, nb = _by_library(t, [f" {x}" if space else x for x in pieces.filter(pa.array(~plain)).to_pylist()])
-    at = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-    lists = _lists(np.concatenate((a, b)), np.concatenate((na, nb))).take(pa.array(np.argsort(at)))
-    return np.asarray(lists.flatten()), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+    def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and how many each has."""
+        ids, sizes = [], []
+        for i in range(0, len(texts), 2048):  # an Encoding is many times its ids
+            lists = [e.ids for e in self.library.encode_batch_fast(texts[i : i + 2048], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces that follow a space, and the number of each piece among them."""
+        known, values, sizes = self.known
+        found = pc.index_in(pieces, value_set=known)
+        new = pieces.filter(pc.is_null(found))
+        a, na = self.texts([f" {x}" for x in new.to_pylist()])
+        at = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
+        at[at < 0] = len(known) + np.arange(len(new))
+        values, sizes = np.concatenate((values, a)), np.concatenate((sizes, na))
+        if len(known) + len(new) <= KEEP and (not len(new) or pc.max(pc.binary_length(new)).as_py() <= KEEP_BYTES):
+            self.known = (pa.concat_arrays([known, new.cast(pa.string())]), values, sizes)
+        elif len(pieces) <= KEEP:  # what this block has, from now on
+            some = np.asarray(pc.less_equal(pc.binary_length(pieces), KEEP_BYTES))
+            kept = _lists(values, sizes).take(pa.array(at[some]))
+            self.known = (pieces.filter(pa.array(some)).cast(pa.string()), np.asarray(kept.flatten()), np.asarray(pc.list_value_length(kept), dtype=np.int64))
+        return values, sizes, at
+
+
+def load(path: str, special_as_text: bool = False) -> Encoder:
+    if (path, special_as_text) not in _loaded:
+        _loaded[path, special_as_text] = Encoder(path, special_as_text)
+    return _loaded[path, special_as_text]
 
 
 def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values))
 
 
-def _spaced(t, merger: Merger, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids and sizes of all pieces that this worker knows now, and the number of each of these pieces among them."""
-    known, values, sizes = merger.known
-    found = pc.index_in(pieces, value_set=known)
-    new = pieces.filter(pc.is_null(found))
-    a, na = _pieces(t, merger, new, True)
-    at = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
-    at[at < 0] = len(known) + np.arange(len(new))
-    values, sizes = np.concatenate((values, a)), np.concatenate((sizes, na))
-    if len(known) + len(new) <= KEEP:
-        merger.known = (pa.concat_arrays([known, new.cast(pa.string())]), values, sizes)
-    return values, sizes, at
-
-
-def encode(path: str, text: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
-    """All ids (uint32), and where each text's ids begin, with the end. No text may be null. end_id closes each text unless None."""
-    t, merger = load(path)
+def encode(path: str, text: pa.Array, end_id: int | None = END_ID, special_as_text: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """All ids (uint32), and where each text's ids begin, with the end. No text may be null. end_id closes each text unless None. The string of an added token is that token, or ordinary text if special_as_text."""
+    e = load(path, special_as_text)
     text = text.cast(pa.string())
-    odd = np.asarray(pc.match_substring_regex(text, _ODD))
+    odd = np.asarray(pc.match_substring_regex(text, e.whole))
     pieces = pc.split_pattern(text.filter(pa.array(~odd)), " ")
     bounds = np.asarray(pieces.offsets, dtype=np.int64)
     bounds = bounds - bounds[0]
     coded = pieces.flatten().dictionary_encode()
     codes, firsts = np.asarray(coded.indices), bounds[:-1]
-    values, sizes, at = _spaced(t, merger, coded.dictionary)
+    values, sizes, at = e.spaced(coded.dictionary)
     parts = [
         (values, sizes),
-        _pieces(t, merger, coded.dictionary.take(pa.array(codes[firsts])), False),  # the first piece of a text has no space before it
-        _by_library(t, text.filter(pa.array(odd)).to_pylist()),
+        e.texts(coded.dictionary.take(pa.array(codes[firsts])).to_pylist()),  # the first piece of a text has no space before it
+        e.texts(text.filter(pa.array(odd)).to_pylist()),
         (np.array([] if end_id is None else [end_id], np.uint32), np.ones(int(end_id is not None), np.int64)),
     ]
     base = np.cumsum([0] + [len(p[1]) for p in parts])

@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +13,22 @@ from lexiforge.llm.shared import Tables
 from .fixtures import DOCS, documents, frame, with_clashes
 
 FILES = ("byte_bpe_50k.json", "word_bpe_49k.json")
-HARD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a \n b", "it's 's 't\n's", "Žižek  x́ y", "12 3 4x5 <|endoftext|> <|endoftext|>", "ab　 c", "naïve é ΑΣ ΑΣ. x\r\ny", "end\n", "\tfoo", "aaaaaaa aaaa", "İx Ⱥ Ȿ ß ǅ", "a b", "🙂 x🙂", "!!??!! a,b;c", "x\x00y"]
+HARD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a \n b", "it's 's 't\n's", "Žižek  x́ y", "12 3 4x5 <|endoftext|> <|endoftext|>", "hello <|endoftext|> world", "a<|endoftext|>b <|startoftext|>", "<|ENDOFTEXT|> x <|Startoftext|>c", "ab　 c", "naïve é ΑΣ ΑΣ. x\r\ny", "end\n", "\tfoo", "aaaaaaa aaaa", "İx Ⱥ Ȿ ß ǅ", "a b", "🙂 x🙂", "!!??!! a,b;c", "x\x00y"]
 
 
-def ids_of(path, text):
-    return tokens.load(path)[0].encode(text or "", add_special_tokens=False).ids + [2]
+@cache
+def library(path, special_as_text=False):
+    """A tokenizer of its own, with the library's defaults."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    if special_as_text:
+        t.encode_special_tokens = True
+    return t
+
+
+def ids_of(path, text, special_as_text=False):
+    return library(path, special_as_text).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
@@ -26,14 +38,28 @@ def crc(ids):
 @pytest.mark.parametrize("file", FILES)
 def test_hard_texts(file):
     path = tokens.tokenizer_path(file)
-    ids, ends = tokens.encode(path, pa.array(HARD))
-    for i, t in enumerate(HARD):
-        assert ids[ends[i] : ends[i + 1]].tolist() == ids_of(path, t), t
+    for special_as_text in (False, True):
+        ids, ends = tokens.encode(path, pa.array(HARD), special_as_text=special_as_text)
+        for i, t in enumerate(HARD):
+            assert ids[ends[i] : ends[i + 1]].tolist() == ids_of(path, t, special_as_text), t
+    assert (50256 if file == FILES[0] else 49407) in ids_of(path, "hello <|endoftext|> world")
+
+
+@pytest.mark.parametrize("keep", [0, 3, 60])
+def test_known_pieces_do_not_matter(keep, monkeypatch):
+    monkeypatch.setattr(tokens, "KEEP", keep)
+    monkeypatch.setattr(tokens, "KEEP_BYTES", 6)
+    monkeypatch.setattr(tokens, "_loaded", {})
+    path = tokens.tokenizer_path(FILES[0])
+    for seed in range(6):
+        texts = [r[1] or "" for r in documents(seed, n=6)]
+        ids, ends = tokens.encode(path, pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [ids_of(path, t) for t in texts]
 
 
 @pytest.mark.parametrize("file", FILES)
 @settings(max_examples=150, deadline=None)
-@given(texts=st.lists(st.text(st.one_of(st.sampled_from("aAbé' \n\t1,!ßĀ"), st.characters(exclude_categories=("Cs",)))), max_size=6))
+@given(texts=st.lists(st.text(st.one_of(st.sampled_from("aAbé' \n\t1,!ßĀ<|>"), st.characters(exclude_categories=("Cs",)))), max_size=6))
 def test_equals_library(file, texts):
     path = tokens.tokenizer_path(file)
     ids, ends = tokens.encode(path, pa.array(texts, pa.string()))
