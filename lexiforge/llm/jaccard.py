@@ -488,7 +488,7 @@ class Join:
         groups = self.tables.put(self.pivot_groups(rows.filter(F.col("k") > SMALL_ENTRY), labels), "groups")
         if groups.limit(1).count():
             labels = self.merged(labels, self.tile_links(groups), "merged4")
-            self.tables.drop("group_sets")
+            self.tables.drop("group_sets", "group_rows")
         return labels
 
     def merged(self, labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -518,6 +518,7 @@ class Join:
         open_ = ends.groupBy("entry").agg(F.max(F.col("ca") != F.col("cb")).alias("open")).filter("open").select("entry")
         left = ends.join(open_, "entry", "left_semi")
         left = left.select("entry", F.col("a").alias("class"), F.col("ca").alias("comp")).unionByName(left.select("entry", F.col("b").alias("class"), F.col("cb").alias("comp"))).distinct()
+        left = self.tables.put(left, "open_ends")
         count = left.groupBy("entry").agg(F.count("*").alias("k"))
         return left.join(count, "entry").join(sizes, "class").select("entry", "class", "comp", "n", "k")
 
@@ -547,7 +548,7 @@ class Join:
     def tile_links(self, groups: DataFrame) -> DataFrame:
         """Links (a, b) between the query classes of each group and all of its classes."""
         sets = self.sets(groups.select(F.col("class").alias("a"), F.col("class").alias("b")), "group_sets").withColumnRenamed("class", "_class")
-        rows = groups.join(sets, F.col("class") == F.col("_class"))
+        rows = self.tables.put(groups.join(sets, F.col("class") == F.col("_class")).drop("_class"), "group_rows")
         row = F.collect_list(F.struct("class", "comp", "tokens"))
         every = rows.groupBy("pivot", "tile").agg(row.alias("y"))
         query = rows.filter("query is not null").groupBy("pivot", "query").agg(row.alias("x"), F.first("tiles").alias("_tiles"))
