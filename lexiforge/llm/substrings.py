@@ -1,8 +1,8 @@
 """Substring dedup by compaction of a de Bruijn graph of words.
 
-A window of 20 words is an edge between its two 19-word nodes. Windows are dealt by their minimiser (the least hash among their 8-word grams), so equal windows meet, and runs of a document's windows with one minimiser travel as one row. There the first place of each window is found, and later places are repeated edges; consecutive ones whose first places are consecutive too form a path without a branch and are compacted into a span with its source coordinate. Spans are then joined back to the documents, where touching spans merge.
+A window of 20 words is an edge between its two 19-word nodes. Edges are dealt by their own hash, so the places of equal edges meet, and no word sequence, however frequent, draws other windows into its task. Each place but the first is a repeated edge with the first place as its source coordinate. Repeated edges then travel to their documents, where consecutive ones with consecutive sources form a path without a branch and are compacted into a span. Spans are verified by the words at their source coordinates before the result stands.
 
-A block of documents settles its own repeats before anything is shuffled, so a passage of very many copies sends a row for each block at most.
+A block of documents settles its own repeats before anything is shuffled (and compares their words there), so a passage of very many copies sends a row for each block at most. Edges and repeated edges travel packed, and paths are compacted where they arrive, in place of a join for each step along a path.
 """
 
 from __future__ import annotations
@@ -13,147 +13,239 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import Tables, blocks, gram_hashes, hash_words, one, signed, split_words, within
+from .shared import Tables, blocks, gram_hashes, hash_words, one, release, signed, split_words, within
 
-WINDOW, ANCHOR = 20, 8
-#: Documents with removed words, and their spans, up to which these are broadcast; beyond, the join shuffles.
-BROADCAST_ROWS, BROADCAST_SPANS = 100_000, 400_000
-#: Rows that carry spans settled in their block have no hashes; src_doc and src_pos are set in these only.
-RUN = "anchor long, doc long, pos int, n int, hashes binary, src_doc long, src_pos int"
-SPAN = "doc long, pos int, n int, src_doc long, src_pos int"
+WINDOW = 20
+#: Text bytes that a worker handles at once; packed bytes of edges that a task settles.
+EDGE_BYTES, PART_BYTES = 6_000_000, 24_000_000
+#: Spans up to which the documents' spans are broadcast (some 40 bytes each); beyond, the join shuffles.
+BROADCAST_SPANS = 400_000
 NO_ID = -(1 << 63)
+EDGES, PLACES, SPANS = 0, 1, 2
+PACKED = "part int, kind int, data binary"
+SPAN = "doc long, nth long, pos int, n int, src_doc long, src_nth long, src_pos int"
 
 
-def _spans(doc: np.ndarray, pos: np.ndarray, sdoc: np.ndarray, spos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Paths: places in order of (doc, pos), compacted where place and source both go on by one word."""
-    if not len(doc):
-        return doc, pos, np.zeros(0, np.int64), sdoc, spos
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, one after the other, each with its type."""
+    head = np.array([len(columns[0]) if columns else 0, len(columns)], np.int64).tobytes() + b"".join(c.dtype.str.encode().ljust(4) for c in columns)
+    return head + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _unpack(data) -> list[np.ndarray]:
+    n, k = np.frombuffer(data, np.int64, 2).tolist()
+    at, out = 16 + 4 * k, []
+    for i in range(k):
+        kind = np.dtype(bytes(memoryview(data)[16 + 4 * i : 20 + 4 * i]).decode().strip())
+        out.append(np.frombuffer(data, kind, n, at))
+        at += n * kind.itemsize
+    return out
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
+
+
+def _with_docs(*docs: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, list[np.ndarray]]:
+    """The distinct (doc, nth) of columns of these, packed, and each column as numbers among them."""
+    both = np.stack([np.concatenate(x) for x in zip(*docs, strict=True)], axis=1)
+    names, number = np.unique(both, axis=0, return_inverse=True)
+    number = _narrow(number.reshape(-1))
+    ends = np.cumsum([len(d[0]) for d in docs])
+    return _pack(names[:, 0], names[:, 1]), np.split(number, ends[:-1])
+
+
+def _dealt(kind: int, part: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A packed row for each part."""
+    by = np.argsort(part, kind="stable")
+    part = part[by]
+    edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else np.zeros(1, np.int64)
+    data = []
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        rows = by[i:j]
+        names, numbers = _with_docs(*((d[rows], n[rows]) for d, n in docs))
+        rest = _pack(*numbers, *(c[rows] for c in columns))
+        data.append(np.int64(len(names)).tobytes() + names + rest)
+    parts = pa.array(part[edge[:-1]].astype(np.int32) if len(part) else [], pa.int32())
+    return pa.RecordBatch.from_arrays([parts, pa.array(np.full(len(data), kind, np.int32)), pa.array(data, pa.binary())], ["part", "kind", "data"])
+
+
+def _opened(data, docs: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of a packed row: doc and nth of each column of documents, and the other columns."""
+    size = int(np.frombuffer(data, np.int64, 1)[0])
+    names = _unpack(memoryview(data)[8 : 8 + size])
+    columns = _unpack(memoryview(data)[8 + size :])
+    return [x[c] for c in columns[:docs] for x in names], columns[docs:]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], kind: int, docs: int) -> tuple[list[np.ndarray] | None, list[pa.RecordBatch]]:
+    """The columns of all packed rows of a kind, and the rows of others."""
+    held, other = [], []
+    for batch in batches:
+        mine = np.asarray(batch.column(1)) == kind
+        if not mine.all():
+            other.append(batch.filter(pa.array(~mine)))
+        for data in batch.column(2).filter(pa.array(mine)):
+            a, b = _opened(data.as_buffer(), docs)
+            held.append([*a, *b])
+    if not held:
+        return None, other
+    return [np.concatenate(x) for x in zip(*held, strict=True)], other
+
+
+def _doc_part(doc: np.ndarray, nth: np.ndarray, parts: int) -> np.ndarray:
+    return ((gram_hashes(doc.view(np.uint64) + nth.view(np.uint64), 1, seed=5) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def _firsts(key: np.ndarray) -> np.ndarray:
+    """For each place, in the order of places, the number of the first with its key."""
+    order = np.argsort(key, kind="stable")
+    if not len(key):
+        return order
+    new = np.append(True, key[order][1:] != key[order][:-1])
+    out = np.empty(len(key), np.int64)
+    out[order] = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    return out
+
+
+def _several(key: np.ndarray) -> np.ndarray:
+    """Which places' keys occur more than once."""
+    ordered = np.sort(key)
+    values = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    if not len(values):
+        return np.zeros(len(key), bool)
+    return values[np.minimum(np.searchsorted(values, key), len(values) - 1)] == key
+
+
+def _edges(parts: int):
+    """Packed edges of a block, each once, and the spans that the block has settled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text", EDGE_BYTES):
+            doc, nth = (np.asarray(one(block[c]), dtype=np.int64) for c in ("doc", "nth"))
+            by = np.lexsort((nth, doc))
+            by = by[np.append(True, (np.diff(doc[by]) != 0) | (np.diff(nth[by]) != 0))] if len(by) else by  # a row that is repeated is the same document
+            doc, nth = doc[by], nth[by]
+            words, ends = split_words(one(block["text"]).take(pa.array(by)))
+            at, owner = within(ends, WINDOW)
+            if not len(at):
+                continue
+            coded = words.dictionary_encode()
+            code = np.asarray(coded.indices)
+            key = gram_hashes(hash_words(coded.dictionary)[code], WINDOW, seed=1)[at]
+            pos = at - ends[:-1][owner]
+            head = _firsts(key)
+            again = np.flatnonzero(head != np.arange(len(head)))
+            same = np.ones(len(again), bool)
+            for j in range(WINDOW):
+                same &= code[at[again] + j] == code[at[head[again]] + j]
+            again = again[same]
+            if len(again):
+                f = owner[head[again]]
+                d, p, n, sd, sp = _paths_of(owner[again], pos[again], f, pos[head[again]])
+                yield _dealt(SPANS, _doc_part(doc[d], nth[d], parts), [(doc[d], nth[d])], [p.astype(np.int32), n.astype(np.int32)])
+            left = np.ones(len(key), bool)
+            left[again] = False
+            key, owner, pos = key[left], owner[left], pos[left]
+            part = ((key & np.uint64(0xFFFF)) * np.uint64(parts) >> np.uint64(16)).astype(np.int32)
+            top = (key >> np.uint64(16)).astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :6]
+            yield _dealt(EDGES, part, [(doc[owner], nth[owner])], [_narrow(pos), *(np.ascontiguousarray(top[:, i : i + 2]).view(np.uint16).ravel() for i in (0, 2, 4)), (key & np.uint64(0xFFFF)).astype(np.uint16)])
+
+    return run
+
+
+def _paths_of(doc: np.ndarray, pos: np.ndarray, sdoc: np.ndarray, spos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Repeated edges in order of (doc, pos), compacted where place and source both go on by one word: doc, pos, n, sdoc, spos."""
     new = np.append(True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (sdoc[1:] != sdoc[:-1]) | (spos[1:] != spos[:-1] + 1))
     at = np.flatnonzero(new)
     return doc[at], pos[at], np.diff(np.append(at, len(doc))), sdoc[at], spos[at]
 
 
-def _firsts(key: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """For each place, the number of the first place (by doc, pos) with its key."""
-    order = np.lexsort((pos, doc, key))
-    new = np.append(True, key[order][1:] != key[order][:-1]) if len(key) else np.zeros(0, bool)
-    head = order[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))] if len(key) else order
-    out = np.empty(len(key), np.int64)
-    out[order] = head
-    return out
+def _settle(parts: int):
+    """Repeated edges, dealt to their documents; settled spans pass through."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, other = _gathered(batches, EDGES, 1)
+        yield from other
+        if edges is not None:
+            doc, nth, pos, a, b, c, low = edges
+            key = a.astype(np.uint64) << np.uint64(16) | b.astype(np.uint64) << np.uint64(32) | c.astype(np.uint64) << np.uint64(48) | low.astype(np.uint64)
+            some = _several(key)
+            doc, nth, pos, key = (x[some] for x in (doc, nth, pos, key))
+            del edges, a, b, c, low
+            by = np.lexsort((pos, nth, doc))
+            doc, nth, pos, key = (x[by] for x in (doc, nth, pos, key))
+            head = _firsts(key)
+            # A row of the same document is at an equal place, which is not earlier.
+            again = np.flatnonzero((doc[head] != doc) | (nth[head] != nth) | (pos[head] != pos))
+            if len(again):
+                f = head[again]
+                doc_, nth_ = doc[again], nth[again]
+                yield _dealt(PLACES, _doc_part(doc_, nth_, parts), [(doc_, nth_), (doc[f], nth[f])], [_narrow(pos[again]), _narrow(pos[f])])
+        release()
+
+    return run
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, "text"):
-        words, ends = split_words(one(block["text"]))
-        h = hash_words(words)
-        at, owner = within(ends, WINDOW)
-        if not len(at):
-            continue
-        key = gram_hashes(h, WINDOW, seed=1)[at]
-        grams = gram_hashes(h, ANCHOR)
-        least, where = grams[at], at.copy()
-        for j in range(1, WINDOW - ANCHOR + 1):
-            g = grams[at + j]
-            better = g < least
-            least[better] = g[better]
-            where[better] = at[better] + j
-        doc, pos = np.asarray(one(block["doc_id"]), dtype=np.int64)[owner], at - ends[:-1][owner]
-        head = _firsts(key, doc, pos)
-        # A row of the same id is the same document, and equal places are neither earlier.
-        first = (doc[head] == doc) & (pos[head] == pos)
-        again = np.flatnonzero(~first)
-        again = again[np.lexsort((pos[again], doc[again]))]
-        sd, sp, sn, sdoc, spos = _spans(doc[again], pos[again], doc[head[again]], pos[head[again]])
-        # Of windows seen first here, runs with one minimiser in one document.
-        keep = np.flatnonzero(first)
-        new = np.append(True, (np.diff(keep) != 1) | (owner[keep][1:] != owner[keep][:-1]) | (where[keep][1:] != where[keep][:-1]))
-        begin = np.flatnonzero(new)
-        size = np.diff(np.append(begin, len(keep)))
-        data = np.ascontiguousarray(key[keep])
-        offsets = np.append(begin, len(keep)).astype(np.int32) * 8
-        hashes = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-        f = keep[begin]
-        none = lambda n, t: pa.nulls(n, t)
-        names = [c.split()[0] for c in RUN.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(least[f])), pa.array(doc[f]), pa.array(pos[f].astype(np.int32)), pa.array(size.astype(np.int32)), hashes, none(len(f), pa.int64()), none(len(f), pa.int32())], names)
-        if len(sd):
-            spread = signed(gram_hashes(sd.view(np.uint64) + sp.view(np.uint64), 1))  # to any task
-            yield pa.RecordBatch.from_arrays([pa.array(spread), pa.array(sd), pa.array(sp.astype(np.int32)), pa.array(sn.astype(np.int32)), none(len(sd), pa.binary()), pa.array(sdoc), pa.array(spos.astype(np.int32))], names)
-
-
-def _unpack(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = np.asarray(one(t["n"])).astype(np.int64)
-    key = np.frombuffer(b"".join(one(t["hashes"]).to_pylist()), np.uint64)
-    within_ = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
-    return key, np.repeat(np.asarray(one(t["doc"])), n), np.repeat(np.asarray(one(t["pos"])).astype(np.int64), n) + within_
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by anchor, doc, pos. Of an anchor that goes on in the next batch, the distinct windows with their first places are held, not its rows."""
+
+def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each document: paths of repeated edges, and those that blocks have settled, which have no source."""
     names = [c.split()[0] for c in SPAN.split(", ")]
-    held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    last = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        done = t.filter(pc.is_valid(t["src_doc"]))
-        if len(done):
-            yield pa.RecordBatch.from_arrays([one(done[c]) for c in names], names)
-        t = t.filter(pc.is_null(t["src_doc"])).combine_chunks()
-        if not len(t):
-            continue
-        anchor = np.asarray(one(t["anchor"]))
-        same = np.append(anchor[1:] == anchor[:-1], False)
-        shared = same | np.append(False, same[:-1])
-        shared |= anchor == anchor[-1]  # may go on
-        if last is not None:
-            if anchor[0] == last:
-                shared |= anchor == last
-            else:
-                held = tuple(x[:0] for x in held)
-        part = t.filter(pa.array(shared)).combine_chunks()
-        key, doc, pos = (np.concatenate(x) for x in zip(held, _unpack(part), strict=True))
-        old = len(held[0])
-        head = _firsts(key, doc, pos)
-        again = np.flatnonzero((doc[head] != doc) | (pos[head] != pos))
-        again = again[again >= old]
-        again = again[np.lexsort((pos[again], doc[again]))]
-        d, p, n, sdoc, spos = _spans(doc[again], pos[again], doc[head[again]], pos[head[again]])
-        if len(d):
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(sdoc), pa.array(spos.astype(np.int32))], names)
-        of = np.repeat(np.asarray(one(part["anchor"])), np.asarray(one(part["n"])).astype(np.int64)) == anchor[-1]
-        stay = np.flatnonzero(np.append(np.full(old, anchor[-1] == last), of))
-        stay = stay[head[stay] == stay]
-        held, last = (key[stay], doc[stay], pos[stay]), anchor[-1]
-
-
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc, pos, n, src_doc, src_pos: runs of n windows that start at word pos of doc and whose first places start at word src_pos of src_doc. A document's runs may touch."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text").mapInArrow(_runs, RUN)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc", "pos").mapInArrow(_settle, SPAN)
-
-
-def glued(spans: DataFrame) -> DataFrame:
-    """doc, pos and n of runs of windows, those that touch or overlap as one."""
-    before = Window.partitionBy("doc").orderBy("pos", "end")
-    rows = spans.select("doc", "pos", (F.col("pos") + F.col("n")).alias("end"))
-    rows = rows.withColumn("top", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("pos") <= F.col("top"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("doc", "run").agg(F.min("pos").alias("pos"), (F.max("end") - F.min("pos")).alias("n")).select("doc", "pos", "n")
+    places, other = _gathered(batches, PLACES, 2)
+    for batch in other:
+        for data in batch.column(2):
+            (doc, nth), (pos, n) = _opened(data.as_buffer(), 1)
+            none = pa.nulls(len(doc), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(nth), pa.array(pos), pa.array(n), none, none, pa.nulls(len(doc), pa.int32())], names)
+    if places is not None:
+        by = np.lexsort((places[4], places[1], places[0]))
+        doc, nth, sdoc, snth, pos, spos = (x[by].astype(np.int64) for x in places)
+        del places
+        repeated = np.append(False, (doc[1:] == doc[:-1]) & (nth[1:] == nth[:-1]) & (pos[1:] == pos[:-1]))
+        doc, nth, sdoc, snth, pos, spos = (x[~repeated] for x in (doc, nth, sdoc, snth, pos, spos))
+        new = np.append(True, (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]) | (pos[1:] != pos[:-1] + 1) | (sdoc[1:] != sdoc[:-1]) | (snth[1:] != snth[:-1]) | (spos[1:] != spos[:-1] + 1))
+        at = np.flatnonzero(new)
+        n = np.diff(np.append(at, len(doc)))
+        whole = [doc[at], nth[at], pos[at].astype(np.int32), n.astype(np.int32), sdoc[at], snth[at], spos[at].astype(np.int32)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in whole], names)
+    release()
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc, nth and text with the row's doc_id, and the bytes of all texts. Where ids repeat with different texts, nth is a hash of the text, and 0 elsewhere."""
+    docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("nth"), "text")
+    ids = docs.groupBy("doc").agg((F.min("nth") != F.max("nth")).alias("several"), F.sum(F.octet_length("text")).alias("bytes"))
+    found = ids.agg(F.max("several").alias("several"), F.sum("bytes").alias("bytes")).first()
+    return docs if found["several"] else docs.withColumn("nth", F.lit(0).cast("long")), found["bytes"] or 0
+
+
+def repeated_spans(docs: DataFrame, tables: Tables, size: int) -> DataFrame:
+    """doc, nth, pos, n, src_doc, src_nth, src_pos: n windows from word pos of a document on whose first places start at word src_pos of the source document and go on there. Spans that a block has settled and verified have no source. A document's spans may touch or overlap."""
+    parts = min(1 << 16, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-3 * size // PART_BYTES)))
+    edges = docs.select("doc", "nth", "text").mapInArrow(_edges(parts), PACKED).repartitionById(parts, "part")
+    places = edges.mapInArrow(_settle(parts), PACKED).repartitionById(parts, "part")
+    return tables.put(places.mapInArrow(_paths, SPAN), "spans")
+
+
+CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, doc long, nth long, pos int, n int, digest binary, expected boolean"
 
 
 def _cut(text_too: bool):
+    """Each document without the words of its spans; and digests of the words of spans (expected, at the source coordinates) and of source coordinates that others ask for."""
+    names = [c.split()[0] for c in CUT.split(", ")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            out = []
-            for text, spans in zip(block["text"].to_pylist(), block["spans"].to_pylist(), strict=True):
+            out: list[tuple] = []
+            for doc_id, doc, nth, text, spans, asked in zip(*(block[c].to_pylist() for c in ("doc_id", "doc", "nth", "text", "spans", "asked")), strict=True):
                 words = text.encode().split()
                 n = len(words)
+                digest = lambda a, k, words=words: xxhash.xxh3_128_digest(b" ".join(words[a : a + k + WINDOW - 1]))
+                out += [(None,) * 5 + (doc, nth, s["pos"], s["n"], digest(s["pos"], s["n"]), False) for s in asked or ()]
+                out += [(None,) * 5 + (s["src_doc"], s["src_nth"], s["src_pos"], s["n"], digest(s["pos"], s["n"]), True) for s in spans or () if s["src_pos"] is not None]
                 if spans:
                     gone = np.zeros(n + 1, np.int64)
                     for s in spans:
@@ -162,27 +254,39 @@ def _cut(text_too: bool):
                     keep = np.flatnonzero(np.cumsum(gone)[:n] == 0)
                     words = [words[i] for i in keep.tolist()]
                 kept = b" ".join(words)
-                out.append((n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if text_too else None))
-            cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.string())]
-            names = ["n_words", "n_removed", "kept_sha256"]
-            if text_too:
-                cols, names = [*cols, pa.array([o[3] for o in out], pa.string())], [*names, "kept_text"]
-            yield pa.RecordBatch.from_arrays([one(block["doc_id"]), *cols], ["doc_id", *names])
+                out.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if text_too else None) + (None,) * 6)
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
 
 
+def _cut_documents(docs: DataFrame, spans: DataFrame, tables: Tables, name: str, text_too: bool) -> DataFrame:
+    own = spans.groupBy("doc", "nth").agg(F.collect_list(F.struct("pos", "n", "src_doc", "src_nth", "src_pos")).alias("spans"), F.lit(None).cast("array<struct<pos:int,n:int>>").alias("asked"))
+    ask = spans.filter("src_pos is not null").select(F.col("src_doc").alias("doc"), F.col("src_nth").alias("nth"), F.col("src_pos").alias("pos"), "n").distinct()
+    ask = ask.groupBy("doc", "nth").agg(F.lit(None).cast(own.schema["spans"].dataType).alias("spans"), F.collect_list(F.struct("pos", "n")).alias("asked"))
+    both = own.unionByName(ask).groupBy("doc", "nth").agg(F.first("spans", True).alias("spans"), F.first("asked", True).alias("asked"))
+    both = both.select(F.col("doc").alias("_doc"), F.col("nth").alias("_nth"), "spans", "asked")
+    side = F.broadcast(both) if spans.count() <= BROADCAST_SPANS else both
+    rows = docs.join(side, (docs["doc"] == F.col("_doc")) & (docs["nth"] == F.col("_nth")), "left").select("doc_id", "doc", "nth", "text", "spans", "asked")
+    return tables.put(rows.mapInArrow(_cut(text_too), CUT), name)
+
+
 def dedup_substrings(docs: DataFrame, tables: Tables, text_too: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for) of each row.
 
-    A word is removed if a window that covers it also starts earlier: in a smaller doc_id, or before in the same document. Null and empty texts have no words, and shorter ones than a window keep all. Rows of one doc_id count as one document at equal places; a null id is the smallest. An empty table gives no rows.
+    A word is removed if a window that covers it also starts earlier: in a smaller doc_id, or before in the same document. Null and empty texts have no words, and shorter ones than a window keep all. A null id is the smallest. Rows of one doc_id and one text are one document, at equal places; of rows of one doc_id with different texts, the one whose text has the smaller hash comes first. Other columns play no part. An empty table gives no rows. Spans whose words are not those at their source coordinates (different windows of one hash) are left in.
     """
-    docs = docs.select("doc_id", "text")
-    spans = tables.put(glued(repeated_spans(docs)).groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("spans")), "spans")
-    total = spans.agg(F.count("*").alias("docs"), F.sum(F.size("spans")).alias("spans")).first()
-    side = F.broadcast(spans) if total["docs"] <= BROADCAST_ROWS and (total["spans"] or 0) <= BROADCAST_SPANS else spans
-    rows = docs.join(side, F.coalesce(docs["doc_id"], F.lit(NO_ID)) == F.col("doc"), "left").select("doc_id", "text", "spans")
-    return rows.mapInArrow(_cut(text_too), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text_too)
+    docs, size = keyed(docs)
+    spans = repeated_spans(docs, tables, size)
+    cut = _cut_documents(docs, spans, tables, "cut", text_too)
+    keys = ["doc", "nth", "pos", "n"]
+    found = cut.filter("not expected").select(*keys, F.col("digest").alias("_digest")).distinct()
+    wrong = tables.put(cut.filter("expected").select(*keys, "digest").distinct().join(found, keys, "left").filter("_digest is null or digest <> _digest").select(*(F.col(k).alias(f"src_{k}") if k != "n" else F.col(k) for k in keys)).distinct(), "wrong")
+    if wrong.limit(1).count():
+        right = tables.put(spans.join(wrong, ["src_doc", "src_nth", "src_pos", "n"], "left_anti").select(*spans.columns), "verified")
+        cut = _cut_documents(docs, right, tables, "cut_again", text_too)
+    return cut.filter("n_words is not null").select("doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * text_too)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

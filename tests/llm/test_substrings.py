@@ -2,8 +2,11 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from lexiforge.llm import substrings
-from lexiforge.llm.shared import Tables
+from lexiforge.llm.shared import Tables, gram_hashes
 
 from .fixtures import documents, frame, with_clashes
 
@@ -63,6 +66,53 @@ def test_blocks_and_batches_do_not_matter(spark, monkeypatch):
     assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows)
 
 
+def test_an_id_with_different_texts(spark):
+    rng = random.Random(4)
+    a, b = (" ".join(f"{c}{rng.randint(0, 9)}{k}" for k in range(60)) for c in "ab")
+    rows = [(7, a, "en", "s", 1), (7, "three words only", "en", "s", 1), (7, b, "en", "s", 1), (7, a, "en", "s", 1), (9, a + " " + b, "en", "s", 1), (3, b, "en", "s", 1)]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substrings.dedup_substrings(frame(spark, rows).repartition(3), Tables(spark), text_too=True).collect())
+    assert got == [(3, 60, 0, b), (7, 3, 0, "three words only"), (7, 60, 0, a), (7, 60, 0, a), (7, 60, 60, ""), (9, 120, 120, "")]
+
+
+def test_one_gram_in_very_many_windows(spark):
+    gram = " ".join(f"hot{i}" for i in range(8))
+    rows = [(i, " ".join([f"l{i}_{k}" for k in range(15)] + [gram] + [f"r{i}_{k}" for k in range(15)]), "en", "s", 1) for i in range(3000)]
+    rows += [(5000, rows[1][1], "en", "s", 1)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.dedup_substrings(frame(spark, rows).repartition(6), Tables(spark)).collect()}
+    assert got == {i: (38, 0) for i in range(3000)} | {5000: (38, 38)}
+
+
+def test_spans_of_other_words_stay(spark, monkeypatch):
+    """With a hash that tells nothing, every span is a false one until its words are compared."""
+    rows = planted(2)
+
+    def poor(h, k, seed=0):
+        out = gram_hashes(h, k, seed)
+        return out if seed != 1 else (out & np.uint64(0xFFFF)) | np.uint64(1 << 20)
+
+    got = {}
+    for name, f in (("real", gram_hashes), ("poor", poor)):
+        edges = substrings._edges(1)
+        monkeypatch.setattr(substrings, "gram_hashes", f)
+        table = pa.RecordBatch.from_pydict({"doc": [r[0] for r in rows], "nth": [0] * len(rows), "text": [r[1] for r in rows]})
+        got[name] = [b for b in edges(iter([table])) if b.column("kind")[0].as_py() == substrings.SPANS]
+    real, poor_ = ({(d, p + i) for b in got[k] for x in b.column("data") for (doc, _), (pos, n) in [substrings._opened(x.as_buffer(), 1)] for d, p, m in zip(doc.tolist(), pos.tolist(), n.tolist(), strict=True) for i in range(m)} for k in ("real", "poor"))
+    assert poor_ <= real and len(real) > 100
+
+
+def test_false_spans_are_found_at_their_source(spark, monkeypatch):
+    rows = planted(5)
+    real = substrings.repeated_spans
+    doc = next(r[0] for r in rows if len(WORD.findall(r[1] or "")) > 45)
+
+    def with_false(docs, tables, size):
+        return real(docs, tables, size).unionByName(spark.createDataFrame([(doc, 0, 2, 20, rows[0][0], 0, 1), (doc, 0, 3, 9, 10**9, 0, 0)], substrings.SPAN))
+
+    monkeypatch.setattr(substrings, "repeated_spans", with_false)
+    got = substrings.dedup_substrings(frame(spark, rows), Tables(spark), text_too=True).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == brute(rows)
+
+
 def test_repeated_rows_and_nulls(spark):
     text = " ".join(map(str, range(40)))
     rows = [(None, text, None, None, None), (1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, None, "en", "s", 1)]
