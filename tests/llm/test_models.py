@@ -1,9 +1,10 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from lexiforge.llm import neighbours, quality, toxicity
+from lexiforge.llm import linear, neighbours, quality, toxicity
 
 from .fixtures import documents, frame, with_clashes
 
@@ -36,6 +37,54 @@ def test_without_labels_or_rows(spark, module):
     assert module.score_documents(frame(spark, []), none).count() == 0
 
 
+def test_character_grams_equal_brute_force():
+    """Features of a text are its character n-grams: equal texts after lower-casing and joining have equal features, and a changed letter changes only the grams over it."""
+    texts = ["Ärger über Öl", "ärger  über\nöl", "ärger über öd", "", "a"]
+    got = [set(x.tolist()) for x in toxicity._presence(pa.array(texts))]
+
+    def grams(t):
+        t = f" {' '.join(t.lower().split())} "
+        return {t[i : i + k] for k in toxicity.ORDERS for i in range(len(t) - k + 1)}
+
+    assert [len(g) for g in got] == [len(grams(t)) for t in texts]
+    assert got[0] == got[1] and len(got[0] & got[2]) == len(grams(texts[0]) & grams(texts[2]))
+
+
+def test_naive_bayes_ratios_and_strength():
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(400):
+        y = i % 2
+        at = np.unique(np.append(rng.integers(100, 400, 30), [7] if y else []))
+        rows.append((at.astype(np.int64), np.zeros(0), y))
+    ratio = toxicity._ratios(rows)
+    n = [sum(len(a) for a, _, y in rows if y == k) + (1 << toxicity.BITS) * toxicity.SMOOTH for k in (0, 1)]
+    assert np.isclose(ratio[7], np.log(201 / n[1]) - np.log(1 / n[0])) and (ratio[100:400] == 0).all()
+    w = toxicity._train(rows)
+    assert w[7] > 0 and np.count_nonzero(w[:-1]) == 1
+
+
+def test_ftrl_equals_brute_force():
+    """The sparse updates against the algorithm written out for single numbers."""
+    rng = np.random.default_rng(2)
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.2
+    model = linear.Ftrl(12, alpha, beta, l1, l2)
+    z, n = [0.0] * 12, [0.0] * 12
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+    for _ in range(200):
+        at = rng.choice(12, 4, replace=False)
+        x, y = rng.normal(size=4), int(rng.integers(0, 2))
+        w = [weight(i) for i in at]
+        p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x, strict=True))))
+        for i, v, a in zip(at, x, w, strict=True):
+            g = (p - y) * v
+            s = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - s * a
+            n[i] += g * g
+        model.update(at, x, y, 1.0)
+        assert np.allclose(model.weights(), [weight(i) for i in range(12)])
+
+
 def test_held_out_rows_teach_nothing(spark):
     from zlib import crc32
 
