@@ -23,15 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components, roots
-from .shared import Tables, blocks, gram_hashes, hash_words, mix, one, setting, signed, split_words, within
+from .shared import Tables, blocks, gram_hashes, hash_words, mix, one, signed, split_words, within
 
 WORDS, PERCENT = 5, 80
 #: A shingle in so many sets of a block is counted; one of so many counted sets in all has no weight. Any choice gives the same links.
 BLOCK_SETS, FREQUENT_SETS, FREQUENT_MOST = 3, 200, 400_000
 #: Text bytes that a worker counts or indexes at once: a text's shingles and entries take some 30 times its bytes.
 COUNT_BYTES, INDEX_BYTES = 8_000_000, 4_000_000
-#: Bytes of pairs of sets that go to a worker at once.
-VERIFY_BYTES = 4_000_000
 #: An entry that so many classes of a block share is dealt out for one of them.
 HOT_CLASSES = 8
 #: An open entry of so many classes gives their pairs; a larger one is compared in tiles of so many classes and bytes of sets.
@@ -439,8 +437,7 @@ class Join:
         shingles = self.sized.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
         parts = min(1 << 16, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-16 * shingles // STAR_BYTES)))
         rows = self.docs.mapInArrow(_indexed(self.frequent, self.order, parts), "part int, data binary, entry long, a long, b long")
-        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
-            return self.tables.put(rows.repartition(parts, "part").mapInArrow(_stars, "entry long, a long, b long"), "stars")
+        return self.tables.put(rows.repartitionById(parts, "part").mapInArrow(_stars, "entry long, a long, b long"), "stars")
 
     def near(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (a, b, k) that sizes and sketches let through."""
@@ -448,8 +445,7 @@ class Join:
         sets = self.tables.put(sets, f"{name}_sketches")
         x, y = (sets.select(F.col("class").alias(f"_{s}"), F.col("n").alias(f"_n{s}"), F.col("sketch").alias(f"_s{s}")) for s in "ab")
         both = pairs.join(x, F.col("a") == F.col("_a")).join(y, F.col("b") == F.col("_b")).select("a", "b", "k", "_na", "_sa", "_nb", "_sb")
-        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
-            found = self.tables.put(both.mapInArrow(_near, "a long, b long, k long"), name)
+        found = self.tables.put(both.mapInArrow(_near, "a long, b long, k long"), name)
         self.tables.drop(f"{name}_sketches")
         return found
 
@@ -464,9 +460,8 @@ class Join:
     def verified(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
         first = pairs.join(sets.select(F.col("class").alias("_b"), F.col("tokens").alias("_tb")), F.col("b") == F.col("_b")).select("a", "b", "_tb")
         both = first.join(sets.select(F.col("class").alias("_a"), F.col("tokens").alias("_ta")), F.col("a") == F.col("_a")).select("a", "b", "_ta", "_tb")
-        # A hub's long set comes with each of its pairs, so batches are bounded by bytes, not by rows alone.
-        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
-            return self.tables.put(both.mapInArrow(_verify, "a long, b long"), name)
+        # A hub's long set comes with each of its pairs; put() bounds batches by bytes, not by rows alone.
+        return self.tables.put(both.mapInArrow(_verify, "a long, b long"), name)
 
     def labels(self) -> DataFrame:
         """v and c for each class v whose component's label c is another."""
@@ -554,8 +549,7 @@ class Join:
         query = rows.filter("query is not null").groupBy("pivot", "query").agg(row.alias("x"), F.first("tiles").alias("_tiles"))
         query = query.select(F.col("pivot").alias("_pivot"), "x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1)).alias("_tile"))
         both = every.join(query, (F.col("pivot") == F.col("_pivot")) & (F.col("tile") == F.col("_tile"))).select("x", "y")
-        with setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(VERIFY_BYTES)):
-            return self.tables.put(both.mapInArrow(_tile_links, "a long, b long"), "links4")
+        return self.tables.put(both.mapInArrow(_tile_links, "a long, b long"), "links4")
 
     def result(self) -> DataFrame:
         labels = self.labels()

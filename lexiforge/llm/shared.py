@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once.
 BLOCK_BYTES = 12_000_000
+#: Bytes of a batch that a step sends to a Python worker.
+BATCH_BYTES = 4_000_000
 
 _own: dict[str, str] = {}
 
@@ -55,8 +57,8 @@ class Tables:
         self.spark, self.top = spark, f"{shared_dir(spark)}/lexiforge-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        # The step's shuffle files go when it ends, not when the driver happens to collect its garbage.
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        # The step's shuffle files go when it ends, not when the driver happens to collect its garbage; batches to Python workers are bounded by bytes.
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
             df.select("*").write.options(**options).parquet(f"{self.top}/{name}")
         return self.get(name, df)
 

@@ -9,19 +9,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables, blocks, gram_hashes, hash_words, one, release, signed, split_words, within
+from .shared import Tables, blocks, gram_hashes, hash_words, mix, one, release, signed, split_words, within
 
 WINDOW = 20
 #: Text bytes that a worker handles at once; packed bytes of edges that a task settles.
-EDGE_BYTES, PART_BYTES = 6_000_000, 24_000_000
+EDGE_BYTES, PART_BYTES = 4_000_000, 24_000_000
 #: Spans up to which the documents' spans are broadcast (some 40 bytes each); beyond, the join shuffles.
 BROADCAST_SPANS = 400_000
 NO_ID = -(1 << 63)
@@ -50,13 +50,10 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint16 if not len(x) or x.max() < 1 << 16 else np.uint32)
 
 
-def _with_docs(*docs: tuple[np.ndarray, np.ndarray]) -> tuple[bytes, list[np.ndarray]]:
-    """The distinct (doc, nth) of columns of these, packed, and each column as numbers among them."""
-    both = np.stack([np.concatenate(x) for x in zip(*docs, strict=True)], axis=1)
-    names, number = np.unique(both, axis=0, return_inverse=True)
-    number = _narrow(number.reshape(-1))
-    ends = np.cumsum([len(d[0]) for d in docs])
-    return _pack(names[:, 0], names[:, 1]), np.split(number, ends[:-1])
+def _named(doc: np.ndarray, nth: np.ndarray) -> bytes:
+    """The documents of places, once for each run of places of one document, and a bit for each place that tells whether a run begins."""
+    new = np.append(True, (doc[1:] != doc[:-1]) | (nth[1:] != nth[:-1]))
+    return _pack(doc[new], nth[new] if nth.any() else np.zeros(int(new.sum()), np.int8)) + np.packbits(new).tobytes()
 
 
 def _dealt(kind: int, part: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]], columns: list[np.ndarray]) -> pa.RecordBatch:
@@ -67,19 +64,22 @@ def _dealt(kind: int, part: np.ndarray, docs: list[tuple[np.ndarray, np.ndarray]
     data = []
     for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         rows = by[i:j]
-        names, numbers = _with_docs(*((d[rows], n[rows]) for d, n in docs))
-        rest = _pack(*numbers, *(c[rows] for c in columns))
-        data.append(np.int64(len(names)).tobytes() + names + rest)
+        named = [_named(d[rows], n[rows]) for d, n in docs]
+        data.append(np.array([j - i, *map(len, named)], np.int64).tobytes() + b"".join(named) + _pack(*(c[rows] for c in columns)))
     parts = pa.array(part[edge[:-1]].astype(np.int32) if len(part) else [], pa.int32())
     return pa.RecordBatch.from_arrays([parts, pa.array(np.full(len(data), kind, np.int32)), pa.array(data, pa.binary())], ["part", "kind", "data"])
 
 
 def _opened(data, docs: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Of a packed row: doc and nth of each column of documents, and the other columns."""
-    size = int(np.frombuffer(data, np.int64, 1)[0])
-    names = _unpack(memoryview(data)[8 : 8 + size])
-    columns = _unpack(memoryview(data)[8 + size :])
-    return [x[c] for c in columns[:docs] for x in names], columns[docs:]
+    n, *sizes = np.frombuffer(data, np.int64, docs + 1).tolist()
+    at, out, bits = 8 * (docs + 1), [], -(-n // 8)
+    for size in sizes:
+        names = _unpack(memoryview(data)[at : at + size - bits])
+        run = np.cumsum(np.unpackbits(np.frombuffer(data, np.uint8, bits, at + size - bits), count=n)) - 1
+        out += [x[run].astype(np.int64) for x in names]
+        at += size
+    return out, _unpack(memoryview(data)[at:])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], kind: int, docs: int) -> tuple[list[np.ndarray] | None, list[pa.RecordBatch]]:
@@ -230,37 +230,78 @@ def repeated_spans(docs: DataFrame, tables: Tables, size: int) -> DataFrame:
     return tables.put(places.mapInArrow(_paths, SPAN), "spans")
 
 
-CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, doc long, nth long, pos int, n int, digest binary, expected boolean"
+CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string, doc long, nth long, pos int, n int, digest long, expected boolean"
+BASE = np.uint64(0xD1342543DE82EF95)
+
+
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n - 1 of BASE and of its inverse, modulo 2^64."""
+    return tuple(np.cumprod(np.append(np.uint64(1), np.full(n - 1, b, np.uint64)), dtype=np.uint64) for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+
+
+def digests(sums: np.ndarray, at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of words, from the sums of word hashes times powers: equal runs have equal ones, wherever they stand."""
+    inverse = _powers(1 << max(0, len(sums) - 1).bit_length())[1]
+    return signed(mix((sums[at + words] - sums[at]) * inverse[at] + words.astype(np.uint64)))
+
+
+def word_sums(words: pa.Array) -> np.ndarray:
+    h = mix(hash_words(words) ^ np.uint64(0xA5A5A5A55A5A5A5A))
+    return np.append(np.zeros(1, np.uint64), np.cumsum(h * _powers(1 << max(0, len(h)).bit_length())[0][: len(h)], dtype=np.uint64))
+
+
+def _flat(column: pa.Array, *fields: str) -> tuple[np.ndarray, list[pa.Array]]:
+    """Of a column of lists of structs: each entry's row, and its fields."""
+    rows = np.repeat(np.arange(len(column)), np.asarray(pc.fill_null(pc.list_value_length(column), 0)))
+    flat = column.flatten()
+    return rows, [flat.field(f) for f in fields]
 
 
 def _cut(text_too: bool):
     """Each document without the words of its spans; and digests of the words of spans (expected, at the source coordinates) and of source coordinates that others ask for."""
-    names = [c.split()[0] for c in CUT.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            out: list[tuple] = []
-            for doc_id, doc, nth, text, spans, asked in zip(*(block[c].to_pylist() for c in ("doc_id", "doc", "nth", "text", "spans", "asked")), strict=True):
-                words = text.encode().split()
-                n = len(words)
-                digest = lambda a, k, words=words: xxhash.xxh3_128_digest(b" ".join(words[a : a + k + WINDOW - 1]))
-                out += [(None,) * 5 + (doc, nth, s["pos"], s["n"], digest(s["pos"], s["n"]), False) for s in asked or ()]
-                out += [(None,) * 5 + (s["src_doc"], s["src_nth"], s["src_pos"], s["n"], digest(s["pos"], s["n"]), True) for s in spans or () if s["src_pos"] is not None]
-                if spans:
-                    gone = np.zeros(n + 1, np.int64)
-                    for s in spans:
-                        gone[s["pos"]] += 1
-                        gone[s["pos"] + s["n"] + WINDOW - 1] -= 1
-                    keep = np.flatnonzero(np.cumsum(gone)[:n] == 0)
-                    words = [words[i] for i in keep.tolist()]
-                kept = b" ".join(words)
-                out.append((doc_id, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode() if text_too else None) + (None,) * 6)
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.binary(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        for block in blocks(batches, "text", EDGE_BYTES):
+            words, ends = split_words(one(block["text"]))
+            n, starts = np.diff(ends), ends[:-1]
+            row, (pos, size, sdoc, snth, spos) = _flat(one(block["spans"]), "pos", "n", "src_doc", "src_nth", "src_pos")
+            ask, (apos, asize) = _flat(one(block["asked"]), "pos", "n")
+            begin, length = starts[row] + np.asarray(pos, np.int64), np.asarray(size, np.int64) + WINDOW - 1
+            sourced = np.asarray(pc.is_valid(spos))
+            if sourced.any() or len(ask):
+                sums = word_sums(words)
+                have = np.asarray(apos, np.int64), np.asarray(asize, np.int64) + WINDOW - 1
+                # A span or a request that goes beyond its document has no words to compare.
+                fits = have[0] + have[1] <= n[ask]
+                doc, nth = (one(block[c]).take(pa.array(ask)) for c in ("doc", "nth"))
+                yield _digest_batch([doc, nth, apos, asize], digests(sums, starts[ask[fits]] + have[0][fits], have[1][fits]), False, pa.array(fits))
+                good = sourced & (begin + length <= ends[1:][row])
+                yield _digest_batch([sdoc, snth, spos, size], digests(sums, begin[good], length[good]), True, pa.array(good))
+            gone = np.zeros(len(words) + 1, np.int64)
+            np.add.at(gone, begin, 1)
+            np.add.at(gone, np.minimum(begin + length, ends[1:][row]), -1)
+            keep = np.cumsum(gone)[:-1] == 0
+            left = np.append(0, np.cumsum(keep))[ends]
+            lists = pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), words.filter(pa.array(keep)))
+            kept = pc.binary_join(lists, " ")
+            sha = [hashlib.sha256(t.as_buffer()).hexdigest() for t in kept.cast(pa.binary())]
+            none = lambda k: pa.nulls(len(n), k)
+            cols = [one(block["doc_id"]), pa.array(n), pa.array(n - np.diff(left)), pa.array(sha, pa.string()), kept.cast(pa.string()) if text_too else none(pa.string())]
+            yield pa.RecordBatch.from_arrays([*cols, *map(none, _KINDS[5:])], _NAMES)
 
     return run
 
 
+_NAMES = [c.split()[0] for c in CUT.split(", ")]
+_KINDS = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.int32()] * 2 + [pa.int64(), pa.bool_()]
+
+
+def _digest_batch(keys: list[pa.Array], digest: np.ndarray, expected: bool, some: pa.Array) -> pa.RecordBatch:
+    keys = [k.filter(some) for k in keys]
+    return pa.RecordBatch.from_arrays([*(pa.nulls(len(digest), k) for k in _KINDS[:5]), *keys, pa.array(digest), pa.array(np.full(len(digest), expected))], _NAMES)
+
+
 def _cut_documents(docs: DataFrame, spans: DataFrame, tables: Tables, name: str, text_too: bool) -> DataFrame:
     own = spans.groupBy("doc", "nth").agg(F.collect_list(F.struct("pos", "n", "src_doc", "src_nth", "src_pos")).alias("spans"), F.lit(None).cast("array<struct<pos:int,n:int>>").alias("asked"))
     ask = spans.filter("src_pos is not null").select(F.col("src_doc").alias("doc"), F.col("src_nth").alias("nth"), F.col("src_pos").alias("pos"), "n").distinct()
