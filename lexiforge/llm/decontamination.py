@@ -15,6 +15,8 @@ from .shared import Tables
 WORDS, PERCENT = 5, 80
 #: Sketch rows or candidate pairs up to which a side is broadcast; beyond, the same join shuffles.
 BROADCAST_ROWS = 500_000
+#: Bytes of all items' texts up to which they are broadcast.
+BROADCAST_BYTES = 8_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -67,7 +69,8 @@ def contaminated(docs: DataFrame, items: DataFrame, tables: Tables, percent: int
     """
     docs, items = docs.select("doc_id", "text").filter("doc_id is not null"), items.select("item_id", "text").filter("item_id is not null")
     index = tables.put(sketches(items, percent), "sketches")
-    bounded = index.count() <= BROADCAST_ROWS
+    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    bounded = index.count() <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     probes = _hashed(docs, "doc_id").select("doc_id", F.size("_s").alias("_n"), F.explode_outer("_s").alias("_hash"))
     hits = probes.join(F.broadcast(index) if bounded else index, (F.col("_hash") == F.col("hash")) & (F.col("_n") >= F.col("least")))
     pairs = tables.put(hits.select("doc_id", "item_id").distinct(), "candidates")
@@ -83,8 +86,12 @@ def contaminated(docs: DataFrame, items: DataFrame, tables: Tables, percent: int
 
 
 def clean(docs: DataFrame, items: DataFrame, tables: Tables, percent: int = PERCENT) -> DataFrame:
-    """The documents that hold no test item, with all columns."""
-    return docs.join(contaminated(docs, items, tables, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no test item, with all columns. Each row goes or stays by its own text (by a hash of it), whatever its id; null and empty texts stay."""
+    texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").filter("text is not null")
+    found = tables.put(contaminated(texts, items, tables, percent).select(F.col("doc_id").alias("_held")).distinct(), "contaminated")
+    side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    rows = docs.select(F.struct("*").alias("_in"), F.when(F.col("text").isNotNull(), F.xxhash64("text")).alias("_text"))
+    return rows.join(side, F.col("_text") == F.col("_held"), "left_anti").select("_in.*")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

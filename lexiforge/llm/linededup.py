@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree.
 
-A line descends a tree of fixed depth: its token count, then its first tokens, in which a token with a digit is a wildcard. Its template at the leaf has wildcards for all such tokens. Lines of a leaf whose own template is rare are generalised together: positions at which no token is in half of the leaf's documents become wildcards, and a line belongs to that template if it agrees at its constants and these are most of the line. A template in enough documents recurs; its lines are dropped everywhere but in the first document that has it, so one copy of any content stays.
+A line descends a tree of fixed depth: its token count, then its first tokens, in which a token with a digit is a wildcard. Its own template at the leaf has wildcards for all such tokens. Templates of a leaf that share a whole segment of their other tokens form a group; a leaf has as many groups as its lines have such segments. There is one segment more than tokens may differ, so two templates that are similar enough share one; lines of 27 tokens and more have eight segments, so that a line of any length costs in proportion to it, and similar ones of these are missed if they differ in all eight. A group votes on each position, by documents: the token of more than half of them is a constant, any other a wildcard. A line whose tokens agree with enough of a group's constants belongs to the group's template. A template in enough documents recurs, be it a line's own or a group's; its lines are dropped everywhere but in the first document that has it, so one copy of any content stays.
 
 All steps are associative aggregations and joins; no task gathers a leaf.
 """
@@ -10,84 +10,112 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Tables
+from .shared import Tables, column_without_clash
 
-#: Leading tokens in the tree; documents in which a template recurs; tokens of a line that takes part; per cent of a line's tokens that a generalised template must hold constant.
+#: Leading tokens in the tree; documents in which a template recurs; tokens of a line that can be generalised; per cent of a line's tokens that must agree with a group's constants.
 DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT = 3, 3, 4, 70
-#: Documents with dropped lines, or recurring templates, up to which that side is broadcast; beyond, the same join shuffles.
+#: Segments of a line at most.
+SEGMENTS = 8
+#: Documents with dropped lines, or recurring templates, up to which that side is broadcast (16 to 100 bytes each); beyond, the same join shuffles.
 BROADCAST_ROWS = 200_000
 WILD = "<*>"
 
 
 def masked(line: Column) -> Column:
     """The line's tokens joined by one space, those with a digit as wildcards. Most lines need neither, and a search is cheaper than a replacement."""
-    tight = F.when(line.rlike(r"[\t-\r]|  |^ | $"), F.regexp_replace(F.regexp_replace(line, r"[ \t-\r]+", " "), r"^ | $", "")).otherwise(line)
+    loose = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for c in "\t\x0b\x0c\r":
+        loose = loose | F.contains(line, F.lit(c))
+    tight = F.when(loose, F.regexp_replace(F.regexp_replace(line, r"[ \t-\r]+", " "), r"^ | $", "")).otherwise(line)
     return F.when(line.rlike("[0-9]"), F.regexp_replace(tight, r"[^ ]*[0-9][^ ]*", WILD)).otherwise(tight)
 
 
-def _lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
-    """_doc, _row (a hash of the text, for rows that share an id), _no, _t (template), _k (its tokens), _leaf (a hash of count and leading tokens)."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """_doc, _row (a hash of the text, for rows that share an id), _no, _k (tokens of the template), _leaf (a hash of count and leading tokens), _a and _b (the template as two hashes, 128 bits), for lines with enough tokens or a letter."""
     rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_row"), F.posexplode(F.split("text", "\n")).alias("_no", "_line"))
     # explode() of one value: a filter on the template is then not pushed below the patterns, which would run again.
     rows = rows.select("_doc", "_row", "_no", F.explode(F.array(masked(F.col("_line")))).alias("_t"))
     rows = rows.withColumn("_k", F.length("_t") - F.length(F.replace("_t", F.lit(" "), F.lit(""))) + 1)
-    return rows.filter((F.col("_k") >= least) & ((F.col("_k") >= MIN_TOKENS) | F.col("_t").rlike(r"\p{L}"))).withColumn("_leaf", F.xxhash64("_k", F.substring_index("_t", " ", DEPTH)))
-
-
-def _keys() -> list[Column]:
-    """A template as two hashes, 128 bits."""
-    return [F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b")]
+    rows = rows.filter((F.col("_k") >= MIN_TOKENS) | F.col("_t").rlike(r"\p{L}"))
+    return rows.select("_doc", "_row", "_no", "_k", F.xxhash64("_k", F.substring_index("_t", " ", DEPTH)).alias("_leaf"), F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b"))
 
 
 def _side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _segments(words: Column, k: Column) -> Column:
+    """A line's segments behind its leading tokens: one more than tokens may differ, or a single empty one if all of these may."""
+    m, differ = k - DEPTH, F.least(F.floor(k * (100 - CONSTANT) / 100), F.lit(SEGMENTS - 1)).cast("int")
+    start = lambda s: F.floor((s * m + differ) / (differ + 1)).cast("int")  # noqa: E731  s * m / (differ + 1), rounded up
+    cut = F.transform(F.sequence(F.lit(0), differ), lambda s: F.concat_ws(" ", s.cast("string"), F.slice(words, start(s) + DEPTH + 1, start(s + 1) - start(s))))
+    return F.when(m > differ, cut).otherwise(F.array(F.lit("")))
+
+
+def _texts(docs: DataFrame, templates: DataFrame, tables: Tables) -> DataFrame:
+    """The templates with _w, their tokens, read from one line of each."""
+    at = templates.groupBy(F.col("_at._doc").alias("_d"), F.col("_at._row").alias("_r")).agg(F.collect_list(F.struct(F.col("_at._no").alias("_no"), "_k", "_leaf", "_a", "_b", "_docs", "_first")).alias("_want"))
+    at = tables.put(at, "wanted")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_row"), F.col("text").alias("_text"))
+    # Rows that repeat an id and text give a template's tokens once each.
+    rows = rows.join(_side(at), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select(F.split("_text", "\n").alias("_all"), F.explode("_want").alias("_x"))
+    rows = rows.select("_x.*", F.explode(F.array(F.get("_all", F.col("_x._no")))).alias("_line"))
+    return rows.select("_k", "_leaf", "_a", "_b", "_docs", "_first", F.split(masked(F.col("_line")), " ").alias("_w")).dropDuplicates(["_a", "_b"])
+
+
 def recurring(docs: DataFrame, lines: DataFrame, tables: Tables) -> DataFrame:
-    """_a, _b and _first of each template whose lines are dropped: those that recur as they are, and those that a generalised template takes."""
-    by_doc = lines.groupBy("_k", "_leaf", "_a", "_b", "_doc").agg(F.count("*").alias("_c"))
-    templates = by_doc.groupBy("_k", "_leaf", "_a", "_b").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first"))
-    templates = tables.put(templates, "templates")
+    """_a, _b and _first of each template whose lines are dropped: those that recur as they are, and those that a group's template takes."""
+    by_doc = lines.groupBy("_k", "_leaf", "_a", "_b", "_doc").agg(F.min(F.struct("_row", "_no")).alias("_in"))
+    at = F.struct("_doc", F.col("_in._row").alias("_row"), F.col("_in._no").alias("_no"))
+    templates = tables.put(by_doc.groupBy("_k", "_leaf", "_a", "_b").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first"), F.min(at).alias("_at")), "templates")
     own = templates.filter(F.col("_docs") >= MIN_DOCS).select("_a", "_b", "_first")
-    # A leaf with fewer documents than MIN_DOCS cannot hold a recurring template, so only few lines go on as text.
-    rare = templates.filter((F.col("_docs") < MIN_DOCS) & (F.col("_k") >= MIN_TOKENS))
-    leaves = tables.put(rare.groupBy("_k", "_leaf").agg(F.sum("_docs").alias("_n")).filter(F.col("_n") >= MIN_DOCS), "leaves")
-    texts = _lines(docs).join(_side(leaves), ["_k", "_leaf"]).groupBy("_k", "_leaf", "_n", "_t", "_doc").agg(F.count("*").alias("_c"))
-    texts = texts.groupBy("_k", "_leaf", "_n", "_t").agg(F.count("*").alias("_docs"), F.min("_doc").alias("_first"))
-    rare = tables.put(texts.filter(F.col("_docs") < MIN_DOCS), "rare")
-    tokens = rare.select("_k", "_leaf", "_n", "_docs", F.posexplode(F.split("_t", " ")).alias("_p", "_w"))
-    seen = tokens.groupBy("_k", "_leaf", "_n", "_p", "_w").agg(F.sum("_docs").alias("_s"))
-    constants = seen.filter((F.col("_s") * 2 > F.col("_n")) & (F.col("_w") != WILD))
-    shapes = constants.groupBy("_k", "_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_w"))).alias("_map"))
-    shapes = shapes.filter(F.size("_map") * 100 >= F.col("_k") * CONSTANT)
-    fits = F.forall(F.map_entries("_map"), lambda e: F.get(F.split("_t", " "), e["key"]) == e["value"])
-    taken = rare.join(shapes, ["_k", "_leaf"]).filter(fits)
-    enough = taken.groupBy("_k", "_leaf").agg(F.sum("_docs").alias("_all"), F.min("_first").alias("_leaf_first")).filter(F.col("_all") >= MIN_DOCS)
-    wide = taken.join(enough, ["_k", "_leaf"]).select(*_keys(), F.col("_leaf_first").alias("_first"))
-    return tables.put(own.unionByName(wide), "recurring")
-
-
-def dropped_lines(docs: DataFrame, tables: Tables, least: int = MIN_TOKENS) -> DataFrame:
+    long = templates.filter(F.col("_k") >= MIN_TOKENS)
+    # Only leaves with several templates, in enough documents, can have a group whose template recurs.
+    leaves = tables.put(long.groupBy("_k", "_leaf").agg(F.sum("_docs").alias("_n"), F.count("*").alias("_kinds")).filter((F.col("_n") >= MIN_DOCS) & (F.col("_kinds") > 1)).select("_k", "_leaf"), "leaves")
+    texts = _texts(docs, long.join(_side(leaves), ["_k", "_leaf"], "left_semi"), tables)
+    keyed = texts.select("*", F.explode(_segments(F.col("_w"), F.col("_k"))).alias("_s")).select("_k", "_a", "_b", "_docs", "_first", "_w", F.xxhash64("_leaf", "_s").alias("_key"))
+    keyed = tables.put(keyed, "keyed")
+    groups = keyed.groupBy("_key").agg(F.sum("_docs").alias("_n"), F.count("*").alias("_kinds")).filter((F.col("_n") >= MIN_DOCS) & (F.col("_kinds") > 1)).select("_key", "_n")
+    members = tables.put(keyed.join(groups, "_key"), "members")
+    votes = members.select("_key", "_n", "_docs", F.posexplode("_w").alias("_p", "_word")).groupBy("_key", "_n", "_p", "_word").agg(F.sum("_docs").alias("_v"))
+    most = votes.groupBy("_key", "_p").agg(F.max(F.when((F.col("_v") * 2 > F.col("_n")) & (F.col("_word") != WILD), F.col("_word"))).alias("_c"))
+    shapes = most.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_c"))), lambda x: x["_c"]).alias("_shape"))
+    agree = F.size(F.filter(F.arrays_zip(F.col("_w").alias("w"), F.col("_shape").alias("c")), lambda x: x["w"] == x["c"]))
+    taken = members.join(shapes, "_key").filter(agree * 100 >= F.col("_k") * CONSTANT).select("_key", "_a", "_b", "_docs", "_first")
+    enough = taken.groupBy("_key").agg(F.sum("_docs").alias("_all"), F.min("_first").alias("_group_first")).filter(F.col("_all") >= MIN_DOCS)
+    wide = taken.join(enough, "_key").select("_a", "_b", F.col("_group_first").alias("_first"))
+    # A template that recurs as it is keeps the line of its own first document; of several groups, the earliest counts.
+    return tables.put(wide.groupBy("_a", "_b").agg(F.min("_first").alias("_first")).join(own, ["_a", "_b"], "left_anti").unionByName(own), "recurring")
+
+
+def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     """_doc, _row and _drop, the sorted numbers (from 0) of lines to drop, for each document with any."""
-    lines = tables.put(_lines(docs, least).select("_doc", "_row", "_no", "_k", "_leaf", *_keys()), "lines")
+    lines = tables.put(_lines(docs), "lines")
     found = _side(recurring(docs, lines, tables))
     hits = lines.select("_doc", "_row", "_no", "_a", "_b").join(found, ["_a", "_b"]).filter(~F.col("_doc").eqNullSafe(F.col("_first")))
     return hits.groupBy("_doc", "_row").agg(F.array_sort(F.collect_set("_no")).alias("_drop"))
 
 
-def dedup_lines(docs: DataFrame, tables: Tables, least: int = MIN_TOKENS) -> DataFrame:
-    """The documents with recurring lines dropped, with n_lines, n_dropped and all columns; n_chars follows the text if there is such a column.
+def count_columns(docs: DataFrame) -> tuple[str, str]:
+    """The names that the numbers of lines and of dropped lines have: n_lines and n_dropped, with underscores before where docs has such columns."""
+    return column_without_clash(docs, "n_lines"), column_without_clash(docs, "n_dropped")
+
+
+def dedup_lines(docs: DataFrame, tables: Tables) -> DataFrame:
+    """The documents with recurring lines dropped: all columns, then the numbers of lines and of dropped lines (see count_columns); n_chars follows the text if there is such a column.
 
-    A null text stays null with 0 lines; an empty text is one empty line. Lines of fewer than `least` tokens stay; those below MIN_TOKENS take part with their own template only, and only if it has a letter. Rows of one id and text are one document; a null id is an id of its own, which is never first. A document that loses every line has an empty text. An empty table gives no rows.
+    A null text stays null with 0 lines; an empty text is one empty line. Lines of fewer than MIN_TOKENS tokens take part with their own template only, and only if it has a letter. Rows of one id and text are one document; a null id is an id of its own, which is never first. A document that loses every line has an empty text. An empty table gives no rows.
     """
-    drops = tables.put(dropped_lines(docs, tables, least), "dropped")
-    side = _side(drops)
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    rows = rows.join(side, rows["doc_id"].eqNullSafe(side["_doc"]) & (rows["_th"] == side["_row"]), "left")
-    kept = F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("_drop"), i))
-    text = F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = rows.select(*[c for c in docs.columns if c not in ("text", "n_chars", "n_lines", "n_dropped")], text.alias("text"), F.coalesce(F.size(F.split(docs["text"], "\n")), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).alias("n_dropped"), *([F.length(text).cast("long").alias("n_chars")] if "n_chars" in docs.columns else []))
-    return out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines"))).withColumn("n_dropped", F.greatest("n_dropped", F.lit(0)))
+    drops = tables.put(dropped_lines(docs.select("doc_id", "text"), tables), "dropped")
+    rows = docs.select(F.struct("*").alias("_in"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    rows = rows.join(_side(drops), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
+    before, lines = F.col("_in.text"), F.split("_in.text", "\n")
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i))
+    text = F.when(F.col("_drop").isNull(), before).otherwise(F.array_join(kept, "\n"))
+    new = {"text": text} | ({"n_chars": F.length(text).cast("long")} if "n_chars" in docs.columns else {})
+    out = [new.get(c, F.col("_in").getField(c)).alias(c) for c in docs.columns]
+    n_lines, n_dropped = count_columns(docs)
+    return rows.select(*out, F.when(before.isNull(), 0).otherwise(F.size(lines)).alias(n_lines), F.greatest(F.coalesce(F.size("_drop"), F.lit(0)), F.lit(0)).alias(n_dropped))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,24 +130,31 @@ WITH l AS (
   SELECT doc_id, no, line, regexp_replace(regexp_replace(regexp_replace(line, '[ \t-\r]+', ' ', 'g'), '^ | $', '', 'g'), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS t FROM l
 ), x AS (
   SELECT doc_id, no, line, t, len(string_split(t, ' ')) AS k, array_to_string(string_split(t, ' ')[1:3], ' ') AS lead FROM m
-), tpl AS (
-  SELECT k, lead, t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM x WHERE k >= 4 GROUP BY k, lead, t
+), tpl AS MATERIALIZED (
+  SELECT k, lead, t, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM x WHERE k >= 4 OR regexp_matches(t, '\p{L}') GROUP BY k, lead, t
 ), leaf AS (
-  SELECT k, lead, sum(docs) AS n FROM tpl WHERE docs < 3 GROUP BY k, lead HAVING sum(docs) >= 3
-), rare AS (SELECT tpl.*, leaf.n FROM tpl JOIN leaf USING (k, lead) WHERE docs < 3),
-tok AS (
-  SELECT k, lead, n, docs, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS p FROM rare
+  SELECT k, lead FROM tpl WHERE k >= 4 GROUP BY k, lead HAVING sum(docs) >= 3 AND count(*) > 1
+), cand AS (
+  SELECT k, lead, t, docs, first, string_split(t, ' ') AS w, k - 3 AS m, least(k * 30 // 100, 7) AS d FROM tpl JOIN leaf USING (k, lead)
+), seg AS (
+  SELECT k, lead, t, docs, first, w, m, d, unnest(range(0, CASE WHEN m > d THEN d + 1 ELSE 1 END)) AS s FROM cand
+), keyed AS MATERIALIZED (
+  SELECT k, lead, t, docs, first, w, s, CASE WHEN m > d THEN array_to_string(w[4 + (s * m + d) // (d + 1):3 + ((s + 1) * m + d) // (d + 1)], ' ') ELSE '' END AS part FROM seg
+), grp AS (
+  SELECT k, lead, s, part, sum(docs) AS n FROM keyed GROUP BY k, lead, s, part HAVING sum(docs) >= 3 AND count(*) > 1
+), member AS MATERIALIZED (SELECT keyed.*, n FROM keyed JOIN grp USING (k, lead, s, part)),
+word AS MATERIALIZED (
+  SELECT k, lead, s, part, n, t, docs, first, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM member
 ), const AS (
-  SELECT k, lead, p, w FROM tok WHERE w <> '<*>' GROUP BY k, lead, n, p, w HAVING sum(docs) * 2 > n
-), shape AS (SELECT k, lead, count(*) AS c FROM const GROUP BY k, lead HAVING count(*) * 100 >= k * 70),
-taken AS (
-  SELECT rare.k, rare.lead, rare.t, any_value(docs) AS docs, any_value(first) AS first
-  FROM rare JOIN shape USING (k, lead) JOIN const USING (k, lead) GROUP BY rare.k, rare.lead, rare.t
-  HAVING bool_and(string_split(rare.t, ' ')[const.p] = const.w)
-), enough AS (SELECT k, lead, min(first) AS leaf_first FROM taken GROUP BY k, lead HAVING sum(docs) >= 3),
+  SELECT k, lead, s, part, p, word FROM word WHERE word <> '<*>' GROUP BY k, lead, s, part, n, p, word HAVING sum(docs) * 2 > n
+), taken AS MATERIALIZED (
+  SELECT k, lead, s, part, t, any_value(docs) AS docs, any_value(first) AS first
+  FROM word JOIN const USING (k, lead, s, part, p, word) GROUP BY k, lead, s, part, t HAVING count(*) * 100 >= k * 70
+), enough AS (SELECT k, lead, s, part, min(first) AS group_first FROM taken GROUP BY k, lead, s, part HAVING sum(docs) >= 3),
+wide AS (SELECT t, min(group_first) AS first FROM taken JOIN enough USING (k, lead, s, part) GROUP BY t),
 rec AS (
   SELECT t, first FROM tpl WHERE docs >= 3
-  UNION ALL SELECT t, leaf_first FROM taken JOIN enough USING (k, lead)
+  UNION ALL SELECT wide.t, wide.first FROM wide WHERE t NOT IN (SELECT t FROM tpl WHERE docs >= 3)
 ), y AS (SELECT x.*, rec.t IS NOT NULL AND x.doc_id <> rec.first AS gone FROM x LEFT JOIN rec USING (t))
 SELECT doc_id, CAST(count(*) AS INTEGER) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS n_dropped,
   md5(coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE NOT gone), '')) AS kept_md5

@@ -18,10 +18,20 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, DOCS)
 
 
+def helper_names():
+    """The names of columns that the operators make for themselves, from their code."""
+    import pathlib
+    import re
+
+    import lexiforge.llm
+
+    top = pathlib.Path(lexiforge.llm.__file__).parent
+    return sorted({n for f in top.glob("*.py") for n in re.findall(r"[\"'.](_[a-z][a-z_0-9]*)[\"']", f.read_text())})
+
+
 def with_clashes(df):
-    """The table with more columns, of names that operators may use themselves."""
+    """The table with more columns, of names that operators use themselves."""
     from pyspark.sql import functions as F
 
-    for c in ("part", "shard", "slot", "words", "n", "_n", "key", "size", "bucket", "_bucket", "score", "rank", "line_no", "item_id", "class", "component_id", "value", "pos"):
-        df = df.withColumn(c, F.lit(1))
-    return df
+    names = ["part", "shard", "slot", "words", "n", "key", "size", "bucket", "score", "rank", "line_no", "item_id", "class", "component_id", "value", "pos", "doc", "nth", "spans", "asked", "entry", "comp", "token", "law", "start", "piece", "length", "fill", "members", "mix", "sequence_id", "n_lines", "n_dropped", "n_words", "held_out", "predicted", "y", "digest", "kind", "data", "s", "t"]
+    return df.select("*", *[F.lit(1).alias(c) for c in [*names, *helper_names()] if c not in df.columns])
