@@ -7,16 +7,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiforge.llm import decontamination, jaccard, linededup, packing, quality, tokens
 from lexiforge.llm.shared import Tables, column_without_clash
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go. It learns from the labelled rows of this stage's documents."""
+    """Documents that the quality classifier rejects go. It learns from the labelled rows of this stage's documents.
+
+    Null and empty texts get the constant's score, repeated rows equal ones; without labels every score is 0.5 and all stay. A null id is scored and never learned from. Other columns pass unread. An empty table gives an empty one.
+    """
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), quality.remainder(3, 1))
     score = column_without_clash(docs, "score")
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema)}, `{score}` double"
 
     def run(batches):
         import pyarrow as pa
@@ -29,27 +32,39 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 s = quality.score_texts(weights, text.slice(at, 256))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, score])
 
-    return docs.mapInArrow(run, schema).filter(F.col(score) >= 0.5).select(*docs.columns)
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())])).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines of any length go; so do documents that had words and have none left."""
-    out = linededup.dedup_lines(docs, Tables(spark), least=1)
-    return out.filter(~((F.col("n_dropped") > 0) & (F.col("text") == ""))).select(*docs.columns)
+    """Recurring lines go; so do documents that lose lines and have no text left.
+
+    Null and empty texts stay as they are. Rows of one id and text keep or lose the same lines; lines of a null id are never first. n_chars follows the text; other columns pass. An empty table gives an empty one.
+    """
+    out = linededup.dedup_lines(docs, Tables(spark))
+    return out.filter(~((F.col(linededup.count_columns(docs)[1]) > 0) & (F.col("text") == ""))).select(*docs.columns)
 
 
 def duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one of the smallest id.
+
+    Null and empty texts are linked with nothing and stay. Rows that repeat that id stay together, and so do rows of a null id. Other columns pass. An empty table gives an empty one.
+    """
     return jaccard.keep_one(docs, Tables(spark))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, each row by its own text, whatever its id.
+
+    Null and empty texts hold nothing and stay, unless they are all that an item has (an empty item is held by none). Other columns pass. An empty table gives an empty one.
+    """
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), Tables(spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All that is left, packed: a row for each piece."""
+    """All that is left, packed: a row for each piece.
+
+    A null text is an empty one, which is one piece of the end id alone. Rows of one id are packed each by itself; a null id keeps its place as null. Other columns play no part. An empty table gives no piece.
+    """
     return packing.pack(docs, tokens.tokenizer_path("byte_bpe_50k.json"), Tables(spark))
 
 
