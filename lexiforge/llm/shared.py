@@ -28,6 +28,7 @@ try:
     _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD, fixed: the memory of large arrays goes back as soon as they are freed
 except (OSError, AttributeError):  # another C library: memory goes back when that one likes
     _libc = None
+pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own keeps what it has freed
 
 
 def release() -> None:
@@ -115,6 +116,7 @@ def blocks(batches, column: str, most: int = BLOCK_BYTES):
             if stop < len(ends) or size >= most:
                 yield pa.Table.from_batches(held).combine_chunks()
                 held, size = [], 0
+                release()
             start = stop
     if held:
         yield pa.Table.from_batches(held).combine_chunks()

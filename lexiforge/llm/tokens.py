@@ -1,6 +1,6 @@
 """Encoding with public tokenizers, many texts at once.
 
-Both vocabularies split texts at ASCII spaces before they merge bytes, so the ids of a text are those of its pieces in order. The library encodes each distinct piece of a block once, and a worker keeps some of them for its next blocks. Texts in which a cut at a space could matter (runs of white space, other Unicode spaces, the string of an added token) go to the library whole. Tests hold the ids against the library's own.
+Both vocabularies split texts at ASCII spaces before they merge bytes, so the ids of a text are those of its pieces in order. The library encodes each distinct piece of a block once, many of them in one string (calls and long strings cost it more than the merges), and a worker keeps some for its next blocks. Where a piece's ids end in such a string is told by the ids: in one vocabulary by pieces that begin with the space, in the other by a control character set between pieces. Texts in which a cut at a space could matter (runs of white space, other Unicode spaces, the string of an added token) go to the library whole. Tests hold the ids against the library's own.
 """
 
 from __future__ import annotations
@@ -14,12 +14,13 @@ import pyarrow.compute as pc
 import regex
 
 END_ID = 2
-#: A text with one of these is encoded whole: white space next to a space, or white space outside ASCII.
-_ODD = r"(^|[\x09-\x0D ])[\x09-\x0D ]|[\x09-\x0D ]$|[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+#: A text with one of these is encoded whole: white space next to a space, white space outside ASCII, or the mark.
+_ODD = r"\x01|(^|[\x09-\x0D ])[\x09-\x0D ]|[\x09-\x0D ]$|[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 #: Pieces whose ids a worker keeps between blocks; none of them is longer than KEEP_BYTES.
-KEEP, KEEP_BYTES = 400_000, 64
-#: Text bytes that a worker encodes at once.
-ENCODE_BYTES = 8_000_000
+KEEP, KEEP_BYTES = 200_000, 64
+#: Text bytes that a worker encodes at once; pieces in one string.
+ENCODE_BYTES, TOGETHER = 4_000_000, 64
+MARK = "\x01"
 _loaded: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -41,6 +42,14 @@ class Encoder:
         # Any case: a vocabulary may look for its added tokens in normalised text.
         added = [regex.sub(r"([^\w\s])", r"\\\1", t.content) for t in self.library.get_added_tokens_decoder().values()]
         self.whole = "|".join([_ODD, *(f"(?i:{a})" for a in added)])
+        # Ids of pieces that begin with a space, if the vocabulary writes it; else the id of the mark.
+        plain = self.library.encode(" a b", add_special_tokens=False)
+        vocabulary = self.library.get_vocab()
+        if len(plain.ids) == 2 and all(t.startswith("Ġ") for t in plain.tokens):
+            self.begins, self.mark = np.zeros(max(vocabulary.values()) + 1, bool), None
+            self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
+        else:
+            (self.mark,) = self.library.encode(f"a {MARK} b", add_special_tokens=False).ids[1:-1]
         self.known: tuple = (pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +61,31 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
+    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces that follow a space, and how many each has. No piece has white space at an end, or the mark."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(pieces), TOGETHER * 64):
+            some = pieces[i : i + TOGETHER * 64]
+            if self.mark is None:
+                got, _ = self.texts([f" {' '.join(some[j : j + TOGETHER])}" for j in range(0, len(some), TOGETHER)])
+                size = np.diff(np.append(np.flatnonzero(self.begins[got]), len(got)))
+            else:
+                got, _ = self.texts([f"{f' {MARK} '.join(some[j : j + TOGETHER])} {MARK}" for j in range(0, len(some), TOGETHER)])
+                marks = got == self.mark
+                size = np.diff(np.append(-1, np.flatnonzero(marks))) - 1
+                got = got[~marks]
+            if len(size) != len(some) or size.sum() != len(got):
+                got, size = self.texts([f" {x}" for x in some])
+            ids.append(got)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and sizes of pieces that follow a space, and the number of each piece among them."""
         known, values, sizes = self.known
         found = pc.index_in(pieces, value_set=known)
         new = pieces.filter(pc.is_null(found))
-        a, na = self.texts([f" {x}" for x in new.to_pylist()])
+        a, na = self.pieces(new.to_pylist())
         at = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
         at[at < 0] = len(known) + np.arange(len(new))
         values, sizes = np.concatenate((values, a)), np.concatenate((sizes, na))
