@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import blocks, crc32_of_id, one
+from .shared import blocks, crc32_of_id, one, release, small_batches
 
 
 class Ftrl:
@@ -79,8 +79,11 @@ def fit_in_one_task(rows: DataFrame, train: Callable[[list[tuple[np.ndarray, np.
         got.sort(key=lambda r: (hash((r[0], 17)), r[1]))
         data = [(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), y) for _, at, x, y in got]
         yield pa.RecordBatch.from_arrays([pa.array([train(data).astype(np.float32).tobytes()], pa.binary())], ["w"])
+        del got, data
+        release()
 
-    found = rows.repartition(1).mapInArrow(run, "w binary").collect()
+    with small_batches(rows.sparkSession):
+        found = rows.repartition(1).mapInArrow(run, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float32) if found else np.zeros(0, np.float32)
 
 

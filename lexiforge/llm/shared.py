@@ -58,8 +58,8 @@ class Tables:
         self.spark, self.top = spark, f"{shared_dir(spark)}/lexiforge-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        # The step's shuffle files go when it ends, not when the driver happens to collect its garbage; batches to Python workers are bounded by bytes.
-        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), setting(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        # The step's shuffle files go when it ends, not when the driver happens to collect its garbage.
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"), small_batches(self.spark):
             df.select("*").write.options(**options).parquet(f"{self.top}/{name}")
         return self.get(name, df)
 
@@ -84,6 +84,11 @@ def setting(spark: SparkSession, key: str, value: str):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def small_batches(spark: SparkSession):
+    """Batches to Python workers are bounded by bytes in the queries that are started inside."""
+    return setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def column_without_clash(df: DataFrame, name: str) -> str:
     """A name that df has no column of."""
     taken = {c.lower() for c in df.columns}

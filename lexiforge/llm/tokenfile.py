@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import tokens
-from .shared import Tables, blocks, one
+from .shared import Tables, blocks, one, small_batches
 
 WRITE = {
     "compression": "zstd",
@@ -50,7 +50,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, parts: int | None =
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    rows.mapInArrow(_encoder(tokenizer), SCHEMA).write.options(**WRITE).parquet(path)
+    with small_batches(spark):
+        rows.mapInArrow(_encoder(tokenizer), SCHEMA).write.options(**WRITE).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
