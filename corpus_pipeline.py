@@ -32,7 +32,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 s = quality.score_texts(weights, text.slice(at, 256))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s)], [*part.schema.names, score])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())])).filter(F.col(score) >= 0.5).select(*docs.columns)
+    # A table of its own, as put() bounds the batches that workers get.
+    scored = Tables(spark).put(docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(score, DoubleType())])).filter(F.col(score) >= 0.5), "scored")
+    return scored.select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
