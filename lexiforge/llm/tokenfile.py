@@ -28,12 +28,15 @@ WRITE = {
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
+#: Text bytes that a worker encodes at once, and pieces that it keeps.
+ENCODE_BYTES, KEEP = 10_000_000, 600_000
 SCHEMA = "part int, doc_id long, n_tokens int, ids array<int>"
 
 
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", tokens.ENCODE_BYTES):
+        tokens.load(path).keep = KEEP
+        for block in blocks(batches, "text", ENCODE_BYTES):
             ids, ends = tokens.encode(path, one(block["text"]))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
             yield pa.RecordBatch.from_arrays([one(block["part"]), one(block["doc_id"]), pa.array(np.diff(ends).astype(np.int32)), lists], ["part", "doc_id", "n_tokens", "ids"])

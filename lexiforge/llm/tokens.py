@@ -1,6 +1,6 @@
 """Encoding with public tokenizers, many texts at once.
 
-Both vocabularies split texts at ASCII spaces before they merge bytes, so the ids of a text are those of its pieces in order. The library encodes each distinct piece of a block once, many of them in one string (calls and long strings cost it more than the merges), and a worker keeps some for its next blocks. Where a piece's ids end in such a string is told by the ids: in one vocabulary by pieces that begin with the space, in the other by a control character set between pieces. Texts in which a cut at a space could matter (runs of white space, other Unicode spaces, the string of an added token) go to the library whole. Tests hold the ids against the library's own.
+Both vocabularies split texts at ASCII spaces before they merge bytes, so the ids of a text are those of its pieces in order. The library encodes each distinct piece of a block once, many of them in one string (calls and long strings cost it more than the merges), and a worker keeps some for its next blocks. Where a piece's ids end in such a string is told by the ids: in one vocabulary by pieces that begin with the space, in the other by tokens that end a word, for pieces that are a word with or without a stop or comma, and for the rest by a control character set between pieces. Texts in which a cut at a space could matter (runs of white space, other Unicode spaces, the string of an added token) go to the library whole. Tests hold the ids against the library's own.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ KEEP, KEEP_BYTES = 200_000, 64
 #: Text bytes that a worker encodes at once; pieces in one string.
 ENCODE_BYTES, TOGETHER = 4_000_000, 64
 MARK = "\x01"
+#: Pieces of one word, or of two with the stop or comma.
+_SIMPLE = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,]?$"
 _loaded: dict[tuple[str, bool], Encoder] = {}
 
 
@@ -46,10 +48,15 @@ class Encoder:
         plain = self.library.encode(" a b", add_special_tokens=False)
         vocabulary = self.library.get_vocab()
         if len(plain.ids) == 2 and all(t.startswith("Ġ") for t in plain.tokens):
+            self.space = " "
             self.begins, self.mark = np.zeros(max(vocabulary.values()) + 1, bool), None
             self.begins[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         else:
+            self.space = ""
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
             (self.mark,) = self.library.encode(f"a {MARK} b", add_special_tokens=False).ids[1:-1]
+        self.keep = KEEP
         self.known: tuple = (pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,20 +68,42 @@ class Encoder:
             ids.append(np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes[-1].sum())))
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
 
-    def pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, pieces: list[str], between: str, after: str = "") -> np.ndarray:
+        return self.texts([f"{self.space}{between.join(pieces[j : j + TOGETHER])}{after}" for j in range(0, len(pieces), TOGETHER)])[0]
+
+    def _beginning(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._joined(pieces, " ")
+        return ids, np.diff(np.append(np.flatnonzero(self.begins[ids]), len(ids)))
+
+    def _simple(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._joined(pieces, " ")
+        words = np.fromiter((1 + (x[-1] in ".,") for x in pieces), np.int64, len(pieces))
+        ends, last = np.flatnonzero(self.ends[ids]), np.cumsum(words) - 1
+        return ids, np.diff(np.append(-1, ends[last])) if len(ends) == words.sum() else words[:0]
+
+    def _marked(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._joined(pieces, f" {MARK} ", f" {MARK}")
+        marks = ids == self.mark
+        return ids[~marks], np.diff(np.append(-1, np.flatnonzero(marks))) - 1
+
+    def pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces that follow a space, and how many each has. No piece has white space at an end, or the mark."""
+        if self.mark is None:
+            return self._by(self._beginning, pieces.to_pylist())
+        simple = np.asarray(pc.match_substring_regex(pieces, _SIMPLE))
+        a, na = self._by(self._simple, pieces.filter(pa.array(simple)).to_pylist())
+        b, nb = self._by(self._marked, pieces.filter(pa.array(~simple)).to_pylist())
+        at = np.argsort(np.concatenate((np.flatnonzero(simple), np.flatnonzero(~simple))))
+        lists = _lists(np.concatenate((a, b)), np.concatenate((na, nb))).take(pa.array(at))
+        return np.asarray(lists.flatten()), np.asarray(pc.list_value_length(lists), dtype=np.int64)
+
+    def _by(self, how, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Some pieces at a time; each by itself where the ids of a string do not fall into as many parts."""
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(pieces), TOGETHER * 64):
             some = pieces[i : i + TOGETHER * 64]
-            if self.mark is None:
-                got, _ = self.texts([f" {' '.join(some[j : j + TOGETHER])}" for j in range(0, len(some), TOGETHER)])
-                size = np.diff(np.append(np.flatnonzero(self.begins[got]), len(got)))
-            else:
-                got, _ = self.texts([f"{f' {MARK} '.join(some[j : j + TOGETHER])} {MARK}" for j in range(0, len(some), TOGETHER)])
-                marks = got == self.mark
-                size = np.diff(np.append(-1, np.flatnonzero(marks))) - 1
-                got = got[~marks]
-            if len(size) != len(some) or size.sum() != len(got):
+            got, size = how(some)
+            if len(size) != len(some) or size.sum() != len(got) or (size < 1).any():
                 got, size = self.texts([f" {x}" for x in some])
             ids.append(got)
             sizes.append(size)
@@ -85,13 +114,13 @@ class Encoder:
         known, values, sizes = self.known
         found = pc.index_in(pieces, value_set=known)
         new = pieces.filter(pc.is_null(found))
-        a, na = self.pieces(new.to_pylist())
+        a, na = self.pieces(new.cast(pa.string()))
         at = np.asarray(pc.fill_null(found, -1)).astype(np.int64)
         at[at < 0] = len(known) + np.arange(len(new))
         values, sizes = np.concatenate((values, a)), np.concatenate((sizes, na))
-        if len(known) + len(new) <= KEEP and (not len(new) or pc.max(pc.binary_length(new)).as_py() <= KEEP_BYTES):
+        if len(known) + len(new) <= self.keep and (not len(new) or pc.max(pc.binary_length(new)).as_py() <= KEEP_BYTES):
             self.known = (pa.concat_arrays([known, new.cast(pa.string())]), values, sizes)
-        elif len(pieces) <= KEEP:  # what this block has, from now on
+        elif len(pieces) <= self.keep:  # what this block has, from now on
             some = np.asarray(pc.less_equal(pc.binary_length(pieces), KEEP_BYTES))
             kept = _lists(values, sizes).take(pa.array(at[some]))
             self.known = (pieces.filter(pa.array(some)).cast(pa.string()), np.asarray(kept.flatten()), np.asarray(pc.list_value_length(kept), dtype=np.int64))

@@ -48,6 +48,7 @@ def test_hard_texts(file):
 @pytest.mark.parametrize("keep", [0, 3, 60])
 def test_known_pieces_do_not_matter(keep, monkeypatch):
     monkeypatch.setattr(tokens, "KEEP", keep)
+    monkeypatch.setattr(tokens, "TOGETHER", 5)
     monkeypatch.setattr(tokens, "KEEP_BYTES", 6)
     monkeypatch.setattr(tokens, "_loaded", {})
     path = tokens.tokenizer_path(FILES[0])
