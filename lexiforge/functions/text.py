@@ -2,13 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lang
 
 _WS = r"(?U)\s+"
-_MARKS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY")
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters that are one base character with marks (Latin, Greek, Cyrillic), and their base characters."""
+    found = []
+    for c in map(chr, (*range(0xC0, 0x530), *range(0x1E00, 0x2000))):
+        base = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if base != c and len(base) == 1:
+            found.append((c, base))
+    return "".join(c for c, _ in found), "".join(b for _, b in found)
+
+
+_MARKS = _plain_letters()
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once a row, however often it is used: explode() of one value keeps the optimizer from writing the expression out again at each use."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -46,28 +65,31 @@ def hits(words: Column, lexicon: tuple[str, ...]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(*lexicon))).cast("bigint")
 
 
-def foreign_hits(text: Column, p: lang.Profile = lang.DEFAULT) -> Column:
-    return hits(word_runs(text), p.foreign)
+# The gates take a text, or its word_runs as `runs` where several of them look at one text.
 
 
-def own_hits(text: Column, p: lang.Profile = lang.DEFAULT) -> Column:
-    return hits(F.transform(word_runs(text), F.lower), p.own)
+def foreign_hits(text: Column, p: lang.Profile = lang.DEFAULT, runs: Column | None = None) -> Column:
+    return hits(word_runs(text) if runs is None else runs, p.foreign)
 
 
-def n_runs(text: Column) -> Column:
-    return F.size(word_runs(text)).cast("bigint")
+def own_hits(text: Column, p: lang.Profile = lang.DEFAULT, runs: Column | None = None) -> Column:
+    return hits(F.transform(word_runs(text) if runs is None else runs, F.lower), p.own)
 
 
-def foreign_ratio(text: Column, p: lang.Profile = lang.DEFAULT) -> Column:
-    return F.coalesce(F.try_divide(foreign_hits(text, p), n_runs(text)), F.lit(0.0))
+def n_runs(text: Column, runs: Column | None = None) -> Column:
+    return F.size(word_runs(text) if runs is None else runs).cast("bigint")
 
 
-def likely_own(text: Column, p: lang.Profile = lang.DEFAULT) -> Column:
-    return ~((foreign_hits(text, p) > lang.FOREIGN_HITS) & (own_hits(text, p) == 0))
+def foreign_ratio(text: Column, p: lang.Profile = lang.DEFAULT, runs: Column | None = None) -> Column:
+    return F.coalesce(F.try_divide(foreign_hits(text, p, runs), n_runs(text, runs)), F.lit(0.0))
 
 
-def strictly_own(text: Column, p: lang.Profile = lang.DEFAULT) -> Column:
-    return likely_own(text, p) & (foreign_ratio(text, p) <= lang.FOREIGN_SHARE)
+def likely_own(text: Column, p: lang.Profile = lang.DEFAULT, runs: Column | None = None) -> Column:
+    return ~((foreign_hits(text, p, runs) > lang.FOREIGN_HITS) & (own_hits(text, p, runs) == 0))
+
+
+def strictly_own(text: Column, p: lang.Profile = lang.DEFAULT, runs: Column | None = None) -> Column:
+    return likely_own(text, p, runs) & (foreign_ratio(text, p, runs) <= lang.FOREIGN_SHARE)
 
 
 def is_junk(text: Column) -> Column:
@@ -78,8 +100,8 @@ def n_words(text: Column) -> Column:
     return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), _WS), lambda w: w != "")).cast("bigint")
 
 
-def keepable(text: Column, p: lang.Profile = lang.DEFAULT) -> Column:
-    return ~is_junk(text) & (n_words(text) >= lang.MIN_WORDS) & strictly_own(text, p)
+def keepable(text: Column, p: lang.Profile = lang.DEFAULT, runs: Column | None = None) -> Column:
+    return ~is_junk(text) & (n_words(text) >= lang.MIN_WORDS) & strictly_own(text, p, runs)
 
 
 def scale_count(count: Column, top: Column) -> Column:
@@ -140,7 +162,7 @@ def adjacent(w: Column, i: Column, k: Column) -> Column:
 
 def draw(seq: Column, k: int, modulus: int) -> Column:
     """A number below modulus from a sequence number: arithmetic that any engine repeats."""
-    return F.pmod(F.pmod(seq * 1103515245 + F.lit(k * 12345 + 1337), F.lit(1000003)), F.lit(modulus)).cast("int")
+    return F.pmod(F.pmod(F.pmod(seq, F.lit(1000003)) * 1103515245 + F.lit(k * 12345 + 1337), F.lit(1000003)), F.lit(modulus)).cast("int")
 
 
 def typo_once(w: Column, seq: Column, t: int) -> Column:
@@ -169,7 +191,54 @@ def affixes(word: Column) -> tuple[Column, Column, Column]:
 
 
 def first_word(text: Column) -> Column:
-    return F.regexp_extract(F.trim(text), r"^[^\s.,!?;:]+", 0)
+    return F.regexp_extract(F.trim(text), lang.FIRST_WORD, 0)
+
+
+def normal_word(word: Column) -> Column:
+    """A predicted word as it is compared: without the space mark, trimmed, lower-cased, without punctuation at its ends."""
+    return F.btrim(F.lower(F.trim(F.replace(word, F.lit(lang.SPACE_MARK), F.lit("")))), F.lit(lang.WORD_EDGES))
+
+
+def same_word(a: Column, b: Column, case: bool = False) -> Column:
+    """Equality of words, without regard to case unless `case`."""
+    return a == b if case else F.lower(a) == F.lower(b)
+
+
+def padded_words(words: Column, n: int, start: int) -> Column:
+    """Exactly n words: cut, or filled up with filler pieces numbered on from start."""
+    short = F.greatest(F.lit(n) - F.size(words), F.lit(0))
+    fill = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("<FUTO"), (i + start).cast("string"), F.lit(">")))
+    return F.slice(F.concat(words, F.slice(fill, F.lit(1), short)), 1, n)
+
+
+def with_space(words: Column) -> Column:
+    return F.transform(words, lambda w: F.concat(w, F.lit(lang.SPACE_MARK)))
+
+
+def finite(values: Column) -> Column:
+    """An array without nulls, NaN and infinities."""
+    return F.filter(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+
+
+def utc_stamp(at: Column) -> Column:
+    """A timestamp as text in UTC (of a session whose time zone is UTC)."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    return F.concat_ws("\t", a, b)
+
+
+def unpaired(key: Column) -> tuple[Column, Column]:
+    parts = F.split(key, "\t")
+    return F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+
+
+def symbol_ids(text: Column) -> Column:
+    """Ids of a text by its symbols: a reserved piece (typed, corrected, end, a key) has its slot, any other character a number behind all slots."""
+    pieces = matches(F.coalesce(text, F.lit("")), lang.SYMBOL)
+    slot = lambda p: F.when(F.length(p) == 1, F.ascii(p) + lang.FIRST_FREE).when(p == "<XBU>", lang.XBU).when(p == "<XBC>", lang.XBC).when(p == "<XEC>", lang.XEC).otherwise(F.ascii(F.substring(p, 7, 1)) - 65 + lang.CHAR_A)
+    return F.transform(pieces, lambda p: slot(p).cast("int"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -48,6 +48,15 @@ CHARS_A_TOKEN, PREFIX, MIN_CHARS, MIN_WORDS = 4, 200, 100, 3
 FOREIGN_HITS, FOREIGN_SHARE = 5, 0.15
 SCALE_BASE, SCALE_TOP = 1.15, 255
 FIRST_SLOT, CHAR_A = 4, 182
+XBU, XBC, XEC, FIRST_FREE = 174, 175, 176, 304
+PAD, BOS, EOS, IGNORED = 0, 1, 2, -100
+SYMBOL = r"(?s)<XBU>|<XBC>|<XEC>|<CHAR_[A-Z]>|."
+SPACE_MARK = "▁"
+FIRST_WORD = r"^[^\s.,!?;:\"'()«»\[\]{}]+"
+WORD_EDGES = ".,!?;:\"'()«»[]{}"
+#: A word with what stands before and after its letters, and the share of words that are typed wrong.
+INLINE = r"^([^A-Za-zÀ-ÿ']*)([A-Za-zÀ-ÿ']+)([^A-Za-zÀ-ÿ']*)$"
+TYPO_RATE = 0.33
 
 
 @dataclass(frozen=True)

@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running_sum(df: DataFrame, seq: str, value: Column, out: str, width: int = 10_000) -> DataFrame:
-    """Adds the sum of value over all rows up to each row, in order of seq (unique). Ranges of seq sum up alone; only their totals, a row each, meet in one window."""
-    rows = df.withColumn("_range", F.floor(F.col(seq) / width)).withColumn("_v", value)
+def running_sum(df: DataFrame, seq: str, value: Column, out: str, width: int = 10_000, bucket: Column | None = None) -> DataFrame:
+    """Adds the sum of value over all rows up to each row, in order of seq (unique). Ranges of seq sum up alone; only their totals, a row each, meet in one window. bucket, for a seq that is no number, names the ranges: it must not fall where seq rises."""
+    rows = df.withColumn("_range", F.floor(F.col(seq) / width) if bucket is None else bucket).withColumn("_v", value)
     totals = rows.groupBy("_range").agg(F.sum("_v").alias("_t"))
     before = totals.select(F.col("_range").alias("_r"), (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_in", F.sum("_v").over(inside)).join(before, F.col("_range") == F.col("_r")).withColumn(out, F.col("_in") + F.col("_before")).drop("_range", "_r", "_v", "_in", "_before")
 
 
+def word_range(word: str) -> Column:
+    """The ranges of running_sum for words in binary order."""
+    return F.substring(word, 1, 3)
+
+
+def numbered(words: DataFrame, word: str = "word", out: str = "i") -> DataFrame:
+    """Adds the number of each word, from 1, in order."""
+    return running_sum(words, word, F.lit(1).cast("bigint"), out, bucket=word_range(word))
+
+
 def within_budget(df: DataFrame, seq: str, cost: Column, budget: int) -> DataFrame:
     """Rows until the running cost reaches the budget, with the row that crosses it."""
     return running_sum(df, seq, cost, "_upto").filter(F.col("_upto") - cost < budget).drop("_upto")
@@ -27,29 +41,54 @@ def keep_first(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
 
 
 def shuffled_blocks(df: DataFrame, seq: str, size: int = 1024) -> DataFrame:
-    """Adds block and place: consecutive rows in order of seq (unique) in blocks of `size`, and a hash order inside each. What is left over at the end is dropped."""
+    """Adds block and place: consecutive rows in order of seq (unique) in blocks of `size`, and inside each an order of a draw from seq. What is left over at the end is dropped."""
     rows = running_sum(df, seq, F.lit(1), "_nth").withColumn("block", F.floor((F.col("_nth") - 1) / size)).drop("_nth")
     inside = Window.partitionBy("block")
     rows = rows.withColumn("_n", F.count("*").over(inside)).filter(F.col("_n") == size).drop("_n")
-    return rows.withColumn("place", F.row_number().over(inside.orderBy(F.xxhash64(seq), seq)))
+    return rows.withColumn("place", F.row_number().over(inside.orderBy(F.pmod(F.pmod(F.col(seq), F.lit(1000003)) * 1103515245, F.lit(1000003)), seq)).cast("bigint"))
 
 
 def packed(df: DataFrame, seq: str, ids: str, length: int) -> DataFrame:
-    """chunk and ids: all rows' ids on end, cut into chunks of `length`; the rest at the end is dropped."""
-    rows = running_sum(df.select(seq, ids), seq, F.size(ids).cast("bigint"), "_upto")
-    at = rows.select((F.col("_upto") - F.size(ids)).alias("_o"), F.posexplode(ids).alias("_p", "_id")).select((F.col("_o") + F.col("_p")).alias("_g"), "_id")
-    chunks = at.groupBy(F.floor(F.col("_g") / length).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("_g", "_id"))).alias("_m"))
-    return chunks.filter(F.size("_m") == length).select("chunk", F.col("_m._id").alias("ids"))
+    """chunk and ids: all rows' ids on end, cut into chunks of `length`; the rest at the end is dropped. Each row sends one slice to each chunk that it touches."""
+    rows = running_sum(df.select(seq, ids), seq, F.size(ids).cast("bigint"), "_upto").filter(F.size(ids) > 0)
+    rows = rows.select(ids, (F.col("_upto") - F.size(ids)).alias("_o"), "_upto")
+    rows = rows.select("*", F.explode(F.sequence(F.floor(F.col("_o") / length), F.floor((F.col("_upto") - 1) / length))).alias("chunk"))
+    lo, hi = F.greatest(F.col("_o"), F.col("chunk") * length), F.least(F.col("_upto"), (F.col("chunk") + 1) * length)
+    slices = rows.select("chunk", lo.alias("_at"), F.slice(ids, (lo - F.col("_o") + 1).cast("int"), (hi - lo).cast("int")).alias("_s"))
+    chunks = slices.groupBy("chunk").agg(F.flatten(F.array_sort(F.collect_list(F.struct("_at", "_s")))["_s"]).alias("ids"))
+    return chunks.filter(F.size("ids") == length)
+
+
+def _greedy(target: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, filled, shard = object(), 0, 0
+        for batch in batches:
+            groups, sizes, out = batch.column(0), np.asarray(batch.column(2), dtype=np.int64), np.empty(len(batch), np.int64)
+            names = groups.to_pylist()
+            starts = [i for i in range(len(names)) if names[i] != (names[i - 1] if i else group)]
+            for a, b in zip([0, *starts], [*starts, len(names)], strict=True):
+                if a in starts:
+                    filled, shard = 0, 0
+                upto = np.append(0, np.cumsum(sizes[a:b]))
+                at = 0
+                while at < b - a:
+                    # Rows of this shard: until one finds it at or over the target.
+                    stop = int(np.searchsorted(upto, target - filled + upto[at], side="left"))
+                    if stop <= at:
+                        filled, shard = 0, shard + 1
+                        continue
+                    stop = min(stop, b - a)
+                    out[a + at : a + stop] = shard
+                    filled += int(upto[stop] - upto[at])
+                    at = stop
+            group = names[-1] if names else group
+            yield pa.RecordBatch.from_arrays([groups, batch.column(1), pa.array(out)], batch.schema.names[:2] + ["shard"])
+
+    return run
 
 
 def greedy_shards(df: DataFrame, group: str, seq: str, size: str, target: int) -> DataFrame:
-    """seq and shard: a shard is closed before the row that finds it at or over the target. Groups (sources) are sharded side by side; the fold holds sizes only."""
-    folded = df.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("size")))).alias("rows"))
-    zero = F.struct(F.lit(0).cast("bigint").alias("filled"), F.lit(0).cast("bigint").alias("shard"), F.array().cast("array<struct<seq:bigint,shard:bigint>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        turn = s["filled"] >= target
-        shard = s["shard"] + turn.cast("bigint")
-        return F.struct((F.when(turn, 0).otherwise(s["filled"]) + r["size"]).cast("bigint").alias("filled"), shard.alias("shard"), F.concat(s["out"], F.array(F.struct(r["seq"].alias("seq"), shard.alias("shard")))).alias("out"))
-
-    return folded.select(group, F.explode(F.aggregate("rows", zero, step, lambda s: s["out"])).alias("o")).select(group, "o.seq", "o.shard")
+    """seq and shard: a shard is closed before the row that finds it at or over the target (which is over 0). Groups (sources) are sharded side by side, each as a stream of its sorted rows of which only a sum is held."""
+    rows = df.select(group, F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("_size")).repartition(group).sortWithinPartitions(group, "seq")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return rows.mapInArrow(_greedy(target), f"`{group}` {kinds[group]}, seq {kinds['seq']}, shard bigint")

@@ -4,28 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import lang
 from ..functions import text as T
 from . import order as O
 
-#: Draws for each pair wanted, their step, and per cent of words for which an alias is tried first.
-TRIES, GOLDEN, SHORTCUT_SHARE = 5, 0.6180339887498949, 25
+#: Draws for each pair wanted, and their step.
+TRIES, GOLDEN = 5, 0.6180339887498949
+#: A quarter of words tries an alias first: draws below SHORTCUT_BELOW of SHORTCUT_DRAWS. This modulus and FORM_DRAWS share no factor with those of the rules, so the draws do not follow each other.
+SHORTCUT_DRAWS, SHORTCUT_BELOW, FORM_DRAWS = 9967, 2492, 9949
 
 
-def cdf_sample(words: DataFrame, n: int, parts: int = 64, at: Column | None = None) -> DataFrame:
+def cdf_sample(words: DataFrame, n: int, at: Column | None = None) -> DataFrame:
     """i and word: n draws at the quantiles (i + 0.5) / n, or `at` of i (called id), of words weighted by ln(cnt + 1), in word order.
 
-    Draws and words meet on cells of the unit interval, so the range join is an equi-join: a word is in every cell that its interval touches.
+    The running weights are sums of ranges of words. Draws and words meet on cells of the unit interval, as many as there are words, so the range join is an equi-join: a word is in every cell that its interval touches.
     """
     w = words.select("word", F.log1p(F.col("cnt").cast("double")).alias("_w"))
-    hi = w.withColumn("_hi", F.sum("_w").over(Window.orderBy("word").rowsBetween(Window.unboundedPreceding, 0)))
-    total = w.agg(F.sum("_w").alias("_total"))
-    b = hi.join(F.broadcast(total)).select("word", ((F.col("_hi") - F.col("_w")) / F.col("_total")).alias("_lo"), (F.col("_hi") / F.col("_total")).alias("_hi"))
-    b = b.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") * parts), F.floor(F.col("_hi") * parts))))
+    hi = O.running_sum(w, "word", F.col("_w"), "_hi", bucket=O.word_range("word"))
+    total = w.agg(F.sum("_w").alias("_total"), F.count("*").alias("_cells"))
+    b = hi.join(F.broadcast(total)).select("word", ((F.col("_hi") - F.col("_w")) / F.col("_total")).alias("_lo"), (F.col("_hi") / F.col("_total")).alias("_hi"), "_cells")
+    b = b.select("word", "_lo", "_hi", F.explode(F.sequence(F.floor(F.col("_lo") * F.col("_cells")), F.floor(F.col("_hi") * F.col("_cells")))).alias("_cell"))
     u = words.sparkSession.range(n).select(F.col("id").alias("i"), ((F.col("id") + 0.5) / n if at is None else at).alias("_u"))
-    u = u.withColumn("_cell", F.floor(F.col("_u") * parts))
+    u = u.join(F.broadcast(total)).withColumn("_cell", F.floor(F.col("_u") * F.col("_cells"))).drop("_total", "_cells")
     return u.join(b, "_cell").filter((F.col("_u") >= F.col("_lo")) & (F.col("_u") < F.col("_hi"))).select("i", "word")
 
 
@@ -42,20 +43,20 @@ def synthetic_pairs(words: DataFrame, n: int) -> DataFrame:
 
 
 def shortcut(word: Column, seq: Column, p: lang.Profile = lang.DEFAULT) -> Column:
-    """An alias of the word, in its case; null for three quarters of rows, where there is no alias, and where the alias is the word. Its draws are hashes, as those of the rules differ by a constant only."""
+    """An alias of the word, in its case; null for three quarters of rows, where there is no alias, and where the alias is the word."""
     forms = F.create_map(*[x for w, a in p.shortcuts for x in (F.lit(w), F.array(*map(F.lit, a)))])
     of = F.try_element_at(forms, F.lower(word))
-    form = F.get(of, F.pmod(F.xxhash64(seq, F.lit("form")), F.size(of)).cast("int"))
+    form = F.get(of, F.pmod(T.draw(seq, 8, FORM_DRAWS), F.size(of)).cast("int"))
     first = F.substring(word, 1, 1)
     form = F.when(first != F.lower(first), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, F.lit(2), F.length(form)))).otherwise(form)
-    return F.when(F.pmod(F.xxhash64(seq, F.lit("shortcut")), F.lit(100)) < SHORTCUT_SHARE, F.nullif(form, word))
+    return F.when(T.draw(seq, 7, SHORTCUT_DRAWS) < SHORTCUT_BELOW, F.nullif(form, word))
 
 
 def typos(df: DataFrame, word: str, seq: str) -> DataFrame:
-    """Adds `typed`; rows without a typo go. explode() of one value keeps the filter from repeating the long expression in one generated method."""
-    df = df.withColumn("_alias", F.explode(F.array(shortcut(F.col(word), F.col(seq)))))
+    """Adds `typed`; rows without a typo go."""
+    df = T.once(df, "_alias", shortcut(F.col(word), F.col(seq)))
     for t in (1, 2):
-        df = df.withColumn(f"_try{t}", F.explode(F.array(T.typo_once(F.col(word), F.col(seq), t))))
+        df = T.once(df, f"_try{t}", T.typo_once(F.col(word), F.col(seq), t))
     ok = (F.length(word) >= 2) & F.col(word).rlike(lang.ELIGIBLE)
     return df.withColumn("typed", F.when(ok, F.coalesce("_alias", "_try1", "_try2"))).filter("typed is not null").drop("_alias", "_try1", "_try2")
 
@@ -74,11 +75,12 @@ def span_mask(ids: Column, start: int, stop: int, low: float) -> Column:
 
 
 def correction_mask(ids: Column, start: int, stop: int, low: float) -> Column:
-    """1.0 from the first start through the first stop after it."""
-    a = F.array_position(ids, F.lit(start))
-    b = F.array_position(F.slice(ids, F.greatest(a, F.lit(1)).cast("int"), F.size(ids)), F.lit(stop))
-    end = F.when(b > 0, a + b - 1).otherwise(F.size(ids))
-    return F.transform(ids, lambda x, i: F.when((a > 0) & (i + 1 >= a) & (i + 1 <= end), 1.0).otherwise(low))
+    """1.0 from the first start through the first stop after it, low elsewhere; an open span runs to the end. Three runs of equal weights, so the cost is linear in the length."""
+    n = F.size(ids)
+    a = F.coalesce(F.nullif(F.array_position(ids, F.lit(start)), F.lit(0)) - 1, n).cast("int")
+    rest = F.slice(ids, a + 1, F.greatest(n - a, F.lit(0)))
+    inside = F.coalesce(F.nullif(F.array_position(rest, F.lit(stop)), F.lit(0)), F.size(rest)).cast("int")
+    return F.concat(F.array_repeat(F.lit(low), a), F.array_repeat(F.lit(1.0), inside), F.array_repeat(F.lit(low), n - a - inside))
 
 
 def padded(ids: Column, length: int) -> tuple[Column, Column, Column]:
@@ -97,10 +99,3 @@ def slot_layout(spark) -> DataFrame:
     groups = [("filler", [f"<FUTO{i}>" for i in range(24)]), ("word", [f"<FUTO{i}>▁" for i in range(28, 174)]), ("control", ["<XBU>", "<XBC>", "<XEC>"]), ("extra", [f"<XC{i}>" for i in range(5)]), ("char", [f"<CHAR_{chr(65 + i)}>" for i in range(26)]), ("word2", [f"<FUTO{i}>▁" for i in range(208, 264)]), ("emoji", [f"<EMOJI{i}>" for i in range(40)])]
     rows = [(p, k) for k, ps in groups for p in ps]
     return spark.createDataFrame([(lang.FIRST_SLOT + i, p, k) for i, (p, k) in enumerate(rows)], "id long, piece string, kind string")
-
-
-def mixed(plain: DataFrame, pairs: DataFrame, seq: str, share: int = 60) -> DataFrame:
-    """Rows of two sources interleaved by a hash draw of their sequence number: plain with `share` per cent, after which only pairs go on."""
-    a = plain.withColumn("origin", F.lit("plain")).withColumn("_k", F.floor(F.row_number().over(Window.orderBy(seq)) * 100 / share))
-    b = pairs.withColumn("origin", F.lit("pair")).withColumn("_k", F.floor(F.row_number().over(Window.orderBy(seq)) * 100 / (100 - share)))
-    return a.unionByName(b, allowMissingColumns=True).orderBy("_k", "origin").drop("_k")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import lang
 from ..functions import text as T
+from . import order as O
 
 LETTERS = r"^[A-ZÑÜÇÀ-ÖØ-Þ]"
 
@@ -49,6 +50,12 @@ def without_rejected(words: DataFrame, rejected: DataFrame) -> DataFrame:
     return words.join(rejected.select(F.col("word").alias("_r")), F.lower("word") == F.col("_r"), "left_anti")
 
 
+def missing_words(must: DataFrame, valid: DataFrame, proper: DataFrame, shortest: int = 2, longest: int = 24) -> DataFrame:
+    """word: words that a dictionary must have, of fitting length, that are neither valid nor a proper noun's display form."""
+    fits = must.filter((F.length("word") >= shortest) & (F.length("word") <= longest)).select("word").distinct()
+    return fits.join(valid.select("word"), "word", "left_anti").join(proper.select(F.col("display").alias("word")), "word", "left_anti")
+
+
 def merged_words(common: DataFrame, proper: DataFrame, must: DataFrame | None = None) -> DataFrame:
     rows = common.select("word", "cnt").unionByName(proper.select(F.col("display").alias("word"), "cnt"))
     if must is not None:
@@ -61,14 +68,21 @@ def scaled(words: DataFrame, cnt: str = "cnt", out: str = "f") -> DataFrame:
     return words.join(F.broadcast(top)).withColumn(out, T.scale_count(F.col(cnt), F.col("_top"))).drop("_top")
 
 
-def dictionary(docs: DataFrame, most: int = 0) -> DataFrame:
-    """word, cnt and f, most frequent first by f and then word; most caps it unless 0."""
+def dictionary(docs: DataFrame, most: int = 0, must: DataFrame | None = None) -> DataFrame:
+    """word, cnt and f, most frequent first by f and then word; most caps it unless 0. Words of `must` that the corpus lacks come in with the least count."""
     lower = word_counts(docs, lang.WORD_B)
     proper = proper_nouns(lower, capitalised_counts(docs))
-    words = scaled(merged_words(common_words(lower, proper), proper)).orderBy(F.desc("f"), "word")
+    common = common_words(lower, proper)
+    words = scaled(merged_words(common, proper, None if must is None else missing_words(must, common, proper))).orderBy(F.desc("f"), "word")
     return words.limit(most) if most else words
 
 
+def rank_of(words: DataFrame, key: str) -> DataFrame:
+    """f, above and n: a word's f (0 if it is missing), how many words have more, and how many words there are."""
+    f = words.agg(F.coalesce(F.max(F.when(F.col("word") == key, F.col("f"))), F.lit(0)).alias("_f"))
+    return words.join(F.broadcast(f)).agg(F.max("_f").alias("f"), F.count_if(F.col("f") > F.col("_f")).cast("bigint").alias("above"), F.count("*").alias("n"))
+
+
 def dictionary_bigrams(docs: DataFrame, words: DataFrame, most: int = 5000) -> DataFrame:
     """w1, w2, cnt and f of the most frequent pairs of dictionary words."""
     b = bigram_counts(docs)
@@ -78,21 +92,34 @@ def dictionary_bigrams(docs: DataFrame, words: DataFrame, most: int = 5000) -> D
 
 
 def dictionary_lines(words: DataFrame, bigrams: DataFrame) -> DataFrame:
-    """word, n and line: a unigram's line (n = 0) and its bigrams' by f; what cannot be written is left out."""
+    """word, n, f (the word's own) and line: a unigram's line (n = 0) and its bigrams' by their f; what cannot be written is left out. In a file, lines stand by f of the word, the word, and n."""
     ok = lambda w: (F.col(w) != "") & ~F.col(w).contains(",") & (F.col("f") > 0)
     kept = words.filter(ok("word"))
-    uni = kept.select("word", F.lit(0).cast("bigint").alias("n"), F.concat(F.lit(" word="), "word", F.lit(",f="), F.col("f").cast("string")).alias("line"))
+    line = lambda mark, w: F.concat(F.lit(mark), w, F.lit(",f="), F.col("f").cast("string")).alias("line")
+    uni = kept.select("word", F.lit(0).cast("bigint").alias("n"), "f", line(" word=", "word"))
     nth = F.row_number().over(Window.partitionBy("w1").orderBy(F.desc("f"), "w2")).cast("bigint")
-    bi = bigrams.filter(ok("w2")).join(kept.select(F.col("word").alias("w1")), "w1", "left_semi")
-    return uni.unionByName(bi.select(F.col("w1").alias("word"), nth.alias("n"), F.concat(F.lit("  bigram="), "w2", F.lit(",f="), F.col("f").cast("string")).alias("line")))
+    bi = bigrams.filter(ok("w2")).select("w1", nth.alias("n"), line("  bigram=", "w2"))
+    return uni.unionByName(bi.join(kept.select(F.col("word").alias("w1"), "f"), "w1").select(F.col("w1").alias("word"), "n", "f", "line"))
+
+
+def line_order() -> list[Column]:
+    """The order of a dictionary's lines."""
+    return [F.desc("f"), F.asc("word"), F.asc("n")]
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """seq and line of dictionary_lines: each line's number in its file."""
+    rows = lines.withColumn("_key", F.struct((-F.col("f")).alias("f"), "word", "n")).withColumn("_head", F.struct((-F.col("f")).alias("f"), F.substring("word", 1, 3).alias("w")))
+    return O.running_sum(rows, "_key", F.lit(1).cast("bigint"), "seq", bucket=F.col("_head")).select("seq", "line")
 
 
-def parsed_lines(lines: DataFrame, order: list[Column]) -> DataFrame:
-    """word, bigram and f from a dictionary's lines; a bigram belongs to the word above it. The carry runs in groups of a word."""
+def parsed_lines(lines: DataFrame, bucket: Column | None = None) -> DataFrame:
+    """word, bigram and f from a dictionary's lines (seq, line) in order of seq: a bigram belongs to the word above it. Words are numbered by a running count, and a bigram finds its word by that number; other lines, the header among them, are passed over."""
     p = r"^ word=(.*),f=(\d+)$", r"^  bigram=(.*),f=(\d+)$"
-    rows = lines.select(*[o.alias(f"_o{i}") for i, o in enumerate(order)], F.nullif(F.regexp_extract("line", p[0], 1), F.lit("")).alias("w"), F.nullif(F.regexp_extract("line", p[1], 1), F.lit("")).alias("bigram"), F.regexp_extract("line", r",f=(\d+)$", 1).cast("bigint").alias("f"))
-    above = Window.partitionBy("_o0").orderBy(*[f"_o{i}" for i in range(1, len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select(F.last("w", ignorenulls=True).over(above).alias("word"), "bigram", "f")
+    rows = lines.select("seq", *([bucket.alias("_bucket")] if bucket is not None else []), F.nullif(F.regexp_extract("line", p[0], 1), F.lit("")).alias("w"), F.nullif(F.regexp_extract("line", p[1], 1), F.lit("")).alias("bigram"), F.regexp_extract("line", r",f=(\d+)$", 1).try_cast("bigint").alias("f"))
+    rows = O.running_sum(rows, "seq", F.col("w").isNotNull().cast("bigint"), "_g", bucket=F.col("_bucket") if bucket is not None else None)
+    words = rows.filter("w is not null").select(F.col("_g").alias("_h"), F.col("w").alias("word"))
+    return rows.filter("w is not null or bigram is not null").join(words, F.col("_g") == F.col("_h")).select("word", "bigram", "f")
 
 
 def compared(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, sequences, vocabulary  # noqa: F401
+from . import corpus, evaluations, sequences, typos, vocabulary  # noqa: F401
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "dictionary"

@@ -1,4 +1,4 @@
-"""Queries on typos, sequences and evaluations."""
+"""Queries on token ids: packing, masks, examples, mixes and losses. Ids are those of symbols (functions.text.symbol_ids), which SQL can repeat; a model file's ids go through the same operators."""
 
 from __future__ import annotations
 
@@ -6,58 +6,145 @@ from pyspark.sql import functions as F
 
 from .. import lang
 from ..functions import text as T
-from ..operators import evals as E
+from ..operators import datasets as D
 from ..operators import order as O
+from ..operators import pieces as P
 from ..operators import sequences as S
-from ..operators import vocab as V
+from . import sqltext as Q
 from .base import c, docs, q, table
-from .vocabulary import BIGRAMS, A, B
+from .typos import PAIRS, SYNTHETIC, words
 
-WORDS = f"w AS (SELECT word, cnt, row_number() OVER (ORDER BY word) AS i FROM (SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM documents) t GROUP BY word HAVING count(*) >= 5) g WHERE length(word) >= 3)"
-STRIP = "strip_accents({})"
-PRESS = "list_transform(list_filter(string_split(upper(strip_accents(replace({}, 'ß', 'ss'))), ''), lambda x: regexp_matches(x, '^[A-Z]$')), lambda x: '<CHAR_' || x || '>')"
+#: Tokens of a chunk, and of a triple's example.
+CHUNK, TRIPLE = 512, 64
+LOW = 0.1
+IDS = f"ids AS MATERIALIZED (SELECT doc_id, {Q.symbol_ids('text')} AS ids FROM documents)"
+INLINE = f"{Q.CORRUPTED}, ids AS MATERIALIZED (SELECT doc_id, {Q.symbol_ids('corrupted')} AS ids FROM corrupted)"
 
 
-def words(s, d, least=5, shortest=3):
-    from pyspark.sql.window import Window
+def ids(s, d):
+    """doc_id and ids of each document's text, between the marks."""
+    return D.bounded(P.symbols(docs(s, d).select("doc_id", "text"), "text")).select("doc_id", "ids")
 
-    return V.word_counts(docs(s, d), least=least).filter(F.length("word") >= shortest).withColumn("i", F.row_number().over(Window.orderBy("word")).cast("bigint"))
 
+def corrupted_ids(s, d):
+    """The same of the texts with inline corrections."""
+    return D.bounded(P.symbols(D.inline_corrected(docs(s, d).select("doc_id", "text"), "doc_id").select("doc_id", "corrupted"), "corrupted")).select("doc_id", "ids")
 
-def ids(s, d):
-    """doc_id and ids: each word's length and first letter as a stand-in for token ids, between 1 and 2."""
-    t = F.transform(T.matches(F.col("text"), lang.WORD_A), lambda w: F.length(w) * 200 + F.ascii(w) % 100)
-    return docs(s, d).select("doc_id", F.concat(F.array(F.lit(1)), t, F.array(F.lit(2))).alias("ids"))
-
-
-IDS = f"ids AS (SELECT doc_id, list_concat(list_concat([1], list_transform(regexp_extract_all(text, '{A}'), lambda x: length(x) * 200 + ascii(x) % 100)), [2]) AS ids FROM documents)"
-
-q("keypress", lambda s, d: words(s, d).select("word", F.array_join(T.keypresses(F.col("word")), "").alias("keys")), f"WITH {WORDS} SELECT word, array_to_string({PRESS.format('word')}, '') AS keys FROM w")
-q("triples", lambda s, d: words(s, d).select("word", T.triple(T.double(F.col("word"), F.lit(1)), F.col("word")).alias("triple")), f"WITH {WORDS} SELECT word, '<XBU>' || array_to_string({PRESS.format('(word[1] || word[2] || word[2] || word[3:])')}, '') || '<XBC>' || word || '<XEC>' AS triple FROM w")
-q("typo_transpose", lambda s, d: words(s, d).select("word", T.transpose(F.col("word"), F.lit(1)).alias("typo")), f"WITH {WORDS} SELECT word, word[1] || word[3] || word[2] || word[4:] AS typo FROM w")
-q("typo_delete", lambda s, d: words(s, d).select("word", T.delete(F.col("word"), F.lit(1)).alias("typo")), f"WITH {WORDS} SELECT word, word[1] || word[3:] AS typo FROM w")
-q("typo_double", lambda s, d: words(s, d).select("word", T.double(F.col("word"), F.lit(2)).alias("typo")), f"WITH {WORDS} SELECT word, word[1:3] || word[3] || word[4:] AS typo FROM w")
-q("typo_insert", lambda s, d: words(s, d).select("word", T.insert(F.col("word"), F.lit(2), F.lit("q")).alias("typo")), f"WITH {WORDS} SELECT word, word[1:2] || 'q' || word[3:] AS typo FROM w")
-q("typo_adjacent", lambda s, d: words(s, d).select("word", T.adjacent(F.col("word"), F.lit(0), F.col("i")).alias("typo")), f"WITH {WORDS}, adj(k, near) AS (VALUES {', '.join(f'({chr(39)}{k}{chr(39)}, {chr(39)}{v}{chr(39)})' for k, v in lang.ADJACENT.items())}) SELECT word, CASE WHEN near IS NULL THEN word ELSE near[CAST(i % length(near) AS INT) + 1] || word[2:] END AS typo FROM w LEFT JOIN adj ON adj.k = word[1]")
-q("accent_drop", lambda s, d: words(s, d).filter(F.col("word") != T.strip_marks(F.col("word"))).select("word", T.strip_marks(F.col("word")).alias("plain")), f"WITH {WORDS} SELECT word, {STRIP.format('word')} AS plain FROM w WHERE word <> {STRIP.format('word')}")
-q("char_ids", lambda s, d: words(s, d).select("word", F.array_join(F.transform(T.char_ids(F.col("word")), lambda x: x.cast("string")), " ").alias("ids")), f"WITH {WORDS} SELECT word, array_to_string(list_transform({PRESS.format('word')}, lambda x: CAST(182 + ascii(x[7]) - 65 AS VARCHAR)), ' ') AS ids FROM w")
-q("rule_draws", lambda s, d: words(s, d).select("word", c(T.draw(F.col("i"), 10, 100), "r")), f"WITH {WORDS} SELECT word, CAST(((i * 1103515245 + 123450 + 1337) % 1000003) % 100 AS BIGINT) AS r FROM w")
-q("synthetic_typos", lambda s, d: S.typos(words(s, d, 3, 1), "word", "i").select("word", "typed"))
-q("cdf_sample", lambda s, d: S.cdf_sample(words(s, d), 997), f"WITH {WORDS}, x AS (SELECT word, ln(cnt + 1) AS wt, sum(ln(cnt + 1)) OVER (ORDER BY word) AS hi, sum(ln(cnt + 1)) OVER () AS total FROM w) SELECT i, word FROM (SELECT range AS i, (range + 0.5) / 997 AS u FROM range(997)) r JOIN x ON u >= (hi - wt) / total AND u < hi / total")
-q("typo_pairs", lambda s, d: S.synthetic_pairs(words(s, d, 3, 1), 2000))
-q("shortcut_pairs", lambda s, d: S.shortcut_pairs(s), "SELECT typed, committed FROM (VALUES " + ", ".join(f"('{a}', '{w}')" for w, forms in lang.SHORTCUTS.items() for a in forms) + ") t(typed, committed) WHERE typed <> committed")
-q("pack", lambda s, d: O.packed(ids(s, d), "doc_id", "ids", 256).select("chunk", F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids")), f"WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM ids), g AS (SELECT id, row_number() OVER (ORDER BY doc_id, p) - 1 AS n FROM e) SELECT CAST(floor(n / 256) AS BIGINT) AS chunk, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY n) AS ids FROM g GROUP BY 1 HAVING count(*) = 256")
-q("span_mask", lambda s, d: ids(s, d).select("doc_id", F.round(F.aggregate(S.span_mask(F.col("ids"), 401, 601, 0.1), F.lit(0.0), lambda a, v: a + v), 6).alias("total")))
-q("correction_mask", lambda s, d: ids(s, d).select("doc_id", c(F.size(F.filter(S.correction_mask(F.col("ids"), 401, 601, 0.1), lambda v: v == 1.0)), "ones")))
-q("padded", lambda s, d: ids(s, d).filter(F.size("ids") <= 512).select("doc_id", *[F.aggregate(x, F.lit(0).cast("bigint"), lambda a, v: a + v).alias(n) for x, n in zip(S.padded(F.col("ids"), 512), ("inputs", "labels", "mask"), strict=True)]), f"WITH {IDS} SELECT doc_id, CAST(list_sum(ids) AS BIGINT) AS inputs, CAST(list_sum(ids) - 100 * (512 - len(ids)) AS BIGINT) AS labels, CAST(len(ids) AS BIGINT) AS mask FROM ids WHERE len(ids) <= 512")
-q("weighted_loss", lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.round(S.weighted_loss(F.abs("value"), F.lit(1.0) / (1 + F.pmod("event_id", F.lit(3))), F.when(F.col("event_id") % 5 == 0, 0).otherwise(1)), 6).alias("loss")), "SELECT event_type, round(sum(abs(value) * (1.0 / (1 + event_id % 3)) * v) / greatest(sum((1.0 / (1 + event_id % 3)) * v), 1e-8), 6) AS loss FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS v FROM events) t GROUP BY event_type")
-q("shifted_pairs", lambda s, d: ids(s, d).select(F.explode(F.arrays_zip(F.slice(F.col("ids"), F.lit(1), F.size("ids") - 1).alias("a"), F.slice(F.col("ids"), F.lit(2), F.size("ids") - 1).alias("b"))).alias("z")).groupBy(c(F.col("z.a"), "a"), c(F.col("z.b"), "b")).agg(F.count("*").alias("n")), f"WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS b, generate_subscripts(ids, 1) AS p FROM ids), l AS (SELECT b, lag(b) OVER (PARTITION BY doc_id ORDER BY p) AS a FROM e) SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, count(*) AS n FROM l WHERE a IS NOT NULL GROUP BY 1, 2")
-q("slot_sections", lambda s, d: S.slot_layout(s).join(s.createDataFrame([(4, 27, "filler"), (28, 173, "words"), (174, 207, "control"), (208, 303, "rest")], "lo long, hi long, section string"), F.expr("id between lo and hi")).groupBy("section").agg(F.count("*").alias("n"), F.min("id").alias("first")), "SELECT section, hi - lo + 1 AS n, lo AS first FROM (VALUES (CAST(4 AS BIGINT), CAST(27 AS BIGINT), 'filler'), (28, 173, 'words'), (174, 207, 'control'), (208, 303, 'rest')) t(lo, hi, section)")
-q("prefix_expand", lambda s, d: E.prefixes(table(s, d, "conversations"), ["conv_id", "turn"]), f"WITH x AS (SELECT conv_id, turn, list_transform(regexp_extract_all(text, '{B}'), lambda x: lower(x)) AS w FROM conversations), e AS (SELECT conv_id, turn, w, unnest(range(1, len(w))) AS pos FROM x) SELECT conv_id, turn, pos, w[pos] AS prev, w[pos + 1] AS target, array_to_string(w[1:pos], ' ') AS prefix FROM e")
-TOP = f"big AS ({BIGRAMS}), pred AS (SELECT w1 AS prev, list(w2 ORDER BY cnt DESC, w2) AS topk FROM (SELECT *, row_number() OVER (PARTITION BY w1 ORDER BY cnt DESC, w2) AS r FROM big) t WHERE r <= 5 GROUP BY w1)"
-HIT = "(target = {0} OR (length({0}) >= 2 AND starts_with(target, {0})))"
-q("keystrokes", lambda s, d: E.keystrokes(table(s, d, "conversations"), docs(s, d), ["conv_id", "turn"]), f"WITH {TOP}, x AS (SELECT list_transform(regexp_extract_all(text, '{B}'), lambda x: lower(x)) AS w FROM conversations), e AS (SELECT w, unnest(range(1, len(w))) AS pos FROM x), p AS (SELECT w[pos] AS prev, w[pos + 1] AS target FROM e), j AS (SELECT target, coalesce({HIT.format('topk[1]')}, false) AS h1, coalesce(len(list_filter(topk, lambda y: {HIT.format('y')})) > 0, false) AS hk FROM p LEFT JOIN pred USING (prev)), a AS (SELECT CAST(sum(length(target)) AS BIGINT) AS chars, CAST(sum(CASE WHEN h1 THEN length(target) ELSE 0 END) AS BIGINT) AS saved_top1, CAST(sum(CASE WHEN hk THEN length(target) ELSE 0 END) AS BIGINT) AS saved_topk, count(*) AS n FROM j) SELECT *, round(saved_topk * 100.0 / chars, 6) AS pct_topk FROM a")
-q("nextword_acc", lambda s, d: E.next_word(table(s, d, "conversations"), docs(s, d)), f"WITH {TOP}, x AS (SELECT list_transform(regexp_extract_all(text, '{B}'), lambda x: lower(x)) AS w FROM conversations), p AS (SELECT w[i] AS prev, w[i + 1] AS gold FROM (SELECT w, greatest(2, CAST(floor(len(w) * 0.6) AS INT)) AS i FROM x WHERE len(w) >= 4) y) SELECT count(*) FILTER (WHERE topk[1] = gold) AS top1, count(*) FILTER (WHERE list_contains(topk, gold)) AS topk, count(*) AS n FROM p LEFT JOIN pred USING (prev)")
-PMI = f"big AS ({BIGRAMS}), l AS (SELECT w1, sum(cnt) AS n1 FROM big GROUP BY w1), r AS (SELECT w2, sum(cnt) AS n2 FROM big GROUP BY w2), pmi AS (SELECT w1, w2, cnt, round(ln(cnt / n1) - ln(n2 / (SELECT sum(cnt) FROM big)), 6) AS pmi FROM big JOIN l USING (w1) JOIN r USING (w2) WHERE cnt >= 5)"
-q("surprisal", lambda s, d: E.mutual_information(docs(s, d)), f"WITH {PMI} SELECT w1, w2, cnt, pmi FROM pmi")
-q("surprisal_rerank", lambda s, d: E.reranked(docs(s, d)), f"WITH {PMI} SELECT w1, min(struct_pack(p := -pmi, w := w2)).w AS best FROM pmi GROUP BY w1")
+
+def total(values):
+    return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def weights(values):
+    return F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 6)
+
+
+def joined(values):
+    return F.array_join(F.transform(values, lambda x: x.cast("string")), " ")
+
+
+q("symbol_ids", lambda s, d: ids(s, d).select("doc_id", c(F.size("ids"), "n"), F.md5(joined("ids").cast("binary")).alias("digest")), f"WITH {IDS} SELECT doc_id, len(ids) AS n, md5(array_to_string(ids, ' ')) AS digest FROM ids")
+q("inline_corrected", lambda s, d: D.inline_corrected(docs(s, d), "doc_id").select("doc_id", "corrupted"), f"WITH {Q.CORRUPTED} SELECT doc_id, corrupted FROM corrupted")
+q(
+    "pack", lambda s, d: O.packed(ids(s, d), "doc_id", "ids", CHUNK).select("chunk", joined("ids").alias("ids")),
+    f"WITH {IDS}, {Q.chunks('x', 'ids', CHUNK)} SELECT chunk, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p) AS ids FROM x GROUP BY chunk",
+)
+q(
+    "span_mask", lambda s, d: corrupted_ids(s, d).select("doc_id", weights(S.span_mask(F.col("ids"), lang.XBU, lang.XEC, LOW)).alias("total")),
+    f"WITH {INLINE}, e AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM ids), {Q.span_weights('x', 'e', 'doc_id', LOW)} SELECT doc_id, round(CAST(sum(w) AS DOUBLE), 6) AS total FROM x GROUP BY doc_id",
+)
+FIRST = f"WITH {INLINE}, e AS (SELECT doc_id, ids, list_position(ids, {lang.XBC}) AS a FROM ids), f AS (SELECT doc_id, len(ids) AS n, a, list_position(ids[a:], {lang.XEC}) AS z FROM e)"
+q(
+    "correction_mask", lambda s, d: corrupted_ids(s, d).select("doc_id", c(F.size(F.filter(S.correction_mask(F.col("ids"), lang.XBC, lang.XEC, LOW), lambda v: v == 1.0)), "ones")),
+    f"{FIRST} SELECT doc_id, CAST(CASE WHEN a IS NULL OR a = 0 THEN 0 WHEN z IS NULL OR z = 0 THEN n - a + 1 ELSE z END AS BIGINT) AS ones FROM f",
+)
+q(
+    "inline_examples", lambda s, d: D.inline_examples(docs(s, d).select("doc_id", "text"), "doc_id", P.symbols, CHUNK, LOW).select("chunk", total("input_ids").alias("inputs"), weights("loss_weights").alias("weight")),
+    f"WITH {INLINE}, {Q.chunks('x', 'ids', CHUNK)}, {Q.span_weights('y', 'x', 'chunk', LOW)} SELECT chunk, CAST(sum(id) AS BIGINT) AS inputs, round(CAST(sum(w) AS DOUBLE), 6) AS weight FROM y GROUP BY chunk",
+)
+q(
+    "padded", lambda s, d: ids(s, d).filter(F.size("ids") <= CHUNK).select("doc_id", *[total(x).alias(n) for x, n in zip(S.padded(F.col("ids"), CHUNK), ("inputs", "labels", "mask"), strict=True)]),
+    f"WITH {IDS} SELECT doc_id, CAST(list_sum(ids) AS BIGINT) AS inputs, CAST(list_sum(ids) - 100 * ({CHUNK} - len(ids)) AS BIGINT) AS labels, CAST(len(ids) AS BIGINT) AS mask FROM ids WHERE len(ids) <= {CHUNK}",
+)
+q(
+    "shifted_pairs", lambda s, d: ids(s, d).select(F.explode(F.arrays_zip(F.slice(F.col("ids"), F.lit(1), F.size("ids") - 1).alias("a"), F.slice(F.col("ids"), F.lit(2), F.size("ids") - 1).alias("b"))).alias("z")).groupBy(c(F.col("z.a"), "a"), c(F.col("z.b"), "b")).agg(F.count("*").alias("n")),
+    f"WITH {IDS} SELECT CAST(z[1] AS BIGINT) AS a, CAST(z[2] AS BIGINT) AS b, count(*) AS n FROM (SELECT unnest(list_zip(ids[1:len(ids) - 1], ids[2:])) AS z FROM ids) t GROUP BY 1, 2",
+)
+
+
+def pairs(s, d):
+    """i (from 0, without gaps), typed and committed of the synthetic pairs."""
+    rows = O.running_sum(S.synthetic_pairs(words(s, d), PAIRS), "i", F.lit(1).cast("bigint"), "_n")
+    return rows.select((F.col("_n") - 1).alias("i"), "typed", "committed")
+
+
+def real_pairs(s, d):
+    rows = S.shortcut_pairs(s).withColumn("_key", F.concat_ws(" ", "committed", "typed")).distinct()
+    return O.numbered(rows, "_key").select((F.col("i") - 1).alias("i"), "typed", "committed")
+
+
+def triples(s, d):
+    return D.triple_examples(pairs(s, d), P.symbols, TRIPLE)
+
+
+TRIPLES = f"""{SYNTHETIC}, texts AS (SELECT row_number() OVER (ORDER BY i) - 1 AS i, {Q.triple('typed', 'committed')} AS text FROM pairs),
+examples AS MATERIALIZED (SELECT i, {Q.symbol_ids('text')} AS ids FROM texts)"""
+q(
+    "triple_examples", lambda s, d: triples(s, d).select("i", total("input_ids").alias("inputs"), total("labels").alias("labels"), weights("loss_weights").alias("weight"), total("attention_mask").alias("mask")),
+    f"WITH {TRIPLES} SELECT i, CAST(list_sum(ids) AS BIGINT) AS inputs, CAST(list_sum(ids) - 100 * ({TRIPLE} - len(ids)) AS BIGINT) AS labels, CAST(list_position(ids, {lang.XEC}) - list_position(ids, {lang.XBC}) + 1 AS DOUBLE) AS weight, CAST(len(ids) AS BIGINT) AS mask FROM examples WHERE len(ids) <= {TRIPLE}",
+)
+
+
+def mix_sql(n: int, plain: int, synthetic: int, real: int, plain_share: float, real_share: float = 0.25) -> str:
+    draw = lambda k, m: Q.draw("i", k, m)
+    return f"""WITH a AS (SELECT range AS i, {draw(1, D.PLAIN_DRAWS)} < {int(plain_share * D.PLAIN_DRAWS)} AS wants FROM range({n})),
+b AS (SELECT *, count(*) FILTER (WHERE wants) OVER (ORDER BY i) AS nth FROM a),
+o AS (SELECT *, CASE WHEN wants AND nth <= {plain} THEN 'plain' WHEN {draw(2, D.REAL_DRAWS)} < {int(real_share * D.REAL_DRAWS)} THEN 'real' ELSE 'synthetic' END AS origin FROM b)
+SELECT i, origin, CAST(CASE origin WHEN 'plain' THEN nth - 1 ELSE ({draw(3, D.PICK_DRAWS)}) % CASE origin WHEN 'real' THEN {real} ELSE {synthetic} END END AS BIGINT) AS pick FROM o"""
+
+
+q("mix_plan", lambda s, d: D.mix_plan(s, 40_000, 21_000, 9_000, 33), mix_sql(40_000, 21_000, 9_000, 33, 0.60))
+q("recovery_mix", lambda s, d: D.mix_plan(s, 40_000, 50_000, 9_000, 33, plain_share=0.75), mix_sql(40_000, 50_000, 9_000, 33, 0.75))
+
+
+def _mixed(s, d):
+    plain = D.plain_examples(docs(s, d).select("doc_id", "text"), "doc_id", P.symbols, CHUNK)
+    rows = D.mixed_examples(3_000, plain, triples(s, d), D.triple_examples(real_pairs(s, d), P.symbols, TRIPLE))
+    return rows.select("i", "origin", total("input_ids").alias("inputs"), weights("loss_weights").alias("weight"), c(F.size("labels"), "n"))
+
+
+# Its plan, its plain chunks and its triples have SQL of their own.
+q("mixed_examples", _mixed)
+
+#: A stand-in for a model's loss of each label after the first: ln(label + 2), 0 for labels that do not count.
+def loss():
+    return F.transform(F.slice("labels", F.lit(2), F.size("labels") - 1), lambda x: F.when(x >= 0, F.log(x + 2.0)).otherwise(0.0))
+
+
+LOSS_SQL = f"""WITH {TRIPLES}, e AS (SELECT i, unnest(ids) AS id, generate_subscripts(ids, 1) AS p, list_position(ids, {lang.XBC}) AS a, list_position(ids, {lang.XEC}) AS z FROM examples WHERE len(ids) <= {TRIPLE}),
+l AS (SELECT i, ln(id + 2.0) AS ce, CASE WHEN p BETWEEN a AND z THEN 1.0 ELSE 0.0 END AS w FROM e WHERE p > 1),
+g AS (SELECT i, count(*) AS n, sum(w) AS w, sum(ce) AS u, sum(ce * w) AS x FROM l GROUP BY i)
+SELECT i, 'triple' AS kind, n AS valid, CAST(w AS DOUBLE) AS weight, round(u / n, 6) AS loss, round(x / w, 6) AS weighted_loss FROM g
+UNION ALL SELECT NULL, 'batch', CAST(sum(n) AS BIGINT), CAST(sum(w) AS DOUBLE), round(sum(u) / sum(n), 6), round(sum(x) / sum(w), 6) FROM g"""
+q("loss_report", lambda s, d: D.loss_report(triples(s, d), "i", loss()), LOSS_SQL)
+
+
+def _weighted_loss(s, d):
+    weight, valid = F.lit(1.0) / (1 + F.pmod("event_id", F.lit(3))), F.when(F.col("event_id") % 5 == 0, 0).otherwise(1)
+    return table(s, d, "events").groupBy("event_type").agg(F.round(S.weighted_loss(F.abs("value"), weight, valid), 6).alias("loss"))
+
+
+q(
+    "weighted_loss", _weighted_loss,
+    "SELECT event_type, round(sum(abs(value) * (1.0 / (1 + event_id % 3)) * v) / greatest(sum((1.0 / (1 + event_id % 3)) * v), 1e-8), 6) AS loss FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS v FROM events) t GROUP BY event_type",
+)
+q(
+    "trainer_sample", lambda s, d: P.trainer_sample(docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("text")), 10_000_000, 300).groupBy("doc_id").agg(F.count("*").alias("n")),
+    "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) t WHERE line <> '' AND strlen(line) <= 300 GROUP BY doc_id",
+)
+MORPHS = [(["etxe", "tik"], "etxe", "tik"), (["▁etxe", "r", "a"], "etxe", "ra"), (["etxea"], "etxe", "a"), (["▁mendi", "ra"], "mendi", "ra"), (["gi", "zon", "a"], "gizon", "a"), ([], "x", "y")]
+MORPH_SQL = ", ".join(f"({list(p) if p else '[]::VARCHAR[]'}, '{r}', '{x}')" for p, r, x in MORPHS)
+q(
+    "morpheme_accuracy", lambda s, d: P.morpheme_accuracy(s.createDataFrame(MORPHS, "pieces array<string>, root string, suffix string")),
+    f"SELECT count(*) FILTER (WHERE ok) AS hits, count(*) AS n, count(*) FILTER (WHERE ok) >= count(*) * 0.6 AS enough FROM (SELECT coalesce(pieces[1] IN (root, '▁' || root) AND list_contains(pieces[2:], suffix), false) AS ok FROM (VALUES {MORPH_SQL}) t(pieces, root, suffix)) x",
+)

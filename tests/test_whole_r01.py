@@ -2,6 +2,8 @@
 
 import re
 
+import duckdb
+
 from pyspark.sql import functions as F
 
 from lexiforge import lang
@@ -14,19 +16,23 @@ def written(spark, tmp_path, texts, ids=None):
     return str(tmp_path)
 
 
-def test_span_mask_reaches_the_end(spark, tmp_path):
-    # Ids are 200 * length + first letter % 100: "ew" is 401 (start) and "eww" is 601 (stop).
-    texts = ["ew b eww " + "word " * 500 + "ew c d eww e ew f", "word " * 450 + "ew x", "eww ew eww eww ew " * 200, "", "b"]
-    want = {}
-    for n, text in enumerate(texts):
-        ids = [1] + [len(w) * 200 + ord(w[0]) % 100 for w in re.findall(lang.WORD_A, text)] + [2]
+def test_masks_reach_the_end(spark, tmp_path):
+    texts = ["kaixo mendia " * 600, "x1 y2 " * 200 + "mendia", "", "b"]
+    d = written(spark, tmp_path, texts)
+    corrupted = {r.doc_id: r.corrupted for r in registry.QUERIES["inline_corrected"](spark, d).collect()}
+    span, ones = {}, {}
+    for n, text in corrupted.items():
+        pieces = ["^", *re.findall(lang.SYMBOL, text), "$"]
         on, total = False, 0.0
-        for x in ids:
-            on = on or x == 401
+        for x in pieces:
+            on = on or x == "<XBU>"
             total += 1.0 if on else 0.1
-            on = on and x != 601
-        want[n] = round(total, 6)
-    assert {r.doc_id: r.total for r in registry.QUERIES["span_mask"](spark, written(spark, tmp_path, texts)).collect()} == want
+            on = on and x != "<XEC>"
+        span[n] = round(total, 6)
+        ones[n] = pieces.index("<XEC>") - pieces.index("<XBC>") + 1 if "<XBC>" in pieces else 0
+    assert max(len(t) for t in corrupted.values()) > 10_000 and corrupted[2] == ""
+    assert {r.doc_id: r.total for r in registry.QUERIES["span_mask"](spark, d).collect()} == span
+    assert {r.doc_id: r.ones for r in registry.QUERIES["correction_mask"](spark, d).collect()} == ones
 
 
 def test_noise_strip_keeps_forwarded_documents(spark, tmp_path):
@@ -36,7 +42,11 @@ def test_noise_strip_keeps_forwarded_documents(spark, tmp_path):
         for pattern, to in ((r"https?://\S+|www\.\S+", " "), (r"(?i)(?:\bRT\b|\bvia\b)\s*(?:@\w+\s*)?:?\s*", " "), (r"@\w+", " "), (r"#(\w+)", r"\1"), (lang.ENTITY, " "), (r"\s+", " ")):
             text = re.sub(pattern, to, text)
         want[n] = text.strip()
-    assert {r.doc_id: r.text for r in registry.QUERIES["noise_strip"](spark, written(spark, tmp_path, texts)).collect()} == want
+    d = written(spark, tmp_path, texts)
+    assert {r.doc_id: r.text for r in registry.QUERIES["noise_strip"](spark, d).collect()} == want
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{d}/documents.parquet/*.parquet')")
+    assert dict(con.execute(registry.ORACLES["noise_strip"]).fetchall()) == want
 
 
 def test_typos_of_rare_and_short_words_and_of_shortcuts(spark, tmp_path):
@@ -53,18 +63,10 @@ def test_typos_of_rare_and_short_words_and_of_shortcuts(spark, tmp_path):
 
 def test_blocks_are_of_consecutive_rows_and_shuffled(spark, tmp_path):
     ids = [i * 700 + i % 3 for i in range(300)]
-    got = [(r.doc_id, r.block) for r in registry.QUERIES["block_shuffle_drop"](spark, written(spark, tmp_path, ["x"] * 300, ids)).collect()]
+    rows = registry.QUERIES["block_shuffle_drop"](spark, written(spark, tmp_path, ["x"] * 300, ids)).orderBy("block", "place").collect()
+    assert [r.place for r in rows] == [*range(1, 129)] * 2
+    got = [(r.doc_id, r.block) for r in rows]
     assert [b for _, b in got] == [0] * 128 + [1] * 128
     for b in (0, 1):
         block = [i for i, x in got if x == b]
         assert sorted(block) == ids[b * 128 : b * 128 + 128] and block != sorted(block)
-
-
-def test_short_lines_that_recur_go_in_the_pipeline(spark):
-    import corpus_pipeline
-
-    texts = [f"All rights reserved.\n\nown {c} \n{n}" for n, c in enumerate("pqrs")]
-    rows = [(n, t, "en", "s", len(t)) for n, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
-    assert got == {n: t if n == 0 else t.removeprefix("All rights reserved.\n") for n, t in enumerate(texts)}
