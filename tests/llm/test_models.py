@@ -129,3 +129,41 @@ def test_neighbours_equal_brute_force(spark, kind):
             assert [c for c, _ in got.get(q, [])] == [c for c, _ in best], (k, q)
             assert np.allclose([s for _, s in got.get(q, [])], [s for _, s in best], rtol=0, atol=1e-12)
     assert neighbours.search(df.filter("false"), df).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e200, 1e-200, 1e-323, 1.0])
+def test_doubles_of_any_size(spark, size):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.integers(-9, 10, 6) * size).tolist()) for i in range(90)] + [(100 + i, (rng.normal(size=6) * 10.0 ** rng.integers(-300, 300)).tolist()) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (3, 200):
+        got = {}
+        for r in neighbours.search(df.filter("vec_id % 20 = 0"), df, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        with np.errstate(all="ignore"):
+            for q, v in rows:
+                if q % 20 or not any(v):
+                    continue
+                s = {c: float((np.array(v) * np.array(w)).sum()) for c, w in rows if c != q and any(w)}
+                best = sorted(s.items(), key=lambda x: (math.inf if x[1] != x[1] else -x[1], x[0]))[:k]
+                assert [c for c, _ in got[q]] == [c for c, _ in best], (q, k)
+                assert np.array_equal([x for _, x in got[q]], [x for _, x in best], equal_nan=True)
+
+
+def test_heaps_equal_sorting():
+    rng = np.random.default_rng(6)
+    heaps, rows = neighbours.Heaps(4), []
+    for _ in range(500):
+        rows.append((int(rng.integers(0, 5)), int(rng.integers(0, 30)), float(rng.choice([1.0, 2.0, 3.0, math.nan, math.inf, -math.inf, rng.normal()]))))
+        heaps.push(*rows[-1])
+    got = {}
+    b = heaps.emptied()
+    for q, c, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
+        got.setdefault(q, set()).add((c, str(s)))
+    for q in range(5):
+        best = {}
+        for i, c, s in rows:
+            if i == q and (c not in best or (-math.inf if s != s else s) > (-math.inf if best[c] != best[c] else best[c])):
+                best[c] = s
+        want = sorted(best.items(), key=lambda x: (math.inf if x[1] != x[1] else -x[1], x[0]))[:4]
+        assert {c for c, _ in got[q]} == {c for c, _ in want}
