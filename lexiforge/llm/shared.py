@@ -7,7 +7,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +51,29 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+_folders: list = []
+
+
+def _remove_folders() -> None:
+    """Results read the tables, so these go when the driver ends."""
+    for path, conf in _folders:
+        with suppress(Exception):
+            path.getFileSystem(conf).delete(path, True)
+
+
 class Tables:
-    """Intermediate tables in the shared folder. They cut lineage, so a lost executor costs only the running step."""
+    """Intermediate tables in the shared folder. They cut lineage, so a lost executor costs only the running step. The folder is removed when the driver's Python ends, or by close()."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark)}/lexiforge-{uuid.uuid4().hex}"
+        if not _folders:
+            atexit.register(_remove_folders)
+        _folders.append((spark._jvm.org.apache.hadoop.fs.Path(self.top), spark._jsc.hadoopConfiguration()))
+
+    def close(self) -> None:
+        """Removes all tables; nothing may read them any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def put(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         # The step's shuffle files go when it ends, not when the driver happens to collect its garbage.

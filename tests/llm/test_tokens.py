@@ -131,6 +131,98 @@ def test_best_fit_takes_fullest():
     assert packing.best_fit(np.array([6, 5, 4, 5, 10]), 10).tolist() in ([1, 2, 1, 2, 0],)
 
 
+def test_best_fit_equals_brute_force():
+    """The fullest bin with room takes each item, largest first; which of equally full bins does not matter to the fills."""
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        capacity = int(rng.integers(5, 60))
+        sizes = rng.integers(1, capacity + 1, rng.integers(0, 80))
+        fills = []
+        for n in sorted(sizes.tolist(), reverse=True):
+            room = [(capacity - f, i) for i, f in enumerate(fills) if f + n <= capacity]
+            if room:
+                fills[min(room)[1]] += n
+            else:
+                fills.append(n)
+        got = packing.best_fit(sizes, capacity)
+        assert sorted(np.bincount(got, weights=sizes).astype(int).tolist() if len(sizes) else []) == sorted(fills)
+
+
+def test_cuts_equal_brute_force():
+    lengths = [1, 7, 8, 9, 16, 17, 40]
+    owner, number, start, length = packing.cut(np.append(0, np.cumsum(lengths)), 8)
+    want = []
+    for i, n in enumerate(lengths):
+        cuts = [0, *range(n - (n - 1) // 8 * 8, n, 8), n]
+        want += [(i, k, a, b - a) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+    assert list(zip(owner.tolist(), number.tolist(), start.tolist(), length.tolist(), strict=True)) == want
+
+
+def test_rounds_of_packing_fill_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ITEMS_A_TASK", 40)
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["word"] * int(n)), "en", "s", 1) for i, n in enumerate(rng.integers(1, 700, 400))]
+    got = packing.pack(frame(spark, rows).repartition(12), tokens.tokenizer_path(FILES[0]), Tables(spark)).collect()
+    fills = {}
+    for r in got:
+        fills[r.sequence_id] = fills.get(r.sequence_id, 0) + r.length
+    assert sorted(r.doc_id for r in got) == list(range(400)) and max(fills.values()) <= 1024
+    assert len(fills) <= 1.06 * -(-sum(fills.values()) // 1024)
+
+
+def test_shards_equal_brute_force(spark):
+    """The tree descended by plain loops, with the hashes of another library."""
+    import math
+    import struct
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    def shard(key, node, seed):
+        if node.shard is not None:
+            return node.shard
+
+        def draw(child):
+            h = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+            h = xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(child.name.encode(), h))
+            return -math.log(((h >> 11) + 0.5) / (1 << 53)) / child.weight
+
+        return shard(key, min((c for c in node.children if c.weight > 0), key=draw), seed)
+
+    uneven = sharding.Node("root", children=(sharding.tree(2, 2, 3), sharding.Node("x", children=(sharding.Node("big", 12, 5.0), sharding.Node("none", 13, 0.0)))))
+    for root in (sharding.tree(), sharding.grown(sharding.tree()), uneven):
+        keys = [None, *range(0, 4000, 7), -5, 1 << 60]
+        rows = spark.createDataFrame([(k,) for k in keys], "k long").select("k", sharding.shard_of(F.col("k"), root).alias("s")).collect()
+        assert {r.k: r.s for r in rows} == {k: shard(k, root, 7) for k in keys}
+
+
+def test_selective_reads(spark, tmp_path):
+    """Metadata alone, or the tokens of few documents, take a small part of the file's bytes."""
+    import pyarrow.parquet as pq
+
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{rng.integers(0, 5000)}" for _ in range(120)), "en", "s", 1) for i in range(20_000)]
+    out = f"file://{tmp_path}/t"
+    tokenfile.write_tokens(frame(spark, rows), out, tokens.tokenizer_path(FILES[1]), parts=2)
+    whole = few = meta = groups = hit = 0
+    for path in sorted((tmp_path / "t").glob("*.parquet")):
+        f = pq.ParquetFile(path)
+        assert f.metadata.row_group(0).column(3).has_offset_index
+        for g in range(f.metadata.num_row_groups):
+            columns = {f.metadata.row_group(g).column(c).path_in_schema.split(".")[0]: f.metadata.row_group(g).column(c) for c in range(f.metadata.num_columns)}
+            size = {k: c.total_compressed_size for k, c in columns.items()}
+            whole += sum(size.values())
+            meta += size["n_tokens"]
+            groups += 1
+            low, high = columns["doc_id"].statistics.min, columns["doc_id"].statistics.max
+            if low <= 77 <= high:
+                hit += 1
+                few += size["ids"] + size["doc_id"]
+            assert "RLE_DICTIONARY" in columns["ids"].encodings and "DELTA_BINARY_PACKED" in columns["n_tokens"].encodings
+    assert meta < 0.02 * whole and hit == 1 < groups and few < 0.7 * whole
+    assert tokenfile.read_tokens(spark, out).filter("doc_id = 77").count() == 1
+
+
 def test_sharding(spark):
     rows = [(i, f"text {i % 50}", "en", "s", 6) for i in range(3000)] + [(5, "text 5", "en", "s", 1), (None, None, None, None, None)]
     df = sharding.shard_documents(with_clashes(frame(spark, rows)))
