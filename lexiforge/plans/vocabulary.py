@@ -36,20 +36,52 @@ def lines(s, d):
     return V.dictionary_lines(words, V.dictionary_bigrams(docs(s, d), words))
 
 
-q("wordfreq", lambda s, d: V.word_counts(docs(s, d), least=3).orderBy(F.desc("cnt"), "word").limit(200_000), f"SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM documents) t GROUP BY word HAVING count(*) >= 3 ORDER BY cnt DESC, word LIMIT 200000")
-q("top_words", lambda s, d: V.word_counts(docs(s, d)).orderBy(F.desc("cnt"), "word").limit(20), f"SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM documents) t GROUP BY word ORDER BY cnt DESC, word LIMIT 20")
+q(
+    "wordfreq",
+    lambda s, d: V.word_counts(docs(s, d), least=3).orderBy(F.desc("cnt"), "word").limit(200_000),
+    f"SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM documents) t GROUP BY word HAVING count(*) >= 3 ORDER BY cnt DESC, word LIMIT 200000",
+)
+q(
+    "top_words",
+    lambda s, d: V.word_counts(docs(s, d)).orderBy(F.desc("cnt"), "word").limit(20),
+    f"SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM documents) t GROUP BY word ORDER BY cnt DESC, word LIMIT 20",
+)
 q("lower_counts", lambda s, d: V.word_counts(docs(s, d), lang.WORD_B), LOWER)
 q("cap_counts", lambda s, d: V.capitalised_counts(docs(s, d)), CAPS)
 q("bigrams", lambda s, d: V.bigram_counts(docs(s, d)), BIGRAMS)
-q("proper_nouns", lambda s, d: parts(s, d)[1], f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER} SELECT low, display, cnt FROM proper")
-q("common_words", lambda s, d: V.common_words(*parts(s, d)), f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER}, {COMMON} SELECT word, cnt FROM common")
-q("validated_words", lambda s, d: V.without_rejected(V.common_words(*parts(s, d)), V.word_counts(table(s, d, "benchmark"), lang.WORD_B).select("word")), f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER}, {COMMON} SELECT word, cnt FROM common ANTI JOIN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{B}'))) AS bad FROM benchmark) x ON x.bad = lower(common.word)")
+q(
+    "proper_nouns",
+    lambda s, d: parts(s, d)[1],
+    f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER} SELECT low, display, cnt FROM proper",
+)
+q(
+    "common_words",
+    lambda s, d: V.common_words(*parts(s, d)),
+    f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER}, {COMMON} SELECT word, cnt FROM common",
+)
+q(
+    "validated_words",
+    lambda s, d: V.without_rejected(V.common_words(*parts(s, d)), V.word_counts(table(s, d, "benchmark"), lang.WORD_B).select("word")),
+    f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER}, {COMMON} SELECT word, cnt FROM common ANTI JOIN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{B}'))) AS bad FROM benchmark) x ON x.bad = lower(common.word)",
+)
 q("dictionary", lambda s, d: V.dictionary(docs(s, d)), f"{BASE} SELECT word, cnt, f FROM dict")
 q("dict_bigrams", lambda s, d: V.dictionary_bigrams(docs(s, d), V.dictionary(docs(s, d))), f"{BI} SELECT w1, w2, cnt, f FROM bi")
 q("dict_lines", lambda s, d: lines(s, d).select("word", "n", "line"), f"{LINES} SELECT word, n, line FROM lines")
-q("dict_roundtrip", lambda s, d: V.parsed_lines(V.numbered_lines(lines(s, d))), f"{LINES} SELECT word, nullif(regexp_extract(line, '^  bigram=(.*),f=(\\d+)$', 1), '') AS bigram, CAST(regexp_extract(line, ',f=(\\d+)$', 1) AS BIGINT) AS f FROM lines")
-q("dict_compare", lambda s, d: V.compared(V.scaled(V.word_counts(docs(s, d), lang.WORD_B, False)), V.scaled(V.word_counts(table(s, d, "conversations"), lang.WORD_B, False))), f"WITH a AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{B}')) AS word FROM documents) t GROUP BY word), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{B}')) AS word FROM conversations), f AS (SELECT word, {scale('cnt', '(SELECT max(cnt) FROM a)')} AS f FROM a) SELECT count(*) FILTER (WHERE f.word IS NOT NULL AND b.word IS NOT NULL) AS in_both, count(*) FILTER (WHERE b.word IS NULL) AS only_a, count(*) FILTER (WHERE f.word IS NULL) AS only_b, min(f) AS min_a, max(f) AS max_a, count(*) FILTER (WHERE f = 255) AS at_top_a, count(*) FILTER (WHERE regexp_matches(f.word, '{CAP}')) AS capitalised_a FROM f FULL JOIN b ON f.word = b.word")
-q("word_rank", lambda s, d: V.rank_of(V.dictionary(docs(s, d)), "on"), f"{BASE}, k AS (SELECT coalesce(max(f) FILTER (WHERE word = 'on'), 0) AS f FROM dict) SELECT any_value(k.f) AS f, count(*) FILTER (WHERE dict.f > k.f) AS above, count(*) AS n FROM dict, k")
+q(
+    "dict_roundtrip",
+    lambda s, d: V.parsed_lines(V.numbered_lines(lines(s, d))),
+    f"{LINES} SELECT word, nullif(regexp_extract(line, '^  bigram=(.*),f=(\\d+)$', 1), '') AS bigram, CAST(regexp_extract(line, ',f=(\\d+)$', 1) AS BIGINT) AS f FROM lines",
+)
+q(
+    "dict_compare",
+    lambda s, d: V.compared(V.scaled(V.word_counts(docs(s, d), lang.WORD_B, False)), V.scaled(V.word_counts(table(s, d, "conversations"), lang.WORD_B, False))),
+    f"WITH a AS (SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{B}')) AS word FROM documents) t GROUP BY word), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{B}')) AS word FROM conversations), f AS (SELECT word, {scale('cnt', '(SELECT max(cnt) FROM a)')} AS f FROM a) SELECT count(*) FILTER (WHERE f.word IS NOT NULL AND b.word IS NOT NULL) AS in_both, count(*) FILTER (WHERE b.word IS NULL) AS only_a, count(*) FILTER (WHERE f.word IS NULL) AS only_b, min(f) AS min_a, max(f) AS max_a, count(*) FILTER (WHERE f = 255) AS at_top_a, count(*) FILTER (WHERE regexp_matches(f.word, '{CAP}')) AS capitalised_a FROM f FULL JOIN b ON f.word = b.word",
+)
+q(
+    "word_rank",
+    lambda s, d: V.rank_of(V.dictionary(docs(s, d)), "on"),
+    f"{BASE}, k AS (SELECT coalesce(max(f) FILTER (WHERE word = 'on'), 0) AS f FROM dict) SELECT any_value(k.f) AS f, count(*) FILTER (WHERE dict.f > k.f) AS above, count(*) AS n FROM dict, k",
+)
 MUST = f"SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM conversations"
 LACKS = f"missing AS (SELECT word FROM ({MUST}) m WHERE length(word) BETWEEN 2 AND 24 AND NOT EXISTS (SELECT 1 FROM common WHERE common.word = m.word) AND NOT EXISTS (SELECT 1 FROM proper WHERE proper.display = m.word))"
 
@@ -64,9 +96,21 @@ def _missing(s, d):
 
 
 q("missing_words", _missing, f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER}, {COMMON}, {LACKS} SELECT word FROM missing")
-q("dictionary_must", lambda s, d: V.dictionary(docs(s, d), must=must(s, d)), f"{BASE}, {LACKS}, again AS (SELECT word, max(cnt) AS cnt FROM (SELECT word, cnt FROM merged UNION ALL SELECT word, 1 FROM missing) u GROUP BY word) SELECT word, cnt, {scale('cnt', '(SELECT max(cnt) FROM again)')} AS f FROM again")
-q("target_coverage", lambda s, d: table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("t")).withColumn("t", F.lower("t")).join(V.dictionary(docs(s, d)).select(F.col("word").alias("t")), "t", "left_semi").agg(c(F.count("*"), "covered")), f"{BASE} SELECT count(*) AS covered FROM (SELECT lower(unnest(string_split(text, ' '))) AS t FROM benchmark) b WHERE t IN (SELECT word FROM dict)")
-q("set_operations", lambda s, d: _sets(s, d), f"WITH a AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{B}'))) AS word FROM benchmark), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{B}'))) AS word FROM conversations) SELECT word, 'both' AS kind FROM (SELECT word FROM a INTERSECT SELECT word FROM b) x UNION ALL SELECT word, 'first' FROM (SELECT word FROM a EXCEPT SELECT word FROM b) y UNION ALL SELECT word, 'any' FROM (SELECT word FROM a UNION SELECT word FROM b) z")
+q(
+    "dictionary_must",
+    lambda s, d: V.dictionary(docs(s, d), must=must(s, d)),
+    f"{BASE}, {LACKS}, again AS (SELECT word, max(cnt) AS cnt FROM (SELECT word, cnt FROM merged UNION ALL SELECT word, 1 FROM missing) u GROUP BY word) SELECT word, cnt, {scale('cnt', '(SELECT max(cnt) FROM again)')} AS f FROM again",
+)
+q(
+    "target_coverage",
+    lambda s, d: table(s, d, "benchmark").select(F.explode(F.split("text", " ")).alias("t")).withColumn("t", F.lower("t")).join(V.dictionary(docs(s, d)).select(F.col("word").alias("t")), "t", "left_semi").agg(c(F.count("*"), "covered")),
+    f"{BASE} SELECT count(*) AS covered FROM (SELECT lower(unnest(string_split(text, ' '))) AS t FROM benchmark) b WHERE t IN (SELECT word FROM dict)",
+)
+q(
+    "set_operations",
+    lambda s, d: _sets(s, d),
+    f"WITH a AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{B}'))) AS word FROM benchmark), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{B}'))) AS word FROM conversations) SELECT word, 'both' AS kind FROM (SELECT word FROM a INTERSECT SELECT word FROM b) x UNION ALL SELECT word, 'first' FROM (SELECT word FROM a EXCEPT SELECT word FROM b) y UNION ALL SELECT word, 'any' FROM (SELECT word FROM a UNION SELECT word FROM b) z",
+)
 
 
 def _sets(s, d):
