@@ -94,8 +94,21 @@ def weighted_loss(ce: Column, weight: Column, valid: Column) -> Column:
     return F.sum(ce * weight * valid) / F.greatest(F.sum(weight * valid), F.lit(1e-8))
 
 
-def slot_layout(spark) -> DataFrame:
-    """id, piece and kind of the 300 reserved pieces, with fillers where a language gives no word."""
-    groups = [("filler", [f"<FUTO{i}>" for i in range(24)]), ("word", [f"<FUTO{i}>▁" for i in range(28, 174)]), ("control", ["<XBU>", "<XBC>", "<XEC>"]), ("extra", [f"<XC{i}>" for i in range(5)]), ("char", [f"<CHAR_{chr(65 + i)}>" for i in range(26)]), ("word2", [f"<FUTO{i}>▁" for i in range(208, 264)]), ("emoji", [f"<EMOJI{i}>" for i in range(40)])]
+def slot_layout(spark, first: tuple[str, ...] = (), second: tuple[str, ...] = (), emoji: tuple[str, ...] = ()) -> DataFrame:
+    """id, piece and kind of the 300 reserved pieces: 24 fillers, 146 words, the control pieces and keys, 56 more words, 40 emoji. Words get the space mark; lists that are too long are cut, and too short ones filled up with fillers numbered on from the first slot of the range."""
+
+    def filled(words: tuple[str, ...], n: int, start: int) -> list[str]:
+        return [*words, *(f"<FUTO{start + i}>" for i in range(n - len(words)))][:n]
+
+    spaced = lambda words: [f"{w}{lang.SPACE_MARK}" for w in words]
+    groups = [
+        ("filler", [f"<FUTO{i}>" for i in range(24)]),
+        ("word", spaced(filled(first, 146, 28))),
+        ("control", ["<XBU>", "<XBC>", "<XEC>"]),
+        ("extra", [f"<XC{i}>" for i in range(5)]),
+        ("char", [f"<CHAR_{chr(65 + i)}>" for i in range(26)]),
+        ("word2", spaced(filled(second, 56, 208))),
+        ("emoji", [*emoji, *(f"<EMOJI{i}>" for i in range(40 - len(emoji)))][:40]),
+    ]
     rows = [(p, k) for k, ps in groups for p in ps]
     return spark.createDataFrame([(lang.FIRST_SLOT + i, p, k) for i, (p, k) in enumerate(rows)], "id long, piece string, kind string")

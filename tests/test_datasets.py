@@ -173,6 +173,8 @@ def test_slots(spark):
     ours = S.slot_layout(spark)
     assert tuple(P.slot_verdict(P.compared_slots(ours, ours)).first()) == (34, 0, "match")
     assert tuple(P.slot_verdict(P.compared_slots(ours, ours.filter("id <> 200"))).first()) == (34, 1, "differ")
+    own = {r.id: r.piece for r in S.slot_layout(spark, ("eta", "ez"), tuple(f"w{i}" for i in range(57)), ("🙂",)).collect()}
+    assert sorted(own) == list(range(4, 304)) and own[28] == "eta▁" and own[30] == "<FUTO28>▁" and own[174] == "<XBU>" and own[182] == "<CHAR_A>" and own[263] == "w55▁" and own[264] == "🙂"
     df = spark.createDataFrame([([3, 4, 5],), ([3, 5],), ([],), ([7],)], "x array<int>")
     assert [r[0] for r in df.select(P.are_sequential(F.col("x"))).collect()] == [True, False, True, True]
     few = P.trainer_sample(spark.createDataFrame([("x" * n,) for n in range(30)], "text string"), 5, 20)

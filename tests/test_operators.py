@@ -155,6 +155,29 @@ def test_stream(spark, tmp_path):
     assert seen == ["2"]
 
 
+def test_dedup_of_a_stream(spark, tmp_path):
+    """The first 200 characters decide, also over batches."""
+    (tmp_path / "in").mkdir()
+    long = "x" * 200
+    seen = []
+    for n, lines in enumerate([["a", "b", "a", long + "1"], ["b", "c", long + "2"]]):
+        (tmp_path / "in" / f"f{n}").write_text("\n".join(lines) + "\n")
+        stream = watch.dedup_stream(spark.readStream.text(f"{tmp_path}/in").withColumnRenamed("value", "text"))
+        watch.watch(stream, lambda df, n: seen.extend(r.text for r in df.collect()), f"{tmp_path}/c", once=True).awaitTermination(60)
+    assert sorted(seen) == ["a", "b", "c", long + "1"]
+
+
+def test_a_cap_on_the_dictionary(spark):
+    docs = spark.createDataFrame([("kaixo eta ez " * 9 + "eta " * 9,), ("Bilbo " * 9,), ("Bilbo bat " * 3,)], "text string")
+    every = [(r.word, r.f) for r in V.dictionary(docs).collect()]
+    assert every == sorted(every, key=lambda x: (-x[1], x[0])) and len(every) == 5
+    assert [(r.word, r.f) for r in V.dictionary(docs, most=2).collect()] == every[:2]
+    must = spark.createDataFrame([("falta",), ("ez",), ("x",), ("Bilbo",)], "word string")
+    assert {r.word for r in V.dictionary(docs, must=must).collect()} == {w for w, _ in every} | {"falta"}
+    assert tuple(V.rank_of(V.dictionary(docs), "ez").first())[1:] == (sum(f > dict(every)["ez"] for _, f in every), 5)
+    assert tuple(V.rank_of(V.dictionary(docs), "none").first()) == (0, 5, 5)
+
+
 def test_config():
     c = {"a": 1, "n": {"x": 1, "y": 2}, "modes": {"mini": {"n": {"x": 5}}}}
     assert config.settings(c, "mini") == {"a": 1, "n": {"x": 5, "y": 2}} and config.settings(None) == {}
