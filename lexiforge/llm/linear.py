@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from .shared import blocks, crc32_of_id, one, release, small_batches
 
 
+#: Bytes of features that the training task holds (documented bound of the sample).
+FIT_BYTES = 120_000_000
+
+
 class Ftrl:
     """Follow-the-regularised-leader updates of a logistic regression (per-coordinate rates, L1 and L2)."""
 
@@ -40,9 +44,9 @@ def sigmoid(x):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
-    """doc_id, y and text of at most about `most` labelled rows that aren't held out, half of them of either label if there are so many.
+    """doc_id, y and text of at most about `most` labelled documents that aren't held out, half of them of either label if there are so many.
 
-    Rows are chosen by a hash of doc_id. The choice is a table of ids of bounded size and goes to the documents, so texts are not shuffled. Labels other than 0 and 1 count as none; of several labels of one id the largest counts.
+    Documents are chosen by a hash of doc_id; rows that repeat an id all come. The choice is a table of ids of bounded size and goes to the documents, so texts are not shuffled. Labels other than 0 and 1 count as none; of several labels of one id the largest counts.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -69,21 +73,24 @@ def featurised(features: Features):
 
 
 def fit_in_one_task(rows: DataFrame, train: Callable[[list[tuple[np.ndarray, np.ndarray, int]]], np.ndarray]) -> np.ndarray:
-    """Weights from featurised rows. The sample is bounded, so one task can hold it; only weights reach the driver."""
+    """Weights from featurised rows, in order of a hash of doc_id. The sample is bounded, so one task can hold it: of rows that repeat an id one counts, and rows beyond FIT_BYTES of features are left out. Only weights reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = []
+        data, last, size = [], None, 0
         for b in batches:
-            for i, y, at, x in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                got.append((i, at, x, y))
-        got.sort(key=lambda r: (hash((r[0], 17)), r[1]))
-        data = [(np.frombuffer(at, np.int32), np.frombuffer(x, np.float32), y) for _, at, x, y in got]
+            for i, y, at, x in zip(*(b.column(k) for k in range(4)), strict=True):
+                i, n = i.as_py(), at.as_buffer().size + x.as_buffer().size
+                if i != last and size + n <= FIT_BYTES:
+                    data.append((np.frombuffer(at.as_py(), np.int32), np.frombuffer(x.as_py(), np.float32), y.as_py()))
+                    size += n
+                last = i
         yield pa.RecordBatch.from_arrays([pa.array([train(data).astype(np.float32).tobytes()], pa.binary())], ["w"])
-        del got, data
+        del data
         release()
 
+    ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(17)), "doc_id", "y", F.xxhash64("at"))
     with small_batches(rows.sparkSession):
-        found = rows.repartition(1).mapInArrow(run, "w binary").collect()
+        found = ordered.mapInArrow(run, "w binary").collect()
     return np.frombuffer(found[0]["w"], np.float32) if found else np.zeros(0, np.float32)
 
 

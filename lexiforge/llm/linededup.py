@@ -16,8 +16,8 @@ from .shared import Tables, column_without_clash
 DEPTH, MIN_DOCS, MIN_TOKENS, CONSTANT = 3, 3, 4, 70
 #: Segments of a line at most.
 SEGMENTS = 8
-#: Documents with dropped lines, or recurring templates, up to which that side is broadcast (16 to 100 bytes each); beyond, the same join shuffles.
-BROADCAST_ROWS = 200_000
+#: Dropped lines, recurring templates, leaves or lines to read up to which that side is broadcast (100 bytes each at most); beyond, the same join shuffles.
+BROADCAST_ROWS = 400_000
 WILD = "<*>"
 
 
@@ -40,8 +40,10 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("_doc", "_row", "_no", "_k", F.xxhash64("_k", F.substring_index("_t", " ", DEPTH)).alias("_leaf"), F.xxhash64("_t").alias("_a"), F.xxhash64(F.lit(1), "_t").alias("_b"))
 
 
-def _side(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _side(df: DataFrame, entries: Column | None = None) -> DataFrame:
+    """df, to be broadcast if it has few rows, or few entries in all of its arrays."""
+    n = df.agg(F.sum(F.lit(1) if entries is None else entries).alias("n")).first()["n"]
+    return F.broadcast(df) if (n or 0) <= BROADCAST_ROWS else df
 
 
 def _segments(words: Column, k: Column) -> Column:
@@ -58,7 +60,7 @@ def _texts(docs: DataFrame, templates: DataFrame, tables: Tables) -> DataFrame:
     at = tables.put(at, "wanted")
     rows = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_row"), F.col("text").alias("_text"))
     # Rows that repeat an id and text give a template's tokens once each.
-    rows = rows.join(_side(at), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select(F.split("_text", "\n").alias("_all"), F.explode("_want").alias("_x"))
+    rows = rows.join(_side(at, F.size("_want")), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r"))).select(F.split("_text", "\n").alias("_all"), F.explode("_want").alias("_x"))
     rows = rows.select("_x.*", F.explode(F.array(F.get("_all", F.col("_x._no")))).alias("_line"))
     return rows.select("_k", "_leaf", "_a", "_b", "_docs", "_first", F.split(masked(F.col("_line")), " ").alias("_w")).dropDuplicates(["_a", "_b"])
 
@@ -108,7 +110,7 @@ def dedup_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     """
     drops = tables.put(dropped_lines(docs.select("doc_id", "text"), tables), "dropped")
     rows = docs.select(F.struct("*").alias("_in"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    rows = rows.join(_side(drops), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
+    rows = rows.join(_side(drops, F.size("_drop")), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
     before, lines = F.col("_in.text"), F.split("_in.text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("_drop"), i))
     text = F.when(F.col("_drop").isNull(), before).otherwise(F.array_join(kept, "\n"))

@@ -167,3 +167,12 @@ def test_heaps_equal_sorting():
                 best[c] = s
         want = sorted(best.items(), key=lambda x: (math.inf if x[1] != x[1] else -x[1], x[0]))[:4]
         assert {c for c, _ in got[q]} == {c for c, _ in want}
+
+
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """Rows that repeat an id count once, and features beyond the bound are left out, in an order that does not depend on partitions."""
+    rows = [(i % 50, i % 2, np.array([i % 50], np.int32).tobytes(), np.ones(1, np.float32).tobytes()) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, y int, at binary, x binary")
+    fit = lambda d: linear.fit_in_one_task(d, lambda data: np.array([len(data), *(a[0] for a, _, _ in data)]))
+    one, two = fit(df.repartition(3)), fit(df.repartition(7))
+    assert one[0] == 50 and sorted(one[1:]) == list(range(50)) and one.tolist() == two.tolist()
