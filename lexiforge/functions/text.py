@@ -111,20 +111,30 @@ def scale_count(count: Column, top: Column) -> Column:
 
 
 def strip_marks(word: Column) -> Column:
-    return F.translate(F.regexp_replace(word, r"\p{Mn}", ""), *_MARKS)
+    """Letters without their marks. Most words are ASCII, and a search is cheaper than a replacement."""
+    return F.when(word.rlike(r"[^\x00-\x7f]"), F.translate(F.regexp_replace(word, r"\p{Mn}", ""), *_MARKS)).otherwise(word)
+
+
+def key_letters(word: Column) -> Column:
+    """The letters of a word that have a key, as upper-case text."""
+    return F.regexp_replace(F.upper(strip_marks(word)), "[^A-Z]", "")
+
+
+def keys_text(word: Column) -> Column:
+    """The keypress pieces of a word, as one text."""
+    return F.regexp_replace(key_letters(word), "([A-Z])", "<CHAR_$1>")
 
 
 def keypresses(word: Column) -> Column:
-    letters = F.filter(F.split(F.upper(strip_marks(word)), ""), lambda c: c.rlike("^[A-Z]$"))
-    return F.transform(letters, lambda c: F.concat(F.lit("<CHAR_"), c, F.lit(">")))
+    return matches(keys_text(word), "<CHAR_[A-Z]>")
 
 
 def char_ids(word: Column) -> Column:
-    return F.transform(F.filter(F.split(F.upper(strip_marks(word)), ""), lambda c: c.rlike("^[A-Z]$")), lambda c: F.lit(lang.CHAR_A - 65) + F.ascii(c))
+    return F.transform(matches(key_letters(word), "[A-Z]"), lambda c: F.lit(lang.CHAR_A - 65) + F.ascii(c))
 
 
 def triple(typed: Column, meant: Column) -> Column:
-    return F.concat(F.lit("<XBU>"), F.array_join(keypresses(typed), ""), F.lit("<XBC>"), meant, F.lit("<XEC>"))
+    return F.concat(F.lit("<XBU>"), keys_text(typed), F.lit("<XBC>"), meant, F.lit("<XEC>"))
 
 
 def _parts(w: Column, i: Column) -> tuple[Column, Column, Column]:
@@ -165,8 +175,8 @@ def draw(seq: Column, k: int, modulus: int) -> Column:
     return F.pmod(F.pmod(F.pmod(seq, F.lit(1000003)) * 1103515245 + F.lit(k * 12345 + 1337), F.lit(1000003)), F.lit(modulus)).cast("int")
 
 
-def typo_once(w: Column, seq: Column, t: int) -> Column:
-    """Try number t at a typo by the weighted rules; null where it changes nothing."""
+def typo_try(w: Column, seq: Column, t: int) -> Column:
+    """Try number t at a typo by the weighted rules; the word itself where it changes nothing."""
     r, n = draw(seq, 10 * t, 100), F.greatest(F.length(w), F.lit(1))
     at, k = draw(seq, 10 * t + 1, 9973), draw(seq, 10 * t + 2, 9973)
     i = F.pmod(at, n)
@@ -181,7 +191,7 @@ def typo_once(w: Column, seq: Column, t: int) -> Column:
     out = made[-1]
     for bound, m in reversed(list(zip(lang.RULE_BOUNDS[:-1], made[:-1], strict=True))):
         out = F.when(r < bound, m).otherwise(out)
-    return F.nullif(out, w)
+    return out
 
 
 def affixes(word: Column) -> tuple[Column, Column, Column]:

@@ -26,9 +26,9 @@ def inline_corrected(docs: DataFrame, seq: str, text: str = "text", rate: float
     words = words.withColumn("_k", F.pmod("_seq", F.lit(1000003)) * 8191 + F.col("_at"))
     core = F.regexp_extract("_w", lang.INLINE, 2)
     words = T.once(words, "_core", F.when(T.draw(F.col("_k"), 5, RATE_DRAWS) <= int(rate * RATE_DRAWS), core))
-    typed = S.typos(words.filter("_core <> ''").select("_seq", "_at", "_w", "_core", "_k"), "_core", "_k")
-    typed = typed.select(F.col("_seq").alias("_s"), F.col("_at").alias("_a"), F.concat(F.regexp_extract("_w", lang.INLINE, 1), T.triple(F.col("typed"), F.col("_core")), F.regexp_extract("_w", lang.INLINE, 3)).alias("_new"))
-    both = words.join(typed, (F.col("_seq") == F.col("_s")) & (F.col("_at") == F.col("_a")), "left").select("_seq", "_at", F.coalesce("_new", "_w").alias("_w"))
+    words = S.with_typed(words, "_core", "_k")
+    new = F.concat(F.regexp_extract("_w", lang.INLINE, 1), T.triple(F.col("typed"), F.col("_core")), F.regexp_extract("_w", lang.INLINE, 3))
+    both = words.select("_seq", "_at", F.when(F.col("typed").isNotNull(), new).otherwise(F.col("_w")).alias("_w"))
     lines = both.groupBy("_seq").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_at", "_w")))["_w"], " ").alias("corrupted"))
     return docs.join(lines, F.col(seq) == F.col("_seq"), "left").drop("_seq").withColumn("corrupted", F.coalesce("corrupted", F.lit("")))
 

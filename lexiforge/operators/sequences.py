@@ -52,13 +52,21 @@ def shortcut(word: Column, seq: Column, p: lang.Profile = lang.DEFAULT) -> Colum
     return F.when(T.draw(seq, 7, SHORTCUT_DRAWS) < SHORTCUT_BELOW, F.nullif(form, word))
 
 
+def with_typed(df: DataFrame, word: str, seq: str) -> DataFrame:
+    """Adds `typed`, null where a word has no typo. An alias comes first, and each try is made only where what came before gave none."""
+    none = (F.length(word) >= 2) & F.col(word).rlike(lang.ELIGIBLE)
+    made = []
+    for name, value in (("_alias", shortcut(F.col(word), F.col(seq))), ("_try1", T.typo_try(F.col(word), F.col(seq), 1)), ("_try2", T.typo_try(F.col(word), F.col(seq), 2))):
+        df = T.once(df, "_made", F.when(none, value))
+        df = T.once(df, name, F.when(F.col("_made") != F.col(word), F.col("_made"))).drop("_made")
+        none = none & F.col(name).isNull()
+        made.append(name)
+    return df.withColumn("typed", F.coalesce(*made)).drop(*made)
+
+
 def typos(df: DataFrame, word: str, seq: str) -> DataFrame:
     """Adds `typed`; rows without a typo go."""
-    df = T.once(df, "_alias", shortcut(F.col(word), F.col(seq)))
-    for t in (1, 2):
-        df = T.once(df, f"_try{t}", T.typo_once(F.col(word), F.col(seq), t))
-    ok = (F.length(word) >= 2) & F.col(word).rlike(lang.ELIGIBLE)
-    return df.withColumn("typed", F.when(ok, F.coalesce("_alias", "_try1", "_try2"))).filter("typed is not null").drop("_alias", "_try1", "_try2")
+    return with_typed(df, word, seq).filter("typed is not null")
 
 
 def span_mask(ids: Column, start: int, stop: int, low: float) -> Column:
