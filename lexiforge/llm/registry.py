@@ -16,4 +16,4 @@ QUERIES = {
     "op8_token_ids": tokenfile.op8_token_ids,
     "op9_substring_dedup": substrings.op9_substring_dedup,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": decontamination.OP2_SQL, "op5_line_dedup": linededup.OP5_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": decontamination.OP2_SQL, "op5_line_dedup": linededup.OP5_SQL, "op9_substring_dedup": substrings.OP9_SQL, "op10_jaccard_join": jaccard.OP10_SQL}

@@ -332,3 +332,20 @@ def dedup_substrings(docs: DataFrame, tables: Tables, text_too: bool = False) ->
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark))
+
+
+OP9_SQL = r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents
+), e AS MATERIALIZED (
+  SELECT doc_id, p, array_to_string(ws[p:p + 19], ' ') AS span FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS p FROM w) t
+), f AS (SELECT span, min(struct_pack(d := doc_id, p := p)) AS first FROM e GROUP BY span HAVING count(*) > 1),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM e JOIN f USING (span) WHERE first.d <> doc_id OR first.p <> p
+), word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+"""
