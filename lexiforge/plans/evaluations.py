@@ -12,7 +12,7 @@ from ..operators import pieces as P
 from ..operators import sequences as S
 from ..operators import vocab as V
 from . import sqltext as Q
-from .base import docs, q, table
+from .base import docs, kept, q, table
 from .sequences import real_pairs
 from .typos import words
 from .vocabulary import BIGRAMS
@@ -66,7 +66,7 @@ q(
 
 
 def _autocorrect(s, d):
-    cases = typo_cases(s, d)
+    cases = kept(typo_cases(s, d))
     return E.accuracy(E.corrected_hits(cases, E.corrections(cases, words(s, d))))
 
 

@@ -11,7 +11,7 @@ from ..operators import order as O
 from ..operators import pieces as P
 from ..operators import sequences as S
 from . import sqltext as Q
-from .base import c, docs, q, table
+from .base import c, docs, kept, q, table
 from .typos import PAIRS, SYNTHETIC, words
 
 #: Tokens of a chunk, and of a triple's example.
@@ -74,7 +74,7 @@ q(
 
 def pairs(s, d):
     """i (from 0, without gaps), typed and committed of the synthetic pairs."""
-    rows = O.running_sum(S.synthetic_pairs(words(s, d), PAIRS), "i", F.lit(1).cast("bigint"), "_n")
+    rows = O.running_sum(kept(S.synthetic_pairs(words(s, d), PAIRS)), "i", F.lit(1).cast("bigint"), "_n")
     return rows.select((F.col("_n") - 1).alias("i"), "typed", "committed")
 
 
@@ -108,8 +108,8 @@ q("recovery_mix", lambda s, d: D.mix_plan(s, 40_000, 50_000, 9_000, 33, plain_sh
 
 
 def _mixed(s, d):
-    plain = D.plain_examples(docs(s, d).select("doc_id", "text"), "doc_id", P.symbols, CHUNK)
-    rows = D.mixed_examples(3_000, plain, triples(s, d), D.triple_examples(real_pairs(s, d), P.symbols, TRIPLE))
+    plain = kept(D.plain_examples(docs(s, d).select("doc_id", "text"), "doc_id", P.symbols, CHUNK))
+    rows = D.mixed_examples(3_000, plain, kept(triples(s, d)), kept(D.triple_examples(real_pairs(s, d), P.symbols, TRIPLE)))
     return rows.select("i", "origin", total("input_ids").alias("inputs"), weights("loss_weights").alias("weight"), c(F.size("labels"), "n"))
 
 

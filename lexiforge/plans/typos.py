@@ -11,14 +11,14 @@ from ..operators import pieces as P
 from ..operators import sequences as S
 from ..operators import vocab as V
 from . import sqltext as Q
-from .base import c, docs, q
+from .base import c, docs, kept, q
 
 PAIRS = 2000
 
 
 def words(s, d):
     """word, cnt and i of all words seen three times."""
-    return O.numbered(V.word_counts(docs(s, d), least=3))
+    return O.numbered(kept(V.word_counts(docs(s, d), least=3)))
 
 
 def on_words(name: str, column: str, f, sql: str, keep: str = "") -> None:

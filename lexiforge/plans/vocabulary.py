@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import lang
 from ..operators import vocab as V
-from .base import c, docs, q, table
+from .base import c, docs, kept, q, table
 
 A, B = lang.WORD_A.replace("'", "''"), lang.WORD_B.replace("'", "''")
 CAP, ART = V.LETTERS, lang.ARTIFACT.replace("'", "''")
@@ -32,7 +32,7 @@ def parts(s, d):
 
 
 def lines(s, d):
-    words = V.dictionary(docs(s, d))
+    words = kept(V.dictionary(docs(s, d)))
     return V.dictionary_lines(words, V.dictionary_bigrams(docs(s, d), words))
 
 
@@ -65,11 +65,11 @@ q(
     f"WITH low AS MATERIALIZED ({LOWER}), caps AS MATERIALIZED ({CAPS}), {PROPER}, {COMMON} SELECT word, cnt FROM common ANTI JOIN (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{B}'))) AS bad FROM benchmark) x ON x.bad = lower(common.word)",
 )
 q("dictionary", lambda s, d: V.dictionary(docs(s, d)), f"{BASE} SELECT word, cnt, f FROM dict")
-q("dict_bigrams", lambda s, d: V.dictionary_bigrams(docs(s, d), V.dictionary(docs(s, d))), f"{BI} SELECT w1, w2, cnt, f FROM bi")
+q("dict_bigrams", lambda s, d: V.dictionary_bigrams(docs(s, d), kept(V.dictionary(docs(s, d)))), f"{BI} SELECT w1, w2, cnt, f FROM bi")
 q("dict_lines", lambda s, d: lines(s, d).select("word", "n", "line"), f"{LINES} SELECT word, n, line FROM lines")
 q(
     "dict_roundtrip",
-    lambda s, d: V.parsed_lines(V.numbered_lines(lines(s, d))),
+    lambda s, d: V.parsed_lines(kept(V.numbered_lines(kept(lines(s, d))))),
     f"{LINES} SELECT word, nullif(regexp_extract(line, '^  bigram=(.*),f=(\\d+)$', 1), '') AS bigram, CAST(regexp_extract(line, ',f=(\\d+)$', 1) AS BIGINT) AS f FROM lines",
 )
 q(
