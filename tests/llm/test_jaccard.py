@@ -110,7 +110,7 @@ def near_copies(seed, copies, words=60):
 
 
 def test_large_near_copy_group(spark, monkeypatch):
-    for seed, entry, tile, frequent in ((1, 8, 128, 200), (2, 2, 7, 200), (3, 3, 16, 10)):
+    for seed, entry, tile, frequent in ((1, 8, 128, 200), (2, 2, 7, 10)):
         monkeypatch.setattr(jaccard, "SMALL_ENTRY", entry)
         monkeypatch.setattr(jaccard, "TILE_ROWS", tile)
         monkeypatch.setattr(jaccard, "FREQUENT_SETS", frequent)
