@@ -38,9 +38,10 @@ def bounded(df: DataFrame) -> DataFrame:
     return df.withColumn("ids", F.concat(F.array(F.lit(lang.BOS)), "ids", F.array(F.lit(lang.EOS))))
 
 
-def inline_examples(docs: DataFrame, seq: str, encode: Encoder, length: int, low: float = 1.0, rate: float = lang.TYPO_RATE) -> DataFrame:
-    """chunk, input_ids, labels and loss_weights: texts with inline corrections on end, in chunks of `length`; tokens of corrections weigh 1, others `low`."""
-    chunks = O.packed(bounded(encode(inline_corrected(docs, seq, rate=rate).select(seq, "corrupted"), "corrupted")), seq, "ids", length)
+def inline_examples(docs: DataFrame, seq: str, encode: Encoder, length: int, low: float = 1.0, rate: float = lang.TYPO_RATE, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """chunk, input_ids, labels and loss_weights: texts with inline corrections on end, in chunks of `length`; tokens of corrections weigh 1, others `low`. Packing reads the corrected texts twice; `kept` may make a table of them."""
+    texts = kept(inline_corrected(docs, seq, rate=rate).select(seq, "corrupted"))
+    chunks = O.packed(bounded(encode(texts, "corrupted")), seq, "ids", length)
     return chunks.select("chunk", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"), S.span_mask(F.col("ids"), lang.XBU, lang.XEC, low).alias("loss_weights"))
 
 
