@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import conversation, decontamination, filteraudit, jaccard, linededup, neighbours, packing, quality, sharding, substrings, tokenfile, toxicity
+from . import conversation, decontamination, filteraudit, jaccard, linededup, neighbours, packing, quality, sharding, simhash, substrings, tokenfile, toxicity
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
     "op11_conversation_repair": conversation.op11_conversation_repair,
+    "op12_simhash": simhash.op12_simhash,
     "op13_filter_audit": filteraudit.op13_filter_audit,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_toxicity": toxicity.op3_toxicity,
