@@ -174,7 +174,8 @@ def _short(rows: DataFrame) -> DataFrame:
     """A row for each conversation that fits a row: `turns` repaired."""
     order = Window.partitionBy("_c", "_gone").orderBy("turn", "role", "text")
     again = Window.partitionBy("_c", "_gone", "role", "text").orderBy("_at")
-    rows = rows.withColumn("_at", F.row_number().over(order))
+    # Dealt by the conversation alone, for the windows and the collection.
+    rows = rows.repartition("_c").withColumn("_at", F.row_number().over(order))
     rows = _flags(rows, F.row_number().over(again) > 1, F.lag("role").over(order), F.lag("turn").over(order))
     there = ~F.col("_gone")
     whole = rows.groupBy("_c").agg(F.min("conv_id").alias("conv_id"), *_sums(there), F.sort_array(F.collect_list(F.when(there, _turn()))).alias("_t"))
