@@ -1,6 +1,6 @@
 """Token files: Parquet with a list column of ids, for selective reads of tokens or metadata.
 
-Layout: rows in ascending doc_id over ascending parts. Ids are dictionary-encoded (a vocabulary of 2^16 takes 16 bits an id); doc_id and n_tokens are delta-encoded. Row groups and pages are of set sizes, and the page index lets a reader of few documents skip the pages of all others.
+Layout: rows in ascending doc_id over ascending parts, each with the place of its first id in its part. Ids are dictionary-encoded (a vocabulary of 2^16 takes 16 bits an id); doc_id, part_start and n_tokens are delta-encoded. Row groups and pages are of set sizes, and the page index lets a reader of few documents skip the pages of all others.
 """
 
 from __future__ import annotations
@@ -27,19 +27,23 @@ WRITE = {
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
     "parquet.enable.dictionary#n_tokens": "false",
+    "parquet.enable.dictionary#part_start": "false",
 }
 #: Text bytes that a worker encodes at once, and pieces that it keeps.
 ENCODE_BYTES, KEEP = 10_000_000, 600_000
-SCHEMA = "part int, doc_id long, n_tokens int, ids array<int>"
+SCHEMA = "part int, doc_id long, part_start long, n_tokens int, ids array<int>"
 
 
 def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.load(path).keep = KEEP
+        written = 0
         for block in blocks(batches, "text", ENCODE_BYTES):
             ids, ends = tokens.encode(path, one(block["text"]))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
-            yield pa.RecordBatch.from_arrays([one(block["part"]), one(block["doc_id"]), pa.array(np.diff(ends).astype(np.int32)), lists], ["part", "doc_id", "n_tokens", "ids"])
+            starts = pa.array(ends[:-1].astype(np.int64) + written)
+            yield pa.RecordBatch.from_arrays([one(block["part"]), one(block["doc_id"]), starts, pa.array(np.diff(ends).astype(np.int32)), lists], ["part", "doc_id", "part_start", "n_tokens", "ids"])
+            written += len(ids)
 
     return run
 
@@ -47,11 +51,14 @@ def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, parts: int | None = None) -> None:
     """Encodes every text (null: empty), closes it with the end id, and writes the file.
 
-    Rows of one doc_id stay rows of their own, ordered by text; null doc_ids come first. Parts are ranges of doc_id, so that each is sorted by itself; a doc_id's rows are in one part.
+    Rows of one doc_id stay rows of their own, ordered by text; null doc_ids come first. Each row holds where its ids begin in its part. Parts are ranges of doc_id, so that each is sorted by itself; a doc_id that has more rows than two parts should is divided by text.
     """
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    most, n = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    ranges = ["doc_id"] if (most or 0) * parts <= 2 * (n or 0) else ["doc_id", F.substring("text", 1, 64)]
+    rows = rows.repartitionByRange(parts, *ranges).sortWithinPartitions("doc_id", "text")
     rows = rows.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     with small_batches(spark):
         rows.mapInArrow(_encoder(tokenizer), SCHEMA).write.options(**WRITE).parquet(path)
@@ -69,18 +76,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = np.ascontiguousarray(np.asarray(lists.flatten()).astype("<u4"))
         view, ends = memoryview(ids).cast("B"), (ends - ends[0]) * 4
         crc = [zlib.crc32(view[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(ends) // 4), pa.array(crc, pa.int64())], ["part", "doc_id", "n_tokens", "ids_crc32"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.diff(ends) // 4), pa.array(crc, pa.int64())], ["part", "doc_id", "part_start", "n_tokens", "ids_crc32"])
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of each row, from the file."""
-    rows = read_tokens(spark, path).mapInArrow(_digests, "part int, doc_id long, n_tokens long, ids_crc32 long")
-    # Sums of parts are a row for each part; the running sum inside a part is a window over that part alone.
+    """doc_id, start (ids of all rows before it in the file), n_tokens and ids_crc32 of each row, from the file. Rows of one doc_id keep the places that the file gives them."""
+    rows = read_tokens(spark, path).mapInArrow(_digests, "part int, doc_id long, part_start long, n_tokens long, ids_crc32 long")
+    # Sums of parts are a row for each part.
     parts = read_tokens(spark, path).groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
     before = parts.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, F.col("part") == F.col("_part"))
-    return out.select("doc_id", (F.col("upto") - F.col("n_tokens") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    out = rows.join(F.broadcast(before), F.col("part") == F.col("_part"))
+    return out.select("doc_id", (F.col("part_start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
