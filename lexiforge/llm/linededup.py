@@ -1,6 +1,6 @@
 """Line dedup by a log-template tree.
 
-A line descends a tree of fixed depth: its token count, then its first tokens, in which a token with a digit is a wildcard. Its own template at the leaf has wildcards for all such tokens. Templates of a leaf that share a whole segment of their other tokens form a group; a leaf has as many groups as its lines have such segments. There is one segment more than tokens may differ, so two templates that are similar enough share one; lines of 27 tokens and more have eight segments, so that a line of any length costs in proportion to it, and similar ones of these are missed if they differ in all eight. A group votes on each position, by documents: the token of more than half of them is a constant, any other a wildcard. A line whose tokens agree with enough of a group's constants belongs to the group's template. A template in enough documents recurs, be it a line's own or a group's; its lines are dropped everywhere but in the first document that has it, so one copy of any content stays.
+A line descends a tree of fixed depth: its token count, then its first tokens, in which a token with a digit is a wildcard. Its own template at the leaf has wildcards for all such tokens. Templates of a leaf that share a whole segment of their other tokens form a group; a leaf has as many groups as its lines have such segments. There is one segment more than tokens may differ, so two templates that are similar enough share one; lines of 27 tokens and more have eight segments, so that a line of any length costs in proportion to it, and similar ones of these are missed if they differ in all eight. A group votes on each position, by documents (one with several of its lines is one document): the token of more than half of them is a constant, any other a wildcard. A line whose tokens agree with enough of a group's constants belongs to the group's template. A template in enough documents recurs, be it a line's own or a group's; its lines are dropped everywhere but in the first document that has it, so one copy of any content stays.
 
 All steps are associative aggregations and joins; no task gathers a leaf.
 """
@@ -77,19 +77,49 @@ def recurring(docs: DataFrame, lines: DataFrame, tables: Tables) -> DataFrame:
     texts = _texts(docs, long.join(_side(leaves), ["_k", "_leaf"], "left_semi"), tables)
     keyed = texts.select("*", F.explode(_segments(F.col("_w"), F.col("_k"))).alias("_s")).select("_k", "_a", "_b", "_docs", "_first", "_w", F.xxhash64("_leaf", "_s").alias("_key"))
     keyed = tables.put(keyed, "keyed")
-    groups = keyed.groupBy("_key").agg(F.sum("_docs").alias("_n"), F.count("*").alias("_kinds")).filter((F.col("_n") >= MIN_DOCS) & (F.col("_kinds") > 1)).select("_key", "_n")
+    # A group of few documents at most is none; sums count a document once for each of its templates, so they are bounds.
+    groups = keyed.groupBy("_key").agg(F.sum("_docs").alias("_most"), F.count("*").alias("_kinds")).filter((F.col("_most") >= MIN_DOCS) & (F.col("_kinds") > 1)).select("_key", "_most")
     members = tables.put(keyed.join(groups, "_key"), "members")
-    votes = members.select("_key", "_n", "_docs", F.posexplode("_w").alias("_p", "_word")).groupBy("_key", "_n", "_p", "_word").agg(F.sum("_docs").alias("_v"))
-    most = votes.groupBy("_key", "_p").agg(F.max(F.when((F.col("_v") * 2 > F.col("_n")) & (F.col("_word") != WILD), F.col("_word"))).alias("_c"))
-    shapes = most.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_c"))), lambda x: x["_c"]).alias("_shape"))
-    agree = F.size(F.filter(F.arrays_zip(F.col("_w").alias("w"), F.col("_shape").alias("c")), lambda x: x["w"] == x["c"]))
+    twice = _several(lines, members, tables)
+    more = twice.groupBy(F.col("_key").alias("_k2")).agg(F.sum(F.size("_ts") - 1).alias("_more"))
+    votes = _votes(members, twice)
+    sizes = members.select("_key", "_most").distinct().join(more, F.col("_key") == F.col("_k2"), "left").select("_key", (F.col("_most") - F.coalesce("_more", F.lit(0))).alias("_n"))
+    sizes = sizes.filter(F.col("_n") >= MIN_DOCS).select(F.col("_key").alias("_k2"), "_n")
+    # Documents with several templates may give two tokens of one place more than half of them: the more frequent one counts, or the greater.
+    most = votes.join(sizes, F.col("_key") == F.col("_k2")).filter((F.col("_v") * 2 > F.col("_n")) & (F.col("_word") != WILD)).groupBy("_key", "_p").agg(F.max(F.struct("_v", "_word"))["_word"].alias("_c"))
+    shapes = most.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("_p", "_c"))).alias("_shape"))
+    agree = F.size(F.filter(F.transform("_w", lambda w, i: w == F.try_element_at("_shape", i)), lambda same: same))
     taken = members.join(shapes, "_key").filter(agree * 100 >= F.col("_k") * CONSTANT).select("_key", "_a", "_b", "_docs", "_first")
-    enough = taken.groupBy("_key").agg(F.sum("_docs").alias("_all"), F.min("_first").alias("_group_first")).filter(F.col("_all") >= MIN_DOCS)
+    taken = tables.put(taken, "taken")
+    again = twice.select("_key", "_doc", F.explode("_ts").alias("_x")).select("_key", "_doc", "_x._a", "_x._b").join(taken.select("_key", "_a", "_b"), ["_key", "_a", "_b"], "left_semi")
+    again = again.groupBy("_key", "_doc").agg((F.count("*") - 1).alias("_again")).groupBy(F.col("_key").alias("_k2")).agg(F.sum("_again").alias("_again"))
+    enough = taken.groupBy("_key").agg(F.sum("_docs").alias("_all"), F.min("_first").alias("_group_first")).join(again, F.col("_key") == F.col("_k2"), "left")
+    enough = enough.filter(F.col("_all") - F.coalesce("_again", F.lit(0)) >= MIN_DOCS).select("_key", "_group_first")
     wide = taken.join(enough, "_key").select("_a", "_b", F.col("_group_first").alias("_first"))
     # A template that recurs as it is keeps the line of its own first document; of several groups, the earliest counts.
     return tables.put(wide.groupBy("_a", "_b").agg(F.min("_first").alias("_first")).join(own, ["_a", "_b"], "left_anti").unionByName(own), "recurring")
 
 
+def _several(lines: DataFrame, members: DataFrame, tables: Tables) -> DataFrame:
+    """_key, _doc and _ts (_a and _b of its templates) of each document that has several templates of a group; its own length bounds them. A null id is a document."""
+    wanted = tables.put(members.select("_a", "_b").distinct(), "member_templates")
+    holders = lines.select("_a", "_b", "_doc").join(_side(wanted), ["_a", "_b"], "left_semi").distinct()
+    pairs = members.select("_key", "_a", "_b").join(tables.put(holders, "holders"), ["_a", "_b"])
+    # Most have one template: they are counted before any are collected.
+    counts = pairs.groupBy("_key", "_doc").agg(F.count("*").alias("_n"), F.collect_list(F.struct("_a", "_b")).alias("_ts"))
+    return tables.put(counts.filter("_n > 1").select("_key", "_doc", "_ts"), "twice")
+
+
+def _votes(members: DataFrame, twice: DataFrame) -> DataFrame:
+    """_key, _p, _word and _v: how many documents of a group have that token at that place. Documents with one template of the group are counted by template, the others by themselves."""
+    each = twice.select("_key", "_doc", F.explode("_ts").alias("_x")).select("_key", "_doc", "_x._a", "_x._b")
+    less = each.groupBy("_key", "_a", "_b").agg(F.count("*").alias("_less"))
+    single = members.join(less, ["_key", "_a", "_b"], "left").select("_key", "_w", (F.col("_docs") - F.coalesce("_less", F.lit(0))).alias("_v")).filter("_v > 0")
+    words = each.join(members.select("_key", "_a", "_b", "_w"), ["_key", "_a", "_b"]).select("_key", "_doc", F.posexplode("_w").alias("_p", "_word")).distinct()
+    both = single.select("_key", F.posexplode("_w").alias("_p", "_word"), "_v").unionByName(words.select("_key", "_p", "_word", F.lit(1).cast("long").alias("_v")))
+    return both.groupBy("_key", "_p", "_word").agg(F.sum("_v").alias("_v"))
+
+
 def dropped_lines(docs: DataFrame, tables: Tables) -> DataFrame:
     """_doc, _row and _drop, the sorted numbers (from 0) of lines to drop, for each document with any."""
     lines = tables.put(_lines(docs), "lines")
@@ -142,17 +172,21 @@ WITH l AS (
   SELECT k, lead, t, docs, first, w, m, d, unnest(range(0, CASE WHEN m > d THEN d + 1 ELSE 1 END)) AS s FROM cand
 ), keyed AS MATERIALIZED (
   SELECT k, lead, t, docs, first, w, s, CASE WHEN m > d THEN array_to_string(w[4 + (s * m + d) // (d + 1):3 + ((s + 1) * m + d) // (d + 1)], ' ') ELSE '' END AS part FROM seg
+), many AS (SELECT k, lead, s, part FROM keyed GROUP BY k, lead, s, part HAVING sum(docs) >= 3 AND count(*) > 1),
+held AS MATERIALIZED (
+  SELECT DISTINCT keyed.k, keyed.lead, s, part, keyed.t, w, first, doc_id FROM keyed JOIN many USING (k, lead, s, part) JOIN (SELECT DISTINCT t, doc_id FROM x) h ON h.t = keyed.t
 ), grp AS (
-  SELECT k, lead, s, part, sum(docs) AS n FROM keyed GROUP BY k, lead, s, part HAVING sum(docs) >= 3 AND count(*) > 1
-), member AS MATERIALIZED (SELECT keyed.*, n FROM keyed JOIN grp USING (k, lead, s, part)),
-word AS MATERIALIZED (
-  SELECT k, lead, s, part, n, t, docs, first, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM member
+  SELECT k, lead, s, part, count(DISTINCT coalesce(doc_id, -9223372036854775808)) AS n FROM held GROUP BY k, lead, s, part HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 3
+), word AS MATERIALIZED (
+  SELECT k, lead, s, part, n, t, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM held JOIN grp USING (k, lead, s, part)
+), vote AS (
+  SELECT k, lead, s, part, p, word, n, count(DISTINCT coalesce(doc_id, -9223372036854775808)) AS v FROM word WHERE word <> '<*>' GROUP BY k, lead, s, part, p, word, n
 ), const AS (
-  SELECT k, lead, s, part, p, word FROM word WHERE word <> '<*>' GROUP BY k, lead, s, part, n, p, word HAVING sum(docs) * 2 > n
-), taken AS MATERIALIZED (
-  SELECT k, lead, s, part, t, any_value(docs) AS docs, any_value(first) AS first
-  FROM word JOIN const USING (k, lead, s, part, p, word) GROUP BY k, lead, s, part, t HAVING count(*) * 100 >= k * 70
-), enough AS (SELECT k, lead, s, part, min(first) AS group_first FROM taken GROUP BY k, lead, s, part HAVING sum(docs) >= 3),
+  SELECT k, lead, s, part, p, max({'v': v, 'word': word}).word AS word FROM vote WHERE 2 * v > n GROUP BY k, lead, s, part, p
+), fits AS MATERIALIZED (
+  SELECT k, lead, s, part, t FROM (SELECT DISTINCT k, lead, s, part, t, p, word FROM word) JOIN const USING (k, lead, s, part, p, word) GROUP BY k, lead, s, part, t HAVING count(*) * 100 >= k * 70
+), taken AS MATERIALIZED (SELECT held.* FROM held JOIN fits USING (k, lead, s, part, t)),
+enough AS (SELECT k, lead, s, part, min(first) AS group_first FROM taken GROUP BY k, lead, s, part HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= 3),
 wide AS (SELECT t, min(group_first) AS first FROM taken JOIN enough USING (k, lead, s, part) GROUP BY t),
 rec AS (
   SELECT t, first FROM tpl WHERE docs >= 3

@@ -1,6 +1,5 @@
 import random
 import re
-from collections import Counter
 
 from lexiforge.llm import decontamination, linededup
 from lexiforge.llm.shared import Tables
@@ -34,14 +33,15 @@ def brute_lines(rows):
                 part = tuple(w[-(-s * n // (d + 1)) : -(-(s + 1) * n // (d + 1))]) if n > d else ()
                 groups.setdefault((s, part), []).append(m)
         for group in groups.values():
-            total = sum(len(docs[m]) for m in group)
-            votes = [Counter() for _ in range(k)]
+            total = len(set().union(*(docs[m] for m in group)))
+            votes = [{} for _ in range(k)]
             for m in group:
                 for p, w in enumerate(m.split(" ")):
-                    votes[p][w] += len(docs[m])
-            shape = [next((w for w, v in c.items() if 2 * v > total and w != "<*>"), None) for c in votes]
+                    votes[p].setdefault(w, set()).update(docs[m])
+            # Of two tokens in more than half of the documents, the one in more of them, or the greater.
+            shape = [max(((len(v), w) for w, v in c.items() if 2 * len(v) > total and w != "<*>"), default=(0, None))[1] for c in votes]
             taken = [m for m in group if 100 * sum(a == b for a, b in zip(m.split(" "), shape, strict=True)) >= 70 * k]
-            if len(group) > 1 and sum(len(docs[m]) for m in taken) >= 3:
+            if len(group) > 1 and len(set().union(*(docs[m] for m in taken))) >= 3:
                 ids = first({first(docs[m]) for m in taken})
                 for m in taken:
                     found[m] = first({found.get(m, ids), ids})
@@ -107,6 +107,16 @@ def test_lines(spark):
     assert linededup.dedup_lines(frame(spark, []), Tables(spark)).count() == 0
 
 
+def test_a_document_with_several_variants_is_one(spark):
+    one = "alpha beta gamma delta {} rho sigma"
+    rows = [(1, "\n".join(one.format(w) for w in ("one", "two")), "en", "s", 1), (2, one.format("three"), "en", "s", 1)]
+    assert [r.n_dropped for r in linededup.dedup_lines(frame(spark, rows), Tables(spark)).collect()] == [0, 0]
+    rows += [(3, one.format("four") + "\nits own", "en", "s", 1), (3, "\n".join([one.format("five"), "its own"]), "en", "s", 1)]
+    got = sorted((r.doc_id, r.n_dropped) for r in linededup.dedup_lines(frame(spark, rows), Tables(spark)).collect())
+    assert got == [(1, 0), (2, 1), (3, 1), (3, 1)]
+    assert sorted((r[0], n) for r, _, n in brute_lines(rows)) == got
+
+
 def test_a_very_long_line(spark):
     line = " ".join(f"w{'abcdefghij'[i % 10]}{'klmnopq'[i % 7]}" for i in range(6000))
     rows = [(i, f"{line} end{'xyz'[i]} {line}\nown {'xyz'[i]}", "en", "s", 1) for i in range(3)]
