@@ -92,3 +92,28 @@ def greedy_shards(df: DataFrame, group: str, seq: str, size: str, target: int) -
     rows = df.select(group, F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("_size")).repartition(group).sortWithinPartitions(group, "seq")
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     return rows.mapInArrow(_greedy(target), f"`{group}` {kinds[group]}, seq {kinds['seq']}, shard bigint")
+
+
+def least_k(df: DataFrame, key: str, ties: list[str], k: int, buckets: int = 1024) -> DataFrame:
+    """The k rows with the least numeric key; of equal keys, those with the least ties.
+
+    Rows are counted by ranges of the key, and the range in which the k-th row lies is cut again until it holds few rows or one key. Rows below it stay by a filter; only that range is sorted. No task sorts or holds k rows.
+    """
+    df = df.filter(F.col(key).isNotNull())
+    lo, hi, n = df.agg(F.min(key).cast("double"), F.max(key).cast("double"), F.count("*")).first()
+    if n <= k:
+        return df
+    x, below = F.col(key).cast("double"), 0
+    while hi > lo:
+        width = (hi - lo) / buckets
+        bucket = F.least(F.floor((x - lo) / F.lit(width)), F.lit(buckets - 1)).cast("int")
+        counts = df.filter((x >= lo) & (x <= hi)).groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi")).collect()
+        for row in sorted(counts):
+            if below + row.n >= k:
+                break
+            below += row.n
+        moved, (lo, hi) = (lo, hi) != (row.lo, row.hi), (row.lo, row.hi)
+        if row.n <= 10_000 or not moved:
+            break
+    last = df.filter((x >= lo) & (x <= hi)).orderBy(key, *ties).limit(k - below)
+    return df.filter(x < lo).unionByName(last)
