@@ -170,28 +170,42 @@ def adjacent(w: Column, i: Column, k: Column) -> Column:
     return F.when(near.isNull(), w).otherwise(F.concat(a, F.when(c == F.lower(c), new).otherwise(F.upper(new)), rest))
 
 
-def draw(seq: Column, k: int, modulus: int) -> Column:
-    """A number below modulus from a sequence number: arithmetic that any engine repeats."""
-    return F.pmod(F.pmod(F.pmod(seq, F.lit(1000003)) * 1103515245 + F.lit(k * 12345 + 1337), F.lit(1000003)), F.lit(modulus)).cast("int")
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: for expressions inside of lambdas, which nothing else shares."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def draw(seq: Column, kind: str, part: int, modulus: int) -> Column:
+    """A number below modulus (2^40 at most) from a sequence number, which may be a text: ten hex digits of a digest of kind and number, so draws of different kinds, parts or numbers do not follow each other, and none repeats with a period. Each kind has three parts. SQL can repeat it."""
+    digest = F.md5(F.concat(F.lit(f"{kind}:"), seq.cast("string")).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1 + 10 * part, 10), 16, 10).cast("bigint"), F.lit(modulus).cast("bigint"))
+
+
+#: All that a draw can be.
+ANY = 1 << 40
 
 
 def typo_try(w: Column, seq: Column, t: int) -> Column:
     """Try number t at a typo by the weighted rules; the word itself where it changes nothing."""
-    r, n = draw(seq, 10 * t, 100), F.greatest(F.length(w), F.lit(1))
-    at, k = draw(seq, 10 * t + 1, 9973), draw(seq, 10 * t + 2, 9973)
-    i = F.pmod(at, n)
-    made = (
-        strip_marks(w),
-        adjacent(w, i, k),
-        transpose(w, F.pmod(at, F.greatest(F.length(w) - 1, F.lit(1)))),
-        delete(w, i),
-        insert(w, F.pmod(at, n + 1), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(k, F.lit(26)) + 1, F.lit(1))),
-        double(w, i),
-    )
-    out = made[-1]
-    for bound, m in reversed(list(zip(lang.RULE_BOUNDS[:-1], made[:-1], strict=True))):
-        out = F.when(r < bound, m).otherwise(out)
-    return out
+
+    def made(d: Column) -> Column:
+        r, at, k = F.get(d, F.lit(0)), F.get(d, F.lit(1)), F.get(d, F.lit(2))
+        n = F.greatest(F.length(w), F.lit(1))
+        i = F.pmod(at, n).cast("int")
+        rules = (
+            strip_marks(w),
+            adjacent(w, i, k),
+            transpose(w, F.pmod(at, F.greatest(F.length(w) - 1, F.lit(1))).cast("int")),
+            delete(w, i),
+            insert(w, F.pmod(at, n + 1).cast("int"), F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), F.pmod(k, F.lit(26)).cast("int") + 1, F.lit(1))),
+            double(w, i),
+        )
+        out = rules[-1]
+        for bound, m in reversed(list(zip(lang.RULE_BOUNDS[:-1], rules[:-1], strict=True))):
+            out = F.when(r < bound, m).otherwise(out)
+        return out
+
+    return let(F.array(*(draw(seq, f"typo{t}", part, m) for part, m in enumerate((100, ANY, ANY)))), made)
 
 
 def affixes(word: Column) -> tuple[Column, Column, Column]:
@@ -231,8 +245,8 @@ def finite(values: Column) -> Column:
 
 
 def utc_stamp(at: Column) -> Column:
-    """A timestamp as text in UTC (of a session whose time zone is UTC)."""
-    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A timestamp as text in UTC, whatever the session's time zone."""
+    return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.to_timestamp_ntz(at.cast("timestamp").cast("timestamp_ntz"))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def pair_key(a: Column, b: Column) -> Column:

@@ -16,21 +16,21 @@ from . import order as O
 from . import sequences as S
 
 Encoder = Callable[[DataFrame, str], DataFrame]
-#: Moduli of the draws; all differ, so the draws do not follow each other.
-RATE_DRAWS, PLAIN_DRAWS, REAL_DRAWS, PICK_DRAWS = 10007, 10009, 10037, 999983
+#: Shares are compared with draws below this.
+DRAWS = 1_000_000
 
 
 def inline_corrected(docs: DataFrame, seq: str, text: str = "text", rate: float = lang.TYPO_RATE) -> DataFrame:
-    """Adds `corrupted`: of the words of a text, about `rate` are written as what was typed and what was meant. Words without letters alone in their middle and words without a typo stay. Draws follow from seq (unique) and the word's place."""
-    words = docs.select(F.col(seq).alias("_seq"), F.posexplode(F.filter(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")).alias("_at", "_w"))
-    words = words.withColumn("_k", F.pmod("_seq", F.lit(1000003)) * 8191 + F.col("_at"))
-    core = F.regexp_extract("_w", lang.INLINE, 2)
-    words = T.once(words, "_core", F.when(T.draw(F.col("_k"), 5, RATE_DRAWS) <= int(rate * RATE_DRAWS), core))
-    words = S.with_typed(words, "_core", "_k")
-    new = F.concat(F.regexp_extract("_w", lang.INLINE, 1), T.triple(F.col("typed"), F.col("_core")), F.regexp_extract("_w", lang.INLINE, 3))
-    both = words.select("_seq", "_at", F.when(F.col("typed").isNotNull(), new).otherwise(F.col("_w")).alias("_w"))
-    lines = both.groupBy("_seq").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_at", "_w")))["_w"], " ").alias("corrupted"))
-    return docs.join(lines, F.col(seq) == F.col("_seq"), "left").drop("_seq").withColumn("corrupted", F.coalesce("corrupted", F.lit("")))
+    """Adds `corrupted`: of the words of a text, about `rate` are written as what was typed and what was meant. Words without letters alone in their middle and words without a typo stay. Draws follow from seq (unique) and the word's place; a row is rewritten where it is."""
+    words = F.filter(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+
+    def written(w: Column, at: Column) -> Column:
+        k = F.concat(F.col(seq).cast("string"), F.lit("."), at.cast("string"))
+        part = lambda i: F.regexp_extract(w, lang.INLINE, i)
+        new = lambda core: T.let(S.typed_of(core, k), lambda typed: F.concat(part(1), T.triple(typed, core), part(3)))
+        return F.when(T.draw(k, "rate", 0, DRAWS) < int(rate * DRAWS), F.coalesce(T.let(part(2), new), w)).otherwise(w)
+
+    return docs.withColumn("corrupted", F.array_join(F.transform(words, written), " "))
 
 
 def bounded(df: DataFrame) -> DataFrame:
@@ -69,10 +69,10 @@ def triple_examples(pairs: DataFrame, encode: Encoder, length: int, low: float =
 def mix_plan(spark, n: int, plain: int, synthetic: int, real: int, plain_share: float = 0.60, real_share: float = 0.25) -> DataFrame:
     """i, origin and pick for n draws over sources of so many examples: the next plain one with plain_share until none is left, otherwise any pair, a real one with real_share if there are any. Without any pair, only plain ones come."""
     rows = spark.range(n).withColumnRenamed("id", "i")
-    wants = (T.draw(F.col("i"), 1, PLAIN_DRAWS) < int(plain_share * PLAIN_DRAWS)).cast("bigint")
+    wants = (T.draw(F.col("i"), "mix", 0, DRAWS) < int(plain_share * DRAWS)).cast("bigint")
     rows = O.running_sum(rows, "i", wants, "_nth").withColumn("_plain", (wants == 1) & (F.col("_nth") <= plain))
-    is_real = F.lit(real > 0) & ((T.draw(F.col("i"), 2, REAL_DRAWS) < int(real_share * REAL_DRAWS)) | F.lit(synthetic == 0))
-    pick = T.draw(F.col("i"), 3, PICK_DRAWS).cast("bigint")
+    is_real = F.lit(real > 0) & ((T.draw(F.col("i"), "mix", 1, DRAWS) < int(real_share * DRAWS)) | F.lit(synthetic == 0))
+    pick = T.draw(F.col("i"), "mix", 2, T.ANY)
     rows = rows.withColumn("origin", F.when(F.col("_plain"), "plain").when(is_real, "real").otherwise("synthetic"))
     count = F.when(F.col("origin") == "real", real).otherwise(synthetic)
     rows = rows.withColumn("pick", F.when(F.col("_plain"), F.col("_nth") - 1).when(count > 0, F.pmod(pick, count)))

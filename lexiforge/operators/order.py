@@ -10,10 +10,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 
-def running_sum(df: DataFrame, seq: str, value: Column, out: str, width: int = 10_000, bucket: Column | None = None) -> DataFrame:
-    """Adds the sum of value over all rows up to each row, in order of seq (unique). Ranges of seq sum up alone; only their totals, a row each, meet in one window. bucket, for a seq that is no number, names the ranges: it must not fall where seq rises."""
-    rows = df.withColumn("_range", F.floor(F.col(seq) / width) if bucket is None else bucket).withColumn("_v", value)
+
+#: Ranges of a running sum at most, as a square.
+SIDE = 32
+
+
+def range_of(df: DataFrame, seq: str, width: int) -> Column:
+    """The range that a row's seq (a number) falls in, of ranges of about `width` rows each, but SIDE * SIDE at most. They are cut at quantiles of df, so gaps and sparse or clustered numbers make no difference. Two short searches find the range."""
+    most = SIDE * SIDE
+    n, cuts = df.agg(F.count("*"), F.percentile_approx(seq, [i / most for i in range(1, most)], 10_000)).first()
+    step = max(1, most * width // max(n, 1))
+    cuts = sorted(set((cuts or [])[::step]))
+    rows = [cuts[i : i + SIDE] for i in range(0, len(cuts), SIDE)]
+    if not rows:
+        return F.lit(0)
+    kind = df.schema[seq].dataType.simpleString()
+    table = F.array(*(F.array(*map(F.lit, r)).cast(f"array<{kind}>") for r in rows))
+    heads = F.array(*(F.lit(r[0]) for r in rows)).cast(f"array<{kind}>")
+    row = F.size(F.filter(heads, lambda x: x <= F.col(seq)))
+    return F.when(row > 0, (row - 1) * SIDE + F.size(F.filter(F.get(table, row - 1), lambda x: x <= F.col(seq)))).otherwise(0)
+
+
+def running_sum(df: DataFrame, seq: str, value: Column, out: str, width: int = 10_000, bucket: Column | None = None, like: DataFrame | None = None) -> DataFrame:
+    """Adds the sum of value over all rows up to each row, in order of seq (unique). Ranges of seq sum up alone; only their totals, a row each, meet in one window.
+
+    Ranges are quantiles of `like`, by default df: any table with the same numbers or most of them, so that dear rows need not be made twice. bucket, for a seq that is no number, names the ranges: it must not fall where seq rises.
+    """
+    rows = df.withColumn("_range", range_of(df if like is None else like, seq, width) if bucket is None else bucket).withColumn("_v", value)
     totals = rows.groupBy("_range").agg(F.sum("_v").alias("_t"))
     before = totals.select(F.col("_range").alias("_r"), (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
@@ -30,9 +55,16 @@ def numbered(words: DataFrame, word: str = "word", out: str = "i") -> DataFrame:
     return running_sum(words, word, F.lit(1).cast("bigint"), out, bucket=word_range(word))
 
 
-def within_budget(df: DataFrame, seq: str, cost: Column, budget: int) -> DataFrame:
+def within_budget(df: DataFrame, seq: str, cost: Column, budget: int, like: DataFrame | None = None) -> DataFrame:
     """Rows until the running cost reaches the budget, with the row that crosses it."""
-    return running_sum(df, seq, cost, "_upto").filter(F.col("_upto") - cost < budget).drop("_upto")
+    return running_sum(df, seq, cost, "_upto", like=like).filter(F.col("_upto") - cost < budget).drop("_upto")
+
+
+def range_split(df: DataFrame, seq: str, workers: int) -> DataFrame:
+    """Adds worker: consecutive rows in order of seq (unique) in equal parts, by their places; the last worker takes what is left over."""
+    rows = running_sum(df, seq, F.lit(1).cast("bigint"), "_nth")
+    share = df.agg(F.greatest(F.lit(1), F.floor(F.count("*") / workers)).cast("bigint").alias("_share"))
+    return rows.join(F.broadcast(share)).withColumn("worker", F.least(F.floor((F.col("_nth") - 1) / F.col("_share")), F.lit(workers - 1)).cast("bigint")).drop("_nth", "_share")
 
 
 def keep_first(df: DataFrame, keys: list[Column], seq: str) -> DataFrame:
@@ -45,13 +77,14 @@ def shuffled_blocks(df: DataFrame, seq: str, size: int = 1024) -> DataFrame:
     rows = running_sum(df, seq, F.lit(1), "_nth").withColumn("block", F.floor((F.col("_nth") - 1) / size)).drop("_nth")
     inside = Window.partitionBy("block")
     rows = rows.withColumn("_n", F.count("*").over(inside)).filter(F.col("_n") == size).drop("_n")
-    return rows.withColumn("place", F.row_number().over(inside.orderBy(F.pmod(F.pmod(F.col(seq), F.lit(1000003)) * 1103515245, F.lit(1000003)), seq)).cast("bigint"))
+    return rows.withColumn("place", F.row_number().over(inside.orderBy(T.draw(F.col(seq), "block", 0, T.ANY), seq)).cast("bigint"))
 
 
 def packed(df: DataFrame, seq: str, ids: str, length: int) -> DataFrame:
-    """chunk and ids: all rows' ids on end, cut into chunks of `length`; the rest at the end is dropped. Each row sends one slice to each chunk that it touches."""
-    rows = running_sum(df.select(seq, ids), seq, F.size(ids).cast("bigint"), "_upto").filter(F.size(ids) > 0)
-    rows = rows.select(ids, (F.col("_upto") - F.size(ids)).alias("_o"), "_upto")
+    """chunk and ids: all rows' ids on end, cut into chunks of `length`; the rest at the end is dropped. Only sizes are summed up; each row then sends one slice to each chunk that it touches, in the one shuffle of ids."""
+    sizes = running_sum(df.select(seq, F.size(ids).cast("bigint").alias("_n")), seq, F.col("_n"), "_upto", like=df.select(seq)).select(F.col(seq).alias("_seq"), "_n", "_upto")
+    rows = df.select(seq, ids).join(sizes, F.col(seq).eqNullSafe(F.col("_seq"))).filter("_n > 0")
+    rows = rows.select(ids, (F.col("_upto") - F.col("_n")).alias("_o"), "_upto")
     rows = rows.select("*", F.explode(F.sequence(F.floor(F.col("_o") / length), F.floor((F.col("_upto") - 1) / length))).alias("chunk"))
     lo, hi = F.greatest(F.col("_o"), F.col("chunk") * length), F.least(F.col("_upto"), (F.col("chunk") + 1) * length)
     slices = rows.select("chunk", lo.alias("_at"), F.slice(ids, (lo - F.col("_o") + 1).cast("int"), (hi - lo).cast("int")).alias("_s"))

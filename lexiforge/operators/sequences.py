@@ -11,8 +11,8 @@ from . import order as O
 
 #: Draws for each pair wanted, and their step.
 TRIES, GOLDEN = 5, 0.6180339887498949
-#: A quarter of words tries an alias first: draws below SHORTCUT_BELOW of SHORTCUT_DRAWS. This modulus and FORM_DRAWS share no factor with those of the rules, so the draws do not follow each other.
-SHORTCUT_DRAWS, SHORTCUT_BELOW, FORM_DRAWS = 9967, 2492, 9949
+#: A quarter of words tries an alias first.
+SHORTCUT_SHARE = 25
 
 
 def cdf_sample(words: DataFrame, n: int, at: Column | None = None) -> DataFrame:
@@ -46,27 +46,23 @@ def shortcut(word: Column, seq: Column, p: lang.Profile = lang.DEFAULT) -> Colum
     """An alias of the word, in its case; null for three quarters of rows, where there is no alias, and where the alias is the word."""
     forms = F.create_map(*[x for w, a in p.shortcuts for x in (F.lit(w), F.array(*map(F.lit, a)))])
     of = F.try_element_at(forms, F.lower(word))
-    form = F.get(of, F.pmod(T.draw(seq, 8, FORM_DRAWS), F.size(of)).cast("int"))
+    form = F.get(of, F.pmod(T.draw(seq, "alias", 1, T.ANY), F.size(of)).cast("int"))
     first = F.substring(word, 1, 1)
-    form = F.when(first != F.lower(first), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, F.lit(2), F.length(form)))).otherwise(form)
-    return F.when(T.draw(seq, 7, SHORTCUT_DRAWS) < SHORTCUT_BELOW, F.nullif(form, word))
+    cased = lambda x: F.when(first != F.lower(first), F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, F.lit(2), F.length(x)))).otherwise(x)
+    # Few words have an alias, so that is looked up before a draw is made.
+    return F.when(of.isNotNull() & (T.draw(seq, "alias", 0, 100) < SHORTCUT_SHARE), T.let(form, lambda x: F.nullif(cased(x), word)))
 
 
-def with_typed(df: DataFrame, word: str, seq: str) -> DataFrame:
-    """Adds `typed`, null where a word has no typo. An alias comes first, and each try is made only where what came before gave none."""
-    none = (F.length(word) >= 2) & F.col(word).rlike(lang.ELIGIBLE)
-    made = []
-    for name, value in (("_alias", shortcut(F.col(word), F.col(seq))), ("_try1", T.typo_try(F.col(word), F.col(seq), 1)), ("_try2", T.typo_try(F.col(word), F.col(seq), 2))):
-        df = T.once(df, "_made", F.when(none, value))
-        df = T.once(df, name, F.when(F.col("_made") != F.col(word), F.col("_made"))).drop("_made")
-        none = none & F.col(name).isNull()
-        made.append(name)
-    return df.withColumn("typed", F.coalesce(*made)).drop(*made)
+def typed_of(word: Column, seq: Column) -> Column:
+    """What is typed for a word, null where it has no typo. An alias comes first, and each try is made only where what came before gave none."""
+    ok = (F.length(word) >= 2) & word.rlike(lang.ELIGIBLE)
+    tries = [T.let(T.typo_try(word, seq, t), lambda x: F.nullif(x, word)) for t in (1, 2)]
+    return F.when(ok, F.coalesce(shortcut(word, seq), *tries))
 
 
 def typos(df: DataFrame, word: str, seq: str) -> DataFrame:
     """Adds `typed`; rows without a typo go."""
-    return with_typed(df, word, seq).filter("typed is not null")
+    return T.once(df, "typed", typed_of(F.col(word), F.col(seq))).filter("typed is not null")
 
 
 def span_mask(ids: Column, start: int, stop: int, low: float) -> Column:

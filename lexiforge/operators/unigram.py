@@ -33,12 +33,10 @@ def pretokens(text: Column, reserved: tuple[str, ...] = ()) -> Column:
     """The words of a text as an array: a run up to a space, with the space as a mark at its end. Lines and reserved pieces stand apart; reserved pieces are words of their own."""
     marked = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(lang.SPACE_MARK))
     own = [rf"\Q{r}\E" for r in sorted(reserved, key=len, reverse=True)]
-    # A run stops before a reserved piece; most characters begin none.
-    first = "".join(rf"\x{{{ord(c):X}}}" for c in sorted({r[0] for r in reserved}))
-    step = rf"[^\n{lang.SPACE_MARK}]"
-    if own:
-        step = rf"(?:[^\n{lang.SPACE_MARK}{first}]|(?!{'|'.join(own)}){step})"
-    return F.regexp_extract_all(marked, F.lit("|".join([*own, rf"{step}*{lang.SPACE_MARK}", rf"{step}+"])), F.lit(0))
+    if own:  # each on a line of its own; patterns without groups in loops stand texts of any length
+        marked = F.regexp_replace(marked, "|".join(own), "\n$0\n")
+    run = rf"[^\n{lang.SPACE_MARK}]"
+    return F.regexp_extract_all(marked, F.lit("|".join([*own, rf"{run}*{lang.SPACE_MARK}", rf"{run}+"])), F.lit(0))
 
 
 def word_table(texts: DataFrame, text: str = "text", reserved: tuple[str, ...] = ()) -> DataFrame:

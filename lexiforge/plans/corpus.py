@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from .. import lang
 from ..functions import text as T
 from ..operators import order as O
+from . import sqltext as Q
 from .base import c, docs, q, quoted, table
 
 RUNS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
@@ -104,7 +105,7 @@ q(
 )
 q(
     "token_budget",
-    lambda s, d: O.within_budget(docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")), "doc_id", F.col("tokens"), 100_000),
+    lambda s, d: O.within_budget(docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")), "doc_id", F.col("tokens"), 100_000, like=docs(s, d)),
     f"SELECT doc_id, tokens FROM (SELECT doc_id, {TOKENS} AS tokens, sum({TOKENS}) OVER (ORDER BY doc_id) AS upto FROM documents) t WHERE upto - tokens < 100000",
 )
 
@@ -113,7 +114,7 @@ def _staged(s, d):
     rows = docs(s, d).select("doc_id", "source", T.tidy(F.col("text")).alias("text")).filter(F.length("text") >= lang.MIN_CHARS)
     rows = T.once(rows, "runs", T.word_runs(F.col("text"))).filter(T.likely_own(F.col("text"), runs=F.col("runs"))).drop("runs")
     rows = O.keep_first(rows, [F.col("source"), F.substring("text", 1, lang.PREFIX)], "doc_id")
-    return O.within_budget(rows.select("doc_id", "source", T.estimate_tokens(F.col("text")).alias("tokens")), "doc_id", F.col("tokens"), 200_000)
+    return O.within_budget(rows.select("doc_id", "source", T.estimate_tokens(F.col("text")).alias("tokens")), "doc_id", F.col("tokens"), 200_000, like=docs(s, d))
 
 
 q(
@@ -154,7 +155,7 @@ BLOCK = 128
 q(
     "block_shuffle_drop",
     lambda s, d: O.shuffled_blocks(docs(s, d).select("doc_id"), "doc_id", BLOCK),
-    f"SELECT doc_id, block, row_number() OVER (PARTITION BY block ORDER BY (doc_id % 1000003) * 1103515245 % 1000003, doc_id) AS place FROM (SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {BLOCK} AS BIGINT) AS block FROM documents) t QUALIFY count(*) OVER (PARTITION BY block) = {BLOCK}",
+    f"SELECT doc_id, block, row_number() OVER (PARTITION BY block ORDER BY {Q.draw('doc_id', 'block', 0, T.ANY)}, doc_id) AS place FROM (SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // {BLOCK} AS BIGINT) AS block FROM documents) t QUALIFY count(*) OVER (PARTITION BY block) = {BLOCK}",
 )
 q(
     "stripe",
@@ -163,13 +164,13 @@ q(
 )
 q(
     "range_split",
-    lambda s, d: docs(s, d).join(F.broadcast(docs(s, d).agg(F.max("doc_id").alias("top")))).select("doc_id", F.least(F.floor(F.col("doc_id") / F.greatest(F.lit(1), F.floor((F.col("top") + 1) / 6))), F.lit(5)).cast("bigint").alias("worker")),
-    "SELECT doc_id, CAST(least(floor(doc_id / greatest(1, floor(((SELECT max(doc_id) FROM documents) + 1) / 6))), 5) AS BIGINT) AS worker FROM documents",
+    lambda s, d: O.range_split(docs(s, d).select("doc_id"), "doc_id", 6),
+    "SELECT doc_id, CAST(least((row_number() OVER (ORDER BY doc_id) - 1) // greatest(1, (SELECT count(*) FROM documents) // 6), 5) AS BIGINT) AS worker FROM documents",
 )
 q(
     "seeded_sample",
-    lambda s, d: docs(s, d).select("doc_id", T.draw(F.col("doc_id"), 0, 1000003).cast("bigint").alias("u")).orderBy("u", "doc_id").limit(100),
-    "SELECT doc_id, ((doc_id * 1103515245 + 1337) % 1000003) % 1000003 AS u FROM documents ORDER BY u, doc_id LIMIT 100",
+    lambda s, d: docs(s, d).select("doc_id", T.draw(F.col("doc_id"), "sample", 0, T.ANY).alias("u")).orderBy("u", "doc_id").limit(100),
+    f"SELECT doc_id, {Q.draw('doc_id', 'sample', 0, T.ANY)} AS u FROM documents ORDER BY u, doc_id LIMIT 100",
 )
 q(
     "latest_event",

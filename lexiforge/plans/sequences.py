@@ -96,11 +96,11 @@ q(
 
 
 def mix_sql(n: int, plain: int, synthetic: int, real: int, plain_share: float, real_share: float = 0.25) -> str:
-    draw = lambda k, m: Q.draw("i", k, m)
-    return f"""WITH a AS (SELECT range AS i, {draw(1, D.PLAIN_DRAWS)} < {int(plain_share * D.PLAIN_DRAWS)} AS wants FROM range({n})),
+    draw = lambda part, m: Q.draw("i", "mix", part, m)
+    return f"""WITH a AS (SELECT range AS i, {draw(0, D.DRAWS)} < {int(plain_share * D.DRAWS)} AS wants FROM range({n})),
 b AS (SELECT *, count(*) FILTER (WHERE wants) OVER (ORDER BY i) AS nth FROM a),
-o AS (SELECT *, CASE WHEN wants AND nth <= {plain} THEN 'plain' WHEN {draw(2, D.REAL_DRAWS)} < {int(real_share * D.REAL_DRAWS)} THEN 'real' ELSE 'synthetic' END AS origin FROM b)
-SELECT i, origin, CAST(CASE origin WHEN 'plain' THEN nth - 1 ELSE ({draw(3, D.PICK_DRAWS)}) % CASE origin WHEN 'real' THEN {real} ELSE {synthetic} END END AS BIGINT) AS pick FROM o"""
+o AS (SELECT *, CASE WHEN wants AND nth <= {plain} THEN 'plain' WHEN {draw(1, D.DRAWS)} < {int(real_share * D.DRAWS)} THEN 'real' ELSE 'synthetic' END AS origin FROM b)
+SELECT i, origin, CAST(CASE origin WHEN 'plain' THEN nth - 1 ELSE ({draw(2, T.ANY)}) % CASE origin WHEN 'real' THEN {real} ELSE {synthetic} END END AS BIGINT) AS pick FROM o"""
 
 
 q("mix_plan", lambda s, d: D.mix_plan(s, 40_000, 21_000, 9_000, 33), mix_sql(40_000, 21_000, 9_000, 33, 0.60))

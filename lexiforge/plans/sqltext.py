@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import lang
+from ..functions import text as T
 from ..operators import datasets as D
 from ..operators import sequences as S
 
@@ -13,8 +14,8 @@ def values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
 
 
-def draw(seq: str, k: int, modulus: int) -> str:
-    return f"(((({seq}) % 1000003) * 1103515245 + {k * 12345 + 1337}) % 1000003) % {modulus}"
+def draw(seq: str, kind: str, part: int, modulus: int) -> str:
+    return f"CAST('0x' || substr(md5('{kind}:' || ({seq})), {1 + 10 * part}, 10) AS BIGINT) % {modulus}"
 
 
 def keys(word: str) -> str:
@@ -52,15 +53,15 @@ def adjacent(w: str, i: str, k: str) -> str:
 
 def shortcut(w: str, seq: str) -> str:
     forms = f"CASE lower({w}) {' '.join(f"WHEN '{k}' THEN {list(v)}" for k, v in lang.SHORTCUTS.items())} END"
-    form = f"({forms})[{draw(seq, 8, S.FORM_DRAWS)} % len({forms}) + 1]"
+    form = f"({forms})[{draw(seq, 'alias', 1, T.ANY)} % len({forms}) + 1]"
     cased = f"CASE WHEN {w}[1] <> lower({w}[1]) THEN upper(({form})[1]) || ({form})[2:] ELSE {form} END"
-    return f"CASE WHEN {draw(seq, 7, S.SHORTCUT_DRAWS)} < {S.SHORTCUT_BELOW} THEN nullif({cased}, {w}) END"
+    return f"CASE WHEN {draw(seq, 'alias', 0, 100)} < {S.SHORTCUT_SHARE} THEN nullif({cased}, {w}) END"
 
 
 def with_typos(name: str, source: str, word: str, seq: str) -> str:
     """CTEs that end in `name`: source with a column typed, without rows that have none."""
     tries = []
-    drawn = [f"{draw(seq, 10 * t + j, m)} AS {c}{t}" for t in (1, 2) for j, m, c in ((0, 100, "r"), (1, 9973, "at"), (2, 9973, "k"))]
+    drawn = [f"{draw(seq, f'typo{t}', j, m)} AS {c}{t}" for t in (1, 2) for j, m, c in ((0, 100, "r"), (1, T.ANY, "at"), (2, T.ANY, "k"))]
     n = f"greatest(length({word}), 1)"
     for t in (1, 2):
         i = f"CAST(at{t} % {n} AS INT)"
@@ -100,8 +101,8 @@ def symbol_ids(text: str) -> str:
 INLINE = lang.INLINE.replace("'", "''")
 #: doc_id and corrupted of all documents.
 CORRUPTED = f"""tok AS MATERIALIZED (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS place FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '') AS ws FROM documents) t),
-cores AS MATERIALIZED (SELECT doc_id, place, word, regexp_extract(word, '{INLINE}', 2) AS core, (doc_id % 1000003) * 8191 + place AS k FROM tok),
-chosen AS (SELECT * FROM cores WHERE core <> '' AND {draw('k', 5, D.RATE_DRAWS)} <= {int(lang.TYPO_RATE * D.RATE_DRAWS)}),
+cores AS MATERIALIZED (SELECT doc_id, place, word, regexp_extract(word, '{INLINE}', 2) AS core, concat(doc_id, '.', place) AS k FROM tok),
+chosen AS (SELECT * FROM cores WHERE core <> '' AND {draw('k', 'rate', 0, D.DRAWS)} < {int(lang.TYPO_RATE * D.DRAWS)}),
 {with_typos('fixed', 'chosen', 'core', 'k')},
 rewritten AS (SELECT t.doc_id, t.place, coalesce(regexp_extract(t.word, '{INLINE}', 1) || {triple('f.typed', 'f.core')} || regexp_extract(t.word, '{INLINE}', 3), t.word) AS word FROM tok t LEFT JOIN fixed f ON f.doc_id = t.doc_id AND f.place = t.place),
 corrupted AS MATERIALIZED (SELECT d.doc_id, coalesce(r.corrupted, '') AS corrupted FROM documents d LEFT JOIN (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS corrupted FROM rewritten GROUP BY doc_id) r ON r.doc_id = d.doc_id)"""

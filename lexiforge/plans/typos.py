@@ -39,7 +39,7 @@ on_words("typo_double", "typo", lambda w, i: T.double(w, F.lit(0)), Q.double("wo
 on_words("typo_insert", "typo", lambda w, i: T.insert(w, F.lit(1), F.lit("q")), Q.insert("word", "1", "'q'"))
 on_words("typo_adjacent", "typo", lambda w, i: T.adjacent(w, F.lit(0), i), Q.adjacent("word", "0", "i"))
 on_words("accent_drop", "plain", lambda w, i: T.strip_marks(w), "strip_accents(word)", keep="word <> plain")
-on_words("rule_draws", "r", lambda w, i: T.draw(i, 10, 100).cast("bigint"), f"CAST({Q.draw('i', 10, 100)} AS BIGINT)")
+on_words("rule_draws", "r", lambda w, i: T.draw(i, "typo1", 0, 100), f"CAST({Q.draw('i', 'typo1', 0, 100)} AS BIGINT)")
 on_words(
     "char_ids", "ids", lambda w, i: F.array_join(F.transform(T.char_ids(w), lambda x: x.cast("string")), " "),
     f"array_to_string(list_transform(regexp_extract_all({Q.keys('word')}, '[A-Z]>'), lambda x: CAST({lang.CHAR_A} + ascii(x) - 65 AS VARCHAR)), ' ')",

@@ -144,8 +144,58 @@ def test_numbers_of_words(spark):
     assert got == {w: i + 1 for i, w in enumerate(sorted(words, key=str.encode))}
 
 
-def test_draws_of_large_numbers(spark):
-    assert spark.range(1).select(T.draw(F.lit(9_000_000_000_000_000_000), 3, 97)).first()[0] == ((9_000_000_000_000_000_000 % 1000003) * 1103515245 + 3 * 12345 + 1337) % 1000003 % 97
+def test_draws(spark):
+    import hashlib
+
+    big = 9_000_000_000_000_000_000
+    want = int(hashlib.md5(f"mix:{big}".encode()).hexdigest()[20:30], 16) % 97
+    assert spark.range(1).select(T.draw(F.lit(big), "mix", 2, 97)).first()[0] == want
+    # No period, no number that is never drawn: two million draws of five million examples are as many different ones as chance gives.
+    rows = D.mix_plan(spark, 2_100_000, 0, 5_000_000, 0, plain_share=0.0)
+    got = rows.agg(F.countDistinct("pick").alias("n"), F.max("pick").alias("top")).first()
+    assert abs(got.n - 5_000_000 * (1 - math.exp(-0.42))) < 5_000 and got.top > 4_999_900
+    assert rows.alias("a").join(rows.alias("b"), F.expr("b.i = a.i + 1000003")).filter("a.pick = b.pick").count() < 10
+
+
+@pytest.mark.parametrize("ids", [[i * 7_919_000_017 % 2**61 for i in range(3000)], [10**9 + i for i in range(12)], [i if i < 2900 else 2**60 + i for i in range(3000)], [], [5]])
+def test_running_sums_of_any_numbers(spark, ids):
+    rng = random.Random(1)
+    rows = [(i, rng.randrange(100)) for i in ids]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "seq long, v long").repartition(3)
+    got = sorted((r.seq, r.upto) for r in O.running_sum(df, "seq", F.col("v"), "upto", width=100).collect())
+    want, total = [], 0
+    for i, v in sorted(rows):
+        total += v
+        want.append((i, total))
+    assert got == want
+    if len(ids) > 1000:  # even ranges, however the numbers lie
+        sizes = [r["count"] for r in df.groupBy(O.range_of(df, "seq", 100)).count().collect()]
+        assert len(sizes) < 40 and max(sizes) < 300
+    workers = sorted((r.seq, r.worker) for r in O.range_split(df.select("seq"), "seq", 6).collect())
+    share = max(1, len(ids) // 6)
+    assert workers == [(i, min(n // share, 5)) for n, i in enumerate(sorted(ids))]
+
+
+def test_stamps_in_any_session(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    at = spark.createDataFrame([(1_704_067_200,), (1_720_000_001,)], "s long").select(F.timestamp_seconds("s").alias("at"))
+    try:
+        for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert [r[0] for r in at.select(T.utc_stamp(F.col("at"))).collect()] == ["2024-01-01T00:00:00Z", "2024-07-03T09:46:41Z"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_corrections_need_no_shuffle(spark):
+    docs = spark.createDataFrame([(i, f"Kaixo mundu hau (esaldi) bat da {i}, eta «beste» bat.") for i in range(400)], "doc_id long, text string")
+    plan = D.inline_corrected(docs, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    rows = D.inline_corrected(docs, "doc_id").collect()
+    share = sum(r.corrupted.count("<XBU>") for r in rows) / sum(len([w for w in r.text.split() if re.search("[A-Za-z]", w)]) for r in rows)
+    assert 0.25 < share < 0.36
+    assert all(re.sub(r"<XBU>.*?<XBC>(.*?)<XEC>", r"\1", r.corrupted) == r.text for r in rows)
 
 
 def test_scores_and_verdicts(spark):

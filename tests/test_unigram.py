@@ -123,7 +123,7 @@ def test_training_against_plain_loops(spark):
     assert [r[0] for r in rows] == list(range(len(rows))) and rows[4][1] == "<XBU>" and rows[7][1] == "<0x00>"
     by_id = {r[0]: r for r in rows}
     encoder = U.Encoder(rows)
-    hostile = [*TEXTS[:7], "unknown ж <XEC> 😀", "  two  spaces ", "x" * 3000]
+    hostile = [*TEXTS[:7], "unknown ж <XEC> 😀", "  two  spaces ", "x" * 3000, "<" * 50_000 + "<XBU>" * 3, "long " * 40_000]
     frame = spark.createDataFrame(list(enumerate(hostile)), "i long, text string")
     for r in encoder.column(frame, "text").collect():
         raw = b"".join(bytes([x - encoder.bytes]) if by_id[x][3] == "byte" else by_id[x][1].encode() for x in r.ids)
