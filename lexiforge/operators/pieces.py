@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from .. import lang
 from ..functions import text as T
+from . import order as O
 
 _models: dict[str, object] = {}
 
@@ -98,6 +99,6 @@ def morpheme_accuracy(cases: DataFrame) -> DataFrame:
 
 
 def trainer_sample(texts: DataFrame, most: int = 10_000_000, longest: int = 4192, seed: int = 1337) -> DataFrame:
-    """Sentences for a tokenizer's trainer: of those with no more than `longest` bytes, `most` in a hash order."""
+    """Sentences for a tokenizer's trainer: of those with no more than `longest` bytes, the `most` with the least hashes. A threshold of hashes is counted out first, so no task sorts or holds the sample."""
     kept = texts.filter((F.col("text") != "") & (F.octet_length("text") <= longest))
-    return kept.orderBy(F.xxhash64("text", F.lit(seed)), "text").limit(most)
+    return O.least_k(kept.withColumn("_u", F.xxhash64("text", F.lit(seed))), "_u", ["text"], most).drop("_u")

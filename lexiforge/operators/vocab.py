@@ -10,6 +10,8 @@ from .. import lang
 from ..functions import text as T
 from . import order as O
 
+#: Letters of a dictionary word at most.
+LONGEST = 30
 LETTERS = r"^[A-ZÑÜÇÀ-ÖØ-Þ]"
 
 
@@ -20,8 +22,17 @@ def word_counts(docs: DataFrame, pattern: str = lang.WORD_A, lower: bool = True,
     return counts.filter(F.col("cnt") >= least) if least > 1 else counts
 
 
-def capitalised_counts(docs: DataFrame) -> DataFrame:
-    return word_counts(docs, lang.WORD_B, lower=False).filter(F.col("word").rlike(LETTERS))
+def cased_counts(docs: DataFrame) -> DataFrame:
+    """word and cnt of the words as they are written: the texts are read once, and both kinds of counts follow."""
+    return word_counts(docs, lang.WORD_B, lower=False)
+
+
+def lower_counts(cased: DataFrame) -> DataFrame:
+    return cased.groupBy(F.lower("word").alias("word")).agg(F.sum("cnt").alias("cnt"))
+
+
+def capitalised_counts(cased: DataFrame) -> DataFrame:
+    return cased.filter(F.col("word").rlike(LETTERS))
 
 
 def bigram_counts(docs: DataFrame) -> DataFrame:
@@ -31,16 +42,16 @@ def bigram_counts(docs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("z.a").alias("w1"), F.col("z.b").alias("w2")).agg(F.count("*").alias("cnt"))
 
 
-def proper_nouns(lower: DataFrame, caps: DataFrame, least: int = 5, ratio: float = 0.5) -> DataFrame:
-    """low, display and cnt of words that are mostly written with a capital. Ties of variants go to the first in order."""
-    ok = caps.filter(~F.col("word").rlike(lang.ARTIFACT))
+def proper_nouns(lower: DataFrame, caps: DataFrame, least: int = 3, ratio: float = 0.5, shortest: int = 2, longest: int = LONGEST) -> DataFrame:
+    """low, display and cnt of words that are mostly written with a capital, of variants of fitting length. Ties of variants go to the first in order."""
+    ok = caps.filter((F.length("word") >= shortest) & (F.length("word") <= longest) & ~F.col("word").rlike(lang.ARTIFACT))
     grouped = ok.groupBy(F.lower("word").alias("low")).agg(F.sum("cnt").alias("cnt"), F.min(F.struct((-F.col("cnt")).alias("c"), "word"))["word"].alias("display"))
     both = grouped.join(lower.select(F.col("word").alias("_w"), F.col("cnt").alias("_n")), F.col("low") == F.col("_w"), "left")
     share = F.col("cnt") / F.greatest(F.lit(1), F.coalesce("_n", F.lit(0)))
     return both.filter((F.col("cnt") >= least) & (share >= ratio)).select("low", "display", "cnt")
 
 
-def common_words(lower: DataFrame, proper: DataFrame, least: int = 3, shortest: int = 2, longest: int = 24) -> DataFrame:
+def common_words(lower: DataFrame, proper: DataFrame, least: int = 3, shortest: int = 2, longest: int = LONGEST) -> DataFrame:
     ok = lower.filter((F.length("word") >= shortest) & (F.length("word") <= longest) & (F.col("cnt") >= least) & ~F.col("word").rlike(lang.ARTIFACT))
     return ok.join(proper.select(F.col("low").alias("word")), "word", "left_anti")
 
@@ -50,7 +61,7 @@ def without_rejected(words: DataFrame, rejected: DataFrame) -> DataFrame:
     return words.join(rejected.select(F.col("word").alias("_r")), F.lower("word") == F.col("_r"), "left_anti")
 
 
-def missing_words(must: DataFrame, valid: DataFrame, proper: DataFrame, shortest: int = 2, longest: int = 24) -> DataFrame:
+def missing_words(must: DataFrame, valid: DataFrame, proper: DataFrame, shortest: int = 2, longest: int = LONGEST) -> DataFrame:
     """word: words that a dictionary must have, of fitting length, that are neither valid nor a proper noun's display form."""
     fits = must.filter((F.length("word") >= shortest) & (F.length("word") <= longest)).select("word").distinct()
     return fits.join(valid.select("word"), "word", "left_anti").join(proper.select(F.col("display").alias("word")), "word", "left_anti")
@@ -70,8 +81,9 @@ def scaled(words: DataFrame, cnt: str = "cnt", out: str = "f") -> DataFrame:
 
 def dictionary(docs: DataFrame, most: int = 0, must: DataFrame | None = None) -> DataFrame:
     """word, cnt and f, most frequent first by f and then word; most caps it unless 0. Words of `must` that the corpus lacks come in with the least count."""
-    lower = word_counts(docs, lang.WORD_B)
-    proper = proper_nouns(lower, capitalised_counts(docs))
+    cased = cased_counts(docs)
+    lower = lower_counts(cased)
+    proper = proper_nouns(lower, capitalised_counts(cased))
     common = common_words(lower, proper)
     words = scaled(merged_words(common, proper, None if must is None else missing_words(must, common, proper))).orderBy(F.desc("f"), "word")
     return words.limit(most) if most else words

@@ -39,6 +39,13 @@ def weights(values):
     return F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 6)
 
 
+def _chunked(rows):
+    """Each document's ids in parts of CHUNK; the last one is shorter."""
+    last = F.floor((F.size("ids") - 1) / CHUNK)
+    parts = F.transform(F.sequence(F.lit(0), last.cast("int")), lambda i: F.slice("ids", i * CHUNK + 1, F.lit(CHUNK)))
+    return rows.select("doc_id", F.posexplode(parts).alias("part", "ids")).withColumn("part", F.col("part").cast("bigint"))
+
+
 def joined(values):
     return F.array_join(F.transform(values, lambda x: x.cast("string")), " ")
 
@@ -63,8 +70,10 @@ q(
     f"WITH {INLINE}, {Q.chunks('x', 'ids', CHUNK)}, {Q.span_weights('y', 'x', 'chunk', LOW)} SELECT chunk, CAST(sum(id) AS BIGINT) AS inputs, round(CAST(sum(w) AS DOUBLE), 6) AS weight FROM y GROUP BY chunk",
 )
 q(
-    "padded", lambda s, d: ids(s, d).filter(F.size("ids") <= CHUNK).select("doc_id", *[total(x).alias(n) for x, n in zip(S.padded(F.col("ids"), CHUNK), ("inputs", "labels", "mask"), strict=True)]),
-    f"WITH {IDS} SELECT doc_id, CAST(list_sum(ids) AS BIGINT) AS inputs, CAST(list_sum(ids) - 100 * ({CHUNK} - len(ids)) AS BIGINT) AS labels, CAST(len(ids) AS BIGINT) AS mask FROM ids WHERE len(ids) <= {CHUNK}",
+    "padded", lambda s, d: _chunked(ids(s, d)).select("doc_id", "part", *[total(x).alias(n) for x, n in zip(S.padded(F.col("ids"), CHUNK), ("inputs", "labels", "mask"), strict=True)]),
+    f"""WITH {IDS}, parts AS (SELECT doc_id, unnest(range((len(ids) + {CHUNK - 1}) // {CHUNK})) AS part, ids FROM ids),
+cut AS (SELECT doc_id, CAST(part AS BIGINT) AS part, ids[part * {CHUNK} + 1:(part + 1) * {CHUNK}] AS ids FROM parts)
+SELECT doc_id, part, CAST(list_sum(ids) AS BIGINT) AS inputs, CAST(list_sum(ids) - 100 * ({CHUNK} - len(ids)) AS BIGINT) AS labels, CAST(len(ids) AS BIGINT) AS mask FROM cut""",
 )
 q(
     "shifted_pairs", lambda s, d: ids(s, d).select(F.explode(F.arrays_zip(F.slice(F.col("ids"), F.lit(1), F.size("ids") - 1).alias("a"), F.slice(F.col("ids"), F.lit(2), F.size("ids") - 1).alias("b"))).alias("z")).groupBy(c(F.col("z.a"), "a"), c(F.col("z.b"), "b")).agg(F.count("*").alias("n")),
@@ -139,8 +148,8 @@ q(
     "SELECT event_type, round(sum(abs(value) * (1.0 / (1 + event_id % 3)) * v) / greatest(sum((1.0 / (1 + event_id % 3)) * v), 1e-8), 6) AS loss FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS v FROM events) t GROUP BY event_type",
 )
 q(
-    "trainer_sample", lambda s, d: P.trainer_sample(docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("text")), 10_000_000, 300).groupBy("doc_id").agg(F.count("*").alias("n")),
-    "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) t WHERE line <> '' AND strlen(line) <= 300 GROUP BY doc_id",
+    "trainer_sample", lambda s, d: P.trainer_sample(docs(s, d).select("doc_id", F.explode(F.split("text", "\n")).alias("text"))).groupBy("doc_id").agg(F.count("*").alias("n")),
+    "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) t WHERE line <> '' AND strlen(line) <= 4192 GROUP BY doc_id",
 )
 MORPHS = [(["etxe", "tik"], "etxe", "tik"), (["▁etxe", "r", "a"], "etxe", "ra"), (["etxea"], "etxe", "a"), (["▁mendi", "ra"], "mendi", "ra"), (["gi", "zon", "a"], "gizon", "a"), ([], "x", "y")]
 MORPH_SQL = ", ".join(f"({list(p) if p else '[]::VARCHAR[]'}, '{r}', '{x}')" for p, r, x in MORPHS)

@@ -46,7 +46,7 @@ on_words(
 )
 on_words(
     "affix_split", "parts", lambda w, i: F.concat_ws("|", *T.affixes(F.concat(F.lit("«"), w, F.lit("!»")))),
-    r"""regexp_replace('«' || word || '!»', '^([^\p{L}'']*)([\p{L}'']+)([^\p{L}'']*)$', '\1|\2|\3')""", keep="length(word) > 1 and not contains(word, '-')",
+    r"""CASE WHEN regexp_matches(word, '^[\p{L}'']+$') THEN '«|' || word || '|!»' ELSE '||' END""",
 )
 
 q("synthetic_typos", lambda s, d: S.typos(words(s, d), "word", "i").select("word", "typed"), f"WITH {Q.WORDS}, {Q.with_typos('t', 'w', 'word', 'i')} SELECT word, typed FROM t")

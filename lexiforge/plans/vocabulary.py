@@ -13,8 +13,8 @@ CAP, ART = V.LETTERS, lang.ARTIFACT.replace("'", "''")
 LOWER = f"SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '{B}'))) AS word FROM documents) t GROUP BY word"
 CAPS = f"SELECT word, count(*) AS cnt FROM (SELECT unnest(regexp_extract_all(text, '{B}')) AS word FROM documents) t WHERE regexp_matches(word, '{CAP}') GROUP BY word"
 BIGRAMS = f"SELECT w1, w2, count(*) AS cnt FROM (SELECT unnest(list_zip(t[1:len(t) - 1], t[2:])) AS z, z[1] AS w1, z[2] AS w2 FROM (SELECT list_transform(regexp_extract_all(text, '{B}'), lambda x: lower(x)) AS t FROM documents) a WHERE len(t) > 1) b GROUP BY w1, w2"
-PROPER = f"proper AS MATERIALIZED (SELECT low, cnt, display FROM (SELECT lower(word) AS low, CAST(sum(cnt) AS BIGINT) AS cnt, min(struct_pack(c := -cnt, w := word)).w AS display FROM caps WHERE NOT regexp_matches(word, '{ART}') GROUP BY lower(word)) g LEFT JOIN (SELECT word, cnt AS n FROM low) l ON l.word = g.low WHERE cnt >= 5 AND cnt / greatest(1, coalesce(n, 0)) >= 0.5)"
-COMMON = f"common AS MATERIALIZED (SELECT word, cnt FROM low WHERE length(word) BETWEEN 2 AND 24 AND cnt >= 3 AND NOT regexp_matches(word, '{ART}') AND NOT EXISTS (SELECT 1 FROM proper WHERE proper.low = low.word))"
+PROPER = f"proper AS MATERIALIZED (SELECT low, cnt, display FROM (SELECT lower(word) AS low, CAST(sum(cnt) AS BIGINT) AS cnt, min(struct_pack(c := -cnt, w := word)).w AS display FROM caps WHERE length(word) BETWEEN 2 AND 30 AND NOT regexp_matches(word, '{ART}') GROUP BY lower(word)) g LEFT JOIN (SELECT word, cnt AS n FROM low) l ON l.word = g.low WHERE cnt >= 3 AND cnt / greatest(1, coalesce(n, 0)) >= 0.5)"
+COMMON = f"common AS MATERIALIZED (SELECT word, cnt FROM low WHERE length(word) BETWEEN 2 AND 30 AND cnt >= 3 AND NOT regexp_matches(word, '{ART}') AND NOT EXISTS (SELECT 1 FROM proper WHERE proper.low = low.word))"
 
 
 def scale(cnt: str, top: str) -> str:
@@ -27,8 +27,9 @@ LINES = f"{BI}, lines AS (SELECT word, CAST(0 AS BIGINT) AS n, ' word=' || word
 
 
 def parts(s, d):
-    lower = V.word_counts(docs(s, d), lang.WORD_B)
-    return lower, V.proper_nouns(lower, V.capitalised_counts(docs(s, d)))
+    cased = V.cased_counts(docs(s, d))
+    lower = V.lower_counts(cased)
+    return lower, V.proper_nouns(lower, V.capitalised_counts(cased))
 
 
 def lines(s, d):
@@ -47,7 +48,7 @@ q(
     f"SELECT word, count(*) AS cnt FROM (SELECT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM documents) t GROUP BY word ORDER BY cnt DESC, word LIMIT 20",
 )
 q("lower_counts", lambda s, d: V.word_counts(docs(s, d), lang.WORD_B), LOWER)
-q("cap_counts", lambda s, d: V.capitalised_counts(docs(s, d)), CAPS)
+q("cap_counts", lambda s, d: V.capitalised_counts(V.cased_counts(docs(s, d))), CAPS)
 q("bigrams", lambda s, d: V.bigram_counts(docs(s, d)), BIGRAMS)
 q(
     "proper_nouns",
@@ -83,7 +84,7 @@ q(
     f"{BASE}, k AS (SELECT coalesce(max(f) FILTER (WHERE word = 'on'), 0) AS f FROM dict) SELECT any_value(k.f) AS f, count(*) FILTER (WHERE dict.f > k.f) AS above, count(*) AS n FROM dict, k",
 )
 MUST = f"SELECT DISTINCT lower(unnest(regexp_extract_all(text, '{A}'))) AS word FROM conversations"
-LACKS = f"missing AS (SELECT word FROM ({MUST}) m WHERE length(word) BETWEEN 2 AND 24 AND NOT EXISTS (SELECT 1 FROM common WHERE common.word = m.word) AND NOT EXISTS (SELECT 1 FROM proper WHERE proper.display = m.word))"
+LACKS = f"missing AS (SELECT word FROM ({MUST}) m WHERE length(word) BETWEEN 2 AND 30 AND NOT EXISTS (SELECT 1 FROM common WHERE common.word = m.word) AND NOT EXISTS (SELECT 1 FROM proper WHERE proper.display = m.word))"
 
 
 def must(s, d):
