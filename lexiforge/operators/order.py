@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .store import kept
 
 
 #: Ranges of a running sum at most, as a square.
@@ -38,7 +35,8 @@ def running_sum(df: DataFrame, seq: str, value: Column, out: str, width: int = 1
 
     Ranges are quantiles of `like`, by default df: any table with the same numbers or most of them, so that dear rows need not be made twice. bucket, for a seq that is no number, names the ranges: it must not fall where seq rises.
     """
-    rows = df.withColumn("_range", range_of(df if like is None else like, seq, width) if bucket is None else bucket).withColumn("_v", value)
+    # Once a row: the optimizer must not write the search for a range out again in a join.
+    rows = T.once(df, "_range", range_of(df if like is None else like, seq, width) if bucket is None else bucket).withColumn("_v", value)
     totals = rows.groupBy("_range").agg(F.sum("_v").alias("_t"))
     before = totals.select(F.col("_range").alias("_r"), (F.sum("_t").over(Window.orderBy("_range")) - F.col("_t")).alias("_before"))
     inside = Window.partitionBy("_range").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
@@ -92,39 +90,74 @@ def packed(df: DataFrame, seq: str, ids: str, length: int) -> DataFrame:
     return chunks.filter(F.size("ids") == length)
 
 
-def _greedy(target: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, filled, shard = object(), 0, 0
-        for batch in batches:
-            groups, sizes, out = batch.column(0), np.asarray(batch.column(2), dtype=np.int64), np.empty(len(batch), np.int64)
-            names = groups.to_pylist()
-            starts = [i for i in range(len(names)) if names[i] != (names[i - 1] if i else group)]
-            for a, b in zip([0, *starts], [*starts, len(names)], strict=True):
-                if a in starts:
-                    filled, shard = 0, 0
-                upto = np.append(0, np.cumsum(sizes[a:b]))
-                at = 0
-                while at < b - a:
-                    # Rows of this shard: until one finds it at or over the target.
-                    stop = int(np.searchsorted(upto, target - filled + upto[at], side="left"))
-                    if stop <= at:
-                        filled, shard = 0, shard + 1
-                        continue
-                    stop = min(stop, b - a)
-                    out[a + at : a + stop] = shard
-                    filled += int(upto[stop] - upto[at])
-                    at = stop
-            group = names[-1] if names else group
-            yield pa.RecordBatch.from_arrays([groups, batch.column(1), pa.array(out)], batch.schema.names[:2] + ["shard"])
-
-    return run
+def _sums_in_groups(rows: DataFrame) -> DataFrame:
+    """rows (_g, seq, _size) with _before, the sum of the group's sizes before the row. A group is summed by ranges of seq; their totals, SIDE * SIDE for a group at most, meet in a window."""
+    rows = T.once(rows, "_range", range_of(rows, "seq", 10_000))
+    totals = rows.groupBy("_g", "_range").agg(F.sum("_size").alias("_t"))
+    start = totals.select(F.col("_g").alias("_h"), F.col("_range").alias("_r"), (F.sum("_t").over(Window.partitionBy("_g").orderBy("_range")) - F.col("_t")).alias("_start"))
+    inside = Window.partitionBy("_g", "_range").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_in", F.sum("_size").over(inside) - F.col("_size")).join(start, (F.col("_g") == F.col("_h")) & (F.col("_range") == F.col("_r")))
+    return rows.select("_g", "seq", (F.col("_in") + F.col("_start")).alias("_before"))
+
+
+def _next_cuts(values: DataFrame, target: int) -> DataFrame:
+    """_g, x and y: for each of the values (_g, x, unique) the least that is larger by target or more, or null. It is looked for in the band of sums, as wide as the target, that x + target lies in, or is the first value of the band after."""
+    band = F.floor(F.col("x") / target)
+    points = values.select("_g", F.col("x").alias("at"), band.alias("band"), F.lit(None).cast("bigint").alias("x"))
+    asked = values.select("_g", (F.col("x") + target).alias("at"), (band + 1).alias("band"), "x")
+    # Falling sums: a frame that only grows.
+    seen = Window.partitionBy("_g", "band").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    near = points.unionByName(asked).withColumn("y", F.min(F.when(F.col("x").isNull(), F.col("at"))).over(seen)).filter("x is not null").select("_g", "x", "y", (F.col("band") - 1).alias("band"))
+    order = Window.partitionBy("_g").orderBy("band")
+    heads = values.groupBy("_g", band.alias("band")).agg(F.min("x").alias("head"))
+    heads = heads.select("_g", "band", F.lead("band").over(order).alias("_b1"), F.lead("head").over(order).alias("_h1"), F.lead("head", 2).over(order).alias("_h2"))
+    behind = F.when(F.col("_b1") == F.col("band") + 1, F.col("_h2")).otherwise(F.col("_h1"))
+    return near.join(heads, ["_g", "band"]).select("_g", "x", F.coalesce("y", behind).alias("y"))
+
+
+def _cuts(values: DataFrame, target: int) -> DataFrame:
+    """_g and x: where the shards of each group begin, by doubling.
+
+    Blocks of sums double from level to level. A level knows, for each value at which shards could enter a block from outside, with which cut they leave it; these are about half as many at each level. Back from the top, where a group is one block that is entered at 0, each level finds the entries of the second halves.
+    """
+    exits = [kept(_next_cuts(values, target))]
+    top = values.agg(F.max("x")).first()[0] or 0
+    width = target
+    while width <= top:
+        width *= 2
+        now, block = exits[-1], lambda c, w=width: F.floor(F.col(c) / w)
+        enters = now.filter(F.col("y").isNotNull() & (block("x") != block("y"))).select("_g", F.col("y").alias("x")).unionByName(now.select("_g").distinct().withColumn("x", F.lit(0).cast("bigint"))).distinct()
+        first = now.join(enters, ["_g", "x"], "left_semi")
+        on = now.select("_g", F.col("x").alias("y"), F.col("y").alias("_z"), F.lit(True).alias("_on"))
+        stays = F.col("y").isNotNull() & (block("x") == block("y"))
+        both = first.join(on, ["_g", "y"], "left").select("_g", "x", F.when(stays & F.col("_on").isNotNull(), F.col("_z")).otherwise(F.col("y")).alias("y"))
+        exits.append(kept(both))
+    found = exits[-1].filter("x = 0").select("_g", "x")
+    for now in reversed(exits[:-1]):
+        block = lambda c, w=width: F.floor(F.col(c) / w)
+        more = now.join(found, ["_g", "x"], "left_semi").filter(F.col("y").isNotNull() & (block("x") == block("y"))).select("_g", F.col("y").alias("x"))
+        found = kept(found.unionByName(more))
+        width //= 2
+    return found
 
 
 def greedy_shards(df: DataFrame, group: str, seq: str, size: str, target: int) -> DataFrame:
-    """seq and shard: a shard is closed before the row that finds it at or over the target (which is over 0). Groups (sources) are sharded side by side, each as a stream of its sorted rows of which only a sum is held."""
-    rows = df.select(group, F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("_size")).repartition(group).sortWithinPartitions(group, "seq")
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(_greedy(target), f"`{group}` {kinds[group]}, seq {kinds['seq']}, shard bigint")
+    """group, seq (unique in a group) and shard: a shard is closed before the row that finds it at or over the target (which is over 0). A null group is a group of its own.
+
+    No task has a whole group: sums are made by ranges of rows, cuts are found by doubling (see _cuts), and a row looks its shard up in its band of sums, which holds one cut at most.
+    """
+    kind = df.schema[group].dataType
+    rows = df.select(F.coalesce(F.concat(F.lit("="), F.col(group).cast("string")), F.lit("")).alias("_g"), F.col(seq).alias("seq"), F.col(size).cast("bigint").alias("_size"))
+    rows = kept(_sums_in_groups(rows))
+    cuts = _cuts(rows.select("_g", F.col("_before").alias("x")).distinct(), target)
+    band = lambda c: F.floor(F.col(c) / target)
+    order = Window.partitionBy("_g").orderBy("_band")
+    numbered_cuts = cuts.select("_g", band("x").alias("_band"), F.col("x").alias("_cut"), (F.row_number().over(Window.partitionBy("_g").orderBy("x")) - 1).cast("bigint").alias("_n"))
+    bands = rows.select("_g", band("_before").alias("_band")).distinct().join(numbered_cuts, ["_g", "_band"], "left")
+    bands = bands.withColumn("_earlier", F.last("_n", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    out = rows.withColumn("_band", band("_before")).join(bands, ["_g", "_band"])
+    name = F.when(F.col("_g") != "", F.substring("_g", 2, 1 << 30)).cast(kind)
+    return out.select(name.alias(group), "seq", F.when(F.col("_before") >= F.col("_cut"), F.col("_n")).otherwise(F.col("_earlier")).alias("shard"))
 
 
 def least_k(df: DataFrame, key: str, ties: list[str], k: int, buckets: int = 1024) -> DataFrame:

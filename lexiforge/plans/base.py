@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from ..operators.store import kept  # noqa: F401
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -27,20 +26,6 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: what reads it several times does not compute it again, nor after an executor is lost. The folder is spark.checkpoint.dir; a local master without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if there is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            there = tempfile.mkdtemp(prefix="lexiforge-")
-            atexit.register(shutil.rmtree, there, True)
-        sc.setCheckpointDir(there)
-    return df.checkpoint()
-
-
 def c(column: Column, name: str) -> Column:
     return column.cast("bigint").alias(name)
 

@@ -118,6 +118,23 @@ def test_packing_with_long_and_empty_rows(spark):
     assert got == {k: flat[k * 8 : k * 8 + 8] for k in range(len(flat) // 8)}
 
 
+@pytest.mark.parametrize("target", [1, 7, 64, 10_000])
+def test_shards_of_one_group(spark, target):
+    """Sizes of zero, sizes over the target and over many targets, numbers with gaps; the rows of one group come from several tasks."""
+    rng = random.Random(target)
+    rows = [(i * i * 7, rng.choice([0, 0, 1, 1, 2, 5, 13, 400])) for i in range(1500)]
+    want, filled, shard = {}, 0, 0
+    for i, n in rows:
+        if filled >= target:
+            filled, shard = 0, shard + 1
+        filled += n
+        want[i] = shard
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "i long, n int").withColumn("g", F.lit(5))
+    got = O.greedy_shards(df, "g", "i", "n", target)
+    assert {r.seq: r.shard for r in got.collect()} == want and got.schema["g"].dataType.simpleString() == "int"
+
+
 def test_shards_of_several_groups_and_batches(spark):
     rng = random.Random(3)
     rows = [(g, i, rng.choice([1, 5, 30])) for g in ("a", "b", None, "c") for i in range(rng.randint(1, 90))]
@@ -132,7 +149,8 @@ def test_shards_of_several_groups_and_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        got = {(r.g, r.seq): r.shard for r in O.greedy_shards(spark.createDataFrame(rows, "g string, i long, n int"), "g", "i", "n", 20).collect()}
+        shards = O.greedy_shards(spark.createDataFrame(rows, "g string, i long, n int"), "g", "i", "n", 20)
+        got = {(r.g, r.seq): r.shard for r in shards.collect()}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == want
