@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from .. import lang
 from ..functions import text as T
 from ..operators import order as O
+from ..sources.pull import pulled
 from . import sqltext as Q
 from .base import c, docs, q, quoted, table
 
@@ -105,21 +106,22 @@ q(
 )
 q(
     "token_budget",
-    lambda s, d: O.within_budget(docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")), "doc_id", F.col("tokens"), 100_000, like=docs(s, d)),
+    lambda s, d: pulled(s, f"{d}/documents.parquet", "doc_id", "text", lambda df: df.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")), "tokens", 100_000),
     f"SELECT doc_id, tokens FROM (SELECT doc_id, {TOKENS} AS tokens, sum({TOKENS}) OVER (ORDER BY doc_id) AS upto FROM documents) t WHERE upto - tokens < 100000",
 )
 
 
-def _staged(s, d):
-    rows = docs(s, d).select("doc_id", "source", T.tidy(F.col("text")).alias("text")).filter(F.length("text") >= lang.MIN_CHARS)
+def staged(docs):
+    """What may be staged: tidy texts that are long enough, in the language, the first of a source with its beginning."""
+    rows = docs.select("doc_id", "source", T.tidy(F.col("text")).alias("text")).filter(F.length("text") >= lang.MIN_CHARS)
     rows = T.once(rows, "runs", T.word_runs(F.col("text"))).filter(T.likely_own(F.col("text"), runs=F.col("runs"))).drop("runs")
     rows = O.keep_first(rows, [F.col("source"), F.substring("text", 1, lang.PREFIX)], "doc_id")
-    return O.within_budget(rows.select("doc_id", "source", T.estimate_tokens(F.col("text")).alias("tokens")), "doc_id", F.col("tokens"), 200_000, like=docs(s, d))
+    return rows.select("doc_id", "source", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 q(
     "staged_corpus",
-    _staged,
+    lambda s, d: pulled(s, f"{d}/documents.parquet", "doc_id", "text", staged, "tokens", 200_000),
     f"WITH a AS (SELECT doc_id, source, {TIDY.format('text')} AS text FROM documents), b AS (SELECT * FROM a WHERE length(text) >= 100 AND {LIKELY} QUALIFY row_number() OVER (PARTITION BY source, substring(text, 1, 200) ORDER BY doc_id) = 1), t AS (SELECT doc_id, source, {TOKENS} AS tokens, sum({TOKENS}) OVER (ORDER BY doc_id) AS upto FROM b) SELECT doc_id, source, tokens FROM t WHERE upto - tokens < 200000",
 )
 q(
