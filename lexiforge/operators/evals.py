@@ -1,15 +1,21 @@
-"""Evaluations: keystrokes saved, next word, autocorrection, re-ranking by five scores, objective checks. Predictions come from a bigram predictor of the corpus."""
+"""Evaluations: keystrokes saved, next word, autocorrection, re-ranking by five scores, objective checks. Predictions come from a bigram predictor of the corpus, or from a back-off model that is given."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import lang
 from ..functions import text as T
+from . import backoff as K
 from . import vocab as V
 
+#: Rows of prev2 and prev to rows of these and topk.
+Predict = Callable[[DataFrame], DataFrame]
+
 
 def predictor(docs: DataFrame, k: int = 5, first: DataFrame | None = None) -> DataFrame:
     """w1 and topk: the k most frequent next words, ties in order. Only first words that are asked for (column prev) are ranked, if given."""
@@ -28,10 +34,20 @@ def prefixes(rows: DataFrame, keys: list[str]) -> DataFrame:
     return at.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.get("w", F.col("pos") - 1).alias("prev"), "target", F.array_join(F.slice("w", F.lit(1), F.col("pos")), " ").alias("prefix"))
 
 
-def keystrokes(rows: DataFrame, docs: DataFrame, keys: list[str]) -> DataFrame:
-    """A row of counts: predictable characters, and those saved if the first or any of the top words is the target (or, from two letters, begins it)."""
-    p = prefixes(rows, keys).select("prev", "target")
-    p = p.join(predictor(docs, first=p).withColumnRenamed("w1", "prev"), "prev", "left")
+def contexts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """pos, prev2, prev and target for each word after the first of each text, with the mark of a text's start before its first word."""
+    w = rows.select(*keys, F.transform(T.matches(F.col("text"), lang.WORD_B), F.lower).alias("w"))
+    at = w.select(*keys, "w", F.posexplode("w").alias("pos", "target")).filter("pos > 0")
+    return at.select(*keys, F.col("pos").cast("bigint").alias("pos"), F.coalesce(F.get("w", F.col("pos") - 2), F.lit(K.START)).alias("prev2"), F.get("w", F.col("pos") - 1).alias("prev"), "target")
+
+
+def keystrokes(rows: DataFrame, docs: DataFrame, keys: list[str], predict: Predict | None = None) -> DataFrame:
+    """A row of counts: predictable characters, and those saved if the first or any of the top words is the target (or, from two letters, begins it). The top words are those of `predict`, or the bigram predictor's."""
+    p = contexts(rows, keys).select("prev2", "prev", "target")
+    if predict is None:
+        p = p.join(predictor(docs, first=p).withColumnRenamed("w1", "prev"), "prev", "left")
+    else:
+        p = p.join(predict(p), ["prev2", "prev"], "left")
     fits = lambda w: (F.col("target") == w) | ((F.length(w) >= 2) & F.startswith(F.col("target"), w))
     first = F.coalesce(fits(F.get("topk", F.lit(0))), F.lit(False))
     any_ = F.coalesce(F.exists("topk", fits), F.lit(False))
@@ -50,6 +66,18 @@ def next_word(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return j.agg(hit(F.get("topk", F.lit(0)) == F.col("gold")).alias("top1"), hit(F.array_contains("topk", F.col("gold"))).alias("topk"), F.count("*").alias("n"))
 
 
+def next_word_plausible(rows: DataFrame, predict: Predict) -> DataFrame:
+    """hits and n of the word at 60 per cent of each text where any word is right that follows the same two words somewhere in rows. Contexts are judged once each and weighed by how often they are asked."""
+    w = rows.select(F.transform(T.matches(F.col("text"), lang.WORD_B), F.lower).alias("w")).filter(F.size("w") >= 4)
+    i = F.greatest(F.lit(2), F.floor(F.size("w") * 0.6)).cast("int")
+    cases = w.select(F.get("w", i - 2).alias("prev2"), F.get("w", i - 1).alias("prev")).groupBy("prev2", "prev").agg(F.count("*").alias("n"))
+    plausible = contexts(rows, []).select("prev2", "prev", F.col("target").alias("word"), F.lit(True).alias("ok")).distinct()
+    guesses = predict(cases).select("prev2", "prev", F.posexplode("topk").alias("nth", "word")).join(plausible, ["prev2", "prev", "word"])
+    hits = guesses.groupBy("prev2", "prev").agg(F.min("nth").alias("first"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("bigint")
+    return cases.join(hits, ["prev2", "prev"], "left").agg(total(F.col("first") == 0).alias("top1"), total(F.col("first").isNotNull()).alias("topk"), total(F.lit(True)).alias("n"))
+
+
 def mutual_information(docs: DataFrame, least: int = 1) -> DataFrame:
     """w1, w2, cnt and pmi: ln P(w2 | w1) - ln P(w2), of pairs seen at least so many times."""
     b = V.bigram_counts(docs)
@@ -148,17 +176,26 @@ def phrase_scores(cases: DataFrame, keys: list[str], docs: DataFrame) -> DataFra
     return grouped.select(*keys, "nth", F.col("t.lp").alias("lps"), F.col("t.b").alias("base"))
 
 
-def objective_losses(rows: DataFrame, keys: list[str], docs: DataFrame) -> DataFrame:
-    """keys, next_loss, skip_loss and ok: the mean loss of each next word, and of each word after that one, given the same word; ok if the first is less."""
+def objective_losses(rows: DataFrame, keys: list[str], docs: DataFrame, score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """keys, next_loss, skip_loss and ok: the mean loss of each next word, and of each word after that one, given the same words; ok if the first is less. `score` adds lp to rows of prev2, prev and word, in place of the bigram model of docs."""
     w = rows.select(*keys, F.transform(T.matches(F.col("text"), lang.WORD_B), F.lower).alias("w")).filter(F.size("w") >= 3)
     at = w.select(*keys, "w", F.posexplode("w").alias("i", "prev"))
-    steps = at.select(*keys, "prev", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.get("w", F.col("i") + d).alias("word")) for d in (1, 2)])).alias("z"))
-    steps = steps.select(*keys, "prev", "z.d", "z.word").filter("word is not null")
+    at = at.withColumn("prev2", F.coalesce(F.get("w", F.col("i") - 1), F.lit(K.START)))
+    steps = at.select(*keys, "prev2", "prev", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.get("w", F.col("i") + d).alias("word")) for d in (1, 2)])).alias("z"))
+    steps = steps.select(*keys, "prev2", "prev", "z.d", "z.word").filter("word is not null")
     mean = lambda d: F.round(-F.avg(F.when(F.col("d") == d, F.col("lp"))), 6)
-    out = with_logprobs(steps, docs).groupBy(*keys).agg(mean(1).alias("next_loss"), mean(2).alias("skip_loss"))
+    out = (with_logprobs(steps, docs) if score is None else score(steps)).groupBy(*keys).agg(mean(1).alias("next_loss"), mean(2).alias("skip_loss"))
     return out.withColumn("ok", F.col("next_loss") < F.col("skip_loss"))
 
 
+def turn_losses(rows: DataFrame, keys: list[str], score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """keys, loss and n: the mean loss of each text's words by `score`, which adds lp to rows of prev2, prev and word. A text without words has no row."""
+    w = rows.select(*keys, F.transform(T.matches(F.col("text"), lang.WORD_B), F.lower).alias("w"))
+    at = w.select(*keys, "w", F.posexplode("w").alias("i", "word"))
+    before = lambda d: F.coalesce(F.get("w", F.col("i") - d), F.lit(K.START))
+    return score(at.select(*keys, before(2).alias("prev2"), before(1).alias("prev"), "word")).groupBy(*keys).agg(F.round(-F.avg("lp"), 6).alias("loss"), F.count("*").alias("n"))
+
+
 def verdict(rows: DataFrame, ok: Column) -> DataFrame:
     """hits, n and verdict: healthy if all are ok (or there is none), broken if none is, mixed otherwise."""
     hits, n = F.count_if(ok).cast("bigint"), F.count("*")
