@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus, evaluations, language, sequences, tokenizer, typos, vocabulary  # noqa: F401
+from . import corpus, evaluations, language, sequences, spelling, tokenizer, typos, vocabulary  # noqa: F401
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "dictionary"
