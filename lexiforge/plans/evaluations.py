@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import lang
 from ..functions import text as T
+from ..operators import backoff as K
+from ..operators import channel as N
 from ..operators import evals as E
 from ..operators import order as O
 from ..operators import pieces as P
@@ -72,6 +74,37 @@ def _autocorrect(s, d):
 
 q("autocorrect_acc", _autocorrect, f"WITH {CASES} SELECT count(*) FILTER (WHERE lower(topk[1]) = lower(committed)) AS top1, count(*) FILTER (WHERE list_contains(topk, lower(committed))) AS topk, count(*) AS n FROM j")
 
+# --- correction by a noisy channel: the same cases, all words within two edits
+
+#: DuckDB counts edits of bytes: small letters from ß to ÿ become capitals and signs, which the words do not have.
+ONE_BYTE = f"translate({{}}, '{''.join(map(chr, range(0xDF, 0x100)))}', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()')"
+q(
+    "channel_candidates", lambda s, d: N.candidates(typo_cases(s, d), words(s, d)).select("typed", "word", "edits"),
+    f"""WITH {CASES}, c AS (SELECT DISTINCT typed, {ONE_BYTE.format('lower(typed)')} AS low FROM cases WHERE length(typed) <= {N.WIDTH}), v AS (SELECT word, {ONE_BYTE.format('word')} AS code FROM w WHERE length(word) <= {V.LONGEST})
+SELECT typed, word, damerau_levenshtein(low, code) AS edits FROM c JOIN v ON length(low) BETWEEN length(word) - 2 AND length(word) + 2 WHERE damerau_levenshtein(low, code) <= 2""",
+)
+
+
+def _channel(s, d):
+    cases = kept(typo_cases(s, d))
+    return E.accuracy(E.corrected_hits(cases, N.corrections(cases, words(s, d))))
+
+
+q("channel_acc", _channel)
+
+
+def _channel_in_text(s, d):
+    """Every word of the conversations, mistyped where a typo can be drawn, is corrected after the two words before it."""
+    steps = E.contexts(table(s, d, "conversations"), TURN).withColumn("i", F.concat_ws(".", *TURN, "pos"))
+    cases = kept(S.typos(steps, "target", "i").select("prev2", "prev", "typed", F.col("target").alias("committed")))
+    top = N.corrections_in_text(cases, words(s, d), K.model(docs(s, d)))
+    j = cases.join(top, ["prev2", "prev", "typed"], "left").select("typed", "committed", "topk")
+    hit = lambda c: F.coalesce(c, F.lit(False))
+    return E.accuracy(j.select(hit(T.same_word(F.get("topk", F.lit(0)), F.col("committed"), False)).alias("top1_hit"), hit(F.exists("topk", lambda w: T.same_word(w, F.col("committed"), False))).alias("topk_hit")))
+
+
+q("channel_in_text", _channel_in_text)
+
 # --- re-ranking and objectives
 
 MODEL = f"""big AS MATERIALIZED ({BIGRAMS}), l AS MATERIALIZED (SELECT w1, sum(cnt) AS n1 FROM big GROUP BY w1), r AS MATERIALIZED (SELECT w2, sum(cnt) AS n2 FROM big GROUP BY w2),
