@@ -35,8 +35,8 @@ class Costs:
 
 
 def deletions(word: Column) -> Column:
-    """A word and what is left of it without any one or two of its letters, each once. Words within two edits have one of these in common."""
-    return F.array_distinct(F.flatten(F.transform(one_deletion(word), one_deletion)))
+    """Hashes of a word and of what is left of it without any one or two of its letters, each once. Words within two edits have one of these in common."""
+    return F.array_distinct(F.transform(F.flatten(F.transform(one_deletion(word), one_deletion)), lambda x: F.xxhash64(x)))
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -100,14 +100,14 @@ def candidates(typed: DataFrame, words: DataFrame, costs: Costs = Costs()) -> Da
 
     What two words have in common after deletions leads them together, by its hash; distances are then exact.
     """
+    # Words and pairs are few bytes and much work: by their bytes alone, they would be put together in too few tasks.
+    session = typed.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
     low = F.lower("typed").alias("_low")
     asked = typed.select("typed", low).distinct().filter((F.length("_low") <= WIDTH) & (F.col("_low") != ""))
-    left = asked.select("_low").distinct().select("_low", F.explode(F.transform(deletions(F.col("_low")), lambda x: F.xxhash64(x))).alias("_key"))
+    left = asked.select("_low").distinct().repartition(tasks).select("_low", F.explode(deletions(F.col("_low"))).alias("_key"))
     some = words.filter((F.length("word") <= LONGEST) & (F.col("word") != "")).select("word", "cnt")
-    right = some.select("word", F.explode(F.transform(deletions(F.col("word")), lambda x: F.xxhash64(x))).alias("_key"))
-    # Pairs are few bytes and much work: by their bytes alone, they would be put together in too few tasks.
-    session = typed.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    right = some.select("word").repartition(tasks).select("word", F.explode(deletions(F.col("word"))).alias("_key"))
     pairs = left.join(right, "_key").select("_low", "word").distinct().repartition(tasks)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
