@@ -78,13 +78,14 @@ def _document(parts: list[tuple[str, DataFrame | None]]) -> DataFrame:
     return out
 
 
-def _write_document(parts: list[tuple[str, DataFrame | None]], path: str) -> None:
-    """The document as one text file in the folder. The first entry of a part has no comma before it."""
+def _write_document(parts: list[tuple[str, DataFrame | None]], path: str, one: bool = False) -> None:
+    """The document as text files in the folder, ranges of its lines in order of their names: on end, they are the document. The first entry of a part has no comma before it. `one` is for what is read back whole."""
     rows = _document(parts)
     firsts = rows.filter("key is not null").groupBy("part").agg(F.min("key").alias("_first"))
     rows = rows.join(F.broadcast(firsts), "part", "left")
     comma = F.when(F.col("key").isNotNull() & (F.col("key") != F.col("_first")), ",").otherwise("")
-    rows.orderBy("part", F.asc_nulls_first("key")).select(F.concat(comma, "value").alias("value")).coalesce(1).write.text(path)
+    rows = rows.orderBy("part", F.asc_nulls_first("key")).select(F.concat(comma, "value").alias("value"))
+    (rows.coalesce(1) if one else rows).write.text(path)
 
 
 def _quoted(word: Column) -> Column:
@@ -112,7 +113,7 @@ def read_counts(spark: SparkSession, path: str) -> DataFrame:
 def write_blob(unigrams: DataFrame, proper: DataFrame, bigrams: DataFrame, path: str) -> None:
     """A composite map of three: words, capitalised forms, and pairs (w1, w2) joined by a tab."""
     pairs = _entries(bigrams, T.pair_key(F.col("w1"), F.col("w2")))
-    _write_document([('{"unigrams": {', _entries(unigrams, F.col("word"))), ('}, "proper": {', _entries(proper, F.col("word"))), ('}, "bigrams": {', pairs), ("}}", None)], path)
+    _write_document([('{"unigrams": {', _entries(unigrams, F.col("word"))), ('}, "proper": {', _entries(proper, F.col("word"))), ('}, "bigrams": {', pairs), ("}}", None)], path, one=True)
 
 
 def read_blob(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -156,10 +157,10 @@ def dictionary_header(locale: str, description: str, date: int) -> str:
 
 
 def write_dictionary(lines: DataFrame, header: str, path: str) -> None:
-    """The header and dictionary_lines as one gzipped text, which the format demands."""
+    """The header and dictionary_lines as gzipped texts, ranges of lines in order of their names. A gzip file may have several members, so the files on end are the dictionary as one file, and no task has it whole."""
     rows = lines.select("f", "word", "n", "line")
     head = lines.sparkSession.createDataFrame([(header,)], "line string").select(F.lit(1 << 30).cast(rows.schema["f"].dataType).alias("f"), F.lit("").alias("word"), F.lit(-1).cast("bigint").alias("n"), "line")
-    head.unionByName(rows).orderBy(*V.line_order()).select("line").coalesce(1).write.option("compression", "gzip").text(path)
+    head.unionByName(rows).orderBy(*V.line_order()).select("line").write.option("compression", "gzip").text(path)
 
 
 def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -394,5 +395,5 @@ def slot_report(slots: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def write_lines(rows: DataFrame, order: str, path: str) -> None:
-    """The column line as one text, in order."""
-    rows.orderBy(order).select("line").coalesce(1).write.text(path)
+    """The column line as text files, in order of their names and in them."""
+    rows.orderBy(order).select("line").write.text(path)

@@ -163,3 +163,28 @@ def test_small_functions(spark):
     df = spark.createDataFrame([(["a", "b", "c"], [1.0, None, math.inf, math.nan, 2.0], "▁«Kaixo!» ", "kaixo, zer")], "w array<string>, x array<double>, p string, t string")
     r = df.select(T.padded_words(F.col("w"), 2, 28).alias("cut"), T.padded_words(F.col("w"), 5, 28).alias("filled"), T.with_space(F.col("w")).alias("s"), T.finite(F.col("x")).alias("x"), T.normal_word(F.col("p")).alias("n"), T.first_word(F.col("t")).alias("f")).first()
     assert r.cut == ["a", "b"] and r.filled == ["a", "b", "c", "<FUTO28>", "<FUTO29>"] and r.s == ["a▁", "b▁", "c▁"] and r.x == [1.0, 2.0] and r.n == "kaixo" and r.f == "kaixo"
+
+
+def test_documents_in_parts_are_whole_on_end(spark, tmp_path):
+    words = spark.createDataFrame([(f"w{i:03}", 1 + i % 7) for i in range(300)], "word string, f long")
+    pairs = spark.createDataFrame([(f"w{i:03}", f"w{j:03}", 3) for i in range(0, 300, 9) for j in (1, 2, 299)], "w1 string, w2 string, f long")
+    lines = V.dictionary_lines(words, pairs)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        files.write_dictionary(lines, "head", f"{tmp_path}/d")
+        files.write_counts(words.withColumnRenamed("f", "cnt"), f"{tmp_path}/w")
+        files.write_report(words.agg(F.count("*").alias("n")), words.withColumn("i", F.xxhash64("word") % 10**9 + 10**9), "i", "m", f"{tmp_path}/r")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    parts = sorted((tmp_path / "d").glob("part-*.gz"))
+    assert len(parts) > 1
+    text = gzip.decompress(b"".join(p.read_bytes() for p in parts)).decode().splitlines()
+    assert text == ["head", *(r.line for r in lines.orderBy(*V.line_order()).collect())]
+    got = files.read_dictionary(spark, f"{tmp_path}/d")
+    assert got.filter("bigram is null").count() == 300 and got.filter("word = 'w009' and bigram is not null").count() == 3
+    for folder, n in (("w", 300), ("r", 2 + 1)):
+        some = sorted((tmp_path / folder).glob("part-*"))
+        whole = json.loads("".join(p.read_text() for p in some))
+        assert len(some) > 1 and len(whole) == n
+    assert len(whole["rows"]) == 300 and whole["aggregate"] == {"n": 300}
+    assert files.read_counts(spark, f"{tmp_path}/w").count() == 300
