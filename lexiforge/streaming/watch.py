@@ -29,3 +29,13 @@ def watch(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
 def dedup_stream(lines: DataFrame) -> DataFrame:
     """Lines whose first 200 characters have not come before; the state grows with the distinct lines."""
     return lines.withColumn("_key", F.substring("text", 1, lang.PREFIX)).dropDuplicates(["_key"]).drop("_key")
+
+
+def dedup_stream_within(lines: DataFrame, seq: str, time: str, length: str, late: str) -> DataFrame:
+    """Of the lines with the same first 200 characters in each window of `length`, the one of the least seq (unique), whichever came first; a line comes out when its window is closed.
+
+    Rows may come up to `late` behind the newest, twice, and in any order: what comes out is what a batch over all rows gives. Later ones are dropped. The state holds a row for each different line of the windows that are open, so it does not grow with the stream. Null texts are one line; a null time has no window and is dropped.
+    """
+    first = F.min_by(F.struct(*[F.col(c) for c in lines.columns]), F.col(seq)).alias("_row")
+    rows = lines.withWatermark(time, late) if lines.isStreaming else lines.filter(F.col(time).isNotNull())
+    return rows.groupBy(F.window(time, length), F.substring("text", 1, lang.PREFIX).alias("_key")).agg(first).select("_row.*")
