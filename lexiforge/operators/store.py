@@ -6,18 +6,24 @@ import atexit
 import shutil
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the shared folder: what reads it several times does not compute it again, nor after an executor is lost. The folder is spark.checkpoint.dir; a local master without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The session's own folder in the one that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one if that is unset."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        there = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        there = spark.conf.get("spark.checkpoint.dir", None)
         if there is None:
             if not sc.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             there = tempfile.mkdtemp(prefix="lexiforge-")
             atexit.register(shutil.rmtree, there, True)
         sc.setCheckpointDir(there)
+    return sc.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the shared folder: what reads it several times does not compute it again, nor after an executor is lost."""
+    shared(df.sparkSession)
     return df.checkpoint()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import lang
@@ -10,12 +12,14 @@ from ..operators import datasets as D
 from ..operators import order as O
 from ..operators import pieces as P
 from ..operators import sequences as S
+from ..operators.store import shared
+from ..sources import files
 from . import sqltext as Q
 from .base import c, docs, kept, q, table
 from .typos import PAIRS, SYNTHETIC, words
 
-#: Tokens of a chunk, and of a triple's example.
-CHUNK, TRIPLE = 512, 64
+#: Tokens of a chunk, of a triple's example, and of a slice of a token file; workers that read one.
+CHUNK, TRIPLE, SLICE, READERS = 512, 64, 128, 5
 LOW = 0.1
 IDS = f"ids AS MATERIALIZED (SELECT doc_id, {Q.symbol_ids('text')} AS ids FROM documents)"
 INLINE = f"{Q.CORRUPTED}, ids AS MATERIALIZED (SELECT doc_id, {Q.symbol_ids('corrupted')} AS ids FROM corrupted)"
@@ -81,6 +85,25 @@ q(
 )
 
 
+def _token_slices(s, d):
+    path = f"{shared(s)}/tokens-{uuid.uuid4().hex}"
+    # Symbols' ids need more than 16 bits.
+    files.write_token_bin(ids(s, d), "doc_id", "ids", path, parts=int(s.conf.get("spark.sql.shuffle.partitions")), width=4)
+    rows = files.token_slices(s, path, SLICE, READERS, width=4)
+    return rows.select(c(F.col("worker"), "worker"), "nth", total("input_ids").alias("inputs"), total("labels").alias("labels"), F.md5(joined("input_ids").cast("binary")).alias("digest"))
+
+
+q(
+    "token_slices", _token_slices,
+    f"""WITH {IDS}, e AS (SELECT doc_id, unnest(ids) AS id, generate_subscripts(ids, 1) AS place FROM ids),
+flat AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY doc_id, place) - 1 AS n, lead(id) OVER (ORDER BY doc_id, place) AS following FROM e),
+share AS (SELECT count(*) AS n, count(*) // {READERS} AS m FROM flat),
+w AS (SELECT range AS worker, range * m AS a, CASE WHEN range = {READERS - 1} THEN n ELSE (range + 1) * m END AS b FROM share, range({READERS})),
+x AS (SELECT worker, n - a AS p, (n - a) // {SLICE} AS nth, id, following FROM flat JOIN w ON n >= a AND n < b WHERE (n - a) // {SLICE} < (b - a - 1) // {SLICE})
+SELECT worker, nth, CAST(sum(id) AS BIGINT) AS inputs, CAST(sum(following) AS BIGINT) AS labels, md5(string_agg(CAST(id AS VARCHAR), ' ' ORDER BY p)) AS digest FROM x GROUP BY worker, nth""",
+)
+
+
 def pairs(s, d):
     """i (from 0, without gaps), typed and committed of the synthetic pairs."""
     rows = O.running_sum(kept(S.synthetic_pairs(words(s, d), PAIRS)), "i", F.lit(1).cast("bigint"), "_n")

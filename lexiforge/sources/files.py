@@ -7,11 +7,7 @@ import logging
 import struct
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from ..operators import order as O
 from ..operators import vocab as V
+from . import tokens
 
 log = logging.getLogger(__name__)
 
@@ -182,43 +179,23 @@ def write_ids(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
 
 
-def write_token_bin(rows: DataFrame, seq: str, ids: str, path: str, parts: int = 8) -> int:
-    """All ids on end as flat files of little-endian 16-bit numbers, in ascending ranges of seq, in a folder that all executors share; returns how many there are. A folder that is complete already is left as it is. Ids of more than 16 bits are an error. A task's file appears under its name when it is whole, so a repeated task does no harm."""
-    fs, top = pafs.FileSystem.from_uri(path)
-    if fs.get_file_info(f"{top}/_SUCCESS").type != pafs.FileType.NotFound:
-        return sum(f.size for f in fs.get_file_info(pafs.FileSelector(top)) if f.path.endswith(".bin")) // 2
-    fs.create_dir(top, recursive=True)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, folder = pafs.FileSystem.from_uri(path)
-        task = TaskContext.get()
-        name, n = f"{folder}/part-{task.partitionId():05d}.bin", 0
-        with here.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as out:
-            for batch in batches:
-                data = np.asarray(batch.column(0).flatten(), dtype=np.int64)
-                if len(data) and (data.max() > 0xFFFF or data.min() < 0):
-                    raise ValueError("an id has more than 16 bits")
-                out.write(data.astype("<u2").tobytes())
-                n += len(data)
-        here.move(f"{name}.{task.taskAttemptId()}.tmp", name)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    total = rows.repartitionByRange(parts, seq).sortWithinPartitions(seq).select(ids).mapInArrow(run, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
-    with fs.open_output_stream(f"{top}/_SUCCESS"):
-        pass
-    return total
-
-
-def read_token_bin(spark: SparkSession, path: str) -> DataFrame:
-    """file and ids of the flat files, in order of their names; a file is one row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.frombuffer(x.as_buffer(), "<u2").astype(np.int32) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["file", "ids"])
-
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    return rows.mapInArrow(run, "file string, ids array<int>")
+def write_token_bin(rows: DataFrame, seq: str, ids: str, path: str, parts: int = 8, width: int = 2) -> int:
+    """All ids on end as flat files of little-endian numbers of `width` bytes, in ascending ranges of seq, in a folder that all executors share; returns how many there are. A folder that is complete already is left as it is. Ids that need more bytes are an error. The files appear when all are whole, so a repeated task does no harm and a failed job leaves none."""
+    if not tokens.complete(path):
+        ordered = rows.repartitionByRange(parts, seq).sortWithinPartitions(seq).select(ids)
+        ordered.write.format(tokens.register(rows.sparkSession)).option("width", width).mode("append").save(path)
+    return sum(n for _, n in tokens.parts(path, width))
+
+
+def read_token_bin(spark: SparkSession, path: str, width: int = 2, length: int = 1 << 18, **options) -> DataFrame:
+    """file, worker, nth, start and ids of the flat files, in rows of `length` ids; tasks read ranges of bytes. See tokens.TokenFiles for the options, start and end among them."""
+    return spark.read.format(tokens.register(spark)).options(width=width, length=length, **options).load(path)
+
+
+def token_slices(spark: SparkSession, path: str, length: int, workers: int, width: int = 2) -> DataFrame:
+    """worker, nth, input_ids and labels: slices of `length` ids and the same moved on by one, in consecutive ranges of ids, one for each worker, of which the last has what is left over. What is too short for a slice is dropped at the end of each range."""
+    rows = read_token_bin(spark, path, width, length + 1, overlap=1, workers=workers, tail=False)
+    return rows.select("worker", "nth", F.slice("ids", 1, length).alias("input_ids"), F.slice("ids", 2, length).alias("labels"))
 
 
 # --- metrics and logs -------------------------------------------------------------------------------------------------
