@@ -39,6 +39,23 @@ def row_groups(spark: SparkSession, files: list[str], seq: str, text: str) -> Da
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(min(len(files), 1000)).mapInArrow(footers, "lo bigint, bytes bigint")
 
 
+def _opens(file: str) -> bool:
+    """Whether pyarrow has the store of a file; Spark reads from more."""
+    try:
+        pafs.FileSystem.from_uri(file)
+    except (pa.ArrowException, OSError):
+        return False
+    return True
+
+
+def splits(table: DataFrame, seq: str) -> DataFrame:
+    """lo and bytes as of row_groups, of the ranges in which Spark reads a table's files: for stores in which tasks cannot open footers. seq is read whole, other columns are not; bytes are those of the range."""
+    block = [F.col(f"_metadata.{c}").alias(c) for c in ("file_path", "file_block_start", "file_block_length")]
+    rows = table.select(F.col(seq).cast("bigint").alias("seq"), *block)
+    lo = F.when(F.count("seq") == F.count("*"), F.min("seq"))
+    return rows.groupBy("file_path", "file_block_start").agg(lo.alias("lo"), F.max("file_block_length").alias("bytes")).select("lo", "bytes")
+
+
 def _steps(groups: DataFrame) -> tuple[int, list[tuple[int, int]]]:
     """The bytes that are read in any case, and lo and bytes of ranges of row groups in order: SIDE * SIDE at most, however many row groups there are."""
     groups = kept(groups)
@@ -51,13 +68,13 @@ def _steps(groups: DataFrame) -> tuple[int, list[tuple[int, int]]]:
 def pulled(spark: SparkSession, path: str, seq: str, text: str, prepare: Callable[[DataFrame], DataFrame], cost: str, budget: int) -> DataFrame:
     """What `prepare` makes of the Parquet table at path, in order of seq (whole numbers, unique), until the running cost reaches the budget, with the row that crosses it.
 
-    prepare gives seq and cost (not negative) among its columns, and what it does with a row may depend on rows of lesser seq only, as with keep-first. Footers say which row groups begin where. A round reads all rows below a bound, which the scan gets as a filter, so that it skips row groups and files behind it; the bound is set by the cost that a byte had so far, and at least doubles from round to round. Null seqs come first. A table without statistics, or one whose row groups overlap, is read as far as they do: the rows are the same.
+    prepare gives seq and cost (not negative) among its columns, and what it does with a row may depend on rows of lesser seq only, as with keep-first. Footers say which row groups begin where. A round reads all rows below a bound, which the scan gets as a filter, so that it skips row groups and files behind it; the bound is set by the cost that a byte had so far, and at least doubles from round to round. Null seqs come first. In a store that only Spark opens, seqs are read in place of footers. A table without statistics, or one whose row groups overlap, is read as far as they do: the rows are the same.
     """
     table = spark.read.parquet(path)
     files = table.inputFiles()
     if budget <= 0 or not files:
         return prepare(table).limit(0)
-    read, steps = _steps(row_groups(spark, files, seq, text))
+    read, steps = _steps(row_groups(spark, files, seq, text) if _opens(files[0]) else splits(table, seq))
     rate, n = 1 / BYTES_A_TOKEN, 0
     while True:
         least = 2 * read if n else 0

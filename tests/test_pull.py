@@ -81,6 +81,19 @@ def test_pull_of_all_and_of_overlapping_files(spark, files, tmp_path):
     assert got(spark, empty, 10) == []
 
 
+def test_pull_from_a_store_that_only_spark_opens(spark, files):
+    rows, path, _ = files
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.pulls.link./in", f"file://{path.removeprefix('file://')}")
+    there = "viewfs://pulls/in"
+    table = spark.read.parquet(there)
+    assert not pull._opens(table.inputFiles()[0]) and pull._opens(f"file://{path}")
+    lo = {r.lo for r in pull.splits(table, "seq").collect()}
+    assert min(lo) == min(s for s, _, _ in rows) and len(lo) > 1
+    for budget in (1, 5000, 1 << 40):
+        assert got(spark, there, budget) == got(spark, path, budget)
+
+
 def test_lines_of_files_in_order(spark, tmp_path):
     rng = random.Random(6)
     lines = {f"{c}.txt": ["y" * rng.randint(0, 60) for _ in range(120)] for c in "cabdef"}
