@@ -87,8 +87,9 @@ q(
 
 def _token_slices(s, d):
     path = f"{shared(s)}/tokens-{uuid.uuid4().hex}"
-    # Symbols' ids need more than 16 bits.
-    files.write_token_bin(ids(s, d), "doc_id", "ids", path, parts=int(s.conf.get("spark.sql.shuffle.partitions")), width=4)
+    # Texts are shuffled, not ids. Symbols' ids need more than 16 bits.
+    marked = F.concat(F.array(F.lit(lang.BOS)), T.symbol_ids(F.col("text")), F.array(F.lit(lang.EOS))).alias("ids")
+    files.write_token_bin(docs(s, d).select("doc_id", "text"), "doc_id", marked, path, parts=int(s.conf.get("spark.sql.shuffle.partitions")), width=4)
     rows = files.token_slices(s, path, SLICE, READERS, width=4)
     return rows.select(c(F.col("worker"), "worker"), "nth", total("input_ids").alias("inputs"), total("labels").alias("labels"), F.md5(joined("input_ids").cast("binary")).alias("digest"))
 

@@ -179,8 +179,8 @@ def write_ids(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
 
 
-def write_token_bin(rows: DataFrame, seq: str, ids: str, path: str, parts: int = 8, width: int = 2) -> int:
-    """All ids on end as flat files of little-endian numbers of `width` bytes, in ascending ranges of seq, in a folder that all executors share; returns how many there are. A folder that is complete already is left as it is. Ids that need more bytes are an error. The files appear when all are whole, so a repeated task does no harm and a failed job leaves none."""
+def write_token_bin(rows: DataFrame, seq: str, ids: str | Column, path: str, parts: int = 8, width: int = 2) -> int:
+    """All ids on end as flat files of little-endian numbers of `width` bytes, in ascending ranges of seq, in a folder that all executors share; returns how many there are. A folder that is complete already is left as it is. ids may be an expression: it is evaluated behind the shuffle, which then has what it is made of, such as texts. Ids that need more bytes are an error. The files appear when all are whole, so a repeated task does no harm and a failed job leaves none."""
     if not tokens.complete(path):
         ordered = rows.repartitionByRange(parts, seq).sortWithinPartitions(seq).select(ids)
         ordered.write.format(tokens.register(rows.sparkSession)).option("width", width).mode("append").save(path)
