@@ -125,3 +125,11 @@ def test_model_of_no_words(spark):
     one = spark.createDataFrame([("a", "b", "c")], "w1 string, w2 string, w3 string")
     assert [r.p for r in K.shares(one, m).collect()] == [1.0]
     assert K.best_words(one.select(F.col("w1").alias("prev2"), F.col("w2").alias("prev")), m).collect() == []
+
+
+def test_large_tables_are_columnar_and_no_side_of_scoring_goes_through_the_driver(spark):
+    m = K.model(frame(spark, corpus(5)))
+    assert all(t.inputFiles() for t in (m.three, m.two, m.pairs, m.words, m.one))
+    rows = frame(spark, ["ba be bi bo", "da de"])
+    for out in (E.turn_losses(rows, ["id"], lambda s: K.with_loss(s, m)), E.objective_losses(rows, ["id"], rows, lambda s: K.with_loss(s, m)), K.best_words(spark.createDataFrame([("ba", "be")], "prev2 string, prev string"), m)):
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
