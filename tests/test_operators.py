@@ -189,3 +189,13 @@ def test_registry():
 
     assert len(e.queries()) >= 60 and set(e.oracle_sql()) <= set(e.queries())
     assert not re.search(r"collect\(", "".join(map(str, e.oracle_sql().values())))
+
+
+def test_scores_of_pairs_count_the_texts_once(spark):
+    from lexiforge.operators import evals as E
+
+    docs = spark.createDataFrame([("a b a c",), ("b a",), (None,)], "text string")
+    steps = spark.createDataFrame([("a", "b")], "prev string, word string")
+    for out in (E.mutual_information(docs), E.with_logprobs(steps, docs)):
+        assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.w1, r.w2): r.cnt for r in E.mutual_information(docs).collect()} == {("a", "b"): 1, ("b", "a"): 2, ("a", "c"): 1}
