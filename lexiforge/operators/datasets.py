@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import lang
+from ..functions import batches as B
 from ..functions import text as T
 from . import order as O
 from . import sequences as S
@@ -22,15 +25,13 @@ DRAWS = 1_000_000
 
 def inline_corrected(docs: DataFrame, seq: str, text: str = "text", rate: float = lang.TYPO_RATE) -> DataFrame:
     """Adds `corrupted`: of the words of a text, about `rate` are written as what was typed and what was meant. Words without letters alone in their middle and words without a typo stay. Draws follow from seq (unique) and the word's place; a row is rewritten where it is."""
-    words = F.filter(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+"), lambda w: w != "")
 
-    def written(w: Column, at: Column) -> Column:
-        k = F.concat(F.col(seq).cast("string"), F.lit("."), at.cast("string"))
-        part = lambda i: F.regexp_extract(w, lang.INLINE, i)
-        new = lambda core: T.let(S.typed_of(core, k), lambda typed: F.concat(part(1), T.triple(typed, core), part(3)))
-        return F.when(T.draw(k, "rate", 0, DRAWS) < int(rate * DRAWS), F.coalesce(T.let(part(2), new), w)).otherwise(w)
+    def corrected(texts: list[str], part: pa.RecordBatch) -> pa.Array:
+        keys = part.column(part.num_columns - 1).to_pylist()
+        return pa.array([B.inline_corrected(t, k, int(rate * DRAWS), DRAWS, S.SHORTCUT_SHARE) for t, k in zip(texts, keys, strict=True)], pa.string())
 
-    return docs.withColumn("corrupted", F.array_join(F.transform(words, written), " "))
+    keyed = docs.drop("corrupted").withColumn("_seq", F.col(seq).cast("string"))
+    return B.added(keyed, text, "corrupted", StringType(), corrected).drop("_seq")
 
 
 def bounded(df: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .. import lang
+from ..functions import batches as B
 from ..functions import text as T
 from . import order as O
 
@@ -18,8 +19,8 @@ _models: dict[str, object] = {}
 
 
 def symbols(df: DataFrame, text: str) -> DataFrame:
-    """df with `ids` by symbols: built-in functions only, reversible."""
-    return df.withColumn("ids", T.symbol_ids(F.col(text)))
+    """df with `ids` by symbols (functions.text.symbol_ids), reversible."""
+    return B.added(df.drop("ids"), text, "ids", ArrayType(IntegerType()), lambda texts, _: B.symbol_ids(texts))
 
 
 def model(path: str):

@@ -247,3 +247,34 @@ def test_slots(spark):
     assert [r[0] for r in df.select(P.are_sequential(F.col("x"))).collect()] == [True, False, True, True]
     few = P.trainer_sample(spark.createDataFrame([("x" * n,) for n in range(30)], "text string"), 5, 20)
     assert few.count() == 5 and few.filter("length(text) > 20 or text = ''").count() == 0
+
+
+def test_words_of_batches_are_typed_as_columns_are(spark):
+    from lexiforge.functions import batches as B
+    from lexiforge.operators import sequences as S
+
+    words = ["kaixo", "Kaixo", "KAIXO", "eta", "Ez", "ñabar", "Ñu", "ßa", "ÿé", "don't", "''", "ab", "a", "Éíóúü", "×÷æø", "q'", "zzz"]
+    rows = [(w, f"{n}.{i}") for n, w in enumerate(words) for i in range(60)]
+    df = spark.createDataFrame(rows, "w string, k string").select("w", "k", S.typed_of(F.col("w"), F.col("k")).alias("typed"))
+    got = df.select("*", T.triple(F.col("typed"), F.col("w")).alias("t")).collect()
+    assert len({r.typed for r in got}) > 300
+    for r in got:
+        typed = B.typed_of(r.w, r.k, S.SHORTCUT_SHARE)
+        assert typed == r.typed, r
+        assert typed is None or f"<XBU>{typed.translate(B._KEYS)}<XBC>{r.w}<XEC>" == r.t
+
+
+def test_spaces_and_pieces_of_batches(spark):
+    texts = ["a\x1cb c\x85d e　f \t g\x1f", "<XBU", ">x<CHAR_A", "<CHAR_A><XEC><<XBC>>", "", None, "\x00<XBU>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    want = {r.i: (r.w, r.ids) for r in df.select("i", F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != "").alias("w"), T.symbol_ids(F.col("text")).alias("ids")).collect()}
+    got = {r.i: r.ids for r in P.symbols(df, "text").collect()}
+    from lexiforge.functions import batches as B
+
+    assert {i: (B.words(t or ""), got[i]) for i, t in enumerate(texts)} == want
+
+
+def test_symbols_and_corrections_are_made_in_batches(spark):
+    df = spark.createDataFrame([(1, "kaixo mundu")], "s long, text string")
+    assert "MapInArrow" in P.symbols(df, "text")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in D.inline_corrected(df, "s")._jdf.queryExecution().executedPlan().toString()
