@@ -60,7 +60,7 @@ def symbol_ids(texts: list[str]) -> pa.ListArray:
 _MARKS = str.maketrans(*T._MARKS)
 _KEYS = {i: "".join(f"<CHAR_{u}>" for u in chr(i).translate(_MARKS).upper() if "A" <= u <= "Z") for i in range(0x100)}
 _NOT_SPACES = re.compile(r"[\x1c-\x1f]")
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
+_SPACES = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _INLINE = re.compile(lang.INLINE)
 
 
