@@ -40,7 +40,7 @@ START = f"['{K.START}', '{K.START}']"
 #: A row for each word of each turn, with the two before it.
 STEPS = f"s AS (SELECT conv_id, turn, list_concat({START}, w) AS p, w FROM talk WHERE len(w) > 0), steps AS MATERIALIZED (SELECT conv_id, turn, unnest(p[1:len(w)]) AS w1, unnest(p[2:len(w) + 1]) AS w2, unnest(w) AS w3 FROM s)"
 q(
-    "backoff_model", lambda s, d: K.shares(K.trigram_counts(docs(s, d)), K.model(docs(s, d))).select("w1", "w2", "w3", F.round("p", 9).alias("p")),
+    "backoff_model", lambda s, d: K.all_shares(K.model(docs(s, d))).select("w1", "w2", "w3", F.round("p", 9).alias("p")),
     f"WITH {COUNTS}, {shares('v', 'tri')} SELECT w1, w2, w3, round(p, 9) AS p FROM v",
 )
 q(

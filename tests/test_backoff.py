@@ -133,3 +133,20 @@ def test_large_tables_are_columnar_and_no_side_of_scoring_goes_through_the_drive
     rows = frame(spark, ["ba be bi bo", "da de"])
     for out in (E.turn_losses(rows, ["id"], lambda s: K.with_loss(s, m)), E.objective_losses(rows, ["id"], rows, lambda s: K.with_loss(s, m)), K.best_words(spark.createDataFrame([("ba", "be")], "prev2 string, prev string"), m)):
         assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_have_all_that_a_word_in_the_middle_needs(spark, monkeypatch):
+    """Many parts, and frequent words dealt over several of them: shares and best words stay those of the plain model, and rows of the table of trigrams grow with the texts by parts only."""
+    monkeypatch.setattr(K, "PART", 300)
+    monkeypatch.setattr(K, "BLOCK", 500)
+    texts = corpus(6, words=[a + b for a in "bdgklm" for b in "aeiou"], n=60) + ["the cat the dog the cow the cat"] * 20
+    plain, m = Plain(texts), K.model(frame(spark, texts).repartition(3))
+    assert m.parts.n > 3 and m.parts.salts.get("the", 1) > 1 and m.three.count() <= m.parts.n
+    asked = [(u, v, w) for u, v in {*((u, v) for u, v, _ in plain.tri), ("the", UNKNOWN), (UNKNOWN, "the"), ("cow", "the")} for w in [*plain.one, UNKNOWN]]
+    got = {(r.w1, r.w2, r.w3): r.p for r in K.shares(spark.createDataFrame(asked, "w1 string, w2 string, w3 string"), m).collect()}
+    assert got == pytest.approx({a: plain.p(*a) for a in asked}, abs=1e-12)
+    assert {(r.w1, r.w2, r.w3): r.p for r in K.all_shares(m).collect()} == pytest.approx({a: plain.p(*a) for a in plain.tri}, abs=1e-12)
+    contexts = sorted({(u, v) for u, v, _ in plain.tri}) + [("x", "y"), ("x", "the"), (K.START, K.START)]
+    for r in K.best_words(spark.createDataFrame(contexts, "prev2 string, prev string"), m, k=3).collect():
+        best = sorted(plain.one, key=lambda w: (-round(plain.p(r.prev2, r.prev, w), 12), w))[:3]
+        assert [round(plain.p(r.prev2, r.prev, w), 12) for w in r.topk] == [round(plain.p(r.prev2, r.prev, w), 12) for w in best]
