@@ -24,15 +24,27 @@ from .order import least_k
 LONGEST, UNKNOWN = 16, 10.0
 #: Entries of lattices that are held at once.
 ENTRIES = 1 << 21
+#: Words whose ids a task remembers.
+REMEMBERED = 1 << 18
 #: The least expected count of a character, so that every known character keeps a probability.
 FLOOR = 1e-3
 _BASE, _LENGTH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
+def _any_of(pieces: tuple[str, ...]) -> list[str]:
+    """A pattern of the longest of the pieces, if there are any. Pieces of one first character stand together behind a look at it, so that hundreds of them are not tried at each character of a text."""
+    heads: dict[str, list[str]] = {}
+    for p in sorted(pieces, key=len, reverse=True):
+        heads.setdefault(p[0], []).append(p)
+    code = lambda c: rf"\x{{{ord(c):X}}}"
+    ways = [rf"(?={code(c)})(?:{'|'.join(rf'\Q{p}\E' for p in own)})" for c, own in heads.items()]
+    return [rf"(?=[{''.join(map(code, heads))}])(?:{'|'.join(ways)})"] if ways else []
+
+
 def pretokens(text: Column, reserved: tuple[str, ...] = ()) -> Column:
     """The words of a text as an array: a run up to a space, with the space as a mark at its end. Lines and reserved pieces stand apart; reserved pieces are words of their own."""
     marked = F.replace(F.coalesce(text, F.lit("")), F.lit(" "), F.lit(lang.SPACE_MARK))
-    own = [rf"\Q{r}\E" for r in sorted(reserved, key=len, reverse=True)]
+    own = _any_of(reserved)
     if own:  # each on a line of its own; patterns without groups in loops stand texts of any length
         marked = F.regexp_replace(marked, "|".join(own), "\n$0\n")
     run = rf"[^\n{lang.SPACE_MARK}]"
@@ -318,17 +330,23 @@ class Encoder:
         return out
 
     def column(self, df: DataFrame, text: str, out: str = "ids") -> DataFrame:
-        """df with the ids of a text column; a null text has none. Each distinct word of a batch is segmented once; texts are not shuffled."""
+        """df with the ids of a text column; a null text has none. A task remembers REMEMBERED words and segments others once a batch; texts are not shuffled."""
         rows = df.withColumn("_words", pretokens(F.col(text), tuple(self.reserved)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: dict[str, list[int]] = {}
             for batch in batches:
                 for at in range(0, len(batch), 256):
                     part = batch.slice(at, 256)
                     lists = part.column(part.num_columns - 1)
                     ends = np.asarray(lists.offsets, dtype=np.int64)
                     coded = lists.flatten().dictionary_encode()
-                    made = self.words(coded.dictionary.to_pylist())
+                    if len(known) > REMEMBERED:
+                        known.clear()
+                    words = coded.dictionary.to_pylist()
+                    new = [w for w in words if w not in known]
+                    known.update(zip(new, self.words(new), strict=True))
+                    made = [known[w] for w in words]
                     size = np.array([len(m) for m in made] or [0], np.int64)
                     flat = np.fromiter((x for m in made for x in m), np.int32, int(size.sum()))
                     which = np.asarray(coded.indices, dtype=np.int64)
