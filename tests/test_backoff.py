@@ -150,3 +150,17 @@ def test_parts_have_all_that_a_word_in_the_middle_needs(spark, monkeypatch):
     for r in K.best_words(spark.createDataFrame(contexts, "prev2 string, prev string"), m, k=3).collect():
         best = sorted(plain.one, key=lambda w: (-round(plain.p(r.prev2, r.prev, w), 12), w))[:3]
         assert [round(plain.p(r.prev2, r.prev, w), 12) for w in r.topk] == [round(plain.p(r.prev2, r.prev, w), 12) for w in best]
+
+
+def test_what_parts_have_of_words_is_shuffled_once_to_be_scored(spark, monkeypatch):
+    """Sums know the parts they go back to: only parts and what they are told are dealt by part, and no join makes what they are told."""
+    monkeypatch.setattr(K, "PART", 300)
+    texts = corpus(8, n=200)
+    m = K.model(frame(spark, texts))
+    plan = K.all_shares(m)._jdf.queryExecution().executedPlan().toString()
+    assert m.parts.n > 3 and plan.count("Exchange") == 2 and "Join" not in plan
+    of_words = m.two.filter(~F.col("key").rlike("[ \t]"))
+    befores = defaultdict(set)
+    for _, v, w in Plain(texts).tri:
+        befores[w].add(v)
+    assert {r.key: {x.n for x in r.rows} for r in of_words.groupBy("key").agg(F.collect_list(F.struct("n")).alias("rows")).collect()} == {w: {len(vs)} for w, vs in befores.items()}
