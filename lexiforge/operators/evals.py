@@ -79,19 +79,21 @@ def next_word_plausible(rows: DataFrame, predict: Predict) -> DataFrame:
     return cases.join(K.merged(hits), ["prev2", "prev"], "left").agg(total(F.col("first") == 0).alias("top1"), total(F.col("first").isNotNull()).alias("topk"), total(F.lit(True)).alias("n"))
 
 
-def mutual_information(docs: DataFrame, least: int = 1) -> DataFrame:
-    """w1, w2, cnt and pmi: ln P(w2 | w1) - ln P(w2), of pairs seen at least so many times."""
+def mutual_information(docs: DataFrame, least: int = 1, last: str = "w2") -> DataFrame:
+    """w1, w2, cnt and pmi: ln P(w2 | w1) - ln P(w2), of pairs seen at least so many times. Rows end up dealt by the word `last`, so that what groups them by it need not deal them again."""
     b = tabled(V.bigram_counts(docs))
     left = b.groupBy("w1").agg(F.sum("cnt").alias("n1"))
     right = b.groupBy("w2").agg(F.sum("cnt").alias("n2"))
     total = b.agg(F.sum("cnt").alias("n"))
-    j = b.filter(F.col("cnt") >= least).join(left, "w1").join(right, "w2").join(F.broadcast(total))
+    sides = {"w1": left, "w2": right}
+    first = next(w for w in sides if w != last)
+    j = b.filter(F.col("cnt") >= least).join(sides[first], first).join(sides[last], last).join(F.broadcast(total))
     return j.select("w1", "w2", "cnt", F.round(F.log(F.col("cnt") / F.col("n1")) - F.log(F.col("n2") / F.col("n")), 6).alias("pmi"))
 
 
 def reranked(docs: DataFrame) -> DataFrame:
     """The best next word of each first word by mutual information, ties in order."""
-    return mutual_information(docs).groupBy("w1").agg(F.min(F.struct((-F.col("pmi")).alias("p"), "w2"))["w2"].alias("best"))
+    return mutual_information(docs, last="w1").groupBy("w1").agg(F.min(F.struct((-F.col("pmi")).alias("p"), "w2"))["w2"].alias("best"))
 
 
 # --- autocorrection ---------------------------------------------------------------------------------------------------
