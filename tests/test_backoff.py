@@ -164,3 +164,14 @@ def test_what_parts_have_of_words_is_shuffled_once_to_be_scored(spark, monkeypat
     for _, v, w in Plain(texts).tri:
         befores[w].add(v)
     assert {r.key: {x.n for x in r.rows} for r in of_words.groupBy("key").agg(F.collect_list(F.struct("n")).alias("rows")).collect()} == {w: {len(vs)} for w, vs in befores.items()}
+
+
+def test_parts_answer_for_their_words_without_a_join(spark, monkeypatch):
+    """What comes after a context is ranked where its word is: answers are read from one table. Only dealt words are put together, in one shuffle."""
+    texts = corpus(9, n=60)
+    contexts = spark.createDataFrame([("ba", "be"), ("x", "y"), ("x", "ba")], "prev2 string, prev string")
+    plan = lambda m: K.best_words(contexts, m)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Exchange|Join", plan(K.model(frame(spark, texts))))
+    monkeypatch.setattr(K, "PART", 100)
+    m = K.model(frame(spark, texts))
+    assert m.parts.salts and "SortMergeJoin" not in plan(m)
