@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexiforge import lang
@@ -76,3 +77,38 @@ def test_ranks_without_and_with_a_context(spark):
     assert best == {"gure": "etze", "nire": "etxe"}
     hits = E.accuracy(E.corrected_hits(spark.createDataFrame([("etce", "etxe"), ("Mendj", "Mendi")], "typed string, committed string"), C.corrections(typed, words))).first()
     assert (hits.top1, hits.topk, hits.n) == (2, 2, 2)
+
+
+def test_pairs_are_measured_where_they_meet_and_only_candidates_are_shuffled(spark):
+    """Both sides are dealt by their keys, none is sent to all tasks, and pairs are measured before any shuffle of pairs. Without costs, candidates are the same."""
+    rng = random.Random(5)
+    w = spark.createDataFrame([(x, i) for i, x in enumerate(some_words(rng, 60))], "word string, cnt long")
+    t = spark.createDataFrame([(x,) for x in some_words(rng, 60)], "typed string")
+    plan = C.candidates(t, w)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
+    lines = plan.split("\n")
+    measured = next(i for i, x in enumerate(lines) if "MapInArrow" in x and "edits" in x)
+    met = next(i for i, x in enumerate(lines) if i > measured and "SortMergeJoin" in x)
+    assert not any("Exchange" in x for x in lines[measured:met])
+    columns = ["typed", "word", "cnt", "edits"]
+    assert sorted(C.candidates(t, w, None).collect()) == sorted(C.candidates(t, w).select(*columns).collect())
+
+
+def test_deletions_are_all_of_a_word_once():
+    rng = random.Random(6)
+    words = some_words(rng, 60, "abñ") + ["", "n" * 32]
+    whose, keys, gone = (x.tolist() for x in C.deletions(pa.array(words)))
+    text = {}
+    for i, word in enumerate(words):
+        left = {word, *(word[:a] + word[a + 1 :] for a in range(len(word)))}
+        left |= {x[:a] + x[a + 1 :] for x in left for a in range(len(x)) if len(x) > len(word) - 2}
+        mine = [(k, g) for w, k, g in zip(whose, keys, gone, strict=True) if w == i]
+        assert len(mine) == len(left) and sorted(g for _, g in mine) == sorted(len(word) - len(x) for x in left)
+        text[word] = {k for k, g in mine if g == 0}
+    whole = {k: w for w, (k,) in text.items()}
+    assert len(whole) == len(text)
+    for i, k in zip(whose, keys, strict=True):
+        if k in whole:
+            short, long = whole[k], words[i]
+            rest = iter(long)
+            assert len(long) - len(short) <= 2 and all(c in rest for c in short)
