@@ -112,3 +112,21 @@ def test_deletions_are_all_of_a_word_once():
             short, long = whole[k], words[i]
             rest = iter(long)
             assert len(long) - len(short) <= 2 and all(c in rest for c in short)
+
+
+def test_neighbours_are_those_of_the_keyboard_both_ways():
+    letters = sorted({x for a, bs in lang.ADJACENT.items() for x in a + bs})
+    pairs = [(x, y) for x in letters for y in letters if x != y]
+    _, cost = C.distances([x for x, _ in pairs], [y for _, y in pairs], C.Costs(accent=1))
+    near = {p for p, c in zip(pairs, cost, strict=True) if c == 0.5}
+    assert near == {p for a, bs in lang.ADJACENT.items() for b in bs for p in ((a, b), (b, a))}
+
+
+@pytest.mark.parametrize("name", ["channel_acc", "channel_candidates"])
+def test_words_of_the_texts_are_counted_once(spark, monkeypatch, name):
+    from lexiforge.plans import evaluations, registry
+
+    counted, count = [], evaluations.V.word_counts
+    monkeypatch.setattr(evaluations.V, "word_counts", lambda *a, **k: counted.append(1) or count(*a, **k))
+    registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(counted) == 1
