@@ -3,6 +3,7 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexiforge import lang
 from lexiforge.operators import backoff as K
@@ -130,3 +131,34 @@ def test_words_of_the_texts_are_counted_once(spark, monkeypatch, name):
     monkeypatch.setattr(evaluations.V, "word_counts", lambda *a, **k: counted.append(1) or count(*a, **k))
     registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert len(counted) == 1
+
+
+def every_candidate_scored(asked, words, m, k):
+    """The best candidates by the share of each of them after each context."""
+    found = asked.select("prev2", "prev", "typed").distinct().join(C.candidates(asked, words).select("typed", "word", "cost"), "typed")
+    out = {}
+    for r in K.with_loss(found, m).select("prev2", "prev", "typed", "word", F.round(F.col("lp") - C.Costs().weight * F.col("cost"), 9).alias("s")).collect():
+        out.setdefault(r[:3], []).append((-r.s, r.word))
+    return {c: [w for _, w in sorted(x)[:k]] for c, x in out.items()}
+
+
+@pytest.mark.parametrize("part", [K.PART, 400])
+def test_corrections_in_text_are_the_best_of_all_candidates_and_measure_pairs_once(spark, monkeypatch, part):
+    """With words dealt over parts and without; contexts and words that the texts lack, ties, and what is typed in capitals or like nothing."""
+    monkeypatch.setattr(K, "PART", part)
+    monkeypatch.setattr(K, "LOOKED_UP", 50)
+    rng = random.Random(11)
+    kinds = some_words(rng, 80)
+    texts = [" ".join(rng.choice(kinds[: rng.choice([3, 12, 60])]) for _ in range(rng.randint(1, 12))) for _ in range(120)]
+    m = K.model(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert bool(m.parts.salts) == (part == 400)
+    words = spark.createDataFrame([(w, 3 + i % 7) for i, w in enumerate(kinds[:70] + ["zuzu"])], "word string, cnt long")
+    some = lambda: rng.choice([K.START, "qqqqqq", *kinds])
+    rows = [(some(), rng.choice([kinds[0], kinds[1], some()]), rng.choice(kinds)) for _ in range(150)]
+    rows = [(a, b, w[:1] + w[2:] if i % 3 else w.upper()) for i, (a, b, w) in enumerate(rows)] + [(K.START, kinds[0], "xxxxxxxxxxxxxxxxxx"), (K.START, kinds[0], "")]
+    asked = spark.createDataFrame(rows, "prev2 string, prev string, typed string")
+    got = C.corrections_in_text(asked, words, m, 3)
+    want = every_candidate_scored(asked, words, m, 3)
+    assert {(r.prev2, r.prev, r.typed): r.topk for r in got.collect()} == want and len(want) > 50
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.split("== Initial Plan ==")[0].split("\n") if "MapInArrow" in x and "edits" in x]) == 1
