@@ -34,6 +34,18 @@ def added(df: DataFrame, text: str, out: str, kind: DataType, make) -> DataFrame
     return df.mapInArrow(run, StructType([*df.schema.fields, StructField(out, kind)]))
 
 
+def together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of so many rows at least, but for the last."""
+    some, n = [], 0
+    for batch in batches:
+        some, n = [*some, batch], n + len(batch)
+        if n >= rows:
+            yield pa.concat_batches(some)
+            some, n = [], 0
+    if n:
+        yield pa.concat_batches(some)
+
+
 def symbol_ids(texts: list[str]) -> pa.ListArray:
     """text.symbol_ids of each text."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)

@@ -15,6 +15,7 @@ from pyspark.sql.types import ByteType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .. import lang
+from ..functions.batches import together
 from . import backoff as K
 from .vocab import LONGEST
 
@@ -185,18 +186,6 @@ def distances(typed: list[str], words: list[str], costs: Costs) -> tuple[np.ndar
 MEASURED = 1 << 14
 
 
-def _together(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in batches of so many rows at least, but for the last."""
-    some, n = [], 0
-    for batch in batches:
-        some, n = [*some, batch], n + len(batch)
-        if n >= rows:
-            yield pa.concat_batches(some)
-            some, n = [], 0
-    if n:
-        yield pa.concat_batches(some)
-
-
 def _asked(typed: DataFrame) -> DataFrame:
     """typed and _low, once each, of what can be within two edits of a dictionary word."""
     return typed.select("typed", F.lower("typed").alias("_low")).distinct().filter((F.length("_low") <= WIDTH) & (F.col("_low") != ""))
@@ -215,7 +204,7 @@ def _measured(asked: DataFrame, words: DataFrame, costs: Costs | None) -> DataFr
     kind = words.schema["cnt"].dataType.simpleString()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _together(batches, 4 * MEASURED):
+        for batch in together(batches, 4 * MEASURED):
             # Pairs of like length together: the longest word of a slice sets the size of its table.
             batch = batch.take(pc.sort_indices(pc.utf8_length(batch.column(0))))
             for at in range(0, len(batch), MEASURED):

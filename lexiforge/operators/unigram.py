@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .. import lang
+from ..functions.batches import together
 from .order import least_k
 
 #: Code points of a piece at most; how much worse than the worst piece an unknown character is.
@@ -28,6 +29,11 @@ ENTRIES = 1 << 21
 REMEMBERED = 1 << 18
 #: The least expected count of a character, so that every known character keeps a probability.
 FLOOR = 1e-3
+#: First bits of a piece's hash by which it is looked up.
+HEAD = 18
+_TAIL = np.uint64(64 - HEAD)
+#: Words that a step of training takes at once, and how unlikely a word may be to be summed without logarithms.
+WORDS, UNLIKELY = 1 << 16, 600.0
 _BASE, _LENGTH = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,14 +77,17 @@ def _itself(df: DataFrame) -> DataFrame:
 
 
 def seed_pieces(words: DataFrame, known: DataFrame, seeds: int, longest: int = LONGEST, kept: Callable[[DataFrame], DataFrame] = _itself) -> DataFrame:
-    """piece and cnt: the characters, and of the substrings of words that occur twice the `seeds` with the most characters in all (ties to the smaller). No substring holds an unknown character. Counts of substrings are read several times; `kept` may make a table of them."""
-    n = F.length("word")
-    starts = words.select("word", "cnt", F.explode(F.sequence(F.lit(1), n)).alias("i")).filter(F.col("i") < n)
-    subs = starts.select("cnt", F.explode(F.transform(F.sequence(F.lit(2), F.least(n - F.col("i") + 1, F.lit(longest))), lambda k: F.substring(F.col("word"), F.col("i"), k))).alias("piece"))
+    """piece and cnt: the characters, and of the substrings of words that occur twice the `seeds` with the most characters in all (ties to the smaller). No substring holds an unknown character. Only these characters, of which there are no more than in Unicode, come to the driver. Counts of substrings are read several times; `kept` may make a table of them."""
+    odd = sorted(r.c for r in words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct().join(known.select(F.col("piece").alias("c")), "c", "left_anti").filter("c <> ''").collect())
+    runs = F.array("word")
+    if odd:  # words are cut where they have unknown characters, before substrings are made of them
+        one = odd[-1]
+        runs = F.split(F.translate("word", "".join(odd[:-1]), one * (len(odd) - 1)) if len(odd) > 1 else F.col("word"), rf"\x{{{ord(one):X}}}")
+    n = F.length("run")
+    starts = words.select("cnt", F.explode(runs).alias("run")).filter(n > 1).select("run", "cnt", F.explode(F.sequence(F.lit(1), n - 1)).alias("i"))
+    subs = starts.select("cnt", F.explode(F.transform(F.sequence(F.lit(2), F.least(n - F.col("i") + 1, F.lit(longest))), lambda k: F.substring(F.col("run"), F.col("i"), k))).alias("piece"))
     counts = subs.groupBy("piece").agg(F.sum("cnt").alias("cnt")).filter("cnt > 1")
-    odd = words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c")).distinct().join(known.select(F.col("piece").alias("c")), "c", "left_anti")
-    bad = counts.select("piece", F.explode(F.split("piece", "")).alias("c")).join(odd, "c", "left_semi").select("piece").distinct()
-    ranked = counts.join(bad, "piece", "left_anti").withColumn("rank", -F.col("cnt") * F.length("piece"))
+    ranked = counts.withColumn("rank", -F.col("cnt") * F.length("piece"))
     return least_k(kept(ranked), "rank", ["piece"], seeds).select("piece", "cnt").unionByName(known)
 
 
@@ -101,13 +110,28 @@ class Pieces:
         self.size = np.array([len(t) for t in self.text], np.int64)
         self.longest = int(self.size.max(initial=1))
         self.unknown = float(self.score.min(initial=0.0)) - UNKNOWN
+        # Where the keys with the same first bits begin, and how many have the most common ones.
+        heads = (self.keys >> _TAIL).astype(np.int64)
+        self.begin = np.minimum(np.searchsorted(heads, np.arange(1 << HEAD)), max(0, len(self.keys) - 1))
+        self.crowd = int(np.unique(heads, return_counts=True)[1].max(initial=0))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The number of each piece, or -1."""
         if not len(self.keys):
             return np.full(keys.shape, -1, np.int32)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, at, -1).astype(np.int32)
+        flat = keys.ravel()
+        at = self.begin[(flat >> _TAIL).view(np.int64)]
+        there = self.keys[at]
+        out = np.where(there == flat, at, -1)
+        # Few keys come behind another one of their first bits.
+        behind = np.flatnonzero(there < flat)
+        for more in range(1, self.crowd):
+            place = np.minimum(at[behind] + more, len(self.keys) - 1)
+            there = self.keys[place]
+            hit = there == flat[behind]
+            out[behind[hit]] = place[hit]
+            behind = behind[there < flat[behind]]
+        return out.reshape(keys.shape)
 
 
 def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -135,10 +159,11 @@ def _lattice(codes: np.ndarray, pieces: Pieces, whole: bool = True) -> np.ndarra
     n, size = codes.shape
     most = min(size, pieces.longest)
     out = np.full((n, size, most), -1, np.int32)
+    codes = np.ascontiguousarray(codes.T)
     for i in range(size):
         h = np.zeros(n, np.uint64)
         for k in range(min(most, size - i)):
-            h = _longer(h, codes[:, i + k])
+            h = _longer(h, codes[i + k])
             if whole or k + 1 < size:
                 out[:, i, k] = pieces.find(_key(h, k + 1))
     return out
@@ -158,11 +183,47 @@ def _logsum(terms: np.ndarray) -> np.ndarray:
         return safe + np.log(np.exp(terms - safe[:, None]).sum(axis=1))
 
 
+def _plainly(codes: np.ndarray, weight: np.ndarray, pieces: Pieces, total: np.ndarray) -> float:
+    """expected() of words of one length whose probabilities are not too small for numbers without logarithms: adds to total, of which the first is that of unknown characters, and gives the log likelihood."""
+    n, size = codes.shape
+    codes, most = np.ascontiguousarray(codes.T), min(size, pieces.longest)
+    chance, unknown = np.append(np.exp(pieces.score), 0.0), np.exp(pieces.unknown)
+    before, after = np.zeros((size + 1, n)), np.zeros((size + 1, n))
+    before[0] = after[size] = 1.0
+    steps = []
+    for i in range(size):
+        longest = min(most, size - i)
+        keys, h = np.empty((longest, n), np.uint64), np.zeros(n, np.uint64)
+        for k in range(longest):
+            h = _longer(h, codes[i + k])
+            keys[k] = _key(h, k + 1)
+        found = pieces.find(keys)
+        for k, ids in enumerate(found, 1):
+            if k > 1 and ids.max(initial=-1) < 0:
+                continue
+            p = chance[ids]
+            if k == 1:
+                p[ids < 0] = unknown
+            before[i + k] += before[i] * p
+            steps.append((i, k, ids, p))
+    for i, k, _, p in reversed(steps):
+        after[i] += p * after[i + k]
+    share = weight / before[size]
+    for i, k, ids, p in steps:
+        total += np.bincount(ids + 1, before[i] * p * after[i + k] * share, len(total))
+    return float((weight * np.log(before[size])).sum())
+
+
 def expected(words: list[str], cnt: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, float]:
     """The expected count of each piece over all segmentations of the words, and the log likelihood, by the forward-backward algorithm."""
     total, likelihood = np.zeros(len(pieces.text)), 0.0
     for rows, codes in _by_length(words):
         n, size = codes.shape
+        if -pieces.unknown * size < UNLIKELY:
+            more = np.zeros(len(total) + 1)
+            likelihood += _plainly(codes, cnt[rows].astype(np.float64), pieces, more)
+            total += more[1:]
+            continue
         ids = _lattice(codes, pieces)
         steps, most = _steps(ids, pieces), ids.shape[2]
         before, after = np.full((n, size + 1), -np.inf), np.full((n, size + 1), -np.inf)
@@ -216,7 +277,7 @@ def best(words: list[str], pieces: Pieces, whole: bool = True) -> tuple[list[lis
 def _summed(pieces: Pieces) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, likelihood = np.zeros(len(pieces.text)), 0.0
-        for batch in batches:
+        for batch in together(batches, WORDS):
             more, z = expected(batch.column(0).to_pylist(), np.asarray(batch.column(1)), pieces)
             total, likelihood = total + more, likelihood + z
         seen = np.flatnonzero(total)

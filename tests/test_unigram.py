@@ -187,3 +187,53 @@ def test_a_task_segments_a_word_once(spark):
     out = {r.i: r.ids for r in Once(rows).column(texts, "text").collect()}
     by = {r[1]: r[0] for r in rows}
     assert len(out) == 1000 and out[1][-1] == by["ab"] and out[0][-1] == by["a"]
+
+
+@pytest.mark.parametrize("head", [1, 18])
+def test_pieces_are_found_behind_others_of_their_first_bits(monkeypatch, head):
+    monkeypatch.setattr(U, "HEAD", head)
+    monkeypatch.setattr(U, "_TAIL", np.uint64(64 - head))
+    rng = random.Random(head)
+    p = U.Pieces([a + b for a in "abcde" for b in "vwxyz"], np.log(np.full(25, 0.04)))
+    keys = np.array([*p.keys.tolist(), *(rng.getrandbits(64) for _ in range(200)), 0, 2**64 - 1], np.uint64)
+    rng.shuffle(keys)
+    want = [int(np.flatnonzero(p.keys == k)[0]) if k in p.keys else -1 for k in keys]
+    assert p.find(keys).tolist() == want and p.find(keys.reshape(-1, 1)).ravel().tolist() == want
+
+
+def test_a_step_takes_small_batches_together_and_is_the_same_without_logarithms(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.choice([1, 3, 8, 40]))) for _ in range(60)]
+    p = U.Pieces(["a", "b", "c", "ab", "bca", "cc", "abab"], np.log(np.array([0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.1])))
+    cnt = np.array([rng.randint(1, 9) for _ in words])
+    total, likelihood = U.expected(words, cnt, p)
+    monkeypatch.setattr(U, "UNLIKELY", 0.0)
+    by_logs, same = U.expected(words, cnt, p)
+    assert np.allclose(total, by_logs, rtol=1e-9) and math.isclose(likelihood, same, rel_tol=1e-12)
+    calls = []
+    whole = U.expected
+    monkeypatch.setattr(U, "expected", lambda *a: calls.append(len(a[0])) or whole(*a))
+    batches = [pa.RecordBatch.from_arrays([pa.array(words[i : i + 10]), pa.array(cnt[i : i + 10])], ["word", "cnt"]) for i in range(0, 60, 10)]
+    (out,) = U._summed(p)(iter(batches))
+    assert calls == [60] and math.isclose(out.column(1)[-1].as_py(), likelihood, rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("odd", ["", "é", "é𝒳", "\0", "\0.$é"])
+def test_seeds_hold_no_unknown_character_and_substrings_are_made_once(spark, odd):
+    rng = random.Random(8)
+    rows = [("".join(rng.choice("abc" + odd) for _ in range(rng.randint(1, 9))), rng.randint(1, 4)) for _ in range(60)]
+    rows = list(dict(rows).items())
+    words = spark.createDataFrame(rows, "word string, cnt long").cache()
+    known = words.sparkSession.createDataFrame([(c, 1) for c in "abc"], "piece string, cnt long")
+    plans = []
+    got = U.seed_pieces(words, known, 12, 4, kept=lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or df.localCheckpoint())
+    counts = Counter()
+    for w, n in rows:
+        for i in range(len(w)):
+            for k in range(2, min(4, len(w) - i) + 1):
+                counts[w[i : i + k]] += n
+    want = sorted(((-n * len(s), s) for s, n in counts.items() if n > 1 and not set(s) & set(odd)))[:12]
+    assert sorted((r.piece, r.cnt) for r in got.filter("cnt > 1 or length(piece) > 1").collect()) == sorted((s, -m // len(s)) for m, s in want)
+    assert plans[0].count("Join") == 0
