@@ -42,13 +42,13 @@ def bounded(df: DataFrame) -> DataFrame:
 def inline_examples(docs: DataFrame, seq: str, encode: Encoder, length: int, low: float = 1.0, rate: float = lang.TYPO_RATE, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """chunk, input_ids, labels and loss_weights: texts with inline corrections on end, in chunks of `length`; tokens of corrections weigh 1, others `low`. Packing reads the corrected texts twice; `kept` may make a table of them."""
     texts = kept(inline_corrected(docs, seq, rate=rate).select(seq, "corrupted"))
-    chunks = O.packed(bounded(encode(texts, "corrupted")), seq, "ids", length)
+    chunks = O.packed(texts, seq, "ids", length, made=lambda df: bounded(encode(df, "corrupted")))
     return chunks.select("chunk", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"), S.span_mask(F.col("ids"), lang.XBU, lang.XEC, low).alias("loss_weights"))
 
 
 def plain_examples(docs: DataFrame, seq: str, encode: Encoder, length: int) -> DataFrame:
     """chunk, input_ids, labels, loss_weights (all 1) and attention_mask of packed text."""
-    chunks = O.packed(bounded(encode(docs.select(seq, "text"), "text")), seq, "ids", length)
+    chunks = O.packed(docs.select(seq, "text"), seq, "ids", length, made=lambda df: bounded(encode(df, "text")))
     ones = lambda v: F.transform("ids", lambda x: F.lit(v))
     return chunks.select("chunk", F.col("ids").alias("input_ids"), F.col("ids").alias("labels"), ones(1.0).alias("loss_weights"), ones(1).alias("attention_mask"))
 

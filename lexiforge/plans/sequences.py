@@ -12,7 +12,7 @@ from ..operators import datasets as D
 from ..operators import order as O
 from ..operators import pieces as P
 from ..operators import sequences as S
-from ..operators.store import shared
+from ..operators.store import shared, tabled
 from ..sources import files
 from . import sqltext as Q
 from .base import c, docs, kept, q, table
@@ -70,7 +70,7 @@ q(
     f"{FIRST} SELECT doc_id, CAST(CASE WHEN a IS NULL OR a = 0 THEN 0 WHEN z IS NULL OR z = 0 THEN n - a + 1 ELSE z END AS BIGINT) AS ones FROM f",
 )
 q(
-    "inline_examples", lambda s, d: D.inline_examples(docs(s, d).select("doc_id", "text"), "doc_id", P.symbols, CHUNK, LOW, kept=kept).select("chunk", total("input_ids").alias("inputs"), weights("loss_weights").alias("weight")),
+    "inline_examples", lambda s, d: D.inline_examples(docs(s, d).select("doc_id", "text"), "doc_id", P.symbols, CHUNK, LOW, kept=tabled).select("chunk", total("input_ids").alias("inputs"), weights("loss_weights").alias("weight")),
     f"WITH {INLINE}, {Q.chunks('x', 'ids', CHUNK)}, {Q.span_weights('y', 'x', 'chunk', LOW)} SELECT chunk, CAST(sum(id) AS BIGINT) AS inputs, round(CAST(sum(w) AS DOUBLE), 6) AS weight FROM y GROUP BY chunk",
 )
 q(

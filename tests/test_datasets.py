@@ -278,3 +278,17 @@ def test_symbols_and_corrections_are_made_in_batches(spark):
     df = spark.createDataFrame([(1, "kaixo mundu")], "s long, text string")
     assert "MapInArrow" in P.symbols(df, "text")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in D.inline_corrected(df, "s")._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("length", [1, 7, 50])
+def test_packing_joins_texts_before_ids_are_made_and_shuffles_ends_of_rows_only(spark, length):
+    texts = ["abcdefghij" * 5, "", None, "xyz", "k" * 7, "longer text " * 9, "a"]
+    df = spark.createDataFrame([(i * 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = O.packed(df, "doc_id", "ids", length, made=lambda x: P.symbols(x, "text"))
+    flat = [ord(c) + lang.FIRST_FREE for t in texts for c in t or ""]
+    want = {i: flat[i * length : (i + 1) * length] for i in range(len(flat) // length)}
+    assert {r.chunk: r.ids for r in got.collect()} == want and got.count() == len(want)
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert min(i for i, x in enumerate(lines) if "MapInArrow" in x) < min(i for i, x in enumerate(lines) if "Join" in x)
+    aggregates = [x for x in lines if "collect_list" in x]
+    assert "Union" in lines[0] and len(aggregates) == 1
